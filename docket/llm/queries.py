@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docket.llm import langid, linededup, mixing, packing, simhash, tokenfile, toxicity, urlfilter
+from docket.llm import ann, bm25, langid, linededup, mixing, packing, simhash, tokenfile, toxicity, urlfilter
 from docket.llm.urlfilter import Rule
 from docket.session import scratch_root, ship_package
 from docket.sources.tables import table
@@ -71,6 +71,18 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"))
 
 
+def op7_multiprobe_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return ann.search(table(spark, sf_dir, "embeddings"), F.pmod(F.col("vec_id"), F.lit(20)) == 0)
+
+
+def op8_bm25_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document whose id is divisible by 20 is a query, its whole text, against all documents."""
+    docs = _documents(spark, sf_dir)
+    asked = docs.where(F.pmod(F.col("doc_id"), F.lit(20)) == 0).select(F.col("doc_id").alias("query_id"), "text")
+    return bm25.search(docs, asked)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -89,6 +101,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_url_filters": op4_url_filters,
     "op5_line_dedup": op5_line_dedup,
     "op6_mixing": op6_mixing,
+    "op7_multiprobe_neighbours": op7_multiprobe_neighbours,
+    "op8_bm25_top_k": op8_bm25_top_k,
     "op9_simhash": op9_simhash,
     "op10_token_files": op10_token_files,
 }
