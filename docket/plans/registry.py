@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from docket.plans import Query
 
-BOOKS: list = []
+from docket.plans import canonical, segmentation
+
+BOOKS = [segmentation.BOOK, canonical.BOOK]
 
 
 def queries() -> dict[str, Query]:
