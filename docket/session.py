@@ -42,7 +42,7 @@ def scratch_root(spark: SparkSession) -> str:
     return known.rstrip("/")
 
 
-def cut(df: DataFrame, compression: str = "lz4_raw") -> DataFrame:
+def cut(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     The result has no lineage beyond those files, so a lost executor costs a
