@@ -24,11 +24,11 @@ class Encoder:
     may be cut before each blank that lies between non-blanks: the parts' ids in
     a row are the text's ids. Parts repeat, so each is encoded once and kept in
     one long array. A text with a part of white space only (two blanks in a row,
-    a blank at an end) is encoded whole. Beyond ``limit`` parts the cache starts
-    anew; texts go through in steps of about ``step_chars`` characters.
+    a blank at an end) is encoded whole. Beyond ``limit`` parts the cache keeps
+    those that came again; texts go through in steps of about ``step_chars`` characters.
     """
 
-    def __init__(self, path: str, limit: int = 800_000, step_chars: int = 6_000_000):
+    def __init__(self, path: str, limit: int = 1_200_000, step_chars: int = 6_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -42,6 +42,18 @@ class Encoder:
         self.slots: dict[str, int] = {}
         self.ids = np.empty(1 << 20, dtype=np.uint32)
         self.starts, self.used = np.zeros(self.limit + 1, dtype=np.int64), 0
+        self.again = np.zeros(self.limit + 1, dtype=bool)
+
+    def _shrink(self) -> None:
+        """Keeps the parts that came again since the last time, if they are half at most."""
+        kept = np.nonzero(self.again[: len(self.slots)])[0]
+        words, starts, ids = list(self.slots), self.starts, self.ids
+        self._clear()
+        if len(kept) <= self.limit // 2:
+            sizes = starts[kept + 1] - starts[kept]
+            ends = np.cumsum(sizes)
+            if len(kept):
+                self._keep([words[i] for i in kept.tolist()], ids[np.repeat(starts[kept] - (ends - sizes), sizes) + np.arange(ends[-1])], ends)
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=np.uint32) for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
@@ -74,6 +86,7 @@ class Encoder:
         base = len(self.slots)
         while base + len(parts) >= len(self.starts):
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+            self.again = np.concatenate([self.again, np.zeros_like(self.again)])
         self.starts[base + 1 : base + 1 + len(parts)] = ends + self.used
         self._append(ids)
         self.slots.update(zip(parts, range(base, base + len(parts)), strict=True))
@@ -83,6 +96,7 @@ class Encoder:
         get = self.slots.get
         at = np.array([get(p, -1) for p in parts], dtype=np.int64)
         new = np.nonzero(at < 0)[0]
+        self.again[at[at >= 0]] = True
         if len(new):
             base = len(self.slots)
             fresh = [parts[i] for i in new.tolist()]
@@ -95,15 +109,16 @@ class Encoder:
 
     def _step(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.slots) > self.limit:
-            self._clear()
+            self._shrink()
         split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
         bounds = np.asarray(split.offsets)
         coded = split.flatten().dictionary_encode()
-        codes, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        codes, words = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         blank = np.array([not w or w.isspace() for w in words], dtype=bool)
         slots = np.zeros(len(words), dtype=np.int64)
         if not blank.all():
-            slots[~blank] = self._slots_of([" " + w for w, b in zip(words, blank.tolist(), strict=True) if not b])
+            full = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), coded.dictionary.filter(pa.array(~blank)), pa.scalar(" ", pa.large_string()))
+            slots[~blank] = self._slots_of(full.to_numpy(zero_copy_only=False).tolist())
         odd, slot = blank[codes], slots[codes]
         heads = [words[c] for c in codes[bounds[:-1]].tolist()]  # a text's first part has no blank before it
         filled = np.array([bool(h) and not h.isspace() for h in heads], dtype=bool)
