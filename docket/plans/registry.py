@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from docket.plans import Query
 
-from docket.plans import canonical, segmentation
+from docket.plans import canonical, retrieval, segmentation
 
-BOOKS = [segmentation.BOOK, canonical.BOOK]
+BOOKS = [segmentation.BOOK, canonical.BOOK, retrieval.BOOK]
 
 
 def queries() -> dict[str, Query]:
