@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from docket.plans import Query
 
-from docket.plans import canonical, retrieval, segmentation
+from docket.plans import canonical, evidence, retrieval, segmentation
 
-BOOKS = [segmentation.BOOK, canonical.BOOK, retrieval.BOOK]
+BOOKS = [segmentation.BOOK, canonical.BOOK, retrieval.BOOK, evidence.BOOK]
 
 
 def queries() -> dict[str, Query]:
