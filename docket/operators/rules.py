@@ -181,9 +181,9 @@ def first_value(sources: dict[str, Column]) -> Column:
 
 def lowest_confidence(values: list[Column]) -> Column:
     """The lowest of high, medium, low; absent ones are left out, null if there is none."""
-    levels = F.create_map(*[F.lit(x) for x in ("high", 3, "medium", 2, "low", 1)])
-    least = F.array_min(F.array_compact(F.array(*[levels[v] for v in values])))
-    return F.element_at(F.array(F.lit("low"), F.lit("medium"), F.lit("high")), least)
+    level = lambda v: F.when(v == "high", 3).when(v == "medium", 2).when(v == "low", 1)
+    least = F.array_min(F.array(*[level(v) for v in values]))
+    return F.when(least == 1, "low").when(least == 2, "medium").when(least == 3, "high")
 
 
 def rule_group(code: Column) -> Column:
