@@ -11,8 +11,8 @@ Nystroem map multiplies by the inverse root of the landmarks' kernel matrix, and
 a squared-hinge SVM on that map gives the margin. A document has its most toxic
 sentence's margin, turned into a probability by a logistic fit.
 
-Training takes sentences of labelled documents, at most ``sentences`` from each
-class, chosen by hash. A sentence of a toxic document is an example of class 1
+Training takes sentences of labelled documents, at most ``labelled`` documents and
+``sentences`` sentences of each class, chosen by hash. A sentence of a toxic document is an example of class 1
 if it holds one of the strings that tell toxic sentences from the others, else
 it isn't used; it is an example once more with a character inserted into each of
 those words. Every sentence of another document is one of class 0.
@@ -34,6 +34,7 @@ from docket.llm.texts import map_texts
 SPAN = 6
 DECAY = 0.8
 FLOOR = 0.72
+LABELLED = 8_000
 SENTENCES = 40_000
 LANDMARKS = 128
 SUPPORT = 0.1  # least count beside the first landmark's
@@ -282,18 +283,19 @@ def _logistic(m: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sentences: int = SENTENCES, landmarks: int = LANDMARKS) -> Model:
-    """Trains on at most ``sentences`` sentences of each class, chosen by hash.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", labelled: int = LABELLED, sentences: int = SENTENCES, landmarks: int = LANDMARKS) -> Model:
+    """Trains on at most ``labelled`` documents and ``sentences`` sentences of each class, chosen by hash.
 
-    Only this bounded sample reaches the driver. Null texts, null labels and
-    labels other than 0 and 1 are not used.
+    The chosen documents' ids are so few that they are broadcast: no text is
+    shuffled to meet its label. Only the bounded sample reaches the driver. Null
+    texts, null labels and labels other than 0 and 1 are not used.
     """
-    known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("k"), F.col(label_col).cast("int").alias("y"))
-    rows = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).where("t is not null").join(known, "k")
-    rows = rows.select("y", F.xxhash64("k").alias("d"), F.explode(F.split("t", _SPLIT)).alias("s")).where(F.length(F.trim("s")) > 0)
     taken: list[tuple[str, int, int]] = []
     for y in (0, 1):
-        part = rows.where(F.col("y") == y).select("s", "d", F.xxhash64("s").alias("h")).orderBy("h", "s", "d").limit(sentences)
+        chosen = labels.where((F.col(label_col) == y) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("k")).orderBy(F.xxhash64("k"), "k").limit(labelled).distinct()
+        rows = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).where("t is not null").join(F.broadcast(chosen), "k", "left_semi")
+        rows = rows.select(F.xxhash64("k").alias("d"), F.explode(F.split("t", _SPLIT)).alias("s")).where(F.length(F.trim("s")) > 0)
+        part = rows.select("s", "d", F.xxhash64("s").alias("h")).orderBy("h", "s", "d").limit(sentences)
         taken += [(r["s"], y, r["d"]) for r in part.select("s", "d").toLocalIterator()]
     return train(taken, landmarks)
 
