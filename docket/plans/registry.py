@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from docket.plans import Query
 
-from docket.plans import canonical, evidence, retrieval, rules, segmentation
+from docket.plans import canonical, drafts, evidence, retrieval, rules, segmentation
 
-BOOKS = [segmentation.BOOK, canonical.BOOK, retrieval.BOOK, evidence.BOOK, rules.BOOK]
+BOOKS = [segmentation.BOOK, canonical.BOOK, retrieval.BOOK, evidence.BOOK, rules.BOOK, drafts.BOOK]
 
 
 def queries() -> dict[str, Query]:
