@@ -41,8 +41,8 @@ def q02(spark, sf_dir):
     return D.text_citations(_docs(spark, sf_dir), _PAT, "^(The|This)$", ["doc_id"])
 
 
-_NAMES = r"SELECT DISTINCT unnest(regexp_extract_all(text, '\b[a-z]{6,14}\b')) AS name FROM documents WHERE lang = 'en'"
-_KNOWN = r"SELECT DISTINCT unnest(regexp_extract_all(text, '\b[a-z]{4,14}\b')) AS name FROM benchmark"
+_NAMES = r"SELECT DISTINCT name FROM (SELECT unnest(regexp_extract_all(text, '\p{L}+')) AS name FROM documents WHERE lang = 'en') WHERE regexp_matches(name, '^[a-z]{6,14}$')"
+_KNOWN = r"SELECT DISTINCT name FROM (SELECT unnest(regexp_extract_all(text, '\p{L}+')) AS name FROM benchmark) WHERE regexp_matches(name, '^[a-z]{4,14}$')"
 
 
 @BOOK.add("q03_repair_names", rf"""
@@ -53,9 +53,9 @@ t AS (SELECT name AS nm, CASE WHEN length(base) >= 3 THEN substr(base, i) ELSE b
 best AS (SELECT nm, arg_max(k.name, length(k.name)) AS best FROM t JOIN k ON kk = k.name GROUP BY 1)
 SELECT bb.name, coalesce(k.name, best, bb.name) AS repaired FROM bb LEFT JOIN k ON base = k.name LEFT JOIN best ON best.nm = bb.name""")
 def q03(spark, sf_dir):
-    pick = lambda p: F.explode(F.regexp_extract_all("text", F.lit(p), F.lit(0))).alias("name")
-    names = _docs(spark, sf_dir).where("lang = 'en'").select(pick(r"\b[a-z]{6,14}\b"))
-    return D.repair_names(names, table(spark, sf_dir, "benchmark").select(pick(r"\b[a-z]{4,14}\b")), ["the", "an", "of"])
+    words = F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))).alias("name")
+    names = _docs(spark, sf_dir).where("lang = 'en'").select(words).where(F.col("name").rlike("^[a-z]{6,14}$"))
+    return D.repair_names(names, table(spark, sf_dir, "benchmark").select(words).where(F.col("name").rlike("^[a-z]{4,14}$")), ["the", "an", "of"])
 
 
 _SQ = r"regexp_replace({0}, '\s+', '', 'g')"
