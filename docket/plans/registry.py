@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from docket.plans import Query
 
-from docket.plans import canonical, caselog, drafts, evidence, reports, retrieval, rules, segmentation
+from docket.plans import canonical, caselog, drafts, evidence, reports, retrieval, rules, segmentation, sources
 
-BOOKS = [segmentation.BOOK, canonical.BOOK, retrieval.BOOK, evidence.BOOK, rules.BOOK, drafts.BOOK, reports.BOOK, caselog.BOOK]
+BOOKS = [segmentation.BOOK, canonical.BOOK, retrieval.BOOK, evidence.BOOK, rules.BOOK, drafts.BOOK, reports.BOOK, caselog.BOOK, sources.BOOK]
 
 
 def queries() -> dict[str, Query]:
