@@ -36,6 +36,7 @@ BUCKET = 512
 MOST_FUNCTIONS = 6
 CHUNK = 4096
 QUERY_BLOCK = 8192
+HELD_ROWS = 2_000_000
 SAMPLE_QUERIES, SAMPLE_VECTORS = 200, 4000
 
 _ERF = np.vectorize(math.erf, otypes=[float])
@@ -136,6 +137,7 @@ def _candidates(points: DataFrame, queries: DataFrame, k: int, blocks: int) -> D
     keys = ["table", "bucket", "chunk", "block"]
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
         for group in key_groups(batches, keys):
             asks = group["asks"].to_numpy() == 1
             if asks.all() or not asks.any():
@@ -148,12 +150,23 @@ def _candidates(points: DataFrame, queries: DataFrame, k: int, blocks: int) -> D
                 score = all_q[at : at + 512] @ x.T
                 n = min(k, len(rep))
                 best = np.argsort(-score, axis=1, kind="stable")[:, :n]
-                yield pd.DataFrame({"query": np.repeat(who[at : at + 512], n), "rep": rep[best].ravel(), "score": np.take_along_axis(score, best, axis=1).ravel()})
+                held.append(pd.DataFrame({"query": np.repeat(who[at : at + 512], n), "rep": rep[best].ravel(), "score": np.take_along_axis(score, best, axis=1).ravel()}))
+            if sum(map(len, held)) > HELD_ROWS:
+                held = [_trimmed(held, k)]
+        if held:
+            yield _trimmed(held, k)
 
     dealt = p.union(q).repartition(*keys).sortWithinPartitions(*keys, "asks")
     return dealt.mapInPandas(run, "query long, rep long, score double")
 
 
+def _trimmed(held: list[pd.DataFrame], k: int) -> pd.DataFrame:
+    """Each query's best k of what a task found in its buckets; more can't be among the best k of all."""
+    rows = pd.concat(held, ignore_index=True).drop_duplicates(["query", "rep"])
+    rows = rows.iloc[np.lexsort((rows["rep"], -rows["score"], rows["query"]))]
+    return rows[rows.groupby("query").cumcount().to_numpy() < k]
+
+
 def _best(found: DataFrame, who: str, what: str, k: int) -> DataFrame:
     order = W.partitionBy(who).orderBy(F.desc("score"), F.asc(what))
     return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
