@@ -48,7 +48,7 @@ def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Letter codes of all words in a row, SPAN zeros after each, and the owner of each place."""
     raw = np.frombuffer(("\0" * SPAN).join(words).encode("utf-32-le"), dtype="<u4")
     flat = np.concatenate([raw, np.zeros(SPAN, raw.dtype)]).astype(np.int64)
-    sizes = np.array([len(w) + SPAN for w in words])
+    sizes = np.array([len(w) + SPAN for w in words], dtype=np.int64)
     letter = flat > 0x60
     low = letter & (flat < 0x7B)
     code = np.where(low, flat - 0x60, np.where(letter, 27 + flat % 37, 0))
@@ -95,7 +95,7 @@ class Model:
 
 def landmark_table(landmarks: list[str]) -> dict:
     """For each triple of a landmark the row of its weights, each over the landmark's own kernel."""
-    code, owner = _codes(landmarks)
+    code, owner = _codes(landmarks) if landmarks else (np.empty(0, np.int64), np.empty(0, np.int64))
     weight: dict[int, dict[int, float]] = {}
     for at, triple, w in _triples(code):
         for t, o in zip(triple.tolist(), owner[at].tolist(), strict=True):
