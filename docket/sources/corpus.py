@@ -12,7 +12,7 @@ ROUTE_BYTES = 300 * 1024
 
 def scan_files(spark: SparkSession, root: str, category: str, extension: str = "txt") -> DataFrame:
     """(file, text): whole files of one category with one extension, subfolders included."""
-    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{extension}").text(f"{root}/{category}")
+    rows = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{extension}").load(f"{root}/{category}")
     return rows.select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
 
 
