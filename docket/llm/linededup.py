@@ -5,7 +5,7 @@ line has several. The hash of each two neighbouring lines (a window that rolls
 over the line hashes) decides whether a chunk ends there, so equal passages are
 cut alike wherever they stand. Two families of boundaries, by two seeds, cover
 each other's edges. Chunks of two lines or more that occur again anywhere are
-found by a 128-bit hash, compared byte by byte, and removed but for the first
+found by a 96-bit hash, compared byte by byte, and removed but for the first
 occurrence, by document id and place. Everything is DataFrame functions.
 """
 
@@ -68,7 +68,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hashed = lines.select("id", "row", F.transform("l", lambda u: F.xxhash64(u)).alias("h"))
     found = hashed.select("id", "row", "h", F.explode(_chunks(F.col("h"), families, divisor, least)).alias("c"))
     part = F.slice("h", F.col("c.start") + 1, F.col("c.n"))
-    found = cut(found.select("id", "row", F.col("c.start").alias("start"), F.col("c.n").alias("n"), F.xxhash64(part).alias("a"), F.xxhash64(part, F.lit(11)).alias("b")))
+    found = cut(found.select("id", "row", F.col("c.start").alias("start"), F.col("c.n").alias("n"), F.xxhash64(part).alias("a"), F.hash(part).alias("b")))
     repeated = found.groupBy("a", "b").agg(F.count(F.lit(1)).alias("times"), F.min("id").alias("first_id")).where("times > 1").drop("times")
     again = found.join(repeated, ["a", "b"]).select("row", "start", "n", "a", "b", (F.col("id") == F.col("first_id")).alias("keeps")).repartition("row")
     nth = F.row_number().over(W.partitionBy("row", "a", "b").orderBy("start"))
@@ -80,10 +80,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # bytes of all that share a hash
     whole = held.where("chunks is not null").select(text.alias("l"), F.explode("chunks").alias("c"))
     whole = whole.select(F.col("c.a").alias("a"), F.col("c.b").alias("b"), F.array_join(F.slice("l", F.col("c.start") + 1, F.col("c.n")), "").alias("bytes"))
-    unequal = whole.groupBy("a", "b").agg(F.min("bytes").alias("lo"), F.max("bytes").alias("hi")).where("lo <> hi")
+    unequal = whole.groupBy("a", "b", "bytes").agg(F.count(F.lit(1)).alias("n")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     differ = {(r["a"], r["b"]) for r in unequal.select("a", "b").limit(1000).collect()}
     if len(differ) == 1000:
-        raise RuntimeError("a 128-bit hash has hundreds of collisions; the input isn't text")
+        raise RuntimeError("a 96-bit hash has hundreds of collisions; the input isn't text")
     gone = F.filter("chunks", lambda c: ~c["first"])
     for a, b in sorted(differ):
         gone = F.filter(gone, lambda c, a=a, b=b: ~((c["a"] == a) & (c["b"] == b)))
