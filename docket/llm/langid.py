@@ -50,6 +50,9 @@ def trigram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     sizes[-1] -= 2
     owner = np.repeat(np.arange(len(texts)), sizes)
     code = np.where(raw < 0x10000, _TABLE[0][np.minimum(raw, 0xFFFF)], raw).astype(np.uint64)
+    for c in np.unique(raw[raw >= 0x10000]).tolist():
+        if not chr(c).isalpha():
+            code[raw == c] = 0
     # runs of characters that aren't letters shrink to one
     blank = code == 0
     keep = np.ones(len(code), dtype=bool)

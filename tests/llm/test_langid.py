@@ -26,6 +26,11 @@ def test_mixtures_and_sets():
     assert score[1] < 0.9 and abs(shares[1].sum() - 1) < 1e-3
 
 
+def test_only_letters_count():
+    pred, _, _ = langid.infer(["🙂 🙃 123 ...", "𝒳", ""], model())
+    assert pred[0] == pred[2] == "und" and pred[1] != "und"
+
+
 def test_odd_rows(spark, odd, empty):
     m = model()
     got = {r.doc_id: r for r in langid.predict(odd, m).collect()}
