@@ -52,7 +52,9 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, tokens=words, k1: flo
     sized = docs.select("ref_key", F.size(tokens(F.col("text"))).alias("dl"))
     whole = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    post = postings(docs, "ref_key", "text", tokens).join(asked.select("term").distinct(), "term", "left_semi")
+    long = docs.select("ref_key", tokens(F.col("text")).alias("t")).select("ref_key", F.size("t").alias("dl"), F.explode("t").alias("term"))
+    long = long.join(asked.select("term").distinct(), "term", "left_semi")  # before counting: most words aren't asked for
+    post = long.groupBy("ref_key", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
     df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     scored = asked.join(df, "term").join(post, "term").crossJoin(F.broadcast(whole))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
