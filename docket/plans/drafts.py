@@ -15,7 +15,8 @@ def _docs(spark, sf_dir):
     return table(spark, sf_dir, "documents")
 
 
-_CITES = "list_distinct(regexp_extract_all(text, '\\b(?:the|that|this|les|des|der|und|los)\\b'))"
+_WORDS = ["the", "that", "this", "les", "des", "der", "und", "los"]
+_CITES = r"list_filter(list_distinct(regexp_extract_all(text, '\p{L}+')), lambda x: list_contains(['the', 'that', 'this', 'les', 'des', 'der', 'und', 'los'], x))"
 
 
 @BOOK.add("q01_citations_outside", f"WITH k AS (SELECT source, list(DISTINCT lang || 'x') AS okk FROM documents GROUP BY 1), a(lang, ref_key) AS (VALUES ('en', 'the'), ('en', 'that'), ('fr', 'les'), ('de', 'der')), al AS (SELECT DISTINCT source, ref_key FROM documents JOIN a USING (lang) WHERE n_chars > 4000), o AS (SELECT source, list(ref_key) AS okk FROM al GROUP BY 1), c AS (SELECT doc_id, source, {_CITES} AS citations FROM documents) SELECT doc_id, list_sort(list_filter(citations, lambda x: NOT list_contains(coalesce(okk, []), x))) AS outside, len(list_filter(citations, lambda x: list_contains(coalesce(okk, []), x))) = 0 AS no_source FROM c LEFT JOIN o USING (source)")
@@ -23,7 +24,7 @@ def q01(spark, sf_dir):
     docs = _docs(spark, sf_dir)
     a = F.broadcast(spark.createDataFrame([("en", "the"), ("en", "that"), ("fr", "les"), ("de", "der")], "lang string, ref_key string"))
     allowed = docs.where("n_chars > 4000").join(a, "lang").select("source", "ref_key").distinct()
-    cites = F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b(?:the|that|this|les|des|der|und|los)\b"), F.lit(0)))
+    cites = F.filter(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))), lambda w: w.isin(*_WORDS))
     out = D.citations_outside(docs.select("doc_id", "source", cites.alias("citations")), allowed, "source")
     return out.select("doc_id", F.array_sort("outside").alias("outside"), "no_source")
 
