@@ -17,24 +17,30 @@ def squashed(text: Column) -> Column:
 def containing(needles: DataFrame, hays: DataFrame, needle: str, hay: str, on: list[str] | None = None, gram: int = GRAM) -> DataFrame:
     """Rows of ``needles`` joined to the rows of ``hays`` whose text contains theirs.
 
-    With keys in ``on`` it is an equi-join and a test. Without, every haystack is
-    cut into overlapping pieces of ``gram`` characters, a needle looks up the
-    piece it begins with, and the found pairs are tested: no pair is missed, none
-    is formed without a shared piece. Needles shorter than ``gram`` are compared
-    by their own length.
+    With keys in ``on`` it is an equi-join and a test. Without, a haystack is cut
+    into blocks of g characters side by side and a needle into all its
+    overlapping pieces of g: a needle of 2g - 1 characters or more has a whole
+    block wherever it lies, so no pair is missed, and a haystack gives one row
+    for g characters. Found pairs are tested. g is ``gram``, or less for needles
+    too short for it; there is one pass of blocks for each g in use.
     """
     if on:
         return needles.join(hays, on).where(F.col(hay).contains(F.col(needle)))
-    sizes = [r[0] for r in needles.select(F.least(F.length(needle), F.lit(gram)).alias("n")).where("n > 0").distinct().collect()]
+    wanted = needles.where(F.length(needle) > 0).withColumn("_g", F.least(F.lit(gram), F.floor((F.length(needle) + 1) / 2).cast("int")))
+    sizes = sorted(r[0] for r in wanted.select("_g").distinct().collect())
     if not sizes:
         return needles.join(hays, F.lit(False))
-    wanted = needles.where(F.length(needle) > 0).withColumn("_g", F.left(F.col(needle), F.lit(gram)))
-    cut = F.concat(*[F.regexp_extract_all(F.col(hay), F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sizes])
-    starts = wanted.select("_g").distinct()
-    keyed = hays.withColumn("_row", F.monotonically_increasing_id())
-    pieces = keyed.select("_row", F.explode(cut).alias("_g")).join(starts, "_g", "left_semi").distinct()
-    found = wanted.join(pieces, "_g").join(keyed, "_row")
-    return found.where(F.col(hay).contains(F.col(needle))).drop("_g", "_row")
+    keyed = hays.withColumn("_row", F.xxhash64(hay))  # equal texts share it, and are found together
+    pick = lambda col, g, pattern, group: F.when(F.col("_g") == g, F.regexp_extract_all(F.col(col), F.lit(pattern), F.lit(group)))
+    pieces = F.coalesce(*[pick(needle, g, f"(?s)(?=(.{{{g}}}))", 1) for g in sizes])
+    asked = wanted.select(F.col(needle).alias("_n"), F.explode(F.array_distinct(pieces)).alias("_p")).distinct()
+    blocks = [keyed.select("_row", F.explode(F.array_distinct(F.regexp_extract_all(F.col(hay), F.lit(f"(?s).{{{g}}}"), F.lit(0)))).alias("_p")) for g in sizes]
+    found = blocks[0]
+    for more in blocks[1:]:
+        found = found.union(more)
+    pairs = found.join(asked, "_p").select("_row", "_n").distinct()
+    near = wanted.drop("_g").join(pairs, F.col(needle) == F.col("_n")).join(keyed, "_row")
+    return near.where(F.col(hay).contains(F.col(needle))).drop("_n", "_row")
 
 
 def match_one_to_one(proposals: DataFrame, left_ids: DataFrame, right_ids: DataFrame, case_col: str) -> DataFrame:

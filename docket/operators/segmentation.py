@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 START, STOP = "\x01", "\x02"
 LAW_ARTICLE = r"(?dm)^\s*第\s*([0-9一二三四五六七八九十百]+(?:-[0-9]+)?)\s*條(?:之[0-9一二三四五六七八九十]+)?"
 LAW_DELETED = r"^[（(]刪除[）)]$"
-LAW_CITED = (r"([\p{IsHan}]{2,20}(?:法|條例|規則|辦法))第([0-9]+)條", r"([\p{IsHan}]{2,20}(?:法|條例|規則|辦法))第([0-9]+)條")
 
 
 def tidy(text: Column) -> Column:
