@@ -159,3 +159,14 @@ spread(node) AS (SELECT DISTINCT key FROM own WHERE verdict = 'block' AND key IS
 SELECT a.page_id, a.host, a.path, o.rule, coalesce(o.verdict, CASE WHEN o.key IN (SELECT node FROM spread) THEN 'block' ELSE 'allow' END) AS verdict
 FROM a LEFT JOIN own o ON a.url = o.url
 """
+
+ORACLE_SQL["op8_bm25_top_k"] = r"""
+WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL),
+s AS (SELECT count(*)::DOUBLE AS n, greatest(1.0::DOUBLE, sum(len(w))::DOUBLE / count(*)) AS avgdl FROM t),
+p AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM t) GROUP BY ALL),
+f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+q AS (SELECT doc_id AS query_id, term, tf AS qtf FROM p WHERE doc_id % 20 = 0),
+r AS (SELECT query_id, doc_id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)))), 6) AS score
+      FROM q JOIN f USING (term) JOIN p USING (term), s GROUP BY query_id, doc_id)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM r WHERE score > 0 QUALIFY rank <= 10
+"""
