@@ -11,6 +11,8 @@ from pyspark.sql.types import StructType
 
 #: In the result of a text function: for each output row the number of its text.
 ROW = "_row"
+#: Texts that stand side by side in a worker's memory.
+ROWS = 1000
 
 
 def map_texts(docs: DataFrame, keep: dict[str, str], text_col: str, make: Callable[[], Callable[[list[str]], dict]], fields: str) -> DataFrame:
@@ -29,7 +31,8 @@ def map_texts(docs: DataFrame, keep: dict[str, str], text_col: str, make: Callab
 
         kinds = to_arrow_schema(more)
         function = make()
-        for batch in batches:
+        parts = (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS))
+        for batch in parts:
             out = function([t or "" for t in batch.column(len(names)).to_pylist()])
             kept = [batch.column(i) for i in range(len(names))]
             if ROW in out:

@@ -37,6 +37,7 @@ FLOOR = 0.72
 LABELLED = 8_000
 SENTENCES = 40_000
 LANDMARKS = 128
+SEEN = 250_000  # words whose kernel values a task keeps
 SUPPORT = 0.1  # least count beside the first landmark's
 _SPLIT = r"[.!?\n]+"
 _SENTENCE = re.compile(_SPLIT)
@@ -317,7 +318,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             margins = np.full(len(texts), model.bias)
             for at in range(0, len(texts), 500):
                 split = [set(t.split()) for t in texts[at : at + 500]]
-                if len(seen) > 500_000:
+                if len(seen) > SEEN:
                     seen.clear()
                     hits.clear()
                 fresh = list(set().union(*split) - seen)
