@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 def corpus_report(units: DataFrame, by: list[str]) -> DataFrame:
     """Counts by each column and in total, in one pass; ``grp`` names the grouping."""
-    sets = ", ".join(f"(`{c}`)" for c in by) + ", ()"
-    units.createOrReplaceTempView("_corpus_report")
-    names = "CASE " + " ".join(f"WHEN grouping(`{c}`) = 0 THEN '{c}'" for c in by) + " ELSE 'total' END"
-    value = "coalesce(" + ", ".join(f"CAST(`{c}` AS STRING)" for c in by) + ")"
-    cols = ", ".join(f"`{c}`" for c in by)
-    return units.sparkSession.sql(f"SELECT {names} AS grp, {value} AS value, count(*) AS n FROM _corpus_report GROUP BY GROUPING SETS ({sets})") if cols else units.groupBy().count()
+    named = F.lit("total")
+    for c in reversed(by):
+        named = F.when(F.grouping(c) == 0, c).otherwise(named)
+    value = F.coalesce(*[F.col(c).cast("string") for c in by])
+    sets = units.groupingSets([[F.col(c)] for c in by] + [[]], *by)
+    return sets.agg(named.alias("grp"), F.count(F.lit(1)).alias("n")).select("grp", value.alias("value"), "n")
 
 
 def tally(rows: DataFrame, case_col: str, value_col: str, unknown: str = "unknown") -> DataFrame:
