@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from docket.llm.texts import ROWS
 from docket.llm.tokens import END_ID, default_tokenizer, encoder
 
 BLOCK = 256
@@ -123,7 +124,7 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             columns = [pa.array([part], pa.int32()), pa.array([seg], pa.int32()), pa.array([names], pa.list_(id_type)), pa.array([[len(x) for x in held]], pa.list_(pa.int32())), pa.array([image], pa.binary())]
             return pa.RecordBatch.from_arrays(columns, names=["part", "seg", "doc_ids", "lengths", "image"])
 
-        for b in batches:
+        for b in (x.slice(at, ROWS) for x in batches for at in range(0, x.num_rows, ROWS)):
             keys, id_type = b.column(0).to_pylist(), b.column(0).type
             texts = [t or "" for t in b.column(1).to_pylist()]
             for at in range(0, len(texts), 500):

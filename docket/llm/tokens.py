@@ -28,7 +28,7 @@ class Encoder:
     those that came again; texts go through in steps of about ``step_chars`` characters.
     """
 
-    def __init__(self, path: str, limit: int = 500_000, step_chars: int = 6_000_000):
+    def __init__(self, path: str, limit: int = 400_000, step_chars: int = 1_500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
