@@ -1,12 +1,20 @@
-"""Line dedup by content-defined chunks of lines.
+"""Line dedup by content-defined chunks and windows of lines.
 
 A line ends at a line break or at the end of a sentence, so a paragraph on one
-line has several. The hash of each two neighbouring lines (a window that rolls
-over the line hashes) decides whether a chunk ends there, so equal passages are
-cut alike wherever they stand. Two families of boundaries, by two seeds, cover
-each other's edges. Chunks of two lines or more that occur again anywhere are
-found by a 96-bit hash, compared byte by byte, and removed but for the first
-occurrence, by document id and place. Everything is DataFrame functions.
+line has several. Three kinds of spans are compared:
+
+- from each line on the shortest window of over ``WORDS`` words, and up to each
+  line the shortest such window. Each line of a passage of over ``WORDS`` words
+  is in such a window inside the passage, so a repeated passage goes whole,
+  whatever stands around it, also if it is one line;
+- chunks of two lines or more in two families of boundaries: the hash of each
+  two neighbouring lines decides whether a chunk ends there. They find shorter
+  passages, not all of them.
+
+A span's seed is its line with the smallest hash. Equal spans have equal seeds,
+so only spans whose seed occurs at several places are compared: by a 96-bit
+hash, then by the SHA-256 of their bytes. All but the first occurrence, by
+document id and place, are removed. Everything is DataFrame functions.
 """
 
 from __future__ import annotations
@@ -22,6 +30,7 @@ MARK = "\x01"
 FAMILIES = (1, 2)
 DIVISOR = 2
 LEAST_LINES = 2
+WORDS = 50
 
 
 def lines_of(text: Column) -> Column:
@@ -51,11 +60,63 @@ def _chunks(hashes: Column, families: tuple[int, ...], divisor: int, least: int)
     return F.when(F.size(hashes) >= least, F.array_distinct(several)).otherwise(F.array().cast("array<struct<start:int,n:int>>"))
 
 
+def _words(line: Column) -> Column:
+    """Number of words, by the six ASCII blanks; a line without a word has 0."""
+    return F.size(F.array_remove(F.split(F.translate(line, "\t\n\x0b\x0c\r", "     "), " "), ""))
+
+
+def _spread(df: DataFrame, counts: str, out: str) -> DataFrame:
+    """``df`` with ``out``: for each place how many lines from there on have WORDS words or fewer together.
+
+    ``counts`` are words of lines, each 1 or more, so six steps of doubled
+    lengths reach all: sums of 1, 2, 4 ... 32 lines, then the longest first.
+    Steps are columns of their own, so none is computed again in a lambda.
+    """
+    steps = [1 << k for k in range(WORDS.bit_length())]
+    beyond = F.lit(WORDS + 1)
+
+    def double(half: Column, k: int) -> Column:
+        return F.transform(half, lambda v, i: F.least(v + F.coalesce(F.get(half, i + k), beyond), beyond))
+
+    def longer(sums: Column, k: int) -> Column:
+        def of(r: Column, i: Column) -> Column:
+            more = r["sum"] + F.coalesce(F.get(sums, i + r["n"]), beyond)
+            return F.when(more <= WORDS, F.struct((r["n"] + k).alias("n"), more.alias("sum"))).otherwise(r)
+
+        return F.transform(out, of)
+
+    df = df.withColumn("_s1", F.col(counts))
+    for k in steps[:-1]:
+        df = df.withColumn(f"_s{2 * k}", double(F.col(f"_s{k}"), k))
+    df = df.withColumn(out, F.transform(counts, lambda v: F.struct(F.lit(0).alias("n"), F.lit(0).alias("sum"))))
+    for k in reversed(steps):
+        df = df.withColumn(out, longer(F.col(f"_s{k}"), k))
+    return df.withColumn(out, F.col(f"{out}.n")).drop(*[f"_s{k}" for k in steps])
+
+
+def _windows(df: DataFrame) -> DataFrame:
+    """``df`` (words: of each line) with windows: array of struct(start, n), starts from 0.
+
+    Lines without words join the window they stand in, never its ends.
+    """
+    df = df.withColumn("at", F.filter(F.transform("words", lambda w, i: F.when(w > 0, i)), lambda i: i.isNotNull()))
+    df = df.withColumn("fore", F.filter("words", lambda w: w > 0)).withColumn("back", F.reverse("fore"))
+    df = _spread(_spread(df, "fore", "f"), "back", "b")
+    at, size = F.col("at"), F.size("at")
+
+    def span(a: Column, b: Column) -> Column:
+        return F.when((a >= 0) & (b < size), F.struct(F.get(at, a).alias("start"), (F.get(at, b) - F.get(at, a) + 1).alias("n")))
+
+    fore = F.transform("f", lambda n, i: span(i, i + n))
+    back = F.transform("b", lambda n, i: span(size - 1 - i - n, size - 1 - i))
+    return df.withColumn("windows", F.array_distinct(F.filter(F.concat(fore, back), lambda c: c.isNotNull()))).drop("at", "fore", "back", "f", "b")
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", families: tuple[int, ...] = FAMILIES, divisor: int = DIVISOR, least: int = LEAST_LINES) -> DataFrame:
-    """``docs`` with the text without repeated chunks, and removed_lines.
+    """``docs`` with the text without repeated spans, and removed_lines.
 
     A null text stays null, an empty one empty; a text that only repeats others
-    becomes empty, and its row stays. The smallest id keeps a repeated chunk, at
+    becomes empty, and its row stays. The smallest id keeps a repeated span, at
     its first place; a null id is the smallest. Rows that share that id keep it
     each, so rows equal in id and text stay repeated. An empty table gives an
     empty one. An input column removed_lines is replaced; others pass.
@@ -64,11 +125,20 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     row, least_id = F.xxhash64(F.col(id_col), F.col(text_col)), F.struct(F.col(id_col).isNotNull(), F.col(id_col))
     if docs.schema[id_col].dataType.simpleString() in ("bigint", "int"):
         least_id = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
-    lines = docs.select(least_id.alias("id"), row.alias("row"), lines_of(F.col(text_col)).alias("l")).where(F.col(text_col).isNotNull())
-    hashed = lines.select("id", "row", F.transform("l", lambda u: F.xxhash64(u)).alias("h"))
-    found = hashed.select("id", "row", "h", F.explode(_chunks(F.col("h"), families, divisor, least)).alias("c"))
+    lines = docs.where(F.col(text_col).isNotNull()).select(least_id.alias("id"), row.alias("row"), lines_of(F.col(text_col)).alias("l"))
+    hashed = lines.select("id", "row", F.transform("l", lambda u: F.xxhash64(u)).alias("h"), F.transform("l", _words).alias("words"))
+    spans = _windows(hashed).withColumn("spans", F.array_distinct(F.concat("windows", _chunks(F.col("h"), families, divisor, least))))
+    spans = spans.withColumn("spans", F.transform("spans", lambda c: F.struct(c["start"].alias("start"), c["n"].alias("n"), F.array_min(F.slice("h", c["start"] + 1, c["n"])).alias("seed"))))
+    # a filter here would go down and repeat the steps in itself
+    spans = cut(spans.select("id", "row", "h", "spans"), "zstd")
+    # a seed at two places of one row counts twice
+    place = F.transform("spans", lambda c: F.struct(c["seed"].alias("seed"), (c["start"] + F.array_position(F.slice("h", c["start"] + 1, c["n"]), c["seed"])).alias("at")))
+    seeds = spans.select("row", F.explode(F.array_distinct(place)).alias("s")).select("row", F.col("s.seed").alias("seed"))
+    twice = seeds.groupBy("seed").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("seed")
+    known = seeds.join(twice, "seed").groupBy("row").agg(F.collect_set("seed").alias("seeds"))
+    likely = spans.join(known, "row").select("id", "row", "h", F.explode(F.filter("spans", lambda c: F.array_contains("seeds", c["seed"]))).alias("c"))
     part = F.slice("h", F.col("c.start") + 1, F.col("c.n"))
-    found = cut(found.select("id", "row", F.col("c.start").alias("start"), F.col("c.n").alias("n"), F.xxhash64(part).alias("a"), F.hash(part).alias("b")))
+    found = cut(likely.select("id", "row", F.col("c.start").alias("start"), F.col("c.n").alias("n"), F.xxhash64(part).alias("a"), F.hash(part).alias("b")))
     repeated = found.groupBy("a", "b").agg(F.count(F.lit(1)).alias("times"), F.min("id").alias("first_id")).where("times > 1").drop("times")
     again = found.join(repeated, ["a", "b"]).select("row", "start", "n", "a", "b", (F.col("id") == F.col("first_id")).alias("keeps")).repartition("row")
     nth = F.row_number().over(W.partitionBy("row", "a", "b").orderBy("start"))
@@ -77,9 +147,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.col(f"d_{text_col}")
     columns = [F.col(f"`{c}`").alias(f"d_{c}") for c in docs.columns if c != text_col]
     held = cut(held.select(*columns, lines_of(F.col(text_col)).alias(f"d_{text_col}"), "chunks"), "zstd")
-    # bytes of all that share a hash
+    # digests of the bytes of all that share a hash
     whole = held.where("chunks is not null").select(text.alias("l"), F.explode("chunks").alias("c"))
-    whole = whole.select(F.col("c.a").alias("a"), F.col("c.b").alias("b"), F.array_join(F.slice("l", F.col("c.start") + 1, F.col("c.n")), "").alias("bytes"))
+    whole = whole.select(F.col("c.a").alias("a"), F.col("c.b").alias("b"), F.unhex(F.sha2(F.array_join(F.slice("l", F.col("c.start") + 1, F.col("c.n")), ""), 256)).alias("bytes"))
     unequal = whole.groupBy("a", "b", "bytes").agg(F.count(F.lit(1)).alias("n")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     differ = {(r["a"], r["b"]) for r in unequal.select("a", "b").limit(1000).collect()}
     if len(differ) == 1000:

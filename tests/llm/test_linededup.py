@@ -49,3 +49,27 @@ def test_odd_rows(odd, empty):
     assert rows[2].text is None and rows[3].text == "" and rows[5].text.startswith("Once more")
     assert rows[7].text.startswith("alpha.")
     assert linededup.dedup_lines(empty).count() == 0
+
+
+def test_passages_of_few_lines_go_whole(spark):
+    rows, shared = [], {}
+    for n in range(1, 7):
+        size = 50 // n + 1
+        passage = "".join(" ".join(f"p{n}x{i}w{j}" for j in range(size)) + ". " for i in range(n))
+        for k in range(20):
+            key = 100 * n + k
+            own = [f"own {key} {i} before. " for i in range(3)], [f"own {key} {i} after. " for i in range(3)]
+            shared[key] = "".join(own[0]), passage, "".join(own[1])
+            rows.append((key, "".join(shared[key])))
+    got = {r.doc_id: r for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for key, (before, passage, after) in shared.items():
+        assert got[key].text == before + (passage if key % 100 == 0 else "") + after, key
+        assert got[key].removed_lines == (0 if key % 100 == 0 else key // 100)
+
+
+def test_uneven_lines_and_blank_lines_go_whole(spark):
+    words = lambda tag, n: " ".join(f"{tag}{i}" for i in range(n))
+    passage = words("a", 30) + ".\n\n" + words("b", 1) + "\n" + words("c", 20) + ".\n\n" + words("d", 3) + "\n"
+    docs = spark.createDataFrame([(k, f"first {k}\n{passage}last {k}\n") for k in (1, 2, 3)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(docs).collect()}
+    assert got == {1: f"first 1\n{passage}last 1\n", 2: "first 2\nlast 2\n", 3: "first 3\nlast 3\n"}
