@@ -136,7 +136,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     seeds = spans.select("row", F.explode(F.array_distinct(place)).alias("s")).select("row", F.col("s.seed").alias("seed"))
     twice = seeds.groupBy("seed").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("seed")
     known = seeds.join(twice, "seed").groupBy("row").agg(F.collect_set("seed").alias("seeds"))
-    likely = spans.join(known, "row").select("id", "row", "h", F.explode(F.filter("spans", lambda c: F.array_contains("seeds", c["seed"]))).alias("c"))
+    # rows equal in id and text are one here: each gets what is found for it
+    likely = spans.dropDuplicates(["row"]).join(known, "row").select("id", "row", "h", F.explode(F.filter("spans", lambda c: F.array_contains("seeds", c["seed"]))).alias("c"))
     part = F.slice("h", F.col("c.start") + 1, F.col("c.n"))
     found = cut(likely.select("id", "row", F.col("c.start").alias("start"), F.col("c.n").alias("n"), F.xxhash64(part).alias("a"), F.hash(part).alias("b")))
     repeated = found.groupBy("a", "b").agg(F.count(F.lit(1)).alias("times"), F.min("id").alias("first_id")).where("times > 1").drop("times")

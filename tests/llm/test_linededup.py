@@ -48,6 +48,7 @@ def test_odd_rows(odd, empty):
     rows = {r.doc_id: r for r in out.collect()}
     assert rows[2].text is None and rows[3].text == "" and rows[5].text.startswith("Once more")
     assert rows[7].text.startswith("alpha.")
+    assert [r.text for r in out.where("doc_id = 1").collect()] == ["The cat sat on the mat. It was warm."] * 2
     assert linededup.dedup_lines(empty).count() == 0
 
 
