@@ -117,9 +117,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A null text stays null, an empty one empty; a text that only repeats others
     becomes empty, and its row stays. The smallest id keeps a repeated span, at
-    its first place; a null id is the smallest. Rows that share that id keep it
-    each, so rows equal in id and text stay repeated. An empty table gives an
-    empty one. An input column removed_lines is replaced; others pass.
+    its first place; a null id is the smallest. Of different texts with that id,
+    or without any, the one with the smallest hash keeps it. Rows equal in id
+    and text stay repeated. An empty table gives an empty one. An input column
+    removed_lines is replaced; others pass.
     """
     docs = docs.drop("removed_lines")
     row, least_id = F.xxhash64(F.col(id_col), F.col(text_col)), F.struct(F.col(id_col).isNotNull(), F.col(id_col))
@@ -141,7 +142,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     part = F.slice("h", F.col("c.start") + 1, F.col("c.n"))
     found = cut(likely.select("id", "row", F.col("c.start").alias("start"), F.col("c.n").alias("n"), F.xxhash64(part).alias("a"), F.hash(part).alias("b")))
     repeated = found.groupBy("a", "b").agg(F.count(F.lit(1)).alias("times"), F.min("id").alias("first_id")).where("times > 1").drop("times")
-    again = found.join(repeated, ["a", "b"]).select("row", "start", "n", "a", "b", (F.col("id") == F.col("first_id")).alias("keeps")).repartition("row")
+    met = found.join(repeated, ["a", "b"])
+    again = met.select("row", "start", "n", "a", "b", (F.col("id") == F.col("first_id")).alias("keeps"))
+    # several texts with one id, or without any: the smallest hash of both keeps
+    if not spans.groupBy("id").agg((F.min("row") < F.max("row")).alias("several")).where("several").isEmpty():
+        first = met.where("id = first_id").groupBy("a", "b").agg(F.min("row").alias("first_row"))
+        again = again.join(first, ["a", "b"]).select("row", "start", "n", "a", "b", (F.col("keeps") & (F.col("row") == F.col("first_row"))).alias("keeps"))
+    again = again.repartition("row")
     nth = F.row_number().over(W.partitionBy("row", "a", "b").orderBy("start"))
     marked = again.withColumn("first", F.col("keeps") & (nth == 1)).groupBy("row").agg(F.collect_list(F.struct("start", "n", "a", "b", "first")).alias("chunks"))
     held = docs.withColumn("_row", row).join(marked.withColumnRenamed("row", "_row"), "_row", "left")

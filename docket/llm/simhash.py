@@ -157,20 +157,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = cut(fingerprints(docs, id_col, text_col, width))
     fps = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = connected_components(fingerprint_links(fps.select("fp"), bits))
-    named = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    named = _components(fps, bits)
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = named.join(ids, "component").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def representatives(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def _components(fps: DataFrame, bits: int) -> DataFrame:
+    """(fp, least, component) of distinct (fp, least); component is a fingerprint."""
+    roots = connected_components(fingerprint_links(fps.select("fp"), bits))
+    return fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, bits: int = 4) -> DataFrame:
     """``docs`` without near-duplicates: of each component one document stays.
 
-    It is the one with the smallest id; rows that repeat that id stay only once.
-    Rows with a null id are one document of their component at most.
+    It is the one with the smallest id, null ids last, and of those the one with
+    the smallest hash of its text; rows that repeat both stay only once. Texts
+    of different components stay, also if they share an id or have none.
     """
-    found = near_duplicates(docs, id_col=id_col, **options)
-    stays = found.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).select(F.col("component_id").alias("stay_id"))
-    kept = docs.join(stays, docs[id_col].eqNullSafe(stays["stay_id"]), "left_semi")
-    return kept.dropDuplicates([id_col])
+    keyed = docs.withColumn("_key", F.xxhash64(F.col(f"`{text_col}`")))
+
+    def make() -> Callable[[list[str]], dict]:
+        return lambda texts: {"fp": np.array([fingerprint(t, width) for t in texts], dtype=np.uint64).view(np.int64)}
+
+    rows = map_texts(keyed, {"id": id_col, "key": "_key"}, text_col, make, "fp long")
+    fps = cut(rows.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("least")))
+    stays = _components(fps, bits).groupBy("component").agg(F.min("least").alias("least"))
+    stays = stays.select(F.col("least.id").alias("_stay_id"), F.col("least.key").alias("_stay_key"))
+    kept = keyed.join(stays, keyed[id_col].eqNullSafe(stays["_stay_id"]) & (keyed["_key"] == stays["_stay_key"]), "left_semi")
+    return kept.dropDuplicates([id_col, "_key"]).drop("_key")

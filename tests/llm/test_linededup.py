@@ -74,3 +74,12 @@ def test_uneven_lines_and_blank_lines_go_whole(spark):
     docs = spark.createDataFrame([(k, f"first {k}\n{passage}last {k}\n") for k in (1, 2, 3)], "doc_id long, text string")
     got = {r.doc_id: r.text for r in linededup.dedup_lines(docs).collect()}
     assert got == {1: f"first 1\n{passage}last 1\n", 2: "first 2\nlast 2\n", 3: "first 3\nlast 3\n"}
+
+
+def test_passages_of_rows_that_share_an_id_stay_once(spark):
+    passage = " ".join(f"shared{i}" for i in range(60)) + ". "
+    docs = spark.createDataFrame([(k, f"own {n} before. {passage}own {n} after. ") for n, k in enumerate([None, None, None, 4, 4])], "doc_id long, text string")
+    got = [r.text for r in linededup.dedup_lines(docs).collect()]
+    assert sum(passage in t for t in got) == 1
+    only = linededup.dedup_lines(docs.where("doc_id = 4")).collect()
+    assert sum(passage in r.text for r in only) == 1

@@ -81,3 +81,11 @@ def test_odd_rows(odd, empty):
     assert kept.columns == odd.columns and kept.where(F.col("doc_id") == 1).count() == 1
     assert kept.where(F.col("doc_id").isin(3, 4)).count() == 0
     assert simhash.near_duplicates(empty).count() == 0 and simhash.representatives(empty).count() == 0
+
+
+def test_representatives_of_shared_and_missing_ids(spark):
+    text = lambda tag: " ".join(f"{tag}{i}" for i in range(60))
+    rows = [(None, text("a")), (None, text("b")), (None, text("b")), (None, text("c")), (7, text("c")), (8, text("d")), (8, text("e")), (8, text("e")), (9, text("e"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.text) for r in simhash.representatives(docs).collect()]
+    assert len(got) == 5 and set(got) == {(None, text("a")), (None, text("b")), (7, text("c")), (8, text("d")), (8, text("e"))}
