@@ -3,7 +3,8 @@
 Kernel: two strings share, for every three characters that occur in order in
 both, with at most ``SPAN`` characters from first to last, the product of
 ``DECAY`` to the power of both spans, in the tightest occurrence of each. Inserted characters and gaps so weaken a
-match and don't end it. A word is compared with landmarks, short strings found
+match and don't end it. A word, or a run of
+tokens of one or two characters joined, is compared with landmarks, short strings found
 in the training sentences; dividing by the landmark's own kernel makes a
 landmark inside a longer (inflected) word count in full. A sentence's value for
 a landmark is the largest of its words; values under ``FLOOR`` are 0. The
@@ -38,9 +39,10 @@ LABELLED = 8_000
 SENTENCES = 40_000
 LANDMARKS = 128
 SEEN = 250_000  # words whose kernel values a task keeps
-SUPPORT = 0.1  # least count beside the first landmark's
 _SPLIT = r"[.!?\n]+"
 _SENTENCE = re.compile(_SPLIT)
+#: Three or more tokens of one or two characters with blanks between, within a sentence.
+_RUN = re.compile(r"(?<![^\s.!?])[^\s.!?]{1,2}(?:[^\S\n]+[^\s.!?]{1,2}){2,}(?![^\s.!?])")
 _OFFSETS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
 _WEIGHT = [DECAY ** (b + 1) for _, b in _OFFSETS]
 
@@ -153,6 +155,11 @@ def word_values(words: list[str], table: dict, floor: float = FLOOR) -> tuple[np
     return np.concatenate(found), np.where(value >= floor, value, 0.0)
 
 
+def tokens(text: str) -> list[str]:
+    """The words, and runs of short ones once more as one word without the blanks."""
+    return text.split() + ["".join(run.split()) for run in _RUN.findall(text)]
+
+
 def sentences_of(text: str) -> list[list[str]]:
     return [s.split() for s in _SENTENCE.split(text.lower()) if s.strip()]
 
@@ -166,8 +173,7 @@ def _telling(toxic: list[set[str]], other: list[set[str]], most: int) -> list[st
 
     A string counts as its words do, a word once for a sentence. Its count must
     be over eight times what the other class makes expected and beyond chance
-    (deviance), in words that no string chosen before is part of, and not rare
-    beside the first string's.
+    (deviance), in words that no string chosen before is part of.
     """
     words: Counter = Counter(w for s in toxic for w in s)
     plain: Counter = Counter(w for s in other for w in s)
@@ -196,11 +202,10 @@ def _telling(toxic: list[set[str]], other: list[set[str]], most: int) -> list[st
     for w in words:
         for p in _strings(w) & holders.keys():
             holders[p].append(w)
-    explained, chosen, top = set(), [], 0
+    explained, chosen = set(), []
     for p in order:
         left = sum(words[w] for w in holders[p] if w not in explained)
-        top = top or left
-        if len(chosen) < most and left >= SUPPORT * top and deviance(p, left) >= 25:
+        if len(chosen) < most and deviance(p, left) >= 25:
             explained.update(holders[p])
             chosen.append(p)
     return chosen
@@ -227,7 +232,7 @@ def train(rows: list[tuple[str, int, int]], landmarks: int = LANDMARKS) -> Model
     Without both classes, or without a telling string, every score is under 0.5.
     """
     rows = list({(s, y): (s, y, doc) for s, y, doc in rows}.values())  # a copied sentence counts once
-    sets = [(set(s.lower().split()), y) for s, y, _ in rows]
+    sets = [(set(tokens(s.lower())), y) for s, y, _ in rows]
     toxic, other = ([w for w, y in sets if y == label] for label in (1, 0))
     chosen = _telling(toxic, other, landmarks) if toxic and other else []
     if not chosen:
@@ -317,7 +322,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             texts = [t.lower() for t in texts]
             margins = np.full(len(texts), model.bias)
             for at in range(0, len(texts), 500):
-                split = [set(t.split()) for t in texts[at : at + 500]]
+                split = [set(tokens(t)) for t in texts[at : at + 500]]
                 if len(seen) > SEEN:
                     seen.clear()
                     hits.clear()
@@ -329,7 +334,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 seen.update(fresh)
                 for i, words in enumerate(split, at):
                     if hits.keys() & words:
-                        found = [[hits[w] for w in s.split() if w in hits] for s in _SENTENCE.split(texts[i])]
+                        found = [[hits[w] for w in tokens(s) if w in hits] for s in _SENTENCE.split(texts[i])]
                         margins[i] = max([model.bias, *(model.margin(h) for h in found if h)])
             return {"score": model.probability(margins)}
 

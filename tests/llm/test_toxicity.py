@@ -48,3 +48,12 @@ def test_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(1, 1), (5, 0), (None, 1), (6, None), (7, 3)], "doc_id long, toxic int")
     assert toxicity.fit(odd, labels).probability(0.0) <= 1
     assert toxicity.fit(empty, labels.limit(0)).landmarks == []
+
+
+def test_frequent_and_rare_insults_also_with_blanks(spark):
+    bad = [f"you are a grumbolt number {i}" for i in range(400)] + [f"such a snarfle number {i}" for i in range(20)]
+    good = [f"the weather and such a thing you are number {i}" for i in range(1600)]
+    m = toxicity.train([(s, 1, i) for i, s in enumerate(bad)] + [(s, 0, i) for i, s in enumerate(good)])
+    docs = spark.createDataFrame([(1, "a grumbolt here"), (2, "a snarfle here"), (3, "now s n a r f l e here"), (4, "it is so in my own garden")], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity.score(docs, m).collect()}
+    assert min(got[1], got[2], got[3]) >= 0.7 and got[4] < 0.5
