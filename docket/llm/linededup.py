@@ -57,7 +57,7 @@ def _chunks(hashes: Column, families: tuple[int, ...], divisor: int, least: int)
         return F.filter(spans, lambda c: c["n"] >= least)
 
     several = F.concat(*[of(s) for s in families])
-    return F.when(F.size(hashes) >= least, F.array_distinct(several)).otherwise(F.array().cast("array<struct<start:int,n:int>>"))
+    return F.when(F.size(hashes) >= least, several).otherwise(F.array().cast("array<struct<start:int,n:int>>"))
 
 
 def _words(line: Column) -> Column:
@@ -94,8 +94,13 @@ def _spread(df: DataFrame, counts: str, out: str) -> DataFrame:
     return df.withColumn(out, F.col(f"{out}.n")).drop(*[f"_s{k}" for k in steps])
 
 
+def _code(start: Column, n: Column) -> Column:
+    """A span as one long, since array_distinct compares all pairs of structs."""
+    return F.shiftleft(start.cast("long"), 32) + n
+
+
 def _windows(df: DataFrame) -> DataFrame:
-    """``df`` (words: of each line) with windows: array of struct(start, n), starts from 0.
+    """``df`` (words: of each line) with windows: array of spans as _code gives them.
 
     Lines without words join the window they stand in, never its ends.
     """
@@ -105,11 +110,11 @@ def _windows(df: DataFrame) -> DataFrame:
     at, size = F.col("at"), F.size("at")
 
     def span(a: Column, b: Column) -> Column:
-        return F.when((a >= 0) & (b < size), F.struct(F.get(at, a).alias("start"), (F.get(at, b) - F.get(at, a) + 1).alias("n")))
+        return F.when((a >= 0) & (b < size), _code(F.get(at, a), F.get(at, b) - F.get(at, a) + 1))
 
     fore = F.transform("f", lambda n, i: span(i, i + n))
     back = F.transform("b", lambda n, i: span(size - 1 - i - n, size - 1 - i))
-    return df.withColumn("windows", F.array_distinct(F.filter(F.concat(fore, back), lambda c: c.isNotNull()))).drop("at", "fore", "back", "f", "b")
+    return df.withColumn("windows", F.filter(F.concat(fore, back), lambda c: c.isNotNull())).drop("at", "fore", "back", "f", "b")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", families: tuple[int, ...] = FAMILIES, divisor: int = DIVISOR, least: int = LEAST_LINES) -> DataFrame:
@@ -128,13 +133,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         least_id = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
     lines = docs.where(F.col(text_col).isNotNull()).select(least_id.alias("id"), row.alias("row"), lines_of(F.col(text_col)).alias("l"))
     hashed = lines.select("id", "row", F.transform("l", lambda u: F.xxhash64(u)).alias("h"), F.transform("l", _words).alias("words"))
-    spans = _windows(hashed).withColumn("spans", F.array_distinct(F.concat("windows", _chunks(F.col("h"), families, divisor, least))))
-    spans = spans.withColumn("spans", F.transform("spans", lambda c: F.struct(c["start"].alias("start"), c["n"].alias("n"), F.array_min(F.slice("h", c["start"] + 1, c["n"])).alias("seed"))))
+    spans = _windows(hashed).withColumn("spans", F.array_distinct(F.concat("windows", F.transform(_chunks(F.col("h"), families, divisor, least), lambda c: _code(c["start"], c["n"])))))
+    start_of, n_of = lambda v: F.shiftright(v, 32).cast("int"), lambda v: v.bitwiseAND(F.lit(2**32 - 1)).cast("int")
+    spans = spans.withColumn("spans", F.transform("spans", lambda v: F.struct(start_of(v).alias("start"), n_of(v).alias("n"), F.array_min(F.slice("h", start_of(v) + 1, n_of(v))).alias("seed"))))
     # a filter here would go down and repeat the steps in itself
     spans = cut(spans.select("id", "row", "h", "spans"), "zstd")
     # a seed at two places of one row counts twice
-    place = F.transform("spans", lambda c: F.struct(c["seed"].alias("seed"), (c["start"] + F.array_position(F.slice("h", c["start"] + 1, c["n"]), c["seed"])).alias("at")))
-    seeds = spans.select("row", F.explode(F.array_distinct(place)).alias("s")).select("row", F.col("s.seed").alias("seed"))
+    place = F.transform("spans", lambda c: (c["start"] + F.array_position(F.slice("h", c["start"] + 1, c["n"]), c["seed"]) - 1).cast("int"))
+    seeds = spans.select("row", F.explode(F.transform(F.array_distinct(place), lambda i: F.get("h", i))).alias("seed"))
     twice = seeds.groupBy("seed").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("seed")
     known = seeds.join(twice, "seed").groupBy("row").agg(F.collect_set("seed").alias("seeds"))
     # rows equal in id and text are one here: each gets what is found for it
