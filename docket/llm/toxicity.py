@@ -1,29 +1,32 @@
 """Toxicity by a subsequence string kernel with Nystroem landmarks and a linear SVM.
 
-Kernel: two strings share, for every three characters that occur in order in
-both, with at most ``SPAN`` characters from first to last, the product of
-``DECAY`` to the power of both spans, in the tightest occurrence of each. Inserted characters and gaps so weaken a
-match and don't end it. A word, or a run of
-tokens of one or two characters joined, is compared with landmarks, short strings found
-in the training sentences; dividing by the landmark's own kernel makes a
-landmark inside a longer (inflected) word count in full. A sentence's value for
-a landmark is the largest of its words; values under ``FLOOR`` are 0. The
-Nystroem map multiplies by the inverse root of the landmarks' kernel matrix, and
-a squared-hinge SVM on that map gives the margin. A document has its most toxic
-sentence's margin, turned into a probability by a logistic fit.
-
-Training takes sentences of labelled documents, at most ``labelled`` documents and
-``sentences`` sentences of each class, chosen by hash. A sentence of a toxic document is an example of class 1
-if it holds one of the strings that tell toxic sentences from the others, else
-it isn't used; it is an example once more with a character inserted into each of
-those words. Every sentence of another document is one of class 0.
+Kernel: the feature of three characters is the sum, over all places where they
+occur in order in a string with at most ``SPAN`` characters from first to last,
+of ``DECAY`` to the power of that span; the kernel of two strings is the cosine of
+their features. Inserted characters and gaps so weaken a match and don't end it.
+
+Texts are compared in windows: words with a mark for their beginning of up to
+``SIZES[-1]`` characters, and of longer ones all windows of ``SIZES`` characters. Punctuation inside a word is left out
+(``i-d-i-o-t``), and runs of tokens of one or two letters are joined and cut into
+windows too (``i d i o t``).
+
+Training knows labels of documents only. Landmarks come from both classes: from
+toxic documents windows that tell them from the others, from the others windows
+near those. Each window's kernel with the landmarks, times the inverse root of
+the landmarks' kernel matrix (Nystroem), enters a squared-hinge SVM in which every
+window of another document counts as not toxic, and of a toxic one at first all
+windows count as toxic, then those that the SVM of the round before takes for
+toxic, and its most toxic one in any case (multiple-instance SVM). A toxic
+document's window is an example once more with a foreign character inserted. The margin of a document's most toxic
+window, its words' hits (see ``hit``) and their share give the score, by a
+logistic fit on the training documents.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,37 +37,131 @@ from docket.llm.texts import map_texts
 
 SPAN = 6
 DECAY = 0.8
-FLOOR = 0.72
-LABELLED = 8_000
-SENTENCES = 40_000
+SIZES = (6, 8, 10)
+START = "\x02"  # before each word
+FLOOR = 0.6  # a window further from all landmarks isn't scored: it has no margin and is no hit
+LABELLED = 3_000  # documents of each class to learn from
+DOC_CHARS = 20_000  # longest document to learn from
 LANDMARKS = 128
-SEEN = 250_000  # words whose kernel values a task keeps
-_SPLIT = r"[.!?\n]+"
-_SENTENCE = re.compile(_SPLIT)
-#: Three or more tokens of one or two characters with blanks between, within a sentence.
-_RUN = re.compile(r"(?<![^\s.!?])[^\s.!?]{1,2}(?:[^\S\n]+[^\s.!?]{1,2}){2,}(?![^\s.!?])")
+ROUNDS = 5
+MISSED = 2.0  # how much a missed toxic document costs against a false alarm
+SEEN = 250_000  # words whose margins a task keeps
+_DROP = re.compile(r"[^\w\s]+|_+")
+#: Three or more tokens of one or two characters with blanks between.
+_RUN = re.compile(r"(?<!\S)\S{1,2}(?:\s+\S{1,2}){2,}(?!\S)")
 _OFFSETS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
-_WEIGHT = [DECAY ** (b + 1) for _, b in _OFFSETS]
 
 
-def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Letter codes of all words in a row, SPAN zeros after each, and the owner of each place."""
-    raw = np.frombuffer(("\0" * SPAN).join(words).encode("utf-32-le"), dtype="<u4")
-    flat = np.concatenate([raw, np.zeros(SPAN, raw.dtype)]).astype(np.int64)
-    sizes = np.array([len(w) + SPAN for w in words], dtype=np.int64)
-    letter = flat > 0x60
-    low = letter & (flat < 0x7B)
-    code = np.where(low, flat - 0x60, np.where(letter, 27 + flat % 37, 0))
-    return code, np.repeat(np.arange(len(words)), sizes)
-
-
-def _triples(code: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
-    """For each pattern of gaps: first places, the three letters as one number, weight."""
-    n = len(code)
-    for (a, b), w in zip(_OFFSETS, _WEIGHT, strict=True):
-        one, two, three = code[: n - b], code[a : n - b + a], code[b:]
-        at = np.nonzero((one > 0) & (two > 0) & (three > 0))[0]
-        yield at, (one[at] << 12) | (two[at] << 6) | three[at], w
+def words_of(text: str) -> list[str]:
+    """Lower-cased words without punctuation, and runs of short ones once more without the blanks."""
+    plain = _DROP.sub("", text.lower())
+    return [START + w for w in plain.split()] + [START + "".join(run.split()) for run in _RUN.findall(plain)]
+
+
+def windows_of(word: str) -> list[str]:
+    """What of a word is compared with landmarks; nothing of one under three letters."""
+    n = len(word)
+    whole = [word] if 4 <= n <= SIZES[-1] else []
+    return whole + [word[i : i + size] for size in SIZES if n > size for i in range(n - size + 1)]
+
+
+def _triples(strings: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, three characters as one number, weight) of all occurrences in all strings."""
+    raw = np.frombuffer(("\0" * SPAN).join(strings).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+    sizes = np.array([len(s) for s in strings], dtype=np.int64)
+    owner = np.repeat(np.arange(len(strings)), sizes + SPAN)[: len(raw)]
+    owners, keys, weights = [], [], []
+    for a, b in _OFFSETS:
+        if len(raw) > b:
+            one, two, three = raw[:-b], raw[a : len(raw) - b + a], raw[b:]
+            at = np.nonzero((one > 0) & (two > 0) & (three > 0))[0]
+            owners.append(owner[at])
+            keys.append((one[at] << 42) | (two[at] << 21) | three[at])
+            weights.append(np.full(len(at), DECAY ** (b + 1)))
+    if not owners:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    return np.concatenate(owners), np.concatenate(keys), np.concatenate(weights)
+
+
+def _features(strings: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``_triples`` with the occurrences of each triple in a string summed, and divided by the string's norm."""
+    owner, key, weight = _triples(strings)
+    order = np.lexsort((key, owner))
+    owner, key, weight = owner[order], key[order], weight[order]
+    new = np.ones(len(key), dtype=bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (key[1:] != key[:-1])
+    first = np.nonzero(new)[0]
+    owner, key = owner[first], key[first]
+    weight = np.add.reduceat(weight, first) if len(first) else weight
+    norm = np.sqrt(np.bincount(owner, weight**2, len(strings)))
+    return owner, key, weight / norm[owner]
+
+
+def _least_norm(length: int) -> float:
+    """Norm of a string of that length without a repeated triple; no string has less."""
+    return float(np.sqrt(sum(max(0, length - b) * DECAY ** (2 * (b + 1)) for _, b in _OFFSETS)))
+
+
+class Landmarks:
+    """Kernel values with a fixed list of strings."""
+
+    def __init__(self, strings: list[str]):
+        self.strings = strings
+        owner, key, weight = _features(strings)
+        order = np.lexsort((owner, key))
+        self.owner, self.weight = owner[order], weight[order]
+        self.keys, self.first = np.unique(key[order], return_index=True)
+        self.first = np.append(self.first, len(order))
+        letters = sorted(set("".join(strings)))
+        self.letter = np.zeros(0x110000, dtype=np.int32)
+        self.letter[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+
+    def _meet(self, owner: np.ndarray, key: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+        """Inner products of n feature vectors with the landmarks."""
+        m = len(self.strings)
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        hit = self.keys[at] == key
+        at, owner, weight = at[hit], owner[hit], weight[hit]
+        size = self.first[at + 1] - self.first[at]
+        stop = np.cumsum(size)
+        place = np.repeat(self.first[at] - (stop - size), size) + np.arange(stop[-1] if len(stop) else 0)
+        cell = np.repeat(owner * m, size) + self.owner[place]
+        return np.bincount(cell, np.repeat(weight, size) * self.weight[place], n * m).reshape(n, m)
+
+    def kernel(self, strings: list[str]) -> np.ndarray:
+        """The kernel of each string with each landmark."""
+        if not strings or not len(self.keys):
+            return np.zeros((len(strings), len(self.strings)))
+        return np.concatenate([self._meet(*_features(strings[a : a + 5000]), len(strings[a : a + 5000])) for a in range(0, len(strings), 5000)])
+
+    def near(self, words: list[str]) -> list[str]:
+        """The words of which a window can have a kernel of FLOOR or more with some landmark.
+
+        A window has no feature that its word hasn't, and no smaller norm than
+        ``_least_norm``, which bounds its kernel.
+        """
+        out: list[str] = []
+        least = np.array([_least_norm(n) for n in range(SIZES[0] + 1)])
+        for a in range(0, len(words), 20_000):
+            part = words[a : a + 20_000]
+            bound = self._meet(*self._known(part), len(part)).max(axis=1)
+            sizes = np.minimum([len(w) for w in part], SIZES[0])
+            out += [part[i] for i in np.nonzero((bound >= FLOOR * least[sizes] - 1e-9) & (bound > 0))[0].tolist()]
+        return out
+
+    def _known(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``_triples`` of words in which characters that no landmark has are gaps: far fewer places to look at."""
+        raw = np.frombuffer(("\0" * SPAN).join(words).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        owner = np.repeat(np.arange(len(words)), np.array([len(w) for w in words]) + SPAN)[: len(raw)]
+        raw = np.where(self.letter[raw] > 0, raw, 0).astype(np.int64)
+        owners, keys, weights = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
+        for a, b in _OFFSETS:
+            if len(raw) > b:
+                at = np.nonzero((raw[:-b] > 0) & (raw[a : len(raw) - b + a] > 0) & (raw[b:] > 0))[0]
+                owners.append(owner[at])
+                keys.append((raw[at] << 42) | (raw[at + a] << 21) | raw[at + b])
+                weights.append(np.full(len(at), DECAY ** (b + 1)))
+        return np.concatenate(owners), np.concatenate(keys), np.concatenate(weights)
 
 
 @dataclass
@@ -74,147 +171,79 @@ class Model:
     landmarks: list[str]
     weights: np.ndarray
     bias: float
-    slope: float
-    shift: float
+    fit: np.ndarray  # logistic weights of evidence()
 
     def __post_init__(self) -> None:
-        self.table: dict | None = None
+        self.table: Landmarks | None = None
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"table": None}
 
-    def kernel(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(indices of words that reach FLOOR with some landmark, their values)."""
-        if self.table is None:
-            self.table = landmark_table(self.landmarks)
-        return word_values(words, self.table)
-
-    def margin(self, hits: list[np.ndarray]) -> float:
-        return float(np.maximum.reduce(hits) @ self.weights + self.bias)
-
-    def probability(self, margin: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -500, 500)))
-
-
-def landmark_table(landmarks: list[str]) -> dict:
-    """For each triple of a landmark the row of its weights, each over the landmark's own kernel."""
-    code, owner = _codes(landmarks) if landmarks else (np.empty(0, np.int64), np.empty(0, np.int64))
-    weight: dict[int, dict[int, float]] = {}
-    for at, triple, w in _triples(code):
-        for t, o in zip(triple.tolist(), owner[at].tolist(), strict=True):
-            row = weight.setdefault(t, {})
-            row[o] = max(row.get(o, 0.0), w)
-    dense = np.zeros((len(weight) + 1, len(landmarks)))
-    index = np.zeros(1 << 18, dtype=np.int32)
-    for k, (t, row) in enumerate(weight.items(), 1):
-        index[t] = k
-        dense[k, list(row)] = list(row.values())
-    own = np.sqrt((dense**2).sum(axis=0))
-    return {"index": index, "dense": dense, "own": np.maximum(own, 1e-9)}
-
-
-def word_values(words: list[str], table: dict, floor: float = FLOOR) -> tuple[np.ndarray, np.ndarray]:
-    """Kernel of words with landmarks over the landmark's own kernel, 1 at most; only words that reach ``floor``."""
-    m = table["dense"].shape[1]
-    if not words or not m:
-        return np.empty(0, np.int64), np.zeros((0, m))
-    code, owner = _codes(words)
-    places, rows, weights = [], [], []
-    for at, triple, w in _triples(code):
-        k = table["index"][triple]
-        hit = np.nonzero(k)[0]
-        places.append(owner[at[hit]])
-        rows.append(k[hit])
-        weights.append(np.full(len(hit), w))
-    owner, row, weight = np.concatenate(places), np.concatenate(rows), np.concatenate(weights)
-    # one row per word and triple
-    key, inverse = np.unique(owner * len(table["dense"]) + row, return_inverse=True)
-    tightest = np.zeros(len(key))
-    np.maximum.at(tightest, inverse, weight)
-    weight = tightest
-    owner, row = key // len(table["dense"]), key % len(table["dense"])
-    # a word that can reach the floor: its weights' norm bounds its kernel with any landmark
-    norm = np.sqrt(np.bincount(owner, weights=weight**2, minlength=len(words)))
-    keep = norm[owner] >= floor * table["own"].min()
-    owner, row, weight = owner[keep], row[keep], weight[keep]
-    found, values = [], []
-    edges = np.searchsorted(owner, np.arange(0, len(words) + 2000, 2000))
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
-        if a == b:
-            continue
-        ids, local = np.unique(owner[a:b], return_inverse=True)
-        part = np.zeros((len(ids), len(table["dense"])), dtype=np.float32)
-        part[local, row[a:b]] = weight[a:b]
-        value = (part @ table["dense"].astype(np.float32)) / (table["own"] ** 2)
-        good = value.max(axis=1) >= floor
-        found.append(ids[good])
-        values.append(np.minimum(value[good], 1.0))
-    if not found:
-        return np.empty(0, np.int64), np.zeros((0, m))
-    value = np.concatenate(values)
-    return np.concatenate(found), np.where(value >= floor, value, 0.0)
-
-
-def tokens(text: str) -> list[str]:
-    """The words, and runs of short ones once more as one word without the blanks."""
-    return text.split() + ["".join(run.split()) for run in _RUN.findall(text)]
-
-
-def sentences_of(text: str) -> list[list[str]]:
-    return [s.split() for s in _SENTENCE.split(text.lower()) if s.strip()]
-
-
-def _strings(word: str) -> set[str]:
-    return {word[i : i + n] for n in range(4, 10) for i in range(len(word) - n + 1)} | ({word} if 4 <= len(word) <= 14 else set())
-
-
-def _telling(toxic: list[set[str]], other: list[set[str]], most: int) -> list[str]:
-    """At most ``most`` strings that sentences of toxic documents have and others hardly do.
-
-    A string counts as its words do, a word once for a sentence. Its count must
-    be over eight times what the other class makes expected and beyond chance
-    (deviance), in words that no string chosen before is part of.
+    def margins(self, words: list[str]) -> dict[str, float]:
+        """The margin of each word's most toxic window, of words with a window near a landmark."""
+        if not self.landmarks:
+            return {}
+        self.table = self.table or Landmarks(self.landmarks)
+        near = self.table.near(words)
+        windows = sorted({v for w in near for v in windows_of(w)})
+        value = self.table.kernel(windows)
+        good = value.max(axis=1) >= FLOOR if len(windows) else np.empty(0, bool)
+        margin = dict(zip((v for v, g in zip(windows, good, strict=True) if g), (value[good] @ self.weights + self.bias).tolist(), strict=True))
+        found = ((w, [margin[v] for v in windows_of(w) if v in margin]) for w in near)
+        return {w: max(m) for w, m in found if m}
+
+    def probability(self, margin: np.ndarray, hits: np.ndarray, words: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(evidence(margin, hits, words) @ self.fit, -500, 500)))
+
+
+def hit(margin: float) -> float:
+    """How far a word counts as a hit: from none at margin 0 to one at margin 1."""
+    return min(1.0, max(0.0, margin))
+
+
+def evidence(margin: np.ndarray, hits: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """What the logistic fit sees of documents: largest margin, hits, their share."""
+    return np.stack([margin, np.log1p(hits), np.log((hits + 0.1) / (words + 50)), np.ones(len(margin))], axis=1)
+
+
+def _telling(toxic: Counter, other: Counter, ratio: float, most: int) -> list[str]:
+    """At most ``most`` windows that toxic documents have and others hardly do.
+
+    ``toxic`` and ``other``: documents of each word. A window counts as its words
+    do. Its count must be over eight times what the other class makes expected
+    and beyond chance (deviance), in words that no window chosen before is in.
     """
-    words: Counter = Counter(w for s in toxic for w in s)
-    plain: Counter = Counter(w for s in other for w in s)
     count: Counter = Counter()
-    for w, n in words.items():
-        for p in _strings(w):
+    for w, n in toxic.items():
+        for p in set(windows_of(w)):
             count[p] += n
     common = {p for p, n in count.items() if n >= 4}
     against: Counter = Counter()
-    for w, n in plain.items():
-        for p in _strings(w) & common:
+    for w, n in other.items():
+        for p in common.intersection(windows_of(w)):
             against[p] += n
-    ratio = len(toxic) / max(1, len(other))
 
     def deviance(p: str, n: int) -> float:
         expected = (against[p] + 0.5) * ratio
         return 2 * (n * np.log(n / expected) - (n - expected)) if n >= 4 and n > 8 * expected else 0.0
 
     found = {p: d for p in common if (d := deviance(p, count[p])) >= 25}
-    longer: Counter = Counter()
-    for q in found:
-        for p in _strings(q) - {q}:
-            longer[p] = max(longer[p], count[q])
-    order = sorted((p for p in found if longer[p] < 0.8 * count[p]), key=lambda p: (-found[p], p))
-    holders: dict[str, list[str]] = {p: [] for p in order}
-    for w in words:
-        for p in _strings(w) & holders.keys():
+    holders: dict[str, list[str]] = {p: [] for p in sorted(found, key=lambda p: (-found[p], -len(p), p))}
+    for w in toxic:
+        for p in found.keys() & set(windows_of(w)):
             holders[p].append(w)
     explained, chosen = set(), []
-    for p in order:
-        left = sum(words[w] for w in holders[p] if w not in explained)
+    for p, words in holders.items():
+        left = sum(toxic[w] for w in words if w not in explained)
         if len(chosen) < most and deviance(p, left) >= 25:
-            explained.update(holders[p])
+            explained.update(words)
             chosen.append(p)
     return chosen
 
 
-def _svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, rounds: int = 400) -> tuple[np.ndarray, float]:
-    """Squared-hinge linear SVM by accelerated gradient steps."""
+def _svm(x: np.ndarray, y: np.ndarray, share: np.ndarray, penalty: float = 1e-4, rounds: int = 300) -> tuple[np.ndarray, float]:
+    """Squared-hinge linear SVM by accelerated gradient steps; ``share`` weighs the rows and sums to 1."""
     sign = np.where(y > 0, 1.0, -1.0)
-    share = np.full(len(y), 1 / len(y))
     z = np.hstack([x, np.ones((len(x), 1))])
     step = 1 / (2 * np.linalg.norm(z * np.sqrt(share)[:, None], 2) ** 2 + penalty)
     w = look = np.zeros(z.shape[1])
@@ -226,117 +255,133 @@ def _svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, rounds: int = 400)
     return w[:-1], float(w[-1])
 
 
-def train(rows: list[tuple[str, int, int]], landmarks: int = LANDMARKS) -> Model:
-    """A model of (sentence, label of its document, document) rows.
-
-    Without both classes, or without a telling string, every score is under 0.5.
-    """
-    rows = list({(s, y): (s, y, doc) for s, y, doc in rows}.values())  # a copied sentence counts once
-    sets = [(set(tokens(s.lower())), y) for s, y, _ in rows]
-    toxic, other = ([w for w, y in sets if y == label] for label in (1, 0))
-    chosen = _telling(toxic, other, landmarks) if toxic and other else []
-    if not chosen:
-        return Model([], np.zeros(0), -1.0, 1.0, 0.0)
-    table = landmark_table(chosen)
-    known = re.compile("|".join(map(re.escape, sorted(chosen, key=len))))
-    vocabulary = sorted({w for s, _ in sets for w in s})
-    values = np.zeros((len(vocabulary) + 1, len(chosen)))
-    place = {w: i for i, w in enumerate(vocabulary)}
-    for at in range(0, len(vocabulary), 50_000):
-        part = vocabulary[at : at + 50_000]
-        ids, v = word_values(part, table)
-        values[ids + at] = v
-    telling_words = {w for w in vocabulary if known.search(w)}
-    nth = {w: i for i, w in enumerate(sorted(telling_words))}
-    gapped = np.zeros((len(nth), len(chosen)))
-    ids, v = word_values([f"{w[: len(w) // 2]}-{w[len(w) // 2 :]}" for w in nth], table)
-    gapped[ids] = v
-    x, y = [], []
-    for s, label in sets:
-        if label == 1 and not (s & telling_words):
-            continue
-        x.append(values[[place[w] for w in s]].max(axis=0) if s else values[-1])
-        y.append(label)
-        if label == 1:
-            x.append(gapped[[nth[w] for w in s & telling_words]].max(axis=0))
-            y.append(1)
-    x, y = np.array(x), np.array(y)
-    ids, k = word_values(chosen, table, 0.0)
-    gram = np.zeros((len(chosen), len(chosen)))
-    gram[ids] = k
-    gram = (gram + gram.T) / 2
-    val, vec = np.linalg.eigh(gram)
-    root = vec @ np.diag(1 / np.sqrt(np.maximum(val, 1e-3))) @ vec.T
-    beta, bias = _svm(x @ root, y)
-    weights = root @ beta
-    m = x @ weights + bias
-    slope, shift = _logistic(m, y)
-    return Model(chosen, weights, bias, slope, shift)
-
-
-def _logistic(m: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a logistic fit with smoothed targets."""
+def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights of a logistic fit with smoothed targets, a little held towards 0; toxic rows count MISSED times."""
+    cost = np.where(y > 0, MISSED, 1.0)
     pos, neg = (y > 0).sum(), (y <= 0).sum()
     t = np.where(y > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
-    a, b = 3.0, 0.0
-    for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(a * m + b, -30, 30)))
-        w = np.maximum(p * (1 - p), 1e-6)
-        g = np.array([((p - t) * m).sum(), (p - t).sum()])
-        h = np.array([[(w * m * m).sum(), (w * m).sum()], [(w * m).sum(), w.sum()]]) + 1e-3 * np.eye(2)
-        step = np.linalg.solve(h, g)
-        a, b = a - np.clip(step[0], -2, 2), b - np.clip(step[1], -2, 2)
-    return float(a), float(b)
-
-
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", labelled: int = LABELLED, sentences: int = SENTENCES, landmarks: int = LANDMARKS) -> Model:
-    """Trains on at most ``labelled`` documents and ``sentences`` sentences of each class, chosen by hash.
-
-    The chosen documents' ids are so few that they are broadcast: no text is
-    shuffled to meet its label. Only the bounded sample reaches the driver. Null
-    texts, null labels and labels other than 0 and 1 are not used.
+    w = np.zeros(x.shape[1])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        grad = x.T @ (cost * (p - t)) + 0.02 * w
+        hess = (x * (cost * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + 0.02 * np.eye(len(w))
+        step = np.linalg.solve(hess, grad)
+        w = w - step * min(1.0, 3.0 / max(1e-9, np.abs(step).max()))
+    return w
+
+
+def train(rows: list[tuple[str, int]], landmarks: int = LANDMARKS) -> Model:
+    """A model of (text, label of the document) rows; equal rows count once.
+
+    Without both classes, or without a telling window, every score is under 0.5.
+    """
+    bags = [(Counter(words_of(t)), y) for t, y in sorted(set(rows))]
+    by_class: tuple[Counter, Counter] = (Counter(), Counter())
+    for words, y in bags:
+        by_class[y].update(words.keys())
+    other, toxic = by_class
+    n = Counter(y for _, y in bags)
+    told = _telling(toxic, other, n[1] / n[0], landmarks * 3 // 4) if n[0] and n[1] else []
+    if not told:
+        return Model([], np.zeros(0), -1.0, np.array([0.0, 0.0, 0.0, -1.0]))
+    # windows near a telling one; of the other class' the commonest are landmarks too
+    table = Landmarks(told)
+    near = table.near(sorted(toxic.keys() | other.keys()))
+    windows = sorted({v for w in near for v in windows_of(w)})
+    close = table.kernel(windows).max(axis=1) >= FLOOR
+    plain: Counter = Counter()
+    for w in near:
+        for v in windows_of(w):
+            plain[v] += other[w]
+    told += [v for v, _ in sorted(((v, plain[v]) for v, c in zip(windows, close, strict=True) if c and plain[v] and v not in told), key=lambda p: (-p[1], p[0]))][: landmarks - len(told)]
+    table = Landmarks(told)
+    near = table.near(sorted(toxic.keys() | other.keys()))
+    windows = sorted({v for w in near for v in windows_of(w)})
+    value = table.kernel(windows)
+    good = value.max(axis=1) >= FLOOR
+    windows, value = [v for v, g in zip(windows, good, strict=True) if g], value[good]
+    place = {v: i for i, v in enumerate(windows)}
+    val, vec = np.linalg.eigh(table.kernel(told))
+    root = vec @ np.diag(1 / np.sqrt(np.maximum(val, 1e-2))) @ vec.T
+    nothing = len(windows)  # a document without a window near a landmark
+    x = np.vstack([value @ root, np.zeros((1, len(told)))])
+    gapped = table.kernel([f"{v[: len(v) // 2]}\x01{v[len(v) // 2 :]}" for v in windows]) @ root
+    gapped = np.vstack([gapped, np.zeros((1, len(told)))])
+    of_word = {w: [place[v] for v in windows_of(w) if v in place] for w in near}
+    inside = [sorted({i for w in words if w in of_word for i in of_word[w]}) or [nothing] for words, _ in bags]
+    against = np.zeros(len(x))
+    for ids, (_, y) in zip(inside, bags, strict=True):
+        if y == 0:
+            against[ids] += 1
+    rows_0 = np.nonzero(against)[0]
+    share_0 = 0.5 * against[rows_0] / against.sum()
+    positive = [ids for ids, (_, y) in zip(inside, bags, strict=True) if y == 1]
+    weights, bias = None, 0.0
+    for _ in range(ROUNDS):
+        witness: Counter = Counter()
+        for ids in positive:
+            f = np.zeros(len(ids)) if weights is None else x[ids] @ weights + bias
+            witness.update(i for i, v in zip(ids, f.tolist(), strict=True) if v >= min(0.0, f.max()))
+        ids, times = np.array(list(witness)), np.array(list(witness.values()), dtype=float)
+        share_1 = 0.25 * times / times.sum()
+        y = np.repeat([0, 1, 1], [len(rows_0), len(ids), len(ids)])
+        weights, bias = _svm(np.vstack([x[rows_0], x[ids], gapped[ids]]), y, np.concatenate([share_0, share_1, share_1]))
+    model = Model(told, root @ weights, bias, np.zeros(4))
+    margin = model.margins(near)
+    top = np.array([max([bias, *(margin[w] for w in words if w in margin)]) for words, _ in bags])
+    hits = np.array([sum(c * hit(margin[w]) for w, c in words.items() if w in margin) for words, _ in bags])
+    total = np.array([sum(words.values()) for words, _ in bags])
+    label = np.array([y for _, y in bags])
+    some = (label == 0) | (hits >= 0.5)  # a toxic document without a hit tells nothing of how evidence counts
+    model.fit = _logistic(evidence(top, hits, total)[some], label[some])
+    return model
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", labelled: int = LABELLED, doc_chars: int = DOC_CHARS, landmarks: int = LANDMARKS) -> Model:
+    """Trains on at most ``labelled`` documents of each class, chosen by their id's hash.
+
+    Of those, documents of more than ``doc_chars`` characters are left out, so
+    the sample that reaches the driver is bounded in bytes. The chosen ids are so
+    few that they are broadcast: no text is shuffled to meet its label. Null
+    texts, null labels and labels other than 0 and 1 are not used; of an id with
+    several labels each counts.
     """
-    taken: list[tuple[str, int, int]] = []
-    for y in (0, 1):
-        chosen = labels.where((F.col(label_col) == y) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("k")).orderBy(F.xxhash64("k"), "k").limit(labelled).distinct()
-        rows = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).where("t is not null").join(F.broadcast(chosen), "k", "left_semi")
-        rows = rows.select(F.xxhash64("k").alias("d"), F.explode(F.split("t", _SPLIT)).alias("s")).where(F.length(F.trim("s")) > 0)
-        part = rows.select("s", "d", F.xxhash64("s").alias("h")).orderBy("h", "s", "d").limit(sentences)
-        taken += [(r["s"], y, r["d"]) for r in part.select("s", "d").toLocalIterator()]
-    return train(taken, landmarks)
+    known = labels.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("k"), F.col(f"`{label_col}`").cast("int").alias("y"))
+    part = lambda y: known.where(F.col("y") == y).distinct().orderBy(F.xxhash64("k"), "k").limit(labelled)
+    rows = docs.select(F.col(f"`{id_col}`").alias("k"), F.col(f"`{text_col}`").alias("t")).where(F.length("t").between(1, doc_chars))
+    taken = rows.join(F.broadcast(part(0).union(part(1))), "k").select("t", "y")
+    return train([(r["t"], r["y"]) for r in taken.toLocalIterator()], landmarks)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: dict[str, str] | None = None) -> DataFrame:
     """(doc_id, score), or ``keep`` (new name -> column) and score, one row for each row of ``docs``.
 
-    Whole texts are scored; null and empty texts have no sentence and get the
-    score of a sentence without any match. Repeated rows get equal scores. Only
-    the text enters a score. An empty table gives an empty one.
+    Whole texts are scored; null and empty texts have no window and get the
+    score of a text without any match. Repeated rows get equal scores. Only the
+    text enters a score. An empty table gives an empty one.
     """
 
     def make() -> Callable[[list[str]], dict]:
         seen: set[str] = set()
-        hits: dict[str, np.ndarray] = {}
+        margin: dict[str, float] = {}
 
         def run(texts: list[str]) -> dict:
-            texts = [t.lower() for t in texts]
-            margins = np.full(len(texts), model.bias)
+            top, hits, total = np.full(len(texts), model.bias), np.zeros(len(texts)), np.zeros(len(texts))
             for at in range(0, len(texts), 500):
-                split = [set(tokens(t)) for t in texts[at : at + 500]]
+                split = [words_of(t) for t in texts[at : at + 500]]
                 if len(seen) > SEEN:
                     seen.clear()
-                    hits.clear()
+                    margin.clear()
                 fresh = list(set().union(*split) - seen)
-                for lo in range(0, len(fresh), 20_000):
-                    some = fresh[lo : lo + 20_000]
-                    ids, values = model.kernel(some)
-                    hits.update((some[i], v) for i, v in zip(ids.tolist(), values, strict=True))
+                margin.update(model.margins(fresh))
                 seen.update(fresh)
                 for i, words in enumerate(split, at):
-                    if hits.keys() & words:
-                        found = [[hits[w] for w in tokens(s) if w in hits] for s in _SENTENCE.split(texts[i])]
-                        margins[i] = max([model.bias, *(model.margin(h) for h in found if h)])
-            return {"score": model.probability(margins)}
+                    total[i] = len(words)
+                    found = [margin[w] for w in words if w in margin]
+                    if found:
+                        top[i] = max(model.bias, *found)
+                        hits[i] = sum(map(hit, found))
+            return {"score": model.probability(top, hits, total)}
 
         return run
 
