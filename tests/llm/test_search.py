@@ -45,16 +45,28 @@ def test_ann_recall_with_hashing(spark):
     x[1000:1500] = x[0]  # a large group of copies
     rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    assert ann.functions_for(2500) > 0
+    assert ann.functions_for(2500) > 1
     assert recall(ann.search(frame, by_20()).collect(), list(range(3000)), x) >= 0.9
 
 
+def test_ann_hashes_at_every_size():
+    assert [ann.functions_for(n) for n in (0, 1, 500, 512, 5000)] == [1, 1, 1, 1, 3] and ann.functions_for(10**9) > 10
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((200, 8))
+    keys = ann.buckets_of(x, float(np.linalg.norm(x, axis=1).max()), 12, 0)
+    assert len(set(keys.tolist())) > 50
+    probes = ann.probes_of(x[:20], 0.9, 12, 0, 0.9)
+    assert all(1 <= len(p) == len(set(p.tolist())) for p in probes) and sum(map(len, probes)) < 20 * 4000
+
+
 def test_ann_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
-    rows = [(0, [1.0, 0.0]), (20, [0.5, 0.5]), (1, [1.0, 0.0]), (2, [-1.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (40, [inf, 1.0]), (6, [None, 1.0]), (None, [1.0, 1.0]), (7, [1.0]), (1, [1.0, 0.0])]
+    rows = [(0, [1.0, 0.0]), (20, [0.5, 0.5]), (1, [1.0, 0.0]), (2, [-1.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (40, [inf, 1.0]), (6, [None, 1.0]), (None, [1.0, 1.0]), (7, [1.0]), (1, [1.0, 0.0]), (20, [0.5, 0.5])]
     frame = spark.createDataFrame([(*r, "a", 1) for r in rows], "vec_id long, embedding array<double>, rank string, score int")
     got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in ann.search(frame, by_20()).orderBy("query_id", "rank").collect()]
-    assert got == [(0, 1, 1, 1.0), (0, 2, 20, 0.5), (0, 3, 2, -1.0), (20, 1, 0, 0.5), (20, 2, 1, 0.5), (20, 3, 2, -0.5)]
+    # rows 1 and 20 are there twice: candidates twice, and 20 is a query twice that finds its other row
+    one = [(20, 1, 0, 0.5), (20, 2, 1, 0.5), (20, 3, 1, 0.5), (20, 4, 20, 0.5), (20, 5, 2, -0.5)]
+    assert got == sorted([(0, 1, 1, 1.0), (0, 2, 1, 1.0), (0, 3, 20, 0.5), (0, 4, 20, 0.5), (0, 5, 2, -1.0), *one, *one])
     assert ann.search(frame.limit(0), by_20()).count() == 0
 
 
@@ -87,13 +99,44 @@ def test_bm25_query_against_brute_force(spark, sf_dir):
     compare(op8_bm25_top_k(spark, sf_dir).collect(), plain_bm25(docs, [d for d in docs if d[0] % 20 == 0], 10))
 
 
-def test_bm25_shards_merge(spark, sf_dir, monkeypatch):
-    monkeypatch.setattr(bm25, "SHARD_WORDS", 10_000)
-    monkeypatch.setattr(bm25, "QUERY_BLOCK", 4)
+def test_bm25_shards_merge(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     asked = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text")
-    compare(bm25.search(docs, asked, k=3).collect(), plain_bm25(rows, [(r.query_id, r.text) for r in asked.collect()], 3))
+    compare(bm25.search(docs, asked, k=3, shard_words=10_000).collect(), plain_bm25(rows, [(r.query_id, r.text) for r in asked.collect()], 3))
+
+
+def shard(docs):
+    """A closed index of (id, text) rows, and weights of a text's terms."""
+    index = bm25.ShardIndex()
+    counts = [(i, Counter(bm25.words_of(t))) for i, t in docs]
+    key = lambda w: int(np.uint64(bm25.xxhash.xxh64_intdigest(w)).view(np.int64))
+    terms = [key(w) for _, c in counts for w in c]
+    index.add(np.array([i for i, _ in counts]), np.array([sum(c.values()) for _, c in counts]), np.array([len(c) for _, c in counts]), np.array(terms, dtype=np.int64), np.array([n for _, c in counts for n in c.values()]))
+    words = sum(sum(c.values()) for _, c in counts)
+    index.close(words / len(docs))
+    df = Counter(w for _, c in counts for w in c)
+
+    def asked(text):
+        c = Counter(bm25.words_of(text))
+        return np.array([key(w) for w in c], dtype=np.int64), np.array([n * math.log1p((len(docs) - df[w] + 0.5) / (df[w] + 0.5)) for w, n in c.items()])
+
+    return index, asked
+
+
+def test_bm25_reads_few_blocks(spark):
+    """Short queries on documents of very different words leave most blocks and postings unread, and stay exact."""
+    rng = np.random.default_rng(3)
+    vocabulary = np.array([f"w{i}" for i in range(5000)])
+    share = 1 / np.arange(1, 5001)
+    docs = [(i, " ".join(rng.choice(vocabulary, rng.integers(5, 200), p=share / share.sum()))) for i in range(6000)]
+    index, asked = shard(docs)
+    queries = [(i, " ".join(rng.choice(vocabulary, 4, p=share / share.sum()))) for i in range(40)]
+    want = dict(plain_bm25(docs, queries, 10))
+    for q, text in queries:
+        ids, score = index.top(*asked(text), 10)
+        assert ids.tolist() == [i for _, i in want[q]] and np.allclose(score, [-s for s, _ in want[q]], atol=2e-6)
+    assert index.blocks_read < 0.5 * index.blocks_total
 
 
 def test_bm25_odd_rows(spark, odd, empty):
