@@ -1,20 +1,21 @@
 """Line dedup by content-defined chunks and windows of lines.
 
 A line ends at a line break or at the end of a sentence, so a paragraph on one
-line has several. Three kinds of spans are compared:
+line has several. A repeated passage consists of repeated lines, so only runs of
+lines that each occur more than once are looked at. In them spans of two kinds
+are compared:
 
+- chunks of two lines or more in two families of boundaries: the rolling hash of
+  each two neighbouring lines decides whether a chunk ends there, so boundaries
+  shift with the lines;
 - from each line on the shortest window of over ``WORDS`` words, and up to each
   line the shortest such window. Each line of a passage of over ``WORDS`` words
-  is in such a window inside the passage, so a repeated passage goes whole,
-  whatever stands around it, also if it is one line;
-- chunks of two lines or more in two families of boundaries: the hash of each
-  two neighbouring lines decides whether a chunk ends there. They find shorter
-  passages, not all of them.
-
-A span's seed is its line with the smallest hash. Equal spans have equal seeds,
-so only spans whose seed occurs at several places are compared: by a 96-bit
-hash, then by the SHA-256 of their bytes. All but the first occurrence, by
-document id and place, are removed. Everything is DataFrame functions.
+  is in such a window inside the passage, so a repeated passage of that size goes
+  whole, whatever stands around it, also if it is one line.
+
+Spans are compared by a 96-bit hash of their lines' hashes, then by the SHA-256 of
+their bytes. All but the first occurrence, by document id and place, are removed.
+Everything is DataFrame functions.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from docket.llm.columns import numbered
 from docket.session import cut
 
 LINE_END = r"(?<=\n)|(?<=[.!?] )"
@@ -62,7 +64,7 @@ def _chunks(hashes: Column, families: tuple[int, ...], divisor: int, least: int)
 
 def _words(line: Column) -> Column:
     """Number of words, by the six ASCII blanks; a line without a word has 0."""
-    return F.size(F.array_remove(F.split(F.translate(line, "\t\n\x0b\x0c\r", "     "), " "), ""))
+    return F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+"))
 
 
 def _spread(df: DataFrame, counts: str, out: str) -> DataFrame:
@@ -117,6 +119,59 @@ def _windows(df: DataFrame) -> DataFrame:
     return df.withColumn("windows", F.filter(F.concat(fore, back), lambda c: c.isNotNull())).drop("at", "fore", "back", "f", "b")
 
 
+def _least_id(docs: DataFrame, id_col: str, id_type: str) -> Column:
+    """An id to compare by, null the smallest."""
+    if id_type in ("bigint", "int"):
+        return F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
+    return F.struct(F.col(id_col).isNotNull(), F.col(id_col))
+
+
+def repeated_runs(hashed: DataFrame) -> DataFrame:
+    """(row, start, h, words): runs of neighbouring lines that occur more than once each.
+
+    ``hashed``: (row, h, words), arrays of one value a line. A run has two lines or
+    more, or more than WORDS words.
+    """
+    lines = hashed.select("row", F.posexplode(F.arrays_zip("h", "words")).alias("pos", "l")).select("row", "pos", "l.h", "l.words")
+    twice = lines.groupBy("h").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("h")
+    # rows equal in id and text are one here: each gets what is found for it
+    again = lines.join(twice, "h").groupBy("row", "pos").agg(F.first("h").alias("h"), F.first("words").alias("words"))
+    run = F.col("pos") - F.row_number().over(W.partitionBy("row").orderBy("pos"))
+    runs = again.withColumn("run", run).groupBy("row", "run").agg(F.min("pos").alias("start"), F.sum("words").alias("total"), F.array_sort(F.collect_list(F.struct("pos", "h", "words"))).alias("l"))
+    return runs.where((F.size("l") >= LEAST_LINES) | (F.col("total") > WORDS)).select("row", "start", F.col("l.h").alias("h"), F.col("l.words").alias("words"))
+
+
+def spans_of(runs: DataFrame, families: tuple[int, ...], divisor: int, least: int) -> DataFrame:
+    """(row, start, n, a, b): the windows and chunks of each run, with two hashes of their lines."""
+    chunks = F.transform(_chunks(F.col("h"), families, divisor, least), lambda c: _code(c["start"], c["n"]))
+    spans = _windows(runs).select("row", F.col("start").alias("from"), "h", F.explode(F.array_distinct(F.concat("windows", chunks))).alias("v"))
+    start, n = F.shiftright("v", 32).cast("int"), F.col("v").bitwiseAND(F.lit(2**32 - 1)).cast("int")
+    part = F.slice("h", start + 1, n)
+    return spans.select("row", (F.col("from") + start).alias("start"), n.alias("n"), F.xxhash64(part).alias("a"), F.hash(part).alias("b"))
+
+
+def removed_spans(found: DataFrame, ids: DataFrame) -> DataFrame:
+    """(row, start, n, a, b, first) of the spans that occur more than once; ``first`` is true of the one that stays.
+
+    ``ids``: (row, id). The smallest id keeps a span; of several texts with that
+    id the one with the smallest hash, of several places the first.
+    """
+    own = found.join(ids, "row")
+    repeated = own.groupBy("a", "b").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("id", "row", "start")).alias("keeper")).where("times > 1").drop("times")
+    met = found.join(repeated, ["a", "b"])
+    return met.select("row", "start", "n", "a", "b", ((F.col("keeper.row") == F.col("row")) & (F.col("keeper.start") == F.col("start"))).alias("first"))
+
+
+def joined_gaps(marked: DataFrame) -> DataFrame:
+    """(row, cuts): for each row the removed lines as ordered array of struct(start, stop) that neither meet nor overlap."""
+    gone = marked.where("not first").select("row", "start", (F.col("start") + F.col("n")).alias("stop"))
+    upto = F.max("stop").over(W.partitionBy("row").orderBy("start", "stop").rowsBetween(W.unboundedPreceding, -1))
+    fresh = gone.withColumn("new", F.coalesce((F.col("start") > upto).cast("int"), F.lit(1)))
+    group = F.sum("new").over(W.partitionBy("row").orderBy("start", "stop").rowsBetween(W.unboundedPreceding, 0))
+    merged = fresh.withColumn("group", group).groupBy("row", "group").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    return merged.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("cuts"))
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", families: tuple[int, ...] = FAMILIES, divisor: int = DIVISOR, least: int = LEAST_LINES) -> DataFrame:
     """``docs`` with the text without repeated spans, and removed_lines.
 
@@ -125,66 +180,43 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     its first place; a null id is the smallest. Of different texts with that id,
     or without any, the one with the smallest hash keeps it. Rows equal in id
     and text stay repeated. An empty table gives an empty one. An input column
-    removed_lines is replaced; others pass.
+    removed_lines is replaced; others pass, whatever their names are.
     """
     docs = docs.drop("removed_lines")
-    row, least_id = F.xxhash64(F.col(id_col), F.col(text_col)), F.struct(F.col(id_col).isNotNull(), F.col(id_col))
-    if docs.schema[id_col].dataType.simpleString() in ("bigint", "int"):
-        least_id = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
-    lines = docs.where(F.col(text_col).isNotNull()).select(least_id.alias("id"), row.alias("row"), lines_of(F.col(text_col)).alias("l"))
-    hashed = lines.select("id", "row", F.transform("l", lambda u: F.xxhash64(u)).alias("h"), F.transform("l", _words).alias("words"))
-    spans = _windows(hashed).withColumn("spans", F.array_distinct(F.concat("windows", F.transform(_chunks(F.col("h"), families, divisor, least), lambda c: _code(c["start"], c["n"])))))
-    start_of, n_of = lambda v: F.shiftright(v, 32).cast("int"), lambda v: v.bitwiseAND(F.lit(2**32 - 1)).cast("int")
-    spans = spans.withColumn("spans", F.transform("spans", lambda v: F.struct(start_of(v).alias("start"), n_of(v).alias("n"), F.array_min(F.slice("h", start_of(v) + 1, n_of(v))).alias("seed"))))
-    # a filter here would go down and repeat the steps in itself
-    spans = cut(spans.select("id", "row", "h", "spans"), "zstd")
-    # a seed at two places of one row counts twice
-    place = F.transform("spans", lambda c: (c["start"] + F.array_position(F.slice("h", c["start"] + 1, c["n"]), c["seed"]) - 1).cast("int"))
-    seeds = spans.select("row", F.explode(F.transform(F.array_distinct(place), lambda i: F.get("h", i))).alias("seed"))
-    twice = seeds.groupBy("seed").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("seed")
-    known = seeds.join(twice, "seed").groupBy("row").agg(F.collect_set("seed").alias("seeds"))
-    # rows equal in id and text are one here: each gets what is found for it
-    likely = spans.dropDuplicates(["row"]).join(known, "row").select("id", "row", "h", F.explode(F.filter("spans", lambda c: F.array_contains("seeds", c["seed"]))).alias("c"))
-    part = F.slice("h", F.col("c.start") + 1, F.col("c.n"))
-    found = cut(likely.select("id", "row", F.col("c.start").alias("start"), F.col("c.n").alias("n"), F.xxhash64(part).alias("a"), F.hash(part).alias("b")))
-    repeated = found.groupBy("a", "b").agg(F.count(F.lit(1)).alias("times"), F.min("id").alias("first_id")).where("times > 1").drop("times")
-    met = found.join(repeated, ["a", "b"])
-    again = met.select("row", "start", "n", "a", "b", (F.col("id") == F.col("first_id")).alias("keeps"))
-    # several texts with one id, or without any: the smallest hash of both keeps
-    if not spans.groupBy("id").agg((F.min("row") < F.max("row")).alias("several")).where("several").isEmpty():
-        first = met.where("id = first_id").groupBy("a", "b").agg(F.min("row").alias("first_row"))
-        again = again.join(first, ["a", "b"]).select("row", "start", "n", "a", "b", (F.col("keeps") & (F.col("row") == F.col("first_row"))).alias("keeps"))
-    again = again.repartition("row")
-    nth = F.row_number().over(W.partitionBy("row", "a", "b").orderBy("start"))
-    marked = again.withColumn("first", F.col("keeps") & (nth == 1)).groupBy("row").agg(F.collect_list(F.struct("start", "n", "a", "b", "first")).alias("chunks"))
-    held = docs.withColumn("_row", row).join(marked.withColumnRenamed("row", "_row"), "_row", "left")
-    text = F.col(f"d_{text_col}")
-    columns = [F.col(f"`{c}`").alias(f"d_{c}") for c in docs.columns if c != text_col]
-    held = cut(held.select(*columns, lines_of(F.col(text_col)).alias(f"d_{text_col}"), "chunks"), "zstd")
+    data, place = numbered(docs)
+    id_col, text_col = place[id_col], place[text_col]
+    row = F.xxhash64(F.col(id_col), F.col(text_col))
+    lines = data.where(F.col(text_col).isNotNull()).select(_least_id(data, id_col, dict(data.dtypes)[id_col]).alias("id"), row.alias("row"), lines_of(F.col(text_col)).alias("l"))
+    hashed = cut(lines.select("id", "row", F.transform("l", lambda u: F.xxhash64(u)).alias("h"), F.transform("l", _words).alias("words")), "zstd")
+    found = cut(spans_of(repeated_runs(hashed), families, divisor, least), "zstd")
+    marked = removed_spans(found, hashed.select("row", "id").distinct())
+
+    def assembled(marked: DataFrame) -> DataFrame:
+        """The rows with their lines, what to compare, and what to cut."""
+        marked = cut(marked, "zstd")
+        compare = marked.groupBy("row").agg(F.collect_list(F.struct("start", "n", "a", "b")).alias("spans"))
+        both = compare.join(joined_gaps(marked), "row", "left").withColumnRenamed("row", "of_row")
+        held = data.withColumn("row", row).join(both, F.col("row") == F.col("of_row"), "left")
+        return cut(held.select(*[F.col(c) for c in place.values() if c != text_col], lines_of(F.col(text_col)).alias(text_col), "spans", "cuts"), "zstd")
+
+    held = assembled(marked)
     # digests of the bytes of all that share a hash
-    whole = held.where("chunks is not null").select(text.alias("l"), F.explode("chunks").alias("c"))
-    whole = whole.select(F.col("c.a").alias("a"), F.col("c.b").alias("b"), F.unhex(F.sha2(F.array_join(F.slice("l", F.col("c.start") + 1, F.col("c.n")), ""), 256)).alias("bytes"))
-    unequal = whole.groupBy("a", "b", "bytes").agg(F.count(F.lit(1)).alias("n")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    differ = {(r["a"], r["b"]) for r in unequal.select("a", "b").limit(1000).collect()}
-    if len(differ) == 1000:
+    whole = held.where("spans is not null").select(F.col(text_col).alias("l"), F.explode("spans").alias("c"))
+    whole = whole.select("c.a", "c.b", F.unhex(F.sha2(F.array_join(F.slice("l", F.col("c.start") + 1, F.col("c.n")), ""), 256)).alias("bytes"))
+    unequal = whole.groupBy("a", "b").agg((F.min("bytes") != F.max("bytes")).alias("differ")).where("differ").select("a", "b").limit(1000).collect()
+    if len(unequal) == 1000:
         raise RuntimeError("a 96-bit hash has hundreds of collisions; the input isn't text")
-    gone = F.filter("chunks", lambda c: ~c["first"])
-    for a, b in sorted(differ):
-        gone = F.filter(gone, lambda c, a=a, b=b: ~((c["a"] == a) & (c["b"] == b)))
-    # what lies between the removed spans, in one walk over them in order
-    spans = F.array_sort(F.transform(gone, lambda c: F.struct(c["start"].alias("start"), (c["start"] + c["n"]).alias("stop"))))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,n:int>>").alias("kept"))
-
-    def step(done: Column, s: Column) -> Column:
-        more = F.when(s["start"] > done["at"], F.concat(done["kept"], F.array(F.struct((done["at"] + 1).alias("start"), (s["start"] - done["at"]).alias("n"))))).otherwise(done["kept"])
-        return F.struct(F.greatest(done["at"], s["stop"]).alias("at"), more.alias("kept"))
-
-    def close(done: Column) -> Column:
-        return F.concat(done["kept"], F.array(F.struct((done["at"] + 1).alias("start"), F.lit(2**30).alias("n"))))
-
-    kept = F.aggregate(spans, start, step, close)
-    left = F.flatten(F.transform(kept, lambda k: F.slice(text, k["start"], k["n"])))
-    touched = F.col("chunks").isNotNull() & F.exists("chunks", lambda c: ~c["first"])
-    out = [(F.array_join(F.when(touched, left).otherwise(text), "") if c == text_col else F.col(f"d_{c}")).alias(c) for c in docs.columns]
-    size = F.aggregate(kept, F.lit(0), lambda n, k: n + F.size(F.slice(text, k["start"], k["n"])))
-    return held.select(*out, F.when(touched, F.size(text) - size).otherwise(0).alias("removed_lines"))
+    if unequal:  # spans that only share a hash stay
+        listed = [(F.col("a") == r["a"]) & (F.col("b") == r["b"]) for r in unequal]
+        for same in listed:
+            marked = marked.where(~same)
+        held = assembled(marked)
+    # what lies before, between and after the cuts
+    text, cuts = F.col(text_col), F.col("cuts")
+    start = lambda i: F.coalesce(F.get(cuts, i)["start"], F.lit(2**30))
+    stop = lambda i: F.coalesce(F.get(cuts, i - 1)["stop"], F.lit(0))
+    left = F.flatten(F.transform(F.sequence(F.lit(0), F.size(cuts)), lambda i: F.slice(text, stop(i) + 1, start(i) - stop(i))))
+    touched = cuts.isNotNull()
+    out = [(F.array_join(F.when(touched, left).otherwise(text), "") if d == text_col else F.col(d)).alias(c) for c, d in place.items()]
+    gone = F.aggregate(cuts, F.lit(0), lambda n, c: n + c["stop"] - c["start"])
+    return held.select(*out, F.coalesce(gone, F.lit(0)).alias("removed_lines"))
