@@ -39,12 +39,13 @@ SPAN = 6
 DECAY = 0.8
 SIZES = (6, 8, 10)
 START = "\x02"  # before each word
-FLOOR = 0.6  # a window further from all landmarks isn't scored: it has no margin and is no hit
+FLOOR = 0.64  # a window further from all landmarks isn't scored: it has no margin and is no hit
 LABELLED = 3_000  # documents of each class to learn from
 DOC_CHARS = 20_000  # longest document to learn from
 LANDMARKS = 128
-ROUNDS = 5
+ROUNDS = 4
 MISSED = 2.0  # how much a missed toxic document costs against a false alarm
+MOST_LETTERS = 128
 SEEN = 250_000  # words whose margins a task keeps
 _DROP = re.compile(r"[^\w\s]+|_+")
 #: Three or more tokens of one or two characters with blanks between.
@@ -55,11 +56,12 @@ _OFFSETS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
 def words_of(text: str) -> list[str]:
     """Lower-cased words without punctuation, and runs of short ones once more without the blanks."""
     plain = _DROP.sub("", text.lower())
-    return [START + w for w in plain.split()] + [START + "".join(run.split()) for run in _RUN.findall(plain)]
+    return plain.split() + ["".join(run.split()) for run in _RUN.findall(plain)]
 
 
 def windows_of(word: str) -> list[str]:
     """What of a word is compared with landmarks; nothing of one under three letters."""
+    word = START + word
     n = len(word)
     whole = [word] if 4 <= n <= SIZES[-1] else []
     return whole + [word[i : i + size] for size in SIZES if n > size for i in range(n - size + 1)]
@@ -112,9 +114,18 @@ class Landmarks:
         self.owner, self.weight = owner[order], weight[order]
         self.keys, self.first = np.unique(key[order], return_index=True)
         self.first = np.append(self.first, len(order))
-        letters = sorted(set("".join(strings)))
+        # for words: letters that no landmark has are 0, and a triple's place in ``most`` has its largest weight
+        letters = sorted(set("".join(strings)) | {START})
+        self.base = len(letters) + 1
         self.letter = np.zeros(0x110000, dtype=np.int32)
-        self.letter[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.letter[[ord(c) for c in letters]] = np.arange(1, self.base)
+        if self.base > MOST_LETTERS:  # too many for a table of all triples; keep fewer apart, which only raises the bound
+            self.letter[self.letter > 0] = self.letter[self.letter > 0] % (MOST_LETTERS - 1) + 1
+            self.base = MOST_LETTERS
+        a, b, c = (self.letter[(self.keys >> at) & 0x1FFFFF].astype(np.int64) for at in (42, 21, 0))
+        self.most = np.zeros(self.base**3, dtype=np.float32)
+        if len(self.keys):
+            np.maximum.at(self.most, (a * self.base + b) * self.base + c, np.maximum.reduceat(self.weight, self.first[:-1]).astype(np.float32))
 
     def _meet(self, owner: np.ndarray, key: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
         """Inner products of n feature vectors with the landmarks."""
@@ -138,31 +149,30 @@ class Landmarks:
         """The words of which a window can have a kernel of FLOOR or more with some landmark.
 
         A window has no feature that its word hasn't, and no smaller norm than
-        ``_least_norm``, which bounds its kernel.
+        ``_least_norm``, which bounds its kernel. First each triple counts as for
+        the landmark that has most of it, then the landmarks are told apart.
         """
         out: list[str] = []
-        least = np.array([_least_norm(n) for n in range(SIZES[0] + 1)])
-        for a in range(0, len(words), 20_000):
-            part = words[a : a + 20_000]
-            bound = self._meet(*self._known(part), len(part)).max(axis=1)
-            sizes = np.minimum([len(w) for w in part], SIZES[0])
-            out += [part[i] for i in np.nonzero((bound >= FLOOR * least[sizes] - 1e-9) & (bound > 0))[0].tolist()]
+        least = FLOOR * np.array([_least_norm(n) for n in range(SIZES[0] + 1)]) - 1e-5
+        for at in range(0, len(words), 20_000):
+            part = words[at : at + 20_000]
+            sizes = np.array([len(w) + 1 for w in part])
+            need = least[np.minimum(sizes, SIZES[0])]
+            code = self.letter[np.frombuffer((START + ("\0" * SPAN + START).join(part) + "\0" * SPAN).encode("utf-32-le", "surrogatepass"), dtype="<u4")]
+            total = np.zeros(len(code), dtype=np.float32)
+            two = code * self.base
+            one = two * self.base
+            for a, b in _OFFSETS:
+                k = len(code) - b
+                total[:k] += np.float32(DECAY ** (b + 1)) * self.most[one[:k] + two[a : a + k] + code[b:]]
+            bound = np.add.reduceat(total, np.cumsum(sizes + SPAN) - sizes - SPAN)
+            part = [part[i] for i in np.nonzero((bound >= need) & (sizes > 3))[0].tolist()]
+            if part:
+                exact = self._meet(*_triples([START + w for w in part]), len(part)).max(axis=1)
+                need = least[np.minimum([len(w) + 1 for w in part], SIZES[0])]
+                out += [part[i] for i in np.nonzero((exact >= need) & (exact > 0))[0].tolist()]
         return out
 
-    def _known(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """``_triples`` of words in which characters that no landmark has are gaps: far fewer places to look at."""
-        raw = np.frombuffer(("\0" * SPAN).join(words).encode("utf-32-le", "surrogatepass"), dtype="<u4")
-        owner = np.repeat(np.arange(len(words)), np.array([len(w) for w in words]) + SPAN)[: len(raw)]
-        raw = np.where(self.letter[raw] > 0, raw, 0).astype(np.int64)
-        owners, keys, weights = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
-        for a, b in _OFFSETS:
-            if len(raw) > b:
-                at = np.nonzero((raw[:-b] > 0) & (raw[a : len(raw) - b + a] > 0) & (raw[b:] > 0))[0]
-                owners.append(owner[at])
-                keys.append((raw[at] << 42) | (raw[at + a] << 21) | raw[at + b])
-                weights.append(np.full(len(at), DECAY ** (b + 1)))
-        return np.concatenate(owners), np.concatenate(keys), np.concatenate(weights)
-
 
 @dataclass
 class Model:
@@ -241,11 +251,11 @@ def _telling(toxic: Counter, other: Counter, ratio: float, most: int) -> list[st
     return chosen
 
 
-def _svm(x: np.ndarray, y: np.ndarray, share: np.ndarray, penalty: float = 1e-4, rounds: int = 300) -> tuple[np.ndarray, float]:
+def _svm(x: np.ndarray, y: np.ndarray, share: np.ndarray, penalty: float = 1e-4, rounds: int = 200) -> tuple[np.ndarray, float]:
     """Squared-hinge linear SVM by accelerated gradient steps; ``share`` weighs the rows and sums to 1."""
     sign = np.where(y > 0, 1.0, -1.0)
     z = np.hstack([x, np.ones((len(x), 1))])
-    step = 1 / (2 * np.linalg.norm(z * np.sqrt(share)[:, None], 2) ** 2 + penalty)
+    step = 1 / (2 * np.linalg.eigvalsh((z * share[:, None]).T @ z)[-1] + penalty)
     w = look = np.zeros(z.shape[1])
     for t in range(1, rounds + 1):
         slack = np.maximum(0, 1 - sign * (z @ look))
