@@ -1,4 +1,9 @@
 import re
+import struct
+from collections import Counter, defaultdict
+
+import pytest
+import xxhash
 
 from docket.llm import linededup
 from docket.llm.queries import op5_line_dedup
@@ -11,6 +16,96 @@ def test_lines_join_to_the_text(spark, odd):
     assert marked.select(linededup.lines_of(marked["text"]).alias("l")).first().l == ["a. ", "b\n", "c\x01d. ", "e"]
 
 
+def signed(x):
+    return x - (1 << 64) if x >= 1 << 63 else x
+
+
+def hash_line(line):
+    return signed(xxhash.xxh64_intdigest(line.encode(), 42))
+
+
+def roll(a, b, seed):
+    h = 42
+    for part in (struct.pack("<q", a), struct.pack("<q", b), struct.pack("<i", seed)):
+        h = xxhash.xxh64_intdigest(part, h)
+    return signed(h)
+
+
+def spans_of_run(lines):
+    """Windows and chunks of a run of lines, by plain Python: (start, number of lines)."""
+    size = [len(re.findall(r"[^\x20\x09-\x0D]+", s)) for s in lines]
+    at, out = [i for i, n in enumerate(size) if n], set()
+    for step, ends in ((1, at), (-1, at[::-1])):
+        for k, i in enumerate(ends):
+            total = 0
+            for j in ends[k:]:
+                total += size[j]
+                if total > linededup.WORDS:
+                    out.add((min(i, j), abs(j - i) + 1))
+                    break
+    if len(lines) >= linededup.LEAST_LINES:
+        h = [hash_line(s) for s in lines]
+        for seed in linededup.FAMILIES:
+            ends = [i + 2 for i in range(len(h) - 1) if roll(h[i], h[i + 1], seed) % linededup.DIVISOR == 0]
+            last = 0
+            for e in dict.fromkeys([*ends, len(h)]):
+                if e - last >= linededup.LEAST_LINES:
+                    out.add((last, e - last))
+                last = e
+    return out
+
+
+def twin(docs):
+    """{id: text} of {id: text} by plain Python."""
+    lines = {i: re.split(r"(?<=\n)|(?<=[.!?] )", t) for i, t in docs.items() if t is not None}
+    times = Counter(s for ls in lines.values() for s in ls)
+    places = defaultdict(list)
+    for i, ls in lines.items():
+        run = []
+        for pos, s in enumerate([*ls, None]):
+            if s is not None and times[s] > 1:
+                run.append(pos)
+                continue
+            words = sum(len(re.findall(r"[^\x20\x09-\x0D]+", ls[p])) for p in run)
+            if run and (len(run) >= linededup.LEAST_LINES or words > linededup.WORDS):
+                for start, n in spans_of_run([ls[p] for p in run]):
+                    places[tuple(ls[run[0] + start : run[0] + start + n])].append((i, run[0] + start, n))
+            run = []
+    gone = defaultdict(set)
+    for where in places.values():
+        for i, start, n in sorted(where)[1:]:
+            gone[i].update(range(start, start + n))
+    return {i: (docs[i] if docs[i] is None else "".join(s for p, s in enumerate(lines[i]) if p not in gone[i]), len(gone[i])) for i in docs}
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_query_against_plain_python(spark, sf):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").collect()}
+    got = {r.doc_id: (r.text, r.removed_lines) for r in op5_line_dedup(spark, f"/root/testdata/{sf}").collect()}
+    want = twin(docs)
+    assert got.keys() == want.keys() and sum(n for _, n in want.values()) > 0
+    for i in want:
+        assert got[i] == want[i], i
+
+
+def test_own_column_names_clash(spark):
+    passage = "".join(f"Sentence number {i} of the shared passage is here. " for i in range(20))
+    names = ["row", "_row", "h", "words", "chunks", "spans", "cuts", "d0", "d1", "id", "start", "of_row", "a", "b"]
+    docs = spark.createDataFrame([(k, f"own {k} first. {passage}own {k} last. ", *[f"{n}{k}" for n in names]) for k in (1, 2, 3)], ["doc_id", "text", *names])
+    out = linededup.dedup_lines(docs)
+    assert out.columns == [*docs.columns, "removed_lines"]
+    for r in out.collect():
+        assert r.text == f"own {r.doc_id} first. {passage if r.doc_id == 1 else ''}own {r.doc_id} last. "
+        assert [r[n] for n in names] == [f"{n}{r.doc_id}" for n in names]
+
+
+def test_long_text_of_one_repeated_line(spark):
+    long = "Once more the river ran on past the old mill and its wheel. " * 20_000
+    docs = spark.createDataFrame([(1, long), (2, "Own words. " + long)], "doc_id long, text string")
+    got = {r.doc_id: r for r in linededup.dedup_lines(docs).collect()}
+    assert len(got[1].text) < len(long) / 100 and got[2].text.startswith("Own words. ")
+
+
 def brute(rows):
     """The lines of each text, by plain Python."""
     return {i: re.split(r"(?<=\n)|(?<=[.!?] )", t) for i, t in rows if t}

@@ -47,7 +47,7 @@ def test_kernel_against_its_definition():
 
 def test_no_near_word_is_left_out():
     rng = np.random.default_rng(2)
-    words = ["\x02" + "".join(rng.choice(list("abcd"), rng.integers(1, 14))) for _ in range(400)]
+    words = ["".join(rng.choice(list("abcd"), rng.integers(1, 14))) for _ in range(400)]
     marks = toxicity.Landmarks(["\x02abca", "abcabc", "dcbadcba"])
     near = set(marks.near(words))
     for w in words:
