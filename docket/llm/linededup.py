@@ -1,21 +1,22 @@
-"""Line dedup by content-defined chunks and windows of lines.
+"""Line dedup by content-defined chunks of lines.
 
 A line ends at a line break or at the end of a sentence, so a paragraph on one
-line has several. A repeated passage consists of repeated lines, so only runs of
-lines that each occur more than once are looked at. In them spans of two kinds
-are compared:
-
-- chunks of two lines or more in two families of boundaries: the rolling hash of
-  each two neighbouring lines decides whether a chunk ends there, so boundaries
-  shift with the lines;
-- from each line on the shortest window of over ``WORDS`` words, and up to each
-  line the shortest such window. Each line of a passage of over ``WORDS`` words
-  is in such a window inside the passage, so a repeated passage of that size goes
-  whole, whatever stands around it, also if it is one line.
-
-Spans are compared by a 96-bit hash of their lines' hashes, then by the SHA-256 of
-their bytes. All but the first occurrence, by document id and place, are removed.
-Everything is DataFrame functions.
+line has several. A rolling hash is taken over each two neighbouring lines, and a
+boundary lies behind them where it is divisible by ``DIVISOR``: what lies between
+two boundaries is a chunk, and chunks shift with their lines, whatever stands
+around them.
+
+Rolling hashes that occur again, later by document id and place, mark repeated
+lines. Where they follow one another they make up a repeated passage: the chunks
+in it and what of its first and last lines lies outside them. A passage goes
+
+- if it holds a chunk of ``LEAST_LINES`` lines or more, or
+- if it has more than ``WORDS`` words, though its few lines hold no boundary; a
+  line of more than ``WORDS`` words is compared by itself too.
+
+So every repeated passage of whole lines and of over ``WORDS`` words goes whole.
+Rolling hashes have 96 bits, and the bytes of all lines under one are compared by
+SHA-256; lines that only share a hash stay. Everything is DataFrame functions.
 """
 
 from __future__ import annotations
@@ -29,7 +30,6 @@ from docket.session import cut
 
 LINE_END = r"(?<=\n)|(?<=[.!?] )"
 MARK = "\x01"
-FAMILIES = (1, 2)
 DIVISOR = 2
 LEAST_LINES = 2
 WORDS = 50
@@ -47,78 +47,11 @@ def lines_of(text: Column) -> Column:
     return F.when(text.contains(MARK), F.split(text, LINE_END)).otherwise(F.split(marked, MARK))
 
 
-def _chunks(hashes: Column, families: tuple[int, ...], divisor: int, least: int) -> Column:
-    """Array of struct(start, n) of each family's chunks with ``least`` lines or more, starts from 0."""
-
-    def of(seed: int) -> Column:
-        n = F.size(hashes)
-        rolls = F.zip_with(F.slice(hashes, 1, n - 1), F.slice(hashes, 2, n - 1), lambda a, b: F.xxhash64(a, b, F.lit(seed)))
-        inner = F.filter(F.transform(rolls, lambda h, i: F.when(F.pmod(h, F.lit(divisor)) == 0, i + 2)), lambda e: e.isNotNull())
-        ends = F.array_distinct(F.concat(inner, F.array(n)))
-        spans = F.zip_with(F.concat(F.array(F.lit(0)), F.slice(ends, 1, F.size(ends) - 1)), ends, lambda a, b: F.struct(a.alias("start"), (b - a).alias("n")))
-        return F.filter(spans, lambda c: c["n"] >= least)
-
-    several = F.concat(*[of(s) for s in families])
-    return F.when(F.size(hashes) >= least, several).otherwise(F.array().cast("array<struct<start:int,n:int>>"))
-
-
 def _words(line: Column) -> Column:
     """Number of words, by the six ASCII blanks; a line without a word has 0."""
     return F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+"))
 
 
-def _spread(df: DataFrame, counts: str, out: str) -> DataFrame:
-    """``df`` with ``out``: for each place how many lines from there on have WORDS words or fewer together.
-
-    ``counts`` are words of lines, each 1 or more, so six steps of doubled
-    lengths reach all: sums of 1, 2, 4 ... 32 lines, then the longest first.
-    Steps are columns of their own, so none is computed again in a lambda.
-    """
-    steps = [1 << k for k in range(WORDS.bit_length())]
-    beyond = F.lit(WORDS + 1)
-
-    def double(half: Column, k: int) -> Column:
-        return F.transform(half, lambda v, i: F.least(v + F.coalesce(F.get(half, i + k), beyond), beyond))
-
-    def longer(sums: Column, k: int) -> Column:
-        def of(r: Column, i: Column) -> Column:
-            more = r["sum"] + F.coalesce(F.get(sums, i + r["n"]), beyond)
-            return F.when(more <= WORDS, F.struct((r["n"] + k).alias("n"), more.alias("sum"))).otherwise(r)
-
-        return F.transform(out, of)
-
-    df = df.withColumn("_s1", F.col(counts))
-    for k in steps[:-1]:
-        df = df.withColumn(f"_s{2 * k}", double(F.col(f"_s{k}"), k))
-    df = df.withColumn(out, F.transform(counts, lambda v: F.struct(F.lit(0).alias("n"), F.lit(0).alias("sum"))))
-    for k in reversed(steps):
-        df = df.withColumn(out, longer(F.col(f"_s{k}"), k))
-    return df.withColumn(out, F.col(f"{out}.n")).drop(*[f"_s{k}" for k in steps])
-
-
-def _code(start: Column, n: Column) -> Column:
-    """A span as one long, since array_distinct compares all pairs of structs."""
-    return F.shiftleft(start.cast("long"), 32) + n
-
-
-def _windows(df: DataFrame) -> DataFrame:
-    """``df`` (words: of each line) with windows: array of spans as _code gives them.
-
-    Lines without words join the window they stand in, never its ends.
-    """
-    df = df.withColumn("at", F.filter(F.transform("words", lambda w, i: F.when(w > 0, i)), lambda i: i.isNotNull()))
-    df = df.withColumn("fore", F.filter("words", lambda w: w > 0)).withColumn("back", F.reverse("fore"))
-    df = _spread(_spread(df, "fore", "f"), "back", "b")
-    at, size = F.col("at"), F.size("at")
-
-    def span(a: Column, b: Column) -> Column:
-        return F.when((a >= 0) & (b < size), _code(F.get(at, a), F.get(at, b) - F.get(at, a) + 1))
-
-    fore = F.transform("f", lambda n, i: span(i, i + n))
-    back = F.transform("b", lambda n, i: span(size - 1 - i - n, size - 1 - i))
-    return df.withColumn("windows", F.filter(F.concat(fore, back), lambda c: c.isNotNull())).drop("at", "fore", "back", "f", "b")
-
-
 def _least_id(docs: DataFrame, id_col: str, id_type: str) -> Column:
     """An id to compare by, null the smallest."""
     if id_type in ("bigint", "int"):
@@ -126,45 +59,60 @@ def _least_id(docs: DataFrame, id_col: str, id_type: str) -> Column:
     return F.struct(F.col(id_col).isNotNull(), F.col(id_col))
 
 
-def repeated_runs(hashed: DataFrame) -> DataFrame:
-    """(row, start, h, words): runs of neighbouring lines that occur more than once each.
+def line_units(hashed: DataFrame) -> DataFrame:
+    """(row, id, pos, n, a, b, words, next_words): each two neighbouring lines (n = 2) and each long line (n = 1) with its hash.
 
-    ``hashed``: (row, h, words), arrays of one value a line. A run has two lines or
-    more, or more than WORDS words.
+    ``hashed``: (row, id, h, words), arrays of one value a line.
     """
-    lines = hashed.select("row", F.posexplode(F.arrays_zip("h", "words")).alias("pos", "l")).select("row", "pos", "l.h", "l.words")
-    twice = lines.groupBy("h").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("h")
-    # rows equal in id and text are one here: each gets what is found for it
-    again = lines.join(twice, "h").groupBy("row", "pos").agg(F.first("h").alias("h"), F.first("words").alias("words"))
-    run = F.col("pos") - F.row_number().over(W.partitionBy("row").orderBy("pos"))
-    runs = again.withColumn("run", run).groupBy("row", "run").agg(F.min("pos").alias("start"), F.sum("words").alias("total"), F.array_sort(F.collect_list(F.struct("pos", "h", "words"))).alias("l"))
-    return runs.where((F.size("l") >= LEAST_LINES) | (F.col("total") > WORDS)).select("row", "start", F.col("l.h").alias("h"), F.col("l.words").alias("words"))
+    h, words, n = F.col("h"), F.col("words"), F.size("h")
+    at = lambda c, i: F.get(c, i)
 
+    def unit(i: Column, lines: int, *keys: Column) -> Column:
+        more = at(words, i + 1) if lines == 2 else F.lit(0)
+        return F.struct(i.alias("pos"), F.lit(lines).alias("n"), F.xxhash64(*keys).alias("a"), F.hash(*keys).alias("b"), at(words, i).alias("words"), more.alias("next_words"))
 
-def spans_of(runs: DataFrame, families: tuple[int, ...], divisor: int, least: int) -> DataFrame:
-    """(row, start, n, a, b): the windows and chunks of each run, with two hashes of their lines."""
-    chunks = F.transform(_chunks(F.col("h"), families, divisor, least), lambda c: _code(c["start"], c["n"]))
-    spans = _windows(runs).select("row", F.col("start").alias("from"), "h", F.explode(F.array_distinct(F.concat("windows", chunks))).alias("v"))
-    start, n = F.shiftright("v", 32).cast("int"), F.col("v").bitwiseAND(F.lit(2**32 - 1)).cast("int")
-    part = F.slice("h", start + 1, n)
-    return spans.select("row", (F.col("from") + start).alias("start"), n.alias("n"), F.xxhash64(part).alias("a"), F.hash(part).alias("b"))
+    pairs = F.when(n > 1, F.transform(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))), lambda i: unit(i, 2, at(h, i), at(h, i + 1)))).otherwise(F.array())
+    long = F.filter(F.transform(words, lambda w, i: F.when(w > WORDS, unit(i, 1, at(h, i)))), lambda u: u.isNotNull())
+    return hashed.select("row", "id", F.inline(F.concat(pairs, long)))
 
 
-def removed_spans(found: DataFrame, ids: DataFrame) -> DataFrame:
-    """(row, start, n, a, b, first) of the spans that occur more than once; ``first`` is true of the one that stays.
+def repeated_units(hashed: DataFrame) -> DataFrame:
+    """(row, pos, n, a, b, words, next_words, first) of the units that occur more than once; ``first`` is true of the one that stays.
 
-    ``ids``: (row, id). The smallest id keeps a span; of several texts with that
-    id the one with the smallest hash, of several places the first.
+    The smallest id keeps a unit; of several texts with that id the one with the
+    smallest hash, of several places the first. Counts are summed before they are
+    shuffled, and only a unit's smallest id is carried, so a unit that a third of
+    all texts have is no group that anything gathers.
     """
-    own = found.join(ids, "row")
-    repeated = own.groupBy("a", "b").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("id", "row", "start")).alias("keeper")).where("times > 1").drop("times")
-    met = found.join(repeated, ["a", "b"])
-    return met.select("row", "start", "n", "a", "b", ((F.col("keeper.row") == F.col("row")) & (F.col("keeper.start") == F.col("start"))).alias("first"))
-
-
-def joined_gaps(marked: DataFrame) -> DataFrame:
+    if not hashed.groupBy("row").count().where("count > 1").isEmpty():
+        hashed = hashed.dropDuplicates(["row"])  # rows equal in id and text are one here: each gets what is found for it
+    units = line_units(hashed)
+    repeated = units.groupBy("a", "b").agg(F.count(F.lit(1)).alias("times"), F.min("id").alias("first_id")).where("times > 1").drop("times")
+    met = units.join(repeated, ["a", "b"]).withColumn("keeps", F.col("id") == F.col("first_id")).drop("id", "first_id")
+    if not hashed.groupBy("id").agg((F.min("row") < F.max("row")).alias("several")).where("several").isEmpty():
+        least = met.where("keeps").groupBy("a", "b").agg(F.min("row").alias("first_row"))
+        met = met.join(least, ["a", "b"]).withColumn("keeps", F.col("keeps") & (F.col("row") == F.col("first_row"))).drop("first_row")
+    nth = F.row_number().over(W.partitionBy("row", "a", "b").orderBy("pos", "n"))
+    return met.repartition("row").withColumn("first", F.col("keeps") & (nth == 1)).drop("keeps")
+
+
+def removed_passages(marked: DataFrame, divisor: int, least: int) -> DataFrame:
+    """(row, start, stop) of the repeated passages that go, from units as ``repeated_units`` gives them."""
+    again = marked.where("not first")
+    run = F.col("pos") - F.row_number().over(W.partitionBy("row").orderBy("pos"))
+    edge = F.when(F.pmod("a", F.lit(divisor)) == 0, F.col("pos"))
+    chains = again.where("n = 2").withColumn("run", run).groupBy("row", "run").agg(
+        F.min("pos").alias("start"),
+        (F.max("pos") + 2).alias("stop"),
+        (F.sum("words") + F.max_by("next_words", "pos")).alias("words"),
+        (F.max(edge) - F.min(edge)).alias("between"),
+    )
+    gone = chains.where((F.col("words") > WORDS) | (F.col("between") >= least)).select("row", "start", "stop")
+    return gone.union(again.where("n = 1").select("row", "pos", F.col("pos") + 1))
+
+
+def joined_gaps(gone: DataFrame) -> DataFrame:
     """(row, cuts): for each row the removed lines as ordered array of struct(start, stop) that neither meet nor overlap."""
-    gone = marked.where("not first").select("row", "start", (F.col("start") + F.col("n")).alias("stop"))
     upto = F.max("stop").over(W.partitionBy("row").orderBy("start", "stop").rowsBetween(W.unboundedPreceding, -1))
     fresh = gone.withColumn("new", F.coalesce((F.col("start") > upto).cast("int"), F.lit(1)))
     group = F.sum("new").over(W.partitionBy("row").orderBy("start", "stop").rowsBetween(W.unboundedPreceding, 0))
@@ -172,11 +120,11 @@ def joined_gaps(marked: DataFrame) -> DataFrame:
     return merged.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("cuts"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", families: tuple[int, ...] = FAMILIES, divisor: int = DIVISOR, least: int = LEAST_LINES) -> DataFrame:
-    """``docs`` with the text without repeated spans, and removed_lines.
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", divisor: int = DIVISOR, least: int = LEAST_LINES) -> DataFrame:
+    """``docs`` with the text without repeated passages, and removed_lines.
 
     A null text stays null, an empty one empty; a text that only repeats others
-    becomes empty, and its row stays. The smallest id keeps a repeated span, at
+    becomes empty, and its row stays. The smallest id keeps a repeated passage, at
     its first place; a null id is the smallest. Of different texts with that id,
     or without any, the one with the smallest hash keeps it. Rows equal in id
     and text stay repeated. An empty table gives an empty one. An input column
@@ -188,29 +136,24 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     row = F.xxhash64(F.col(id_col), F.col(text_col))
     lines = data.where(F.col(text_col).isNotNull()).select(_least_id(data, id_col, dict(data.dtypes)[id_col]).alias("id"), row.alias("row"), lines_of(F.col(text_col)).alias("l"))
     hashed = cut(lines.select("id", "row", F.transform("l", lambda u: F.xxhash64(u)).alias("h"), F.transform("l", _words).alias("words")), "zstd")
-    found = cut(spans_of(repeated_runs(hashed), families, divisor, least), "zstd")
-    marked = removed_spans(found, hashed.select("row", "id").distinct())
+    marked = cut(repeated_units(hashed), "zstd")
 
     def assembled(marked: DataFrame) -> DataFrame:
         """The rows with their lines, what to compare, and what to cut."""
-        marked = cut(marked, "zstd")
-        compare = marked.groupBy("row").agg(F.collect_list(F.struct("start", "n", "a", "b")).alias("spans"))
-        both = compare.join(joined_gaps(marked), "row", "left").withColumnRenamed("row", "of_row")
+        gone = joined_gaps(removed_passages(marked, divisor, least))
+        compare = marked.groupBy("row").agg(F.collect_list(F.struct("pos", "n", "a", "b")).alias("units"))
+        both = compare.join(gone, "row", "left").withColumnRenamed("row", "of_row")
         held = data.withColumn("row", row).join(both, F.col("row") == F.col("of_row"), "left")
-        return cut(held.select(*[F.col(c) for c in place.values() if c != text_col], lines_of(F.col(text_col)).alias(text_col), "spans", "cuts"), "zstd")
+        return cut(held.select(*[F.col(c) for c in place.values() if c != text_col], lines_of(F.col(text_col)).alias(text_col), "units", "cuts"), "zstd")
 
     held = assembled(marked)
     # digests of the bytes of all that share a hash
-    whole = held.where("spans is not null").select(F.col(text_col).alias("l"), F.explode("spans").alias("c"))
-    whole = whole.select("c.a", "c.b", F.unhex(F.sha2(F.array_join(F.slice("l", F.col("c.start") + 1, F.col("c.n")), ""), 256)).alias("bytes"))
-    unequal = whole.groupBy("a", "b").agg((F.min("bytes") != F.max("bytes")).alias("differ")).where("differ").select("a", "b").limit(1000).collect()
-    if len(unequal) == 1000:
-        raise RuntimeError("a 96-bit hash has hundreds of collisions; the input isn't text")
-    if unequal:  # spans that only share a hash stay
-        listed = [(F.col("a") == r["a"]) & (F.col("b") == r["b"]) for r in unequal]
-        for same in listed:
-            marked = marked.where(~same)
-        held = assembled(marked)
+    whole = held.where("units is not null").select(F.col(text_col).alias("l"), F.inline("units"))
+    bytes_of = F.when(F.col("n") == 1, F.get("l", "pos")).otherwise(F.concat(F.get("l", "pos"), F.lit(MARK), F.get("l", F.col("pos") + 1)))
+    digest = whole.select("a", "b", F.xxhash64(F.sha2(bytes_of, 256)).alias("bytes"))
+    unequal = digest.groupBy("a", "b").agg(F.min("bytes").alias("lo"), F.max("bytes").alias("hi")).where("lo < hi").select("a", "b")
+    if not unequal.isEmpty():
+        held = assembled(cut(marked.join(cut(unequal), ["a", "b"], "left_anti")))
     # what lies before, between and after the cuts
     text, cuts = F.col(text_col), F.col("cuts")
     start = lambda i: F.coalesce(F.get(cuts, i)["start"], F.lit(2**30))

@@ -1,6 +1,5 @@
 import re
 import struct
-from collections import Counter, defaultdict
 
 import pytest
 import xxhash
@@ -24,58 +23,44 @@ def hash_line(line):
     return signed(xxhash.xxh64_intdigest(line.encode(), 42))
 
 
-def roll(a, b, seed):
-    h = 42
-    for part in (struct.pack("<q", a), struct.pack("<q", b), struct.pack("<i", seed)):
-        h = xxhash.xxh64_intdigest(part, h)
-    return signed(h)
-
-
-def spans_of_run(lines):
-    """Windows and chunks of a run of lines, by plain Python: (start, number of lines)."""
-    size = [len(re.findall(r"[^\x20\x09-\x0D]+", s)) for s in lines]
-    at, out = [i for i, n in enumerate(size) if n], set()
-    for step, ends in ((1, at), (-1, at[::-1])):
-        for k, i in enumerate(ends):
-            total = 0
-            for j in ends[k:]:
-                total += size[j]
-                if total > linededup.WORDS:
-                    out.add((min(i, j), abs(j - i) + 1))
-                    break
-    if len(lines) >= linededup.LEAST_LINES:
-        h = [hash_line(s) for s in lines]
-        for seed in linededup.FAMILIES:
-            ends = [i + 2 for i in range(len(h) - 1) if roll(h[i], h[i + 1], seed) % linededup.DIVISOR == 0]
-            last = 0
-            for e in dict.fromkeys([*ends, len(h)]):
-                if e - last >= linededup.LEAST_LINES:
-                    out.add((last, e - last))
-                last = e
-    return out
+def roll(a, b):
+    h = xxhash.xxh64_intdigest(struct.pack("<q", a), 42)
+    return signed(xxhash.xxh64_intdigest(struct.pack("<q", b), h))
+
+
+def words(line):
+    return len(re.findall(r"[^\x20\x09-\x0D]+", line))
 
 
 def twin(docs):
-    """{id: text} of {id: text} by plain Python."""
+    """{id: (text, removed lines)} of {id: text} by plain Python."""
     lines = {i: re.split(r"(?<=\n)|(?<=[.!?] )", t) for i, t in docs.items() if t is not None}
-    times = Counter(s for ls in lines.values() for s in ls)
-    places = defaultdict(list)
-    for i, ls in lines.items():
-        run = []
-        for pos, s in enumerate([*ls, None]):
-            if s is not None and times[s] > 1:
-                run.append(pos)
+    seen, gone = set(), {}
+    for i in sorted(lines):
+        ls, again = lines[i], set()
+        for p in range(len(ls) - 1):
+            again |= {p} if (ls[p], ls[p + 1]) in seen else set()
+            seen.add((ls[p], ls[p + 1]))
+        out = {p for p, s in enumerate(ls) if words(s) > linededup.WORDS and s in seen}
+        seen |= {s for s in ls if words(s) > linededup.WORDS}
+        # places of one text: a line that it has twice goes the second time
+        first = set()
+        for p, s in enumerate(ls):
+            if words(s) > linededup.WORDS:
+                out |= {p} if s in first else set()
+                first.add(s)
+        chain = []
+        for p in range(len(ls)):
+            if p in again:
+                chain.append(p)
                 continue
-            words = sum(len(re.findall(r"[^\x20\x09-\x0D]+", ls[p])) for p in run)
-            if run and (len(run) >= linededup.LEAST_LINES or words > linededup.WORDS):
-                for start, n in spans_of_run([ls[p] for p in run]):
-                    places[tuple(ls[run[0] + start : run[0] + start + n])].append((i, run[0] + start, n))
-            run = []
-    gone = defaultdict(set)
-    for where in places.values():
-        for i, start, n in sorted(where)[1:]:
-            gone[i].update(range(start, start + n))
-    return {i: (docs[i] if docs[i] is None else "".join(s for p, s in enumerate(lines[i]) if p not in gone[i]), len(gone[i])) for i in docs}
+            if chain:
+                edges = [q for q in chain if roll(hash_line(ls[q]), hash_line(ls[q + 1])) % linededup.DIVISOR == 0]
+                if sum(words(ls[q]) for q in [*chain, chain[-1] + 1]) > linededup.WORDS or edges and edges[-1] - edges[0] >= linededup.LEAST_LINES:
+                    out |= set(chain) | {chain[-1] + 1}
+            chain = []
+        gone[i] = out
+    return {i: (docs[i] if docs[i] is None else "".join(s for p, s in enumerate(lines[i]) if p not in gone[i]), len(gone.get(i, ()))) for i in docs}
 
 
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
