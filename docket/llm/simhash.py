@@ -14,6 +14,11 @@
    all pairs. A block beyond ``BLOCK`` rows is dealt into chunks and every pair
    of chunks is walked, so nothing is capped.
 5. Links become components, components the smallest doc_id.
+
+``representatives`` removes near-duplicates at a similarity of word shingles, for
+which 64 bits are too few: copies at 0.8 differ in ten of them, and bands of the
+few bits that then agree would hold nearly everything. It takes fingerprints of
+1024 bits, whose distance gives the similarity, and blocks by the smallest hashes.
 """
 
 from __future__ import annotations
@@ -27,6 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docket.llm.columns import numbered
 from docket.llm.components import connected_components
 from docket.llm.groups import key_groups
 from docket.llm.texts import map_texts
@@ -35,24 +41,32 @@ from docket.session import cut
 PIVOTS = 12
 BLOCK = 4096
 TARGET_BLOCK = 64
+WIDE_WORDS = 16  # of 64 bits, for similarities that 64 bits can't tell apart
+KEYS = 6
+MARGIN = 0.027  # standard error of the estimated similarity at 0.8
 
 
-def fingerprint(text: str | None, width: int = 4) -> int:
-    """Majority bits over the XXH64 (seed 42) of the text's word shingles."""
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """The XXH64 (seed 42) of the text's word shingles, repeats included; of fewer words the whole sequence, of none nothing."""
     words = (text or "").encode().lower().split()  # bytes: A-Z only, and the six ASCII blanks only
     if not words:
-        return 0
+        return np.empty(0, dtype="<u8")
     line, n = b" ".join(words), max(1, len(words) - width + 1)
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = np.concatenate([[0], ends[:-1]])[:n].tolist()
     stops = (ends[width - 1 :] - 1).tolist() if len(words) >= width else [len(line)]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(line[a:b], 42) for a, b in zip(starts, stops, strict=True)), dtype="<u8", count=n)
+    return np.fromiter((digest(line[a:b], 42) for a, b in zip(starts, stops, strict=True)), dtype="<u8", count=n)
+
+
+def fingerprint(text: str | None, width: int = 4) -> int:
+    """Majority bits over the hashes of the text's word shingles."""
+    hashes = shingle_hashes(text, width)
     ones = np.zeros(64, dtype=np.int64)
-    for at in range(0, n, 65536):
+    for at in range(0, len(hashes), 65536):
         bits = np.unpackbits(hashes[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
@@ -157,33 +171,126 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = cut(fingerprints(docs, id_col, text_col, width))
     fps = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    named = _components(fps, bits)
+    roots = connected_components(fingerprint_links(fps.select("fp"), bits))
+    named = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = named.join(ids, "component").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def _components(fps: DataFrame, bits: int) -> DataFrame:
-    """(fp, least, component) of distinct (fp, least); component is a fingerprint."""
-    roots = connected_components(fingerprint_links(fps.select("fp"), bits))
-    return fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+def _mixed(hashes: np.ndarray) -> np.ndarray:
+    """Each hash as WIDE_WORDS words of independent bits."""
+    x = hashes[:, None] + np.arange(1, WIDE_WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def sketch(text: str | None, width: int = 5) -> tuple[bytes, int, np.ndarray]:
+    """(wide fingerprint, number of different shingles, the smallest KEYS of their hashes)."""
+    hashes = np.unique(shingle_hashes(text, width))
+    ones = np.zeros(64 * WIDE_WORDS, dtype=np.int64)
+    for at in range(0, len(hashes), 4096):
+        bits = np.unpackbits(_mixed(hashes[at : at + 4096]).view(np.uint8), axis=1, bitorder="little")
+        ones += bits.sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), len(hashes), hashes[:KEYS].view(np.int64)
+
+
+def similarity_of(distance: np.ndarray, n: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Estimated Jaccard similarity of sets of n and other shingles whose wide fingerprints differ in that many bits."""
+    shared = np.clip(np.cos(np.pi * distance / (64 * WIDE_WORDS)), 0, 1) * np.sqrt(n * other)
+    return shared / np.maximum(n + other - shared, 1e-9)
+
+
+def _similar_links(node: np.ndarray, fp: np.ndarray, n: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of a block that are alike, and the smallest of their component in it.
+
+    Walked breadth-first by size: only sets of a size within the similarity can be
+    alike, and of those the pivot distance table discards what the triangle
+    inequality rules out; the others are verified.
+    """
+    most = 64 * WIDE_WORDS * np.arccos(min(1.0, 2 * least / (1 + least))) / np.pi  # at equal sizes, the largest
+    refs = _mixed(np.arange(PIVOTS, dtype=np.uint64))
+    table = np.stack([np.bitwise_count(fp ^ r).sum(axis=1, dtype=np.int32) for r in refs], axis=1)
+    left = np.argsort(n, kind="stable")
+    found: list[np.ndarray] = []
+    while len(left) > 1:
+        members, front, left = [left[:1]], [left[0]], left[1:]
+        while front and len(left):
+            x = front.pop()
+            lo, hi = np.searchsorted(n[left], n[x] * least, "left"), np.searchsorted(n[left], n[x] / least, "right")
+            near = left[lo:hi]
+            near = near[(np.abs(table[near] - table[x]) <= most).all(axis=1)]
+            distance = np.bitwise_count(fp[near] ^ fp[x]).sum(axis=1, dtype=np.int32)
+            near = near[similarity_of(distance, n[near].astype(float), float(n[x])) >= least]
+            if len(near):
+                members.append(near)
+                front.extend(near.tolist())
+                left = left[~np.isin(left, near)]
+        group = np.concatenate(members)
+        if len(group) > 1:
+            found.append(node[group])
+    if not found:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    return np.concatenate(found), np.concatenate([np.full(len(g), g.min(), np.int64) for g in found])
+
 
+def similar_links(nodes: DataFrame, similarity: float) -> DataFrame:
+    """Links (u, v) between nodes (node, wide, n, keys) of an estimated similarity of that or more.
 
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, bits: int = 4) -> DataFrame:
+    Sets of a similarity of 0.8 share one of their KEYS smallest hashes but with a
+    probability of about 0.2 to the power of KEYS, so nodes meet in blocks by
+    those. Only blocks of two nodes or more are dealt; one beyond BLOCK is dealt
+    into chunks, and every pair of chunks is walked.
+    """
+    keyed = nodes.select("node", F.explode("keys").alias("key"))
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    chunks = F.when(F.col("size") > BLOCK, F.ceil(F.col("size") / (BLOCK // 2)).cast("int")).otherwise(F.lit(1))
+    met = keyed.join(sizes.select("key", chunks.alias("chunks")), "key")
+    own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    pair = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.least(own, o) * F.col("chunks") + F.greatest(own, o))
+    met = met.select("node", "key", F.explode(pair).alias("pair")).join(nodes.select("node", "wide", "n"), "node")
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in key_groups(batches, ["key", "pair"]):
+            if len(group) > 1:
+                fp = np.frombuffer(b"".join(group["wide"]), dtype="<u8").reshape(len(group), WIDE_WORDS)
+                u, v = _similar_links(group["node"].to_numpy(), fp, group["n"].to_numpy(), similarity)
+                keep = u != v
+                if keep.any():
+                    yield pd.DataFrame({"u": u[keep], "v": v[keep]})
+
+    return met.repartition("key", "pair").sortWithinPartitions("key", "pair").mapInPandas(run, "u long, v long")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` without near-duplicates: of each component one document stays.
 
-    It is the one with the smallest id, null ids last, and of those the one with
-    the smallest hash of its text; rows that repeat both stay only once. Texts
-    of different components stay, also if they share an id or have none.
+    Two documents are linked when the Jaccard similarity of their sets of
+    ``width``-word shingles, estimated from fingerprints of 1024 bits, is
+    ``similarity`` or more, less MARGIN, the estimate's standard error. Of a
+    component the one with the smallest id stays, null ids last, and of those the
+    one with the smallest hash of its text; rows that repeat both stay only once.
+    Texts of different components stay, also if they share an id or have none.
+    Null and texts without a word are copies of one another. An empty table gives
+    an empty one; all columns pass, whatever their names are.
     """
-    keyed = docs.withColumn("_key", F.xxhash64(F.col(f"`{text_col}`")))
+    data, place = numbered(docs)
+    who, text = place[id_col], place[text_col]
+    keyed = data.withColumn("key", F.xxhash64(text))
 
     def make() -> Callable[[list[str]], dict]:
-        return lambda texts: {"fp": np.array([fingerprint(t, width) for t in texts], dtype=np.uint64).view(np.int64)}
-
-    rows = map_texts(keyed, {"id": id_col, "key": "_key"}, text_col, make, "fp long")
-    fps = cut(rows.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("least")))
-    stays = _components(fps, bits).groupBy("component").agg(F.min("least").alias("least"))
-    stays = stays.select(F.col("least.id").alias("_stay_id"), F.col("least.key").alias("_stay_key"))
-    kept = keyed.join(stays, keyed[id_col].eqNullSafe(stays["_stay_id"]) & (keyed["_key"] == stays["_stay_key"]), "left_semi")
-    return kept.dropDuplicates([id_col, "_key"]).drop("_key")
+        def run(texts: list[str]) -> dict:
+            wide, n, keys = zip(*[sketch(t, width) for t in texts], strict=True) if texts else ((), (), ())
+            return {"wide": list(wide), "n": list(n), "keys": list(keys)}
+
+        return run
+
+    rows = cut(map_texts(keyed, {"id": who, "key": "key"}, text, make, "wide binary, n long, keys array<long>"))
+    least = rows.groupBy("wide", "n").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("least"), F.first("keys").alias("keys"))
+    nodes = cut(least.withColumn("node", F.monotonically_increasing_id()))
+    roots = connected_components(similar_links(nodes.where("n > 0"), similarity - MARGIN)).withColumnRenamed("node", "of")
+    named = nodes.join(roots, F.col("node") == F.col("of"), "left").select("least", F.coalesce("component", "node").alias("component"))
+    stays = named.groupBy("component").agg(F.min("least").alias("least")).select(F.col("least.id").alias("stay_id"), F.col("least.key").alias("stay_key"))
+    kept = keyed.join(stays, keyed[who].eqNullSafe(stays["stay_id"]) & (keyed["key"] == stays["stay_key"]), "left_semi")
+    return kept.dropDuplicates([who, "key"]).select(*[F.col(d).alias(c) for c, d in place.items()])

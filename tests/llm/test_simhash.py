@@ -89,3 +89,54 @@ def test_representatives_of_shared_and_missing_ids(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = [(r.doc_id, r.text) for r in simhash.representatives(docs).collect()]
     assert len(got) == 5 and set(got) == {(None, text("a")), (None, text("b")), (7, text("c")), (8, text("d")), (8, text("e"))}
+
+
+def edited(rng, words, share):
+    """A copy with that share of its words replaced, in runs."""
+    out = list(words)
+    while sum(a != b for a, b in zip(out, words, strict=True)) < share * len(words):
+        at = int(rng.integers(0, len(out)))
+        for i in range(at, min(at + 3, len(out))):
+            out[i] = f"new{rng.integers(0, 10**9)}"
+    return out
+
+
+def shingle_set(text):
+    w = text.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def test_similar_texts_go_and_others_stay(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    texts = []
+    for _ in range(25):
+        base = [f"word{i}" for i in rng.integers(0, 3000, int(rng.integers(80, 600)))]
+        texts.append(base)
+        texts += [edited(rng, base, share) for share in (0.005, 0.01, 0.02, 0.05, 0.2)]
+    texts = [" ".join(t) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [shingle_set(t) for t in texts]
+    jaccard = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in range(len(texts)) for j in range(i) if i // 6 == j // 6}
+    for block in (4096, 8):
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        kept = {r.doc_id for r in simhash.representatives(docs).collect()}
+        for i in range(len(texts)):
+            near = [jaccard[(i, j)] for j in range(i - i % 6, i)]
+            if any(s >= 0.86 for s in near):
+                assert i not in kept, near
+            if all(s < 0.7 for s in near):
+                assert i in kept, near
+
+
+def test_estimate_of_similarity():
+    rng = np.random.default_rng(3)
+    off = []
+    for share in (0.6, 0.7, 0.8, 0.9, 1.0):
+        for _ in range(20):
+            n = 400
+            both = rng.integers(0, 2**63, int(2 * share * n / (1 + share)), dtype=np.uint64)
+            sides = [np.concatenate([both, rng.integers(0, 2**63, n - len(both), dtype=np.uint64)]) for _ in range(2)]
+            fp = [np.packbits(2 * np.unpackbits(simhash._mixed(s).view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=int) > n, bitorder="little").view("<u8") for s in sides]
+            found = simhash.similarity_of(np.bitwise_count(fp[0] ^ fp[1]).sum(), np.array([float(n)]), float(n))[0]
+            off.append(found - len(both) / (2 * n - len(both)))
+    assert abs(np.mean(off)) < 0.01 and np.std(off) < 0.035
