@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docket.llm.columns import numbered
 from docket.llm.texts import ROW, map_texts
 from docket.llm.tokens import END_ID, default_tokenizer, encoder
 from docket.session import cut
@@ -25,6 +26,8 @@ from docket.session import cut
 CAPACITY = 2048
 BUCKET = 4096
 ROUNDS = 4
+#: Sequence ids: the round, the bucket and the sequence in it have these bits each; full pieces have negative ids.
+ROUND_AT, BUCKET_AT = 58, 22
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -55,13 +58,17 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     f_t counts a length over capacity - t as a whole sequence, drops one under
     t, and leaves the others; no sequence holds more than ``capacity`` of f_t.
     """
-    hist = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
+    return histogram_bound(np.bincount(lengths, minlength=capacity + 1).astype(np.int64), capacity)
+
+
+def histogram_bound(hist: np.ndarray, capacity: int) -> int:
+    """``lower_bound`` of lengths by how often each occurs."""
     tokens = hist * np.arange(capacity + 1)
     upto, count = np.cumsum(tokens), np.cumsum(hist)
     t = np.arange(capacity // 2 + 1)
     large = count[capacity] - count[capacity - t]
     middle = upto[capacity - t] - np.where(t > 0, upto[np.maximum(t - 1, 0)], 0)
-    return int((large + -(-middle // capacity)).max()) if len(lengths) else 0
+    return int((large + -(-middle // capacity)).max())
 
 
 def _bucket_packer(turn: int, capacity: int, final: bool) -> Callable:
@@ -74,8 +81,10 @@ def _bucket_packer(turn: int, capacity: int, final: bool) -> Callable:
         bins = int(where.max()) + 1
         sure = bins <= lower_bound(lengths, capacity)
         full = np.bincount(where, weights=lengths, minlength=bins)[where] >= capacity
-        seq = [f"r{turn}-{keys[0]}-{b}" for b in where.tolist()]
-        return pd.DataFrame({"pack_row": group["pack_row"], "length": lengths, "seq": seq, "offset": offset, "certified": sure, "done": full | sure | final})
+        if bins >= 1 << BUCKET_AT:
+            raise ValueError("a bucket of over four million sequences")
+        seq = (turn << ROUND_AT) + (int(keys[0]) << BUCKET_AT) + where
+        return pd.DataFrame({"pack_row": group["pack_row"], "length": lengths, "sequence_id": seq, "offset": offset, "certified": sure, "done": full | sure | final})
 
     return run
 
@@ -86,34 +95,50 @@ def pack(pieces: DataFrame, length_col: str = "length", capacity: int = CAPACITY
     Lengths are from 0 to ``capacity``; others, and nulls, raise. A piece of
     length 0 takes no room and gets a place in some sequence. ``certified`` is
     true where the bucket in which the piece was placed for good has as few
-    sequences as any packing of it. Rows may repeat; ties take any order. An
-    empty table gives an empty one. The columns sequence_id, offset and
-    certified of the input are replaced.
+    sequences as any packing of it; ``packing_report`` has the bound of the
+    whole. Rows may repeat; ties take any order. An empty table gives an empty
+    one. The columns sequence_id, offset and certified of the input are
+    replaced; others pass, whatever their names are.
     """
-    pieces = pieces.drop("sequence_id", "offset", "certified")
-    spark = pieces.sparkSession
-    checked = pieces.withColumn(length_col, F.when(F.col(length_col).between(0, capacity), F.col(length_col)).otherwise(F.raise_error(F.concat(F.lit("not a piece's length: "), F.coalesce(F.col(length_col).cast("string"), F.lit("null"))))).cast("long"))
-    rows = cut(checked.withColumn("pack_row", F.monotonically_increasing_id()))
+    if not 1 <= rounds < 32:
+        raise ValueError("from 1 to 31 rounds")
+    data, place = numbered(pieces)
+    length = F.col(place[length_col])
+    checked = F.when(length.between(0, capacity), length).otherwise(F.raise_error(F.concat(F.lit("not a piece's length: "), F.coalesce(length.cast("string"), F.lit("null"))))).cast("long")
+    rows = cut(data.withColumn(place[length_col], checked).withColumn("pack_row", F.monotonically_increasing_id()))
     # a full piece is a sequence by itself
-    own = rows.where(F.col(length_col) == capacity).select("pack_row", F.concat(F.lit("p"), F.col("pack_row")).alias("seq"), F.lit(0).cast("long").alias("offset"), F.lit(True).alias("certified"))
-    left = rows.where(F.col(length_col) < capacity).select("pack_row", F.col(length_col).alias("length"))
-    placed = [own]
+    own = rows.where(length == capacity).select("pack_row", (-1 - F.col("pack_row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(True).alias("certified"))
+    left = rows.where(length < capacity).select("pack_row", length.alias("length"))
+    placed = own
     for turn in range(rounds):
         n = left.count()
         if not n:
             break
         buckets = -(-n // bucket)
         run = _bucket_packer(turn, capacity, turn == rounds - 1 or buckets == 1)
-        salted = left.withColumn("bucket", F.pmod(F.xxhash64("pack_row", F.lit(turn)), F.lit(buckets)).cast("int"))
-        out = cut(salted.groupBy("bucket").applyInPandas(run, "pack_row long, length long, seq string, offset long, certified boolean, done boolean"))
-        placed.append(out.where("done").select("pack_row", "seq", "offset", "certified"))
+        salted = left.withColumn("bucket", F.pmod(F.xxhash64("pack_row", F.lit(turn)), F.lit(buckets)))
+        out = cut(salted.groupBy("bucket").applyInPandas(run, "pack_row long, length long, sequence_id long, offset long, certified boolean, done boolean"))
+        placed = placed.union(out.where("done").select("pack_row", "sequence_id", "offset", "certified"))
         left = out.where("not done").select("pack_row", "length")
-    all_placed = placed[0]
-    for p in placed[1:]:
-        all_placed = all_placed.union(p)
-    all_placed = all_placed.withColumn("sequence_id", F.xxhash64("seq")).drop("seq")
-    joined = rows.join(all_placed, "pack_row")
-    return joined.select(*pieces.columns, "sequence_id", "offset", "certified")
+    new = ["sequence_id", "offset", "certified"]
+    return rows.join(placed, "pack_row").select(*[F.col(d).alias(c) for c, d in place.items() if c not in new], *new)
+
+
+def packing_report(packed: DataFrame, length_col: str = "length", capacity: int = CAPACITY) -> DataFrame:
+    """One row: pieces, tokens, sequences, the fewest that any packing of all needs, the gap, certified pieces.
+
+    Lengths are counted on the cluster; the bound needs only how often each
+    length occurs, at most ``capacity`` + 1 numbers.
+    """
+    spark = packed.sparkSession
+    counts = packed.groupBy(F.col(length_col).cast("long").alias("length")).agg(F.count(F.lit(1)).alias("n"), F.count_if("certified").alias("sure")).collect()
+    hist = np.zeros(capacity + 1, dtype=np.int64)
+    for r in counts:
+        hist[r["length"]] = r["n"]
+    sequences = packed.select("sequence_id").distinct().count()
+    least = histogram_bound(hist, capacity)
+    row = (int(hist.sum()), int((hist * np.arange(capacity + 1)).sum()), sequences, least, sequences - least, sum(r["sure"] for r in counts))
+    return spark.createDataFrame([row], "pieces long, tokens long, sequences long, bound long, gap long, certified_pieces long")
 
 
 def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:

@@ -80,3 +80,32 @@ def test_odd_rows(spark, odd, empty):
 def test_bad_lengths_raise(spark):
     with pytest.raises(Exception, match="not a piece"):
         packing.pack(spark.createDataFrame([(1, None)], "doc_id long, length int")).count()
+
+
+def test_own_column_names_clash(spark):
+    names = ["pack_row", "seq", "bucket", "done", "certified", "d0", "d1"]
+    pieces = spark.createDataFrame([(i, 100 + i, *[f"{n}{i}" for n in names]) for i in range(50)], ["doc_id", "length", *names])
+    out = packing.pack(pieces)
+    assert out.columns == [*[c for c in pieces.columns if c != "certified"], "sequence_id", "offset", "certified"]
+    for r in out.collect():
+        assert [r[n] for n in names if n != "certified"] == [f"{n}{r.doc_id}" for n in names if n != "certified"]
+
+
+def test_sequence_ids_never_meet(spark):
+    """Ids are made of round, bucket and place, so many sequences keep apart, full pieces too."""
+    pieces = spark.range(20_000).selectExpr("id AS doc_id", "int(CASE WHEN id % 5 = 0 THEN 2048 ELSE 700 + (id * 7919) % 1300 END) AS length")
+    rows = packing.pack(pieces, bucket=300, rounds=6).collect()
+    load = defaultdict(int)
+    for r in rows:
+        load[r.sequence_id] += r.length
+    assert max(load.values()) <= packing.CAPACITY
+    starts = sum(r.offset == 0 for r in rows)
+    assert starts == len(load)
+
+
+def test_report_of_bound_and_gap(spark):
+    pieces = spark.createDataFrame([(i, n) for i, n in enumerate([2048, 1500, 1500, 1500, 600, 548, 500])], "doc_id long, length int")
+    got = packing.packing_report(packing.pack(pieces)).first()
+    assert (got.pieces, got.tokens, got.sequences, got.bound, got.gap) == (7, 8196, 5, 5, 0)
+    none = packing.packing_report(packing.pack(pieces.limit(0))).first()
+    assert (none.pieces, none.sequences, none.bound, none.gap) == (0, 0, 0, 0)
