@@ -10,17 +10,20 @@ prediction is the language with the largest proportion, the score its proportion
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docket.llm.texts import map_texts
 
 BUCKETS = 1 << 16
 SAMPLE_DOCS = 2_000
+DOC_CHARS = 20_000  # longest document to learn from
+LANGUAGES = 256
 STEP_CHARS = 2_000_000
 EM_ROUNDS = 12  # from equal shares over all languages
 MORE_ROUNDS = 3  # after a language is dropped, from the shares before
@@ -139,23 +142,26 @@ def infer(texts: list[str], model: Model) -> tuple[list[str], np.ndarray, np.nda
     return pred, score, shares
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS) -> Model:
-    """Learns from at most ``sample_docs`` documents of each language, chosen by their text's hash.
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, doc_chars: int = DOC_CHARS, languages: int = LANGUAGES) -> Model:
+    """Learns from at most ``sample_docs`` different documents of each language, chosen by their text's hash.
 
-    Null texts and null languages are not used. The sample is read language by
-    language, so it never stands whole in the driver.
+    Null texts, null languages and texts of more than ``doc_chars`` characters are
+    not used, nor more than the ``languages`` commonest languages, so what
+    reaches the driver is bounded in bytes. Two scans do for all languages: one
+    finds each language's largest hash in its sample, one reads the sample.
     """
-    known = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("h"))
-    names = [r[0] for r in known.select("lang").distinct().collect()]
-
-    def rows() -> Iterator[tuple[str, str]]:
-        for name in sorted(names):
-            part = known.where(F.col("lang") == name)
-            least = part.select("h").orderBy("h").limit(sample_docs).agg(F.max("h")).first()[0]
-            for r in part.where(F.col("h") <= least).select("h", "text").dropDuplicates(["h"]).orderBy("h").toLocalIterator():
-                yield r["text"], name
-
-    return train(rows())
+    text, lang = F.col(f"`{text_col}`"), F.col(f"`{lang_col}`")
+    known = docs.where(F.length(text).between(1, doc_chars) & lang.isNotNull()).select(text.alias("text"), lang.cast("string").alias("lang"), F.xxhash64(text).alias("h"))
+    once = known.groupBy("lang", "h").agg(F.count(F.lit(1)).alias("n"))
+    nth = F.row_number().over(W.partitionBy("lang").orderBy("h"))
+    edge = once.select("lang", "h").withColumn("nth", nth).where(F.col("nth") <= sample_docs).groupBy("lang").agg(F.max("h").alias("most"))
+    common = once.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    edges = {r["lang"]: r["most"] for r in edge.join(common, "lang", "left_semi").collect()}
+    if not edges:
+        return train([])
+    most = F.create_map(*[F.lit(x) for pair in sorted(edges.items()) for x in pair])
+    rows = known.where(F.col("h") <= most[F.col("lang")]).dropDuplicates(["lang", "h"]).select("text", "lang")
+    return train((r["text"], r["lang"]) for r in rows.toLocalIterator())
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

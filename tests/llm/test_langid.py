@@ -40,3 +40,12 @@ def test_odd_rows(spark, odd, empty):
     assert langid.fit(empty).languages == []
     assert {r.lang_pred for r in langid.predict(odd, langid.fit(empty)).collect()} == {"und"}
     assert set(langid.fit(odd).languages) == {"de", "en"}
+
+
+def test_sample_is_of_different_texts_and_bounded(spark):
+    rows = [(f"the cat and the dog number {i}", "en") for i in range(50)] + [("der hund", "de")] * 100 + [("x" * 30_000, "en"), ("le chat", None)]
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    assert set(langid.fit(docs).languages) == {"de", "en"}
+    assert langid.fit(docs, languages=1).languages == ["de"]
+    few = langid.fit(docs, sample_docs=3)
+    assert set(few.languages) == {"de", "en"} and few.loglik.shape == (langid.BUCKETS, 2)
