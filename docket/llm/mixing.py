@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from docket.llm.columns import numbered
 from docket.session import cut
 
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -87,6 +88,9 @@ def source_thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
     return joined.select("source", "source_size", "target", "base_copies", F.coalesce("threshold", F.lit(-1)).cast("long").alias("threshold"))
 
 
+NEW = ["mix_size", "mix_source_size", "mix_target", "mix_copies", "mix_taken"]
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """``docs`` with mix_size, mix_source_size, mix_target, mix_copies, mix_taken.
 
@@ -95,23 +99,29 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     own, sorted last; a null id is an id of its own. Rows that share an id share
     its hash and are decided alike. A source without words has target 0. An
     empty table gives an empty table. Input columns named like the new ones are
-    replaced; others pass unchanged.
+    replaced; others pass unchanged, whatever their names are.
     """
-    new = ["mix_size", "mix_source_size", "mix_target", "mix_copies", "mix_taken"]
-    docs = docs.drop(*new)
-    keyed = docs.select(F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), id_hash(F.col(id_col)).alias("h"))
-    keyed = cut(keyed)
+    data, place = numbered(docs)
+    out = _mixed(data, place[id_col], place[text_col], place[source_col], weights, share, cap)
+    return out.select(*[F.col(d).alias(c) for c, d in place.items() if c not in NEW], *NEW)
+
+
+def _mixed(data: DataFrame, id_col: str, text_col: str, source_col: str, weights: Sequence[float], share: float, cap: float) -> DataFrame:
+    """``data`` with the new columns; its own are named d0, d1, ..."""
+    keyed = cut(data.select(F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), id_hash(F.col(id_col)).alias("h")))
     sums = cut(keyed.groupBy("source").agg(F.sum("size").alias("source_size")).coalesce(1))
     plan = cut(source_thresholds(keyed, source_targets(sums, weights, share, cap)).coalesce(1))
     plan = plan.select(F.col("source").alias("mix_s"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), "base_copies", "threshold")
-    out = docs.withColumn("mix_size", word_count(F.col(text_col)))
+    out = data.withColumn("mix_size", word_count(F.col(text_col)))
     out = out.join(plan, F.col(source_col).eqNullSafe(F.col("mix_s")), "left")
     copies = F.col("base_copies") + (id_hash(F.col(id_col)) <= F.col("threshold")).cast("int")
     out = out.withColumn("mix_copies", copies).withColumn("mix_taken", F.col("mix_size") * F.col("mix_copies"))
-    return out.select(*docs.columns, *new)
+    return out.select(*data.columns, *NEW)
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """The mix itself: each document as often as it is taken, in the columns of ``docs``."""
-    out = mix(docs, **options)
-    return out.withColumn("mix_copy", F.explode(F.when(F.col("mix_copies") > 0, F.sequence(F.lit(1), F.col("mix_copies"))).otherwise(F.array().cast("array<int>")))).select(*docs.columns)
+    data, place = numbered(docs)
+    out = _mixed(data, place[id_col], place[text_col], place[source_col], weights, share, cap)
+    times = F.when(F.col("mix_copies") > 0, F.sequence(F.lit(1), F.col("mix_copies"))).otherwise(F.array().cast("array<int>"))
+    return out.select(*place.values(), F.explode(times)).select(*[F.col(d).alias(c) for c, d in place.items()])

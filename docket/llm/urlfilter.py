@@ -17,6 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docket.llm.columns import numbered
 from docket.llm.components import connected_components
 from docket.session import cut
 
@@ -91,23 +92,23 @@ def judge(pages: DataFrame, rules: list[Rule], redirects: DataFrame | None = Non
     A null url, or one without ://, has empty host and path, no rule, no alias,
     and is allowed. Null html declares no link. Repeated urls are judged alike.
     An empty table gives an empty one. Input columns with the new names are
-    replaced.
+    replaced; others pass, whatever their names are.
     """
-    new = ["host", "path", "rule", "verdict", "alias"]
-    kept = [c for c in pages.columns if c not in new]
-    told = links(pages, url_col, html_col)
+    data, place = numbered(pages)
+    kept = {c: d for c, d in place.items() if c not in ("host", "path", "rule", "verdict", "alias")}
+    url, html = place[url_col], place[html_col]
+    told = links(data, url, html)
     if redirects is not None:
         told = told.union(redirects.select("url", "target"))
     told = cut(told.select(F.col("url"), F.col("target"), alias_key(F.col("url")).alias("u"), alias_key(F.col("target")).alias("v")).where("u is not null and v is not null"))
     roots = connected_components(told.select("u", "v"))
-    urls = pages.select(F.col(url_col).alias("url")).union(told.select("target"))
+    urls = data.select(F.col(url).alias("url")).union(told.select("target"))
     own = rule_of(host_of(F.col("url")), path_of(F.col("url")), rules)
     blocked = urls.where(own["verdict"] == "block").select(alias_key(F.col("url")).alias("node")).where("node is not null").distinct()
     blocked = blocked.join(roots, "node", "left").select(F.coalesce("component", "node").alias("alias")).distinct().withColumn("blocked", F.lit(True))
-    out = pages.select(*kept, F.struct(host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"), alias_key(F.col(url_col)).alias("key")).alias("_u"))
-    out = out.withColumn("_r", rule_of(F.col("_u.host"), F.col("_u.path"), rules))
-    named = roots.select(F.col("node").alias("_node"), F.col("component").alias("_component"))
-    out = out.join(named, out["_u.key"] == named["_node"], "left").withColumn("alias", F.coalesce("_component", "_u.key"))
+    out = data.select(*kept.values(), F.struct(host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), alias_key(F.col(url)).alias("key")).alias("u"))
+    out = out.withColumn("r", rule_of(F.col("u.host"), F.col("u.path"), rules))
+    out = out.join(roots, out["u.key"] == roots["node"], "left").withColumn("alias", F.coalesce("component", "u.key"))
     out = out.join(blocked, "alias", "left")
-    verdict = F.coalesce(F.col("_r.verdict"), F.when(F.col("blocked"), F.lit("block")).otherwise(F.lit("allow")))
-    return out.select(*kept, F.col("_u.host").alias("host"), F.col("_u.path").alias("path"), F.col("_r.rule").alias("rule"), verdict.alias("verdict"), "alias")
+    verdict = F.coalesce(F.col("r.verdict"), F.when(F.col("blocked"), F.lit("block")).otherwise(F.lit("allow")))
+    return out.select(*[F.col(d).alias(c) for c, d in kept.items()], F.col("u.host").alias("host"), F.col("u.path").alias("path"), F.col("r.rule").alias("rule"), verdict.alias("verdict"), "alias")

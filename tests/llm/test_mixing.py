@@ -35,3 +35,15 @@ def test_odd_rows(odd, empty):
     assert out.where("source IS NULL").first().mix_source_size == 0
     assert mixing.mixed_documents(odd).columns == odd.columns
     assert mixing.mix(empty).count() == 0
+
+
+def test_own_column_names_clash(spark):
+    names = ["threshold", "base_copies", "size", "h", "mix_s", "mix_copy", "s", "left", "prefix", "bucket", "d0", "d1", "target", "mix_size"]
+    docs = spark.createDataFrame([(i, "w " * (i + 1), f"s{i % 2}", *[f"{n}{i}" for n in names]) for i in range(6)], ["doc_id", "text", "source", *names])
+    plain = {r.doc_id: (r.mix_size, r.mix_taken) for r in mixing.mix(docs.select("doc_id", "text", "source")).collect()}
+    out = mixing.mix(docs)
+    for r in out.collect():
+        assert (r.mix_size, r.mix_taken) == plain[r.doc_id]
+        assert [r[n] for n in names[:-1]] == [f"{n}{r.doc_id}" for n in names[:-1]]
+    taken = mixing.mixed_documents(docs)
+    assert taken.columns == docs.columns and {r.mix_size for r in taken.collect()} <= {f"mix_size{i}" for i in range(6)}

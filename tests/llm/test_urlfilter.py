@@ -42,3 +42,21 @@ def test_redirect_table_and_empty(spark):
     moved = spark.createDataFrame([("http://a.net/x", "http://b.com/de/")], "url string, target string")
     assert urlfilter.judge(pages, URL_RULES, moved).first().verdict == "block"
     assert urlfilter.judge(pages.limit(0), URL_RULES).count() == 0
+
+
+def test_own_column_names_clash(spark):
+    names = ["blocked", "_u", "_r", "u", "r", "_node", "node", "component", "_component", "key", "target", "tag", "d0", "d1"]
+    pages = spark.createDataFrame([(*p, *[f"{n}{p[0]}" for n in names]) for p in PAGES], "page_id long, url string, html string, " + ", ".join(f"{n} string" for n in names))
+    plain = {r.page_id: (r.verdict, r.rule, r.host) for r in urlfilter.judge(pages.select("page_id", "url", "html"), URL_RULES).collect()}
+    rows = urlfilter.judge(pages, URL_RULES).collect()
+    assert len(rows) == len(PAGES)
+    for r in rows:
+        assert (r.verdict, r.rule, r.host) == plain[r.page_id]
+        assert [r[n] for n in names] == [f"{n}{r.page_id}" for n in names]
+
+
+def test_nulls_in_any_column_and_very_long_urls(spark):
+    long = "http://x.com/de/" + "a" * 200_000
+    pages = spark.createDataFrame([(None, None, None), (1, long, None), (2, "http://y.net/", "x" * 500_000 + f'<link rel="canonical" href="{long}">'), (3, "", "")], "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in urlfilter.judge(pages, URL_RULES).collect()}
+    assert got == {None: "allow", 1: "block", 2: "block", 3: "allow"}
