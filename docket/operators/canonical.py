@@ -7,11 +7,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SMALL_TABLE = 200_000
+SMALL_BYTES = 64 << 20
 
 
-def bounded(table: DataFrame, most: int = SMALL_TABLE) -> DataFrame:
-    """A lookup table, broadcast only if it has ``most`` rows at most."""
-    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
+def bounded(table: DataFrame, most: int = SMALL_TABLE, most_bytes: int = SMALL_BYTES) -> DataFrame:
+    """A lookup table, broadcast only if it has ``most`` rows and ``most_bytes`` bytes as JSON at most."""
+    head = table.limit(most + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("size")).first()
+    return F.broadcast(table) if head["n"] <= most and head["size"] <= most_bytes else table
 
 
 def canonical_lookup(rows: DataFrame, value_col: str, table: DataFrame, key) -> DataFrame:
@@ -63,14 +65,37 @@ def rename_nested(parents: DataFrame, children: DataFrame, on: str, parent_col:
     return low.join(top, on)
 
 
+def _piece(text: Column, size: Column, i: Column, n: Column, shift: Column | None = None) -> Column:
+    """The i-th of n pieces of a text of that size, or what stands in ``text`` at its place moved by ``shift``."""
+    a, b = F.floor(i * size / n).cast("int"), F.floor((i + 1) * size / n).cast("int")
+    at = a if shift is None else a + shift
+    return F.when((at >= 0) & (at + b - a <= F.length(text)), F.substring(text, at + 1, b - a))
+
+
 def near_names(values: DataFrame, known: DataFrame, least: int = 5, ratio: float = 0.34, top: int = 3) -> DataFrame:
     """(value, suggestion, distance, pos): known names within one character of length and ``ratio`` of edit distance.
 
-    Blocked on length, so it is an equi-join, never every pair.
+    Names meet on pieces: with d edits allowed a known name is cut into d + 1
+    pieces, of which one stands in any name within d edits unchanged, moved by d
+    places at most. So no pair is missed, and a name meets only those that share
+    a piece at about its place with it, never all of its length. ``least`` is 2 or
+    more, ``ratio`` under one half.
     """
-    v = values.select("value").distinct().where(F.length("value") >= least).select("value", F.explode(F.array(*[F.length("value") + d for d in (-1, 0, 1)])).alias("size"))
-    k = known.select(F.col("value").alias("suggestion")).distinct().withColumn("size", F.length("suggestion"))
-    pairs = v.join(k, "size").withColumn("distance", F.levenshtein("value", "suggestion"))
+    if least < 2 or not 0 <= ratio < 0.5:
+        raise ValueError("pieces would be empty")
+    edits = lambda size: F.floor(ratio * (size + 1)).cast("int")
+    k = known.select(F.col("value").alias("suggestion")).distinct().where(F.length("suggestion") >= least - 1).withColumn("size", F.length("suggestion"))
+    cut_up = F.transform(F.sequence(F.lit(0), edits(F.col("size"))), lambda i: F.struct(i.alias("i"), _piece(F.col("suggestion"), F.col("size"), i, edits(F.col("size")) + 1).alias("piece")))
+    k = k.select("suggestion", "size", F.explode(cut_up).alias("p")).select("suggestion", "size", "p.*")
+    v = values.select("value").distinct().where(F.length("value") >= least)
+    v = v.select("value", F.explode(F.array(*[F.length("value") + d for d in (-1, 0, 1)])).alias("size")).where(F.col("size") >= least - 1).withColumn("d", edits(F.col("size")))
+
+    def moved(i: Column) -> Column:
+        return F.transform(F.sequence(-F.col("d"), F.col("d")), lambda s: F.struct(i.alias("i"), _piece(F.col("value"), F.col("size"), i, F.col("d") + 1, s).alias("piece")))
+
+    found = F.array_distinct(F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.col("d")), moved)), lambda p: p["piece"].isNotNull()))
+    v = v.select("value", "size", F.explode(found).alias("p")).select("value", "size", "p.*")
+    pairs = v.join(k, ["size", "i", "piece"]).select("value", "suggestion").distinct().withColumn("distance", F.levenshtein("value", "suggestion"))
     pairs = pairs.where((F.col("distance") > 0) & (F.col("distance") / F.greatest(F.length("value"), F.length("suggestion")) <= ratio))
     order = W.partitionBy("value").orderBy("distance", "suggestion")
     return pairs.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= top).select("value", "suggestion", "distance", "pos")
@@ -101,7 +126,9 @@ def alias_candidates(values: DataFrame, known: DataFrame, key) -> DataFrame:
 
 def validate_units(units: DataFrame, key_col: str, order_col: str, checks: dict[str, Column]) -> DataFrame:
     """(key, order, problem): each named check that holds, and keys that an earlier row has."""
-    again = F.row_number().over(W.partitionBy(key_col).orderBy(order_col)) > 1
+    # rows without a key are spread: they are only told to be without one
+    salt = F.when(F.col(key_col).isNull(), F.xxhash64(order_col))
+    again = F.row_number().over(W.partitionBy(key_col, salt).orderBy(order_col)) > 1
     told = [F.when(F.col(key_col).isNull(), "missing_key"), F.when(F.col(key_col).isNotNull() & F.col("_again"), "duplicate_key")]
     told += [F.when(c, F.lit(name)) for name, c in checks.items()]
     rows = units.withColumn("_again", again)

@@ -6,6 +6,7 @@ bounded by a case's own log.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from datetime import timedelta
 
 import pandas as pd
@@ -58,7 +59,7 @@ def stale_stages(changes: DataFrame, impact: DataFrame, status: DataFrame, defau
     A field that isn't listed affects the default stages, one listed with an
     empty list none.
     """
-    out = changes.select("case_id", "field").distinct().join(F.broadcast(impact), "field", "left")
+    out = changes.select("case_id", "field").distinct().join(impact, "field", "left")
     hit = out.select("case_id", F.explode(F.coalesce("stages", F.array(*[F.lit(s) for s in default]))).alias("stage")).distinct()
     return hit.join(status.where(F.col("status").isin("done", "confirmed")).select("case_id", "stage"), ["case_id", "stage"])
 
@@ -101,20 +102,28 @@ def dead_runs(events: DataFrame, minutes: int = DEAD_MINUTES) -> DataFrame:
 
 
 def accepted_starts(starts: DataFrame, minutes: int = DEAD_MINUTES) -> DataFrame:
-    """Starts that count: one within ``minutes`` of the last that counted is ignored."""
+    """Starts that count: one within ``minutes`` of the last that counted is ignored.
+
+    Partitions are sorted and walked once; only the case at hand and its last start
+    are held, so a case may have any number of starts.
+    """
     wait = timedelta(minutes=minutes)
 
-    def run(keys: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["ts", "event_id"])
-        last, keep = None, []
-        for t in g["ts"]:
-            fine = last is None or t - last > wait
-            keep.append(fine)
-            last = t if fine else last
-        return g.assign(accepted=keep)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, last = None, None
+        for batch in batches:
+            keep = []
+            for case, stage, t in zip(batch["case_id"], batch["stage"], batch["ts"], strict=True):
+                if (case, stage) != here:
+                    here, last = (case, stage), None
+                fine = last is None or t - last > wait
+                keep.append(fine)
+                last = t if fine else last
+            yield batch.assign(accepted=keep)
 
     kinds = ", ".join(f"{n} {t}" for n, t in starts.dtypes)
-    return starts.groupBy("case_id", "stage").applyInPandas(run, kinds + ", accepted boolean")
+    dealt = starts.repartition("case_id", "stage").sortWithinPartitions("case_id", "stage", "ts", "event_id")
+    return dealt.mapInPandas(run, kinds + ", accepted boolean")
 
 
 def trail(events: DataFrame, detail: str, most: int = 4000) -> DataFrame:

@@ -57,11 +57,14 @@ def fragments(quote: Column, ellipsis: str = r"…+|\.{3,}", least: int = 8) ->
     return F.filter(F.transform(F.split(quote, ellipsis), squashed), lambda p: F.length(p) >= least)
 
 
-def verify_quotes(quotes: DataFrame, sources: DataFrame, case_col: str | None = None, least: int = 12) -> DataFrame:
-    """(quote_id, result, found_in): verbatim, misattributed, same_without_punctuation, not_found; short ones emphasis.
+def verify_quotes(quotes: DataFrame, sources: DataFrame, case_col: str | None = None, least: int = 12, cut_at: int = 600) -> DataFrame:
+    """(quote_id, result, found_in, cited_truncated): verbatim, misattributed, same_without_punctuation, not_found; short ones emphasis.
 
     ``quotes``: quote_id, quote, cited (keys); ``sources``: ref_key, text, both
     with the case if there is one. A quote is in a source if every fragment is.
+    ``cited_truncated`` lists for a quote that wasn't found the cited sources of
+    ``cut_at`` characters or more: they may have been cut there, and the quote may
+    stand in what is missing.
     """
     on = [case_col] if case_col else None
     keys = on or []
@@ -81,7 +84,12 @@ def verify_quotes(quotes: DataFrame, sources: DataFrame, case_col: str | None =
     out = quotes.select("quote_id", F.length("quote").alias("size")).join(a, "quote_id", "left").join(b, "quote_id", "left")
     result = F.when(F.col("size") < least, "emphasis").when(F.col("own") == 1, "verbatim").when(F.col("there").isNotNull(), "misattributed").when(F.col("loose").isNotNull(), "same_without_punctuation").otherwise("not_found")
     found_in = F.when(F.col("own") == 1, F.col("here")).otherwise(F.coalesce("there", "loose"))
-    return out.select("quote_id", result.alias("result"), found_in.alias("found_in"))
+    out = out.select("quote_id", result.alias("result"), found_in.alias("found_in"))
+    cited = quotes.select("quote_id", *keys, F.explode("cited").alias("ref_key"))
+    full = sources.where(F.length("text") >= cut_at).select(*keys, "ref_key")
+    long_ones = cited.join(full, [*keys, "ref_key"]).groupBy("quote_id").agg(F.array_sort(F.collect_set("ref_key")).alias("cut"))
+    none = F.array().cast(dict(long_ones.dtypes)["cut"])
+    return out.join(long_ones, "quote_id", "left").select("quote_id", "result", "found_in", F.when(F.col("result") == "not_found", F.coalesce("cut", none)).otherwise(none).alias("cited_truncated"))
 
 
 def deferrals(text: Column, conclusion: Column, pattern: str, decided: tuple[str, ...] = DECIDED) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -47,31 +49,34 @@ def match_one_to_one(proposals: DataFrame, left_ids: DataFrame, right_ids: DataF
     """(case, pos, left_id, right_id, status, pair_no): proposals in order, accepted one-to-one.
 
     A proposal with an id that its case doesn't have is ``unknown id``, one with
-    an id of an accepted pair ``not one-to-one``. A case's proposals are one
-    ordered array, so greedy acceptance is a fold over it.
+    an id of an accepted pair ``not one-to-one``. Partitions are sorted and walked
+    once; of the case at hand only the ids of its accepted pairs are held.
     """
     known = proposals.join(left_ids.select(case_col, "left_id").distinct().withColumn("_l", F.lit(True)), [case_col, "left_id"], "left")
     known = known.join(right_ids.select(case_col, "right_id").distinct().withColumn("_r", F.lit(True)), [case_col, "right_id"], "left")
     known = known.withColumn("known", F.col("_l").isNotNull() & F.col("_r").isNotNull())
     kinds = dict(known.dtypes)
 
-    def run(keys: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["pos", "left_id", "right_id"])
-        left, right, status, number = set(), set(), [], []
-        for a, b, ok in zip(g.left_id, g.right_id, g.known, strict=True):
-            if not ok:
-                status.append("unknown id")
-            elif a in left or b in right:
-                status.append("not one-to-one")
-            else:
-                left.add(a)
-                right.add(b)
-                status.append("accepted")
-            number.append(len(left) if status[-1] == "accepted" else None)
-        return pd.DataFrame({case_col: g[case_col], "pos": g["pos"], "left_id": g["left_id"], "right_id": g["right_id"], "status": status, "pair_no": pd.array(number, dtype="Int32")})
-
-    schema = f"{case_col} {kinds[case_col]}, pos {kinds['pos']}, left_id {kinds['left_id']}, right_id {kinds['right_id']}, status string, pair_no int"
-    return known.groupBy(case_col).applyInPandas(run, schema)
+    columns = [case_col, "pos", "left_id", "right_id"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, left, right = None, set(), set()
+        for g in batches:
+            status, number = [], []
+            for case, a, b, ok in zip(g[case_col], g["left_id"], g["right_id"], g["known"], strict=True):
+                if case != here:
+                    here, left, right = case, set(), set()
+                taken = a in left or b in right
+                status.append("unknown id" if not ok else "not one-to-one" if taken else "accepted")
+                if status[-1] == "accepted":
+                    left.add(a)
+                    right.add(b)
+                number.append(len(left) if status[-1] == "accepted" else None)
+            yield g[columns].assign(status=status, pair_no=pd.array(number, dtype="Int32"))
+
+    schema = ", ".join(f"{c} {kinds[c]}" for c in columns) + ", status string, pair_no int"
+    dealt = known.repartition(case_col).sortWithinPartitions(*columns)
+    return dealt.select(*columns, "known").mapInPandas(run, schema)
 
 
 def unpaired(claims: DataFrame, pairs: DataFrame, on: list[str]) -> DataFrame:

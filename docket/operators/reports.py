@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from docket.operators.ordering import in_order
+
 
 def corpus_report(units: DataFrame, by: list[str]) -> DataFrame:
     """Counts by each column and in total, in one pass; ``grp`` names the grouping."""
@@ -25,15 +27,37 @@ def tally(rows: DataFrame, case_col: str, value_col: str, unknown: str = "unknow
     return counted.union(whole)
 
 
-def upper_median(value: str) -> Column:
-    """Element n // 2 of the sorted values."""
-    return F.get(F.array_sort(F.collect_list(value)), F.floor(F.count(value) / 2).cast("int"))
-
-
 def quality_report(rows: DataFrame, by: str, complete: Column, bad_name: Column, points: str, bad_most: int = 5) -> DataFrame:
-    """One row a group: complete, min/median/max of points, the first bad names."""
-    bad = F.slice(F.array_sort(F.collect_list(F.when(~complete, bad_name))), 1, bad_most)
-    return rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.count_if(complete).alias("complete"), F.min(points).alias("least"), upper_median(points).alias("median"), F.max(points).alias("most"), bad.alias("bad"))
+    """One row a group: complete, min/median/max of points, the first bad names.
+
+    The median is element n // 2 of the sorted points. It comes from counts of
+    each value, and the bad names from a top-n, so no group's rows are gathered.
+    """
+    of_value = rows.groupBy(by, F.col(points).alias("_v")).agg(F.count(F.lit(1)).alias("_n"), F.count_if(complete).alias("_fine"))
+    known = F.when(F.col("_v").isNotNull(), F.col("_n")).otherwise(0)
+    upto = F.sum(known).over(W.partitionBy(by).orderBy(F.col("_v").asc_nulls_last()).rowsBetween(W.unboundedPreceding, 0))
+    half = F.floor(F.sum(known).over(W.partitionBy(by)) / 2)
+    hist = of_value.withColumn("_upto", upto).withColumn("_half", half)
+    median = F.min(F.when(F.col("_upto") > F.col("_half"), F.col("_v")))
+    told = hist.groupBy(by).agg(F.sum("_n").alias("n"), F.sum("_fine").alias("complete"), F.min("_v").alias("least"), median.alias("median"), F.max("_v").alias("most"))
+    nth = F.row_number().over(W.partitionBy(by).orderBy("_name"))
+    bad = rows.where(~complete).select(F.col(by).alias("_by"), bad_name.alias("_name")).withColumnRenamed("_by", by).withColumn("_nth", nth).where(F.col("_nth") <= bad_most)
+    bad = bad.groupBy(F.col(by).alias("_by")).agg(F.array_sort(F.collect_list("_name")).alias("bad"))
+    out = told.join(bad, told[by].eqNullSafe(bad["_by"]), "left")
+    kind = dict(bad.dtypes)["bad"]
+    return out.select(by, "n", "complete", "least", "median", "most", F.coalesce("bad", F.array().cast(kind)).alias("bad"))
+
+
+def by_period(rows: DataFrame, period: Column, substantive: Column, indexed: list) -> DataFrame:
+    """(period, n, substantive, other, indexed) a period, oldest first to read; ``indexed`` lists those that are searched."""
+    out = rows.groupBy(period.alias("period")).agg(F.count(F.lit(1)).alias("n"), F.count_if(substantive).alias("substantive"))
+    return out.select("period", "n", "substantive", (F.col("n") - F.col("substantive")).alias("other"), F.col("period").isin(*indexed).alias("indexed"))
+
+
+def compound_cases(parts: DataFrame, case_col: str, clause: str, result: str) -> DataFrame:
+    """(case, clauses, results) of cases with more than one clause or more than one result."""
+    out = parts.groupBy(case_col).agg(F.array_sort(F.collect_set(clause)).alias("clauses"), F.array_sort(F.collect_set(result)).alias("results"))
+    return out.where((F.size("clauses") > 1) | (F.size("results") > 1))
 
 
 def with_total(rows: DataFrame, by: str, aggs: list[Column]) -> DataFrame:
@@ -43,14 +67,15 @@ def with_total(rows: DataFrame, by: str, aggs: list[Column]) -> DataFrame:
 
 def newest_first(rows: DataFrame, time_col: str, id_col: str) -> DataFrame:
     """``rows`` with pos: newest first, nulls as the oldest, ids break ties."""
-    order = W.orderBy(F.col(time_col).desc_nulls_last(), id_col)
-    return rows.withColumn("pos", F.row_number().over(order))
+    return in_order(rows, F.col(time_col).desc_nulls_last(), F.col(id_col))
 
 
 def first_seen(rows: DataFrame, key: str, order: list[str], by: list[str] | None = None) -> DataFrame:
     """Distinct keys in first-seen order."""
     one = rows.groupBy(*(by or []), key).agg(F.min(F.struct(*order)).alias("_at"))
-    return one.select(*(by or []), key, F.row_number().over(W.partitionBy(*(by or [F.lit(1)])).orderBy("_at", key)).alias("pos"))
+    if not by:
+        return in_order(one, F.col("_at"), F.col(key)).drop("_at")
+    return one.select(*by, key, F.row_number().over(W.partitionBy(*by).orderBy("_at", key)).alias("pos"))
 
 
 def side_verdict(rows: DataFrame, case_col: str, kind_col: str, kinds: list[str], low: Column) -> DataFrame:
@@ -64,4 +89,4 @@ def side_verdict(rows: DataFrame, case_col: str, kind_col: str, kinds: list[str]
 def frequency(rows: DataFrame, col: str) -> DataFrame:
     """(value, n, pos): most common first."""
     out = rows.groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    return out.withColumn("pos", F.row_number().over(W.orderBy(F.desc("n"), "value")))
+    return in_order(out, F.desc("n"), F.col("value"))

@@ -5,11 +5,17 @@ Hits are (query_id, ref_key, score); k, weights and thresholds are parameters.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from docket.operators.canonical import bounded
+from docket.session import cut
+
 K1, B = 1.2, 0.75
 MIN_VECTOR, MIN_LEXICAL = 0.60, 0.35
 STRONG_VECTOR, STRONG_NORM, STRONG_LEXICAL = 0.70, 0.999, 15.0
@@ -43,46 +49,102 @@ def top_k(hits: DataFrame, k: int, by: str = "score") -> DataFrame:
     return hits.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= k)
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, tokens=words, k1: float = K1, b: float = B, decimals: int = 6) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, tokens=words, k1: float = K1, b: float = B, decimals: int = 6, inside: tuple[str, DataFrame] | None = None) -> DataFrame:
     """(query_id, ref_key, score, pos) of Okapi BM25 over docs (ref_key, text) and queries (query_id, text).
 
-    Only postings of the queries' terms take part in the join; document and term
-    statistics cover all documents.
+    ``inside`` = (column of docs, rows of query_id and that column) ranks for a
+    query only documents with one of its values; statistics cover all documents.
+
+    Documents are tokenised once, into one row for each term that some query has
+    and one without a term for the lengths. With the queries' terms broadcast, if
+    they are few, a document's scores are summed where it lies, and only each
+    task's best k a query are shuffled.
     """
-    sized = docs.select("ref_key", F.size(tokens(F.col("text"))).alias("dl"))
-    whole = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    extra = [inside[0]] if inside else []
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    long = docs.select("ref_key", tokens(F.col("text")).alias("t")).select("ref_key", F.size("t").alias("dl"), F.explode("t").alias("term"))
-    long = long.join(asked.select("term").distinct(), "term", "left_semi")  # before counting: most words aren't asked for
-    post = long.groupBy("ref_key", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
-    df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    scored = asked.join(df, "term").join(post, "term").crossJoin(F.broadcast(whole))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    hits = scored.groupBy("query_id", "ref_key").agg(F.round(F.sum(part), decimals).alias("score"))
-    return top_k(hits, k)
-
-
-def cosine(units: DataFrame, queries: DataFrame, k: int = 10, decimals: int = 6, query_rows: int = 100_000, leave_out: Column | None = None) -> DataFrame:
-    """(query_id, ref_key, score, pos): exact cosine of every unit with a bounded set of queries.
-
-    Queries (query_id, vector) are broadcast, so each unit is read once and
-    nothing is shuffled but the best k; more than ``query_rows`` queries raise.
-    Filter units before, then only those are scored.
+    terms = bounded(asked.select("term").distinct().withColumn("asked", F.lit(True)))
+    none = F.array(F.lit(None).cast("string"))
+    long = docs.select("ref_key", *extra, tokens(F.col("text")).alias("t"))
+    long = long.select("ref_key", *extra, F.size("t").alias("dl"), F.explode(F.coalesce(F.concat(none, "t"), none)).alias("term"))
+    long = long.join(terms, "term", "left").where(F.col("asked") | F.col("term").isNull())
+    post = cut(long.groupBy("ref_key", *extra, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl")))
+    n, avgdl = post.where("term is null").agg(F.coalesce(F.sum("tf"), F.lit(0)), F.avg("dl")).first()
+    df = post.where("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weights = bounded(asked.join(df, "term").select("query_id", "term", idf.alias("idf")))
+    scored = post.where("term is not null").repartition("ref_key").join(weights, "term")
+    if inside:
+        scored = scored.join(bounded(inside[1].select("query_id", *extra).distinct()), ["query_id", *extra], "left_semi")
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl or 1.0)))
+    hits = scored.groupBy("ref_key", "query_id").agg(F.round(F.sum(part), decimals).alias("score"))
+    return top_k(hits.select("query_id", "ref_key", "score"), k)
+
+
+def _unit(v: Column) -> Column:
+    d = F.transform(v, lambda x: x.cast("double"))
+    norm = F.sqrt(F.aggregate(d, F.lit(0.0), lambda a, x: a + x * x))
+    return F.transform(d, lambda x: x / norm)
+
+
+def _comparable(v: Column) -> Column:
+    return v.isNotNull() & ~F.exists(v, lambda x: x.isNull()) & F.exists(v, lambda x: x != 0)
+
+
+def cosine(units: DataFrame, queries: DataFrame, k: int = 10, decimals: int = 6, block_bytes: int = 64 << 20, skip_self: bool = False) -> DataFrame:
+    """(query_id, ref_key, score, pos): exact cosine of every unit with every query.
+
+    Queries (query_id, vector) go to the tasks in blocks of at most about
+    ``block_bytes``; for each block units are read once, multiplied with it as
+    matrices, and only a batch's best k a query leave it. ``skip_self`` leaves out
+    a unit whose key is the query's id. Null and zero vectors take no part. Filter
+    units before, then only those are scored.
     """
-    if queries.limit(query_rows + 1).count() > query_rows:
-        raise ValueError("too many queries to broadcast: search in blocks")
-
-    def unit(v: Column) -> Column:
-        d = F.transform(v, lambda x: x.cast("double"))
-        norm = F.sqrt(F.aggregate(d, F.lit(0.0), lambda a, x: a + x * x))
-        return F.transform(d, lambda x: x / norm)
-
-    q = queries.select("query_id", unit(F.col("vector")).alias("q"))
-    u = units.select("ref_key", unit(F.col("vector")).alias("u"))
+    q = queries.where(_comparable(F.col("vector"))).select("query_id", _unit(F.col("vector")).alias("vector"))
+    u = units.where(_comparable(F.col("vector"))).select("ref_key", F.col("vector").cast("array<double>").alias("vector"))
+    size = q.agg(F.coalesce(F.sum(F.size("vector")), F.lit(0))).first()[0] * 8
+    blocks = max(1, -(-size // block_bytes))
+    kinds = dict(q.dtypes) | dict(u.dtypes)
+    schema = f"query_id {kinds['query_id']}, ref_key {kinds['ref_key']}, score double"
+    out = None
+    for block in range(blocks):
+        part = q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).collect()
+        found = _matrix_hits(u, [r["query_id"] for r in part], [r["vector"] for r in part], k, decimals, skip_self, schema)
+        out = found if out is None else out.union(found)
+    return top_k(out, k)
+
+
+def _matrix_hits(units: DataFrame, ids: list, vectors: list, k: int, decimals: int, skip_self: bool, schema: str) -> DataFrame:
+    """Each batch's best k units for each query of a block."""
+    who = pd.Series(ids, dtype=object)
+    ask = np.array(vectors, dtype=np.float64)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(who):
+                continue
+            batch = batch[[len(v) == ask.shape[1] for v in batch["vector"]]].sort_values("ref_key", kind="stable")
+            for at in range(0, len(batch), 2000):
+                part = batch.iloc[at : at + 2000]
+                x = np.array(part["vector"].tolist())
+                score = np.round((ask @ x.T) / np.linalg.norm(x, axis=1), decimals)
+                if skip_self:
+                    score[who.to_numpy()[:, None] == part["ref_key"].to_numpy(dtype=object)[None, :]] = -np.inf
+                best = np.argsort(-score, axis=1, kind="stable")[:, :k]  # ties to smaller keys
+                found = np.take_along_axis(score, best, axis=1).ravel()
+                rows = pd.DataFrame({"query_id": np.repeat(who.to_numpy(), best.shape[1]), "ref_key": part["ref_key"].to_numpy()[best.ravel()], "score": found})
+                yield rows[found > -np.inf]
+
+    return units.mapInPandas(run, schema)
+
+
+def cosine_inside(units: DataFrame, queries: DataFrame, inside: tuple[str, DataFrame], k: int = 10, decimals: int = 6) -> DataFrame:
+    """``cosine``, for a query only with units that have one of its values in a column: an equi-join on that value."""
+    column, values = inside
+    q = queries.where(_comparable(F.col("vector"))).select("query_id", _unit(F.col("vector")).alias("q"))
+    asked = q.join(values.select("query_id", column).distinct(), "query_id")
+    u = units.where(_comparable(F.col("vector"))).select("ref_key", column, _unit(F.col("vector")).alias("u"))
     dot = F.aggregate(F.zip_with("q", "u", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    pairs = u.join(F.broadcast(q), leave_out if leave_out is not None else F.lit(True), "inner")
-    return top_k(pairs.select("query_id", "ref_key", F.round(dot, decimals).alias("score")), k)
+    return top_k(u.join(asked, column).select("query_id", "ref_key", F.round(dot, decimals).alias("score")), k)
 
 
 def min_max(hits: DataFrame, by: str = "score") -> DataFrame:
@@ -127,14 +189,21 @@ def fusion_report(lexical: DataFrame, vector: DataFrame, **options) -> DataFrame
     return rows.groupBy("query_id").agg(*of("lexical", "bm25_raw"), *of("vector", "vec_raw"), F.count(F.lit(1)).alias("candidates"), kept.alias("kept"), (F.count(F.lit(1)) - kept).alias("dropped"))
 
 
-def hybrid(docs: DataFrame, queries: DataFrame, units: DataFrame, vectors: DataFrame, k: int = 8, weight: float = 0.5, **options) -> DataFrame:
-    """BM25 and cosine with 2k each, fused, the best k."""
-    fused = fuse(bm25(docs, queries, 2 * k), cosine(units, vectors, 2 * k), weight, **options)
-    return top_k(fused, k)
+def hybrid(docs: DataFrame, queries: DataFrame, units: DataFrame, vectors: DataFrame, k: int = 8, weight: float = 0.5, inside: tuple[str, DataFrame] | None = None, **options) -> DataFrame:
+    """BM25 and cosine with 2k each, fused, the best k; ``inside`` as in bm25, also a column of units."""
+    lexical = bm25(docs, queries, 2 * k, inside=inside)
+    near = cosine_inside(units, vectors, inside, 2 * k) if inside else cosine(units, vectors, 2 * k)
+    return top_k(fuse(lexical, near, weight, **options), k)
+
 
+def two_pass(docs: DataFrame, queries: DataFrame, units: DataFrame, vectors: DataFrame, inside: tuple[str, DataFrame], k: int = 8, k_inside: int = 5, **options) -> DataFrame:
+    """Hybrid hits over the whole corpus, and more inside each query's values, with scope.
 
-def two_pass(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Union that keeps the first pass' row of a key, with its scope."""
+    A key of both passes keeps the first one's row. Values filter before scores
+    are summed, so the second pass costs what lies inside them.
+    """
+    first = cut(hybrid(docs, queries, units, vectors, k, **options))
+    second = hybrid(docs, queries, units, vectors, k_inside, inside=inside, **options)
     extra = second.join(first.select("query_id", "ref_key"), ["query_id", "ref_key"], "left_anti")
     return first.withColumn("scope", F.lit("corpus")).unionByName(extra.withColumn("scope", F.lit("hinted")))
 
@@ -218,14 +287,23 @@ def rank_coverage(hits: DataFrame, ranks: tuple[int, ...] = (1, 2, 3, 4)) -> Dat
 
 
 def precedents(near: DataFrame, queries: DataFrame, corpus: DataFrame, least: float = 0.80, misses: int = 3) -> DataFrame:
-    """One row a query: matched and adopted among near hits (outcome), corpus size, near misses and best score if none."""
+    """One row a query: matched and adopted among near hits (outcome), rebuttals by use, corpus size, near misses and best score if none.
+
+    ``near``: hits with outcome and rebuttal (null for none). Rebuttals of matched
+    hits are struct(text, used), most used first, then the nearest hit's first.
+    """
     size = corpus.agg(F.count(F.lit(1)).alias("corpus"))
-    good = near.where(F.col("score") >= least).groupBy("query_id").agg(F.count(F.lit(1)).alias("matched"), F.count_if(F.col("outcome") == 1).alias("adopted"))
+    strong_hits = near.where(F.col("score") >= least)
+    good = strong_hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("matched"), F.count_if(F.col("outcome") == 1).alias("adopted"))
     tries = near.groupBy("query_id").agg(F.max("score").alias("best"), F.array_sort(F.collect_list(F.when(F.col("pos") <= misses, F.struct("pos", "ref_key")))).alias("tried"))
-    out = queries.select("query_id").join(good, "query_id", "left").join(tries, "query_id", "left").crossJoin(F.broadcast(size))
+    said = strong_hits.where("rebuttal is not null").groupBy("query_id", "rebuttal").agg(F.count(F.lit(1)).alias("used"), F.min("pos").alias("seen"))
+    said = said.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("used")).alias("o"), "seen", F.col("rebuttal").alias("text"), "used"))).alias("said"))
+    out = queries.select("query_id").join(good, "query_id", "left").join(tries, "query_id", "left").join(said, "query_id", "left").crossJoin(F.broadcast(size))
     none = F.col("matched").isNull()
-    empty = F.array().cast("array<bigint>")
-    return out.select("query_id", F.coalesce("matched", F.lit(0)).alias("matched"), F.coalesce("adopted", F.lit(0)).alias("adopted"), "corpus", F.when(none, F.transform("tried", lambda x: x["ref_key"])).otherwise(empty).alias("near_misses"), F.when(none, F.col("best")).alias("best"))
+    kind = dict(near.dtypes)
+    rebuttals = F.coalesce(F.transform("said", lambda x: F.struct(x["text"].alias("text"), x["used"].alias("used"))), F.array().cast(f"array<struct<text:{kind['rebuttal']},used:bigint>>"))
+    empty = F.array().cast(f"array<{kind['ref_key']}>")
+    return out.select("query_id", F.coalesce("matched", F.lit(0)).alias("matched"), F.coalesce("adopted", F.lit(0)).alias("adopted"), "corpus", rebuttals.alias("rebuttals"), F.when(none, F.transform("tried", lambda x: x["ref_key"])).otherwise(empty).alias("near_misses"), F.when(none, F.col("best")).alias("best"))
 
 
 def refresh(previous: DataFrame, fresh: DataFrame, only: DataFrame) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Rules are rows; each enabled rule becomes a column expression over the wide case
 row, so one scan evaluates all rules for all cases. ``register_check`` adds a
-check: a function of (rule, fields) that gives the outcome column.
+check: a function of (rule, fields) that gives the outcome column. A rule that
+can't be built or that doesn't fit its columns is unclear, the others stand.
 """
 
 from __future__ import annotations
@@ -10,13 +11,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-OUTCOME = "struct<status:string,note:string>"
-
-
 @dataclass(frozen=True)
 class Rule:
     code: str
@@ -26,12 +25,16 @@ class Rule:
     params: dict = field(default_factory=dict)
     partial_ok: bool = False
     enabled: bool = True
+    basis: str | None = None
+    curable: bool = False
+    coverage_note: str | None = None
 
 
-def outcome(status: Column | str, note: Column | str | None = None) -> Column:
+def outcome(status: Column | str, note: Column | str | None = None, value: Column | None = None, computed: Column | None = None) -> Column:
+    """struct(status, note, value, computed), all text: ``value`` is what was looked at, ``computed`` what came of it."""
     status = F.lit(status) if isinstance(status, str) else status
-    note = F.lit(note) if note is None or isinstance(note, str) else note
-    return F.struct(status.alias("status"), note.cast("string").alias("note"))
+    parts = {"note": F.lit(note) if note is None or isinstance(note, str) else note, "value": F.lit(None) if value is None else value, "computed": F.lit(None) if computed is None else computed}
+    return F.struct(status.alias("status"), *[c.cast("string").alias(name) for name, c in parts.items()])
 
 
 def _filled(value: Column) -> Column:
@@ -39,7 +42,8 @@ def _filled(value: Column) -> Column:
 
 
 def present(rule: Rule, get: Callable[[str], Column]) -> Column:
-    return outcome(F.when(_filled(get(rule.fields[0])), "present").otherwise("missing"))
+    v = get(rule.fields[0])
+    return outcome(F.when(_filled(v), "present").otherwise("missing"), value=v)
 
 
 def all_present(rule: Rule, get: Callable[[str], Column]) -> Column:
@@ -53,22 +57,24 @@ def all_present(rule: Rule, get: Callable[[str], Column]) -> Column:
 def array_min(rule: Rule, get: Callable[[str], Column]) -> Column:
     n = F.coalesce(F.size(get(rule.fields[0])), F.lit(0))
     n = F.greatest(n, F.lit(0))
-    return outcome(F.when(n >= rule.params["least"], "present").when(n == 0, "missing").otherwise("partial"), n)
+    return outcome(F.when(n >= rule.params["least"], "present").when(n == 0, "missing").otherwise("partial"), n, computed=n)
 
 
 def flag_true(rule: Rule, get: Callable[[str], Column]) -> Column:
-    v = get(rule.fields[0]).cast("boolean")
-    return outcome(F.when(v.isNull(), "unclear").when(v, "present").otherwise("missing"))
+    v = get(rule.fields[0])
+    told = v.try_cast("boolean")
+    return outcome(F.when(told.isNull(), "unclear").when(told, "present").otherwise("missing"), value=v)
 
 
 def flag_triggers(rule: Rule, get: Callable[[str], Column]) -> Column:
-    v = get(rule.fields[0]).cast("boolean")
-    return outcome(F.when(v.isNull(), "unclear").when(v, "triggered").otherwise("no_match"))
+    v = get(rule.fields[0])
+    told = v.try_cast("boolean")
+    return outcome(F.when(told.isNull(), "unclear").when(told, "triggered").otherwise("no_match"), value=v)
 
 
 def date_within(rule: Rule, get: Callable[[str], Column]) -> Column:
     p = appeal_period(get(rule.fields[0]), get(rule.fields[1]), rule.params.get("days", 30))
-    return outcome(F.when(~p["ok"], "unclear").when(p["is_overdue"], "triggered").otherwise("no_match"), F.coalesce(p["reason"], p["overdue_days"].cast("string")))
+    return outcome(F.when(~p["ok"], "unclear").when(p["is_overdue"], "triggered").otherwise("no_match"), F.coalesce(p["reason"], p["overdue_days"].cast("string")), computed=p["deadline"])
 
 
 def manual(rule: Rule, get: Callable[[str], Column]) -> Column:
@@ -77,7 +83,7 @@ def manual(rule: Rule, get: Callable[[str], Column]) -> Column:
 
 def regex(rule: Rule, get: Callable[[str], Column]) -> Column:
     v = get(rule.fields[0])
-    return outcome(F.when(v.isNull(), "missing").when(v.rlike(rule.params["pattern"]), "present").otherwise("partial"))
+    return outcome(F.when(v.isNull(), "missing").when(v.rlike(rule.params["pattern"]), "present").otherwise("partial"), value=v)
 
 
 def entity_kind(rule: Rule, get: Callable[[str], Column]) -> Column:
@@ -91,7 +97,7 @@ def entity_kind(rule: Rule, get: Callable[[str], Column]) -> Column:
 
 def adult_age(rule: Rule, get: Callable[[str], Column]) -> Column:
     """Natural persons under age at the base date; the threshold is 18 from 2023-01-01, before it 20."""
-    base = get(rule.fields[1]).cast("date")
+    base = get(rule.fields[1]).try_cast("date")
     people = F.filter(get(rule.fields[0]), lambda x: x["kind"] == "natural")
     limit = F.when(base >= F.lit("2023-01-01").cast("date"), 18).otherwise(20)
 
@@ -99,8 +105,8 @@ def adult_age(rule: Rule, get: Callable[[str], Column]) -> Column:
         earlier = (F.month(base) < F.month(birth)) | ((F.month(base) == F.month(birth)) & (F.day(base) < F.day(birth)))
         return F.year(base) - F.year(birth) - earlier.cast("int")
 
-    minors = F.filter(people, lambda x: F.coalesce(age(x["birth"].cast("date")) < limit, F.lit(False)))
-    unknown = F.exists(people, lambda x: x["birth"].isNull())
+    minors = F.filter(people, lambda x: F.coalesce(age(x["birth"].try_cast("date")) < limit, F.lit(False)))
+    unknown = F.exists(people, lambda x: x["birth"].try_cast("date").isNull())
     status = F.when(base.isNull(), "unclear").when(F.size(minors) > 0, "need_human").when(unknown, "unclear").otherwise("no_match")
     return outcome(status, F.nullif(F.array_join(F.transform(minors, lambda x: x["name"]), ", "), F.lit("")))
 
@@ -124,23 +130,41 @@ def register_check(name: str, builder: Callable[[Rule, Callable[[str], Column]],
     CHECKS[name] = builder
 
 
-def run_rules(cases: DataFrame, rules: list[Rule], case_col: str) -> DataFrame:
-    """(case, code, label, check, status, note): every enabled rule on every case.
-
-    An unknown check asks a human; a rule that can't be built on these columns
-    is unclear, and never fails the run.
+def _built(cases: DataFrame, rule: Rule) -> Column:
+    """The rule's outcome on these columns, tried on no rows."""
+    if rule.check not in CHECKS:
+        return outcome("need_human", f"unknown check {rule.check}")
+    if any(f not in cases.columns for f in rule.fields):
+        return outcome("unclear", "a field is not there")
+    try:
+        got = CHECKS[rule.check](rule, lambda f: cases[f])
+        cases.select(got)  # unfit types show here
+        if "pattern" in rule.params:
+            cases.sparkSession.sql("SELECT '' RLIKE :p", args={"p": rule.params["pattern"]}).collect()
+    except (PySparkException, LookupError, TypeError, ValueError, AttributeError) as failed:
+        return outcome("unclear", f"rule failed: {type(failed).__name__}")
+    return got
+
+
+def run_rules(cases: DataFrame, rules: list[Rule], case_col: str, confidence: dict[str, str] | None = None) -> DataFrame:
+    """(case, code, label, basis, check, status, note, value, computed, curable, coverage_note, input_confidence): every enabled rule on every case.
+
+    An unknown check asks a human; a rule that can't be built, doesn't fit the
+    columns' types, or has a bad pattern is unclear, and never fails the run.
+    Values that can't be read as what a check needs count as absent. ``confidence``
+    names for a field the column with its confidence: a result is no surer than
+    the least sure field it read.
     """
     parts = []
     for r in rules:
         if not r.enabled:
             continue
-        if r.check not in CHECKS:
-            got = outcome("need_human", f"unknown check {r.check}")
-        elif any(f not in cases.columns for f in r.fields):
-            got = outcome("unclear", "a field is not there")
-        else:
-            got = CHECKS[r.check](r, lambda f: cases[f])
-        parts.append(F.struct(F.lit(r.code).alias("code"), F.lit(r.label).alias("label"), F.lit(r.check).alias("check"), got["status"].alias("status"), got["note"].alias("note")))
+        got = _built(cases, r)
+        sure = [cases[confidence[f]] for f in r.fields if confidence and f in confidence]
+        least = lowest_confidence(sure) if sure else F.lit(None).cast("string")
+        fixed = {"code": r.code, "label": r.label, "basis": r.basis, "check": r.check}
+        told = {"curable": F.lit(r.curable), "coverage_note": F.lit(r.coverage_note).cast("string"), "input_confidence": least}
+        parts.append(F.struct(*[F.lit(v).cast("string").alias(k) for k, v in fixed.items()], *[got[k].alias(k) for k in ("status", "note", "value", "computed")], *[c.alias(k) for k, c in told.items()]))
     return cases.select(case_col, F.explode(F.array(*parts)).alias("r")).select(case_col, "r.*")
 
 
@@ -151,7 +175,7 @@ def items_present(items: DataFrame, need: DataFrame, case_col: str, kind_col: st
     unknown kind is a problem; no element is not_applicable if optional, else missing.
     """
     wanted = need.groupBy(F.col("kind").alias("_k")).agg(F.collect_list("name").alias("_need"))
-    rows = items.join(F.broadcast(wanted), items[kind_col] == F.col("_k"), "left")
+    rows = items.join(wanted, items[kind_col] == F.col("_k"), "left")
     names = [c for c in items.columns if c not in (case_col, kind_col, label_col)]
     have = F.array_compact(F.array(*[F.when(_filled(F.col(c)), F.lit(c)) for c in names]))
     gone = F.array_sort(F.array_except("_need", have))
@@ -237,26 +261,35 @@ def template(parts: list[Column | str], empty: str = "-") -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else F.coalesce(p.cast("string"), F.lit(empty)) for p in parts])
 
 
-def intake(files: DataFrame, case_col: str, name_col: str, allowed: list[str]) -> DataFrame:
-    """``files`` with extension, duplicate and accepted."""
+def intake(files: DataFrame, case_col: str, name_col: str, allowed: list[str], readable: list[str] | None = None, text_col: str | None = None) -> DataFrame:
+    """``files`` with extension, duplicate, accepted, parseable and error.
+
+    Of the accepted ones those with a ``readable`` extension are parseable; the
+    others are kept unread. A parseable file without text is kept too. ``error``
+    says why a file is refused, not read, or empty, else it is null.
+    """
     ext = F.lower(F.regexp_extract(F.regexp_replace(name_col, r"[?#].*$", ""), r"\.([A-Za-z0-9]+)$", 1))
     again = F.count(F.lit(1)).over(W.partitionBy(case_col, name_col)) > 1
     out = files.withColumn("extension", ext).withColumn("duplicate", again)
-    return out.withColumn("accepted", F.col("extension").isin(*allowed) & ~F.col("duplicate"))
+    out = out.withColumn("accepted", F.coalesce(F.col("extension").isin(*allowed), F.lit(False)) & ~F.col("duplicate"))
+    out = out.withColumn("parseable", F.col("accepted") & F.col("extension").isin(*(allowed if readable is None else readable)))
+    empty = F.lit(False) if text_col is None else ~_filled(F.col(text_col))
+    error = F.when(F.col("duplicate"), "name repeated").when(~F.col("accepted"), "extension not allowed").when(~F.col("parseable"), "kept, not read").when(empty, "no text in it")
+    return out.withColumn("error", error)
 
 
 def confirmations(fields: DataFrame, results: DataFrame, rules: list[Rule], case_col: str, always: list[str], if_empty: list[str]) -> DataFrame:
     """(case, key): fields to confirm - weak ones, listed ones, and those behind rules that didn't pass."""
     behind = [(r.code, f.split(".")[0]) for r in rules for f in r.fields]
     used = results.sparkSession.createDataFrame(behind or [("", "")], "code string, key string")
-    failed = results.where(~F.col("status").isin("present", "no_match", "not_applicable")).join(F.broadcast(used), "code").select(case_col, "key")
+    failed = results.where(~F.col("status").isin("present", "no_match", "not_applicable")).join(used, "code").select(case_col, "key")
     own = fields.where((F.col("confidence") == "low") | F.col("key").isin(*always) | (F.col("key").isin(*if_empty) & ~_filled(F.col("value")))).select(case_col, "key")
     return own.union(failed).distinct().join(fields.select(case_col, "key").distinct(), [case_col, "key"], "left_semi")
 
 
 def appeal_period(served: Column, filed: Column, days: int = 30) -> Column:
     """The whole computation: from the day after service; not computable without both dates or filed before service."""
-    s, f = served.cast("date"), filed.cast("date")
+    s, f = served.try_cast("date"), filed.try_cast("date")
     start = F.date_add(s, 1)
     deadline = F.date_add(s, days)
     fine = s.isNotNull() & f.isNotNull() & (f >= s)
@@ -281,14 +314,22 @@ def amend_deadline(notice: Column, days: int = 20) -> Column:
 
 
 ROC_YEAR = 1911
+#: The two published spellings, and the wide digits that may stand for digits.
+ROC_SIGNS = r"(?U)^\s*(\d{2,3})\s*[-/.]\s*(\d{1,2})\s*[-/.]\s*(\d{1,2})\s*$"
+ROC_WORDS = r"(?U)^\s*(?:民國)?\s*(\d{2,3})\s*年\s*(\d{1,2})\s*月\s*(\d{1,2})\s*[日號]?\s*$"
+WIDE_DIGITS = "０１２３４５６７８９"
 
 
 def parse_roc(text: Column) -> Column:
-    """ROC calendar text in several spellings to a date, null if it isn't one."""
-    g = [F.regexp_extract(text, r"^\s*(?:民國)?\s*(\d{1,3})\s*[-/.年]\s*(\d{1,2})\s*[-/.月]\s*(\d{1,2})\s*日?\s*$", i) for i in (1, 2, 3)]
-    year = F.try_add(F.expr("0") + F.nullif(g[0], F.lit("")).cast("int"), F.lit(ROC_YEAR))
-    iso = F.concat(F.lpad(year.cast("string"), 4, "0"), F.lit("-"), F.lpad(g[1], 2, "0"), F.lit("-"), F.lpad(g[2], 2, "0"))
-    return F.when(g[0] != "", F.try_to_date(iso, "yyyy-MM-dd"))
+    """ROC calendar text in either published spelling to a date; null if it isn't one, or no day of the calendar."""
+    plain = F.translate(text, WIDE_DIGITS, "0123456789")
+
+    def group(i: int) -> Column:
+        found = [F.nullif(F.regexp_extract(plain, p, i), F.lit("")) for p in (ROC_SIGNS, ROC_WORDS)]
+        return F.coalesce(*found)
+
+    year = (group(1).try_cast("int") + F.lit(ROC_YEAR)).cast("string")
+    return F.try_to_date(F.concat(F.lpad(year, 4, "0"), F.lit("-"), F.lpad(group(2), 2, "0"), F.lit("-"), F.lpad(group(3), 2, "0")), "yyyy-MM-dd")
 
 
 def to_roc(date: Column) -> Column:

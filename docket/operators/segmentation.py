@@ -196,6 +196,6 @@ def name_suffixes(docs: DataFrame, pattern: str, id_col: str = "doc_id", text_co
     """(doc_id, pos, name): every suffix of ``least`` characters or more of each matched name, first seen first."""
     words = F.regexp_extract_all(F.col(text_col), F.lit(pattern), F.lit(0))
     long = docs.select(F.col(id_col), F.posexplode(words).alias("w_at", "w")).where(F.length("w") >= least)
-    long = long.select(id_col, "w_at", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("w") - least + 1), lambda i: F.substring(F.col("w"), i, 1000))).alias("s_at", "name"))
+    long = long.select(id_col, "w_at", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("w") - least + 1), lambda i: F.substring(F.col("w"), i, F.length("w")))).alias("s_at", "name"))
     first = long.groupBy(id_col, "name").agg(F.min(F.struct("w_at", "s_at")).alias("at"))
     return first.select(id_col, F.row_number().over(W.partitionBy(id_col).orderBy("at")).alias("pos"), "name")

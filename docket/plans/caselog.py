@@ -106,9 +106,13 @@ def l09(spark, sf_dir):
     return L.dead_runs(log(spark, sf_dir)).select("event_id", "case_id", "stage", "seconds", "dead")
 
 
-@BOOK.add("l10_accepted_starts")
+@BOOK.add("l10_accepted_starts", "WITH RECURSIVE " + _EV + """
+s AS (SELECT event_id, case_id, stage, ts, row_number() OVER (PARTITION BY case_id, stage ORDER BY ts, event_id) AS rn FROM ev WHERE action = 'start'),
+r(event_id, case_id, stage, rn, last, accepted) AS (SELECT event_id, case_id, stage, rn, ts, true FROM s WHERE rn = 1
+  UNION ALL SELECT s.event_id, s.case_id, s.stage, s.rn, CASE WHEN s.ts > r.last + INTERVAL 1440 MINUTE THEN s.ts ELSE r.last END, s.ts > r.last + INTERVAL 1440 MINUTE FROM r JOIN s ON s.case_id = r.case_id AND s.stage = r.stage AND s.rn = r.rn + 1)
+SELECT event_id, case_id, stage, accepted FROM r""")
 def l10(spark, sf_dir):
-    return L.accepted_starts(log(spark, sf_dir).where("action = 'start'").select("event_id", "case_id", "stage", "ts"), 60 * 24)
+    return L.accepted_starts(log(spark, sf_dir).where("action = 'start'").select("event_id", "case_id", "stage", "ts"), 60 * 24).drop("ts")
 
 
 @BOOK.add("l11_audit_trail", "WITH " + _EV + "z AS (SELECT 1) SELECT case_id, row_number() OVER (PARTITION BY case_id ORDER BY ts, event_id)::INT AS pos, ts, action, left(props, 4000) AS detail FROM ev")

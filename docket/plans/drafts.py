@@ -69,7 +69,8 @@ s AS (SELECT doc_id::VARCHAR AS ref_key, {_SQ.format('text')} AS body FROM docum
 v AS (SELECT quote_id, list_contains(cited, ref_key) AS own, ref_key FROM q JOIN s ON length(piece) >= 8 AND contains(body, piece)),
 a AS (SELECT quote_id, bool_or(own) AS own, min(ref_key) FILTER (WHERE own) AS here, min(ref_key) AS there FROM v GROUP BY 1),
 l AS (SELECT quote_id, min(ref_key) AS loose FROM q JOIN s ON length(piece) >= 8 AND contains({_DP.format('body')}, {_DP.format('piece')}) GROUP BY 1)
-SELECT q.quote_id, CASE WHEN length(quote) < 12 THEN 'emphasis' WHEN own THEN 'verbatim' WHEN there IS NOT NULL THEN 'misattributed' WHEN loose IS NOT NULL THEN 'same_without_punctuation' ELSE 'not_found' END AS result, CASE WHEN own THEN here ELSE coalesce(there, loose) END AS found_in
+SELECT q.quote_id, CASE WHEN length(quote) < 12 THEN 'emphasis' WHEN own THEN 'verbatim' WHEN there IS NOT NULL THEN 'misattributed' WHEN loose IS NOT NULL THEN 'same_without_punctuation' ELSE 'not_found' END AS result, CASE WHEN own THEN here ELSE coalesce(there, loose) END AS found_in,
+  CASE WHEN length(quote) >= 12 AND own IS NULL AND there IS NULL AND loose IS NULL AND EXISTS (SELECT 1 FROM documents WHERE doc_id::VARCHAR = cited[1] AND length(text) >= 600) THEN cited ELSE [] END AS cited_truncated
 FROM q LEFT JOIN a USING (quote_id) LEFT JOIN l USING (quote_id)""")
 def q04(spark, sf_dir):
     own = F.when(F.col("item_id") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.col("item_id").cast("string")))

@@ -23,7 +23,7 @@ ARRAYS = {
     "h06_fusion": ["passed"],
     "h08_hybrid_search": ["passed"],
     "h17_rank_coverage": ["hit", "missing"],
-    "h18_precedents": ["near_misses"],
+    "h18_precedents": ["rebuttals", "near_misses"],
     "h24_authority_conflicts": ["letters", "rulings"],
     "h27_substantive": ["results"],
     "j07_selected_sources": ["sides"],
@@ -34,10 +34,12 @@ ARRAYS = {
     "d19_grounds": ["reasons", "grounds", "warnings"],
     "q01_citations_outside": ["outside"],
     "q02_text_citations": ["cites"],
+    "q04_verify_quotes": ["cited_truncated"],
     "q05_fragments": ["fragments"],
     "q07_headline_conflicts": ["numbers"],
     "q10_route_words": ["words"],
     "r04_quality_report": ["bad"],
+    "r04_compound_cases": ["clauses", "results"],
     "r13_set_operations": ["only_a", "shared"],
     "l03_version_list": ["versions"],
     "l20_risk_tags": ["risks"],
@@ -47,7 +49,7 @@ DATES = {
     "d21_case_summary": ["deadline"],
     "p01_appeal_period": ["start_from", "deadline"],
     "p02_amend_deadline": ["deadline"],
-    "p03_roc_calendar": ["back", "wrong"],
+    "p03_roc_calendar": ["back", "words", "wrong", "short", "mixed"],
 }
 
 

@@ -36,6 +36,16 @@ def r04(spark, sf_dir):
     return R.quality_report(table(spark, sf_dir, "documents"), "source", fine, F.col("doc_id"), "n_chars")
 
 
+@BOOK.add("r04_by_year", "SELECT year(o_orderdate)::INT AS period, count(*) AS n, count(*) FILTER (WHERE o_orderstatus <> 'P') AS substantive, count(*) FILTER (WHERE o_orderstatus = 'P') AS other, year(o_orderdate) IN (1992, 1993, 1994) AS indexed FROM orders GROUP BY ALL")
+def r04_by_year(spark, sf_dir):
+    return R.by_period(table(spark, sf_dir, "orders"), F.year("o_orderdate"), F.col("o_orderstatus") != "P", [1992, 1993, 1994])
+
+
+@BOOK.add("r04_compound_cases", "WITH c AS (SELECT l_orderkey, list(DISTINCT l_linestatus ORDER BY l_linestatus) AS clauses, list(DISTINCT l_returnflag ORDER BY l_returnflag) AS results FROM lineitem GROUP BY 1) SELECT * FROM c WHERE len(clauses) > 1 OR len(results) > 1")
+def r04_compound(spark, sf_dir):
+    return R.compound_cases(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linestatus", "l_returnflag")
+
+
 @BOOK.add("r05_law_report", "SELECT source, count(*) AS articles, count(*) FILTER (WHERE contains(text, '!!')) AS deleted, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY ROLLUP (source)")
 def r05(spark, sf_dir):
     return R.with_total(table(spark, sf_dir, "documents"), "source", [F.count(F.lit(1)).alias("articles"), F.count_if(F.col("text").contains("!!")).alias("deleted"), F.sum("n_chars").alias("chars")])
@@ -74,7 +84,7 @@ def r10(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars", pos.alias("pos")).where("pos <= 3")
 
 
-@BOOK.add("r11_newest_first", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate DESC NULLS LAST, o_orderkey)::INT AS pos FROM orders")
+@BOOK.add("r11_newest_first", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate DESC NULLS LAST, o_orderkey) AS pos FROM orders")
 def r11(spark, sf_dir):
     return R.newest_first(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate", "o_orderkey").select("o_orderkey", "pos")
 
@@ -93,6 +103,6 @@ def r13(spark, sf_dir):
     return rows.select("doc_id", F.array_sort(F.array_except("a", "b")).alias("only_a"), F.array_sort(F.array_intersect("a", "b")).alias("shared"), F.size(F.array_union("a", "b")).alias("together"))
 
 
-@BOOK.add("r14_value_frequency", "SELECT p_brand AS value, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, p_brand)::INT AS pos FROM part GROUP BY 1")
+@BOOK.add("r14_value_frequency", "SELECT p_brand AS value, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, p_brand) AS pos FROM part GROUP BY 1")
 def r14(spark, sf_dir):
     return R.frequency(table(spark, sf_dir, "part"), "p_brand")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from docket.operators import retrieval as R
@@ -19,12 +21,12 @@ po AS (SELECT ref_key, dl, term, count(*) AS tf FROM (SELECT ref_key, len(t) AS
 """
 
 
-def _bm25(k: int, queries: str = "SELECT item_id AS query_id, text FROM benchmark", out: str = "bm") -> str:
+def _bm25(k: int, queries: str = "SELECT item_id AS query_id, text FROM benchmark", out: str = "bm", where: str = "true") -> str:
     return f"""
 {out}_q AS ({queries}), {out}_t AS (SELECT query_id, unnest(list_distinct({_TOK.format('text')})) AS term FROM {out}_q),
 {out}_w AS (SELECT count(*)::DOUBLE AS n, avg(len(t)) AS avgdl FROM sz), {out}_d AS (SELECT term, count(*) AS df FROM po GROUP BY 1),
 {out}_s AS (SELECT query_id, ref_key, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM {out}_t JOIN {out}_d USING (term) JOIN po USING (term), {out}_w GROUP BY ALL),
-{out} AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ref_key) AS pos FROM {out}_s QUALIFY pos <= {k}),
+{out} AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ref_key) AS pos FROM {out}_s WHERE {where} QUALIFY pos <= {k}),
 """
 
 
@@ -40,14 +42,18 @@ def _norm(name: str) -> str:
     return f"{name}_n AS (SELECT *, CASE WHEN max(score) {over} = min(score) {over} THEN 1.0 ELSE (score - min(score) {over}) / (max(score) {over} - min(score) {over}) END AS norm FROM {name}),"
 
 
-_FUSE = _norm("bm") + _norm("ve") + """
+def _fuse(k: int) -> str:
+    return _norm("bm") + _norm("ve") + """
 fu AS (SELECT coalesce(b.query_id, v.query_id) AS query_id, coalesce(b.ref_key, v.ref_key) AS ref_key, coalesce(b.score, 0) AS bm25_raw, coalesce(b.norm, 0) AS bm25_norm, coalesce(v.score, 0) AS vec_raw, coalesce(v.norm, 0) AS vec_norm,
    b.score IS NOT NULL AS in_lexical, v.score IS NOT NULL AS in_vector FROM bm_n b FULL JOIN ve_n v ON b.query_id = v.query_id AND b.ref_key = v.ref_key),
 fs AS (SELECT *, round(0.5 * bm25_norm + 0.5 * vec_norm, 4) AS score, CASE WHEN in_lexical AND in_vector THEN 'both' WHEN in_lexical THEN 'lexical' ELSE 'vector' END AS side,
    list_filter([CASE WHEN vec_raw >= 0.60 THEN 'vector' END, CASE WHEN in_lexical AND bm25_norm >= 0.35 THEN 'lexical' END], lambda x: x IS NOT NULL) AS passed FROM fu),
 fk AS (SELECT * FROM fs WHERE len(passed) > 0),
-hy AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ref_key) AS pos FROM fk QUALIFY pos <= 8),
+hy AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ref_key) AS pos FROM fk QUALIFY pos <= """ + str(k) + """),
 """
+
+
+_FUSE = _fuse(8)
 _DOC = """
 un AS (SELECT doc_id AS ref_key, source AS law, 1 + substr(source, 4)::INT % 4 AS authority_rank, ['law', 'interpretation', 'ruling', 'letter'][1 + substr(source, 4)::INT % 4] AS doc_type, lang, text FROM documents),
 rg AS (SELECT h.*, law, doc_type, authority_rank, ['src' || (query_id % 20), 'src' || ((query_id + 4) % 20)] AS hints, row_number() OVER (PARTITION BY query_id, authority_rank ORDER BY pos, h.ref_key) AS relevance_rank FROM hy h JOIN un ON h.ref_key = un.ref_key),
@@ -146,19 +152,38 @@ def h08(spark, sf_dir):
     return hybrid_hits(spark, sf_dir).select(*_FUSED, "pos")
 
 
-@BOOK.add("h09_two_pass", "WITH " + _POST + _bm25(1_000_000) + """
-a AS (SELECT query_id, ref_key, score FROM bm WHERE pos <= 8),
-f AS (SELECT b.query_id, b.ref_key, b.score, row_number() OVER (PARTITION BY b.query_id ORDER BY b.score DESC, b.ref_key) AS p FROM bm b JOIN documents d ON b.ref_key = d.doc_id AND d.source = 'src' || (b.query_id % 20) QUALIFY p <= 5)
-SELECT query_id, ref_key, score, 'corpus' AS scope FROM a UNION ALL SELECT query_id, ref_key, score, 'hinted' FROM f WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.query_id = f.query_id AND a.ref_key = f.ref_key)""")
-def h09(spark, sf_dir):
-    every = R.bm25(corpus(spark, sf_dir), queries(spark, sf_dir), 2**31 - 1)
-    law = corpus(spark, sf_dir).select("ref_key", "law")
-    inside = every.drop("pos").join(law, "ref_key").where(F.col("law") == F.concat(F.lit("src"), F.col("query_id") % 20))
-    second = R.top_k(inside, 5).select("query_id", "ref_key", "score")
-    return R.two_pass(every.where("pos <= 8").select("query_id", "ref_key", "score"), second)
+def _renamed(sql: str) -> str:
+    """The same steps under other names, for a second search in one statement."""
+    return re.sub(r"\b(bm|ve)(_[qtwdsn])?\b(?!25)|\b(fu|fs|fk|hy)\b", lambda m: "x" + m.group(0), sql)
+
 
+_HINTED = "(SELECT doc_id FROM documents d WHERE d.source = 'src' || ({0} % 20))"
 
-@BOOK.add("h10_interleave")
+
+@BOOK.add("h09_two_pass", _BASE + _renamed(_bm25(10, where="ref_key IN " + _HINTED.format("query_id")) + _vec(10, "u.vec_id IN " + _HINTED.format("q.vec_id")) + _fuse(5)) + """
+z AS (SELECT 1) SELECT query_id, ref_key, bm25_raw, vec_raw, score, 'corpus' AS scope FROM hy
+UNION ALL SELECT query_id, ref_key, bm25_raw, vec_raw, score, 'hinted' FROM xhy WHERE NOT EXISTS (SELECT 1 FROM hy WHERE hy.query_id = xhy.query_id AND hy.ref_key = xhy.ref_key)""")
+def h09(spark, sf_dir):
+    docs, asked = corpus(spark, sf_dir), queries(spark, sf_dir)
+    hints = asked.select("query_id", F.concat(F.lit("src"), F.col("query_id") % 20).alias("law"))
+    placed = units(spark, sf_dir).join(docs.select("ref_key", "law"), "ref_key", "left")
+    found = R.two_pass(docs, asked, placed, query_vectors(spark, sf_dir), ("law", hints))
+    return found.select("query_id", "ref_key", "bm25_raw", "vec_raw", "score", "scope")
+
+
+@BOOK.add("h10_interleave", _BASE.replace("WITH ", "WITH RECURSIVE ", 1) + """
+qu AS (SELECT query_id, coalesce(list(ref_key ORDER BY vec_raw DESC, ref_key) FILTER (WHERE vec_raw > 0), []) AS v, coalesce(list(ref_key ORDER BY bm25_norm DESC, ref_key) FILTER (WHERE bm25_norm > 0), []) AS l FROM fk GROUP BY 1),
+st(query_id, vi, li, turn, taken, sides) AS (
+  SELECT query_id, 1, 1, 'vector', []::BIGINT[], []::VARCHAR[] FROM qu
+  UNION ALL
+  SELECT query_id, CASE WHEN side = 'vector' THEN vi + 1 ELSE vi END, CASE WHEN side = 'lexical' THEN li + 1 ELSE li END, CASE WHEN list_contains(taken, key) THEN turn WHEN turn = 'vector' THEN 'lexical' ELSE 'vector' END,
+    CASE WHEN list_contains(taken, key) THEN taken ELSE list_append(taken, key) END, CASE WHEN list_contains(taken, key) THEN sides ELSE list_append(sides, side) END
+  FROM (SELECT *, CASE WHEN side = 'vector' THEN v[vi] ELSE l[li] END AS key FROM (
+    SELECT st.*, v, l, CASE WHEN (turn = 'vector' AND vi <= len(v)) OR li > len(l) THEN 'vector' ELSE 'lexical' END AS side FROM st JOIN qu USING (query_id) WHERE vi <= len(v) OR li <= len(l)))),
+dn AS (SELECT st.* FROM st JOIN qu USING (query_id) WHERE vi > len(v) AND li > len(l)),
+tk AS (SELECT query_id, unnest(taken) AS ref_key, unnest(sides) AS placed_by, generate_subscripts(taken, 1) AS fused_pos FROM dn)
+SELECT query_id, ref_key, fused_pos::INT AS fused_pos, placed_by FROM tk
+UNION ALL SELECT fk.query_id, fk.ref_key, (len(taken) + row_number() OVER (PARTITION BY fk.query_id ORDER BY fk.ref_key))::INT, 'rest' FROM fk JOIN dn USING (query_id) WHERE NOT list_contains(taken, fk.ref_key)""")
 def h10(spark, sf_dir):
     return R.interleave(R.fuse(lexical(spark, sf_dir), nearest(spark, sf_dir))).select("query_id", "ref_key", "fused_pos", "placed_by")
 
@@ -206,13 +231,17 @@ _NEAR10 = "WITH " + _vec(10, "u.vec_id <> q.vec_id")
 
 
 @BOOK.add("h18_precedents", _NEAR10 + """
-n AS (SELECT ve.*, label AS outcome FROM ve JOIN embeddings e ON ve.ref_key = e.vec_id),
+n AS (SELECT ve.*, label AS outcome, CASE WHEN ref_key % 3 <> 0 THEN 'answer ' || (ref_key % 5) END AS rebuttal FROM ve JOIN embeddings e ON ve.ref_key = e.vec_id),
+r AS (SELECT query_id, rebuttal, count(*) AS used, min(pos) AS seen FROM n WHERE score >= 0.8 AND rebuttal IS NOT NULL GROUP BY ALL),
+s AS (SELECT query_id, list(rebuttal || ' x' || used ORDER BY used DESC, seen) AS rebuttals FROM r GROUP BY 1),
 g AS (SELECT query_id, count(*) FILTER (WHERE score >= 0.8) AS matched, count(*) FILTER (WHERE score >= 0.8 AND outcome = 1) AS adopted, max(score) AS best, list(ref_key ORDER BY pos) FILTER (WHERE pos <= 3) AS tried FROM n GROUP BY 1)
-SELECT query_id, matched, adopted, (SELECT count(*) FROM embeddings) AS corpus, CASE WHEN matched = 0 THEN tried ELSE [] END AS near_misses, CASE WHEN matched = 0 THEN best END AS best FROM g""")
+SELECT query_id, matched, adopted, (SELECT count(*) FROM embeddings) AS corpus, coalesce(rebuttals, []) AS rebuttals, CASE WHEN matched = 0 THEN tried ELSE [] END AS near_misses, CASE WHEN matched = 0 THEN best END AS best FROM g LEFT JOIN s USING (query_id)""")
 def h18(spark, sf_dir):
     u, q = units(spark, sf_dir), query_vectors(spark, sf_dir)
-    near = R.cosine(u, q, 10, leave_out=F.col("ref_key") != F.col("query_id")).join(u.select("ref_key", F.col("label").alias("outcome")), "ref_key")
-    return R.precedents(near, q, u)
+    rebuttal = F.when(F.col("ref_key") % 3 != 0, F.concat(F.lit("answer "), F.col("ref_key") % 5))
+    near = R.cosine(u, q, 10, skip_self=True).join(u.select("ref_key", F.col("label").alias("outcome"), rebuttal.alias("rebuttal")), "ref_key")
+    found = R.precedents(near, q, u)
+    return found.withColumn("rebuttals", F.transform("rebuttals", lambda x: F.concat(x["text"], F.lit(" x"), x["used"])))
 
 
 @BOOK.add("h19_style_references", "WITH " + _vec(3, "u.label = 3") + "z AS (SELECT 1) SELECT query_id, ref_key, score, pos::INT AS pos FROM ve")

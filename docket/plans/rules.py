@@ -12,11 +12,11 @@ from docket.sources.tables import table
 BOOK = Book()
 
 RULES = [
-    Rule("F01", "present", ("o_orderpriority",), "priority"),
+    Rule("F01", "present", ("o_orderpriority",), "priority", basis="art. 1", curable=True),
     Rule("F02", "all_present", ("o_orderstatus", "c_mktsegment", "note"), "fields", partial_ok=True),
     Rule("F03", "array_min", ("lines",), "lines", {"least": 3}),
     Rule("F04", "regex", ("o_orderpriority",), "pattern", {"pattern": "^[1-3]-"}),
-    Rule("P01", "date_within", ("served", "filed"), "in time", {"days": 30}),
+    Rule("P01", "date_within", ("served", "filed"), "in time", {"days": 30}, basis="art. 2", coverage_note="holidays are not counted"),
     Rule("P02", "flag_triggers", ("rich",), "flag"),
     Rule("P03", "manual", (), "by hand"),
     Rule("P04", "entity_kind", ("parties",), "representative", {"person_marker": "00"}),
@@ -25,7 +25,13 @@ RULES = [
     Rule("X02", "quantum", ("rich",), "unknown"),
     Rule("X03", "present", ("nowhere",), "no such field"),
     Rule("X04", "present", ("note",), "off", enabled=False),
+    Rule("X05", "array_min", ("lines",), "no number"),
+    Rule("X06", "array_min", ("o_orderstatus",), "no array", {"least": 1}),
+    Rule("X07", "flag_true", ("c_mktsegment",), "text for a flag"),
+    Rule("X08", "present", (), "no field"),
+    Rule("X09", "regex", ("note",), "bad pattern", {"pattern": "(["}),
 ]
+SURE = {"o_orderpriority": "priority_sure", "filed": "filed_sure"}
 
 
 def cases(spark, sf_dir):
@@ -35,7 +41,15 @@ def cases(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").join(lines, "o_orderkey", "left").join(customer, "o_custkey", "left")
     kind = F.when(F.col("c_mktsegment") == "BUILDING", "organisation").otherwise("natural")
     person = F.struct(kind.alias("kind"), F.col("c_name").alias("name"), F.when(F.col("o_custkey") % 5 != 0, F.date_sub(F.col("o_orderdate").cast("date"), F.col("o_custkey").cast("int") * 20)).alias("birth"), F.when(F.col("o_custkey") % 2 == 0, F.lit("agent")).alias("rep_name"))
-    return rows.select("o_orderkey", "o_orderstatus", "o_orderpriority", "c_mktsegment", F.when(F.col("c_acctbal") < 0, F.lit(" ")).when(F.col("c_acctbal") > 5000, "noted").alias("note"), "lines", F.col("o_orderdate").alias("served"), "filed", F.when(F.col("c_acctbal") > 0, F.col("c_acctbal") > 7000).alias("rich"), F.array(person).alias("parties"))
+    return rows.select("o_orderkey", "o_orderstatus", "o_orderpriority", "c_mktsegment", F.when(F.col("c_acctbal") < 0, F.lit(" ")).when(F.col("c_acctbal") > 5000, "noted").alias("note"), "lines", F.col("o_orderdate").alias("served"), "filed", F.when(F.col("c_acctbal") > 0, F.col("c_acctbal") > 7000).alias("rich"), F.array(person).alias("parties"), _confidence().alias("priority_sure"), F.when(F.col("o_orderkey") % 2 == 0, "medium").alias("filed_sure"))
+
+
+_CONF = "CASE WHEN o_orderpriority LIKE '1%' OR o_orderpriority LIKE '2%' THEN 'high' WHEN o_orderpriority LIKE '3%' THEN 'medium' WHEN o_orderpriority LIKE '5%' THEN 'low' END"
+
+
+def _confidence():
+    p = F.col("o_orderpriority")
+    return F.when(p.startswith("1") | p.startswith("2"), "high").when(p.startswith("3"), "medium").when(p.startswith("5"), "low")
 
 
 _CASES = """
@@ -60,15 +74,25 @@ rr AS (
  UNION ALL SELECT o_orderkey, 'P05', 'age', 'adult_age', CASE WHEN served IS NULL THEN 'unclear' WHEN kind = 'natural' AND age < age_limit THEN 'need_human' WHEN kind = 'natural' AND birth IS NULL THEN 'unclear' ELSE 'no_match' END, CASE WHEN kind = 'natural' AND age < age_limit THEN name END FROM ok
  UNION ALL SELECT o_orderkey, 'X01', 'flag set', 'flag_true', CASE WHEN rich IS NULL THEN 'unclear' WHEN rich THEN 'present' ELSE 'missing' END, NULL FROM ok
  UNION ALL SELECT o_orderkey, 'X02', 'unknown', 'quantum', 'need_human', 'unknown check quantum' FROM ok
- UNION ALL SELECT o_orderkey, 'X03', 'no such field', 'present', 'unclear', 'a field is not there' FROM ok),
+ UNION ALL SELECT o_orderkey, 'X03', 'no such field', 'present', 'unclear', 'a field is not there' FROM ok
+ UNION ALL SELECT o_orderkey, 'X05', 'no number', 'array_min', 'unclear', 'rule failed: KeyError' FROM ok
+ UNION ALL SELECT o_orderkey, 'X06', 'no array', 'array_min', 'unclear', 'rule failed: AnalysisException' FROM ok
+ UNION ALL SELECT o_orderkey, 'X07', 'text for a flag', 'flag_true', 'unclear', NULL FROM ok
+ UNION ALL SELECT o_orderkey, 'X08', 'no field', 'present', 'unclear', 'rule failed: IndexError' FROM ok
+ UNION ALL SELECT o_orderkey, 'X09', 'bad pattern', 'regex', 'unclear', 'rule failed: SparkRuntimeException' FROM ok),
+rw AS (SELECT rr.*, CASE code WHEN 'F01' THEN 'art. 1' WHEN 'P01' THEN 'art. 2' END AS basis, code = 'F01' AS curable, CASE code WHEN 'P01' THEN 'holidays are not counted' END AS coverage_note,
+  CASE WHEN code IN ('F01', 'F04') THEN o_orderpriority WHEN code IN ('P02', 'X01') THEN rich::VARCHAR WHEN code = 'X07' THEN c_mktsegment END AS value,
+  CASE WHEN code = 'F03' THEN n::VARCHAR WHEN code = 'P01' AND pok THEN (served + 30)::VARCHAR END AS computed,
+  CASE WHEN code IN ('F01', 'F04') THEN """ + _CONF + """ WHEN code = 'P01' AND o_orderkey % 2 = 0 THEN 'medium' END AS input_confidence
+  FROM rr JOIN ok USING (o_orderkey)),
 """
 
 
 def results(spark, sf_dir):
-    return R.run_rules(cases(spark, sf_dir), RULES, "o_orderkey")
+    return R.run_rules(cases(spark, sf_dir), RULES, "o_orderkey", SURE)
 
 
-@BOOK.add("d01_run_rules", "WITH " + _CASES + "z AS (SELECT 1) SELECT * FROM rr")
+@BOOK.add("d01_run_rules", "WITH " + _CASES + "z AS (SELECT 1) SELECT o_orderkey, code, label, basis, \"check\", status, note, value, computed, curable, coverage_note, input_confidence FROM rw")
 def d01(spark, sf_dir):
     return results(spark, sf_dir)
 
@@ -96,14 +120,6 @@ def d05(spark, sf_dir):
     return R.items_present(items, need, "o_orderkey", "l_returnflag", "l_partkey", table(spark, sf_dir, "orders"))
 
 
-_CONF = "CASE WHEN o_orderpriority LIKE '1%' OR o_orderpriority LIKE '2%' THEN 'high' WHEN o_orderpriority LIKE '3%' THEN 'medium' WHEN o_orderpriority LIKE '5%' THEN 'low' END"
-
-
-def _confidence():
-    p = F.col("o_orderpriority")
-    return F.when(p.startswith("1") | p.startswith("2"), "high").when(p.startswith("3"), "medium").when(p.startswith("5"), "low")
-
-
 @BOOK.add("d13_lowest_confidence", f"SELECT o_orderkey, CASE WHEN a = 'low' OR b = 'low' THEN 'low' WHEN a = 'medium' OR b = 'medium' THEN 'medium' WHEN a = 'high' OR b = 'high' THEN 'high' END AS confidence FROM (SELECT o_orderkey, {_CONF} AS a, CASE o_orderstatus WHEN 'P' THEN 'medium' WHEN 'F' THEN 'high' END AS b FROM orders)")
 def d13(spark, sf_dir):
     other = F.when(F.col("o_orderstatus") == "P", "medium").when(F.col("o_orderstatus") == "F", "high")
@@ -120,7 +136,7 @@ def d14(spark, sf_dir):
 
 def _with_confidence(spark, sf_dir):
     c = table(spark, sf_dir, "orders").select("o_orderkey", _confidence().alias("input_confidence"))
-    return results(spark, sf_dir).join(c, "o_orderkey")
+    return results(spark, sf_dir).drop("input_confidence").join(c, "o_orderkey")
 
 
 _SUM = "WITH " + _CASES + f"""
@@ -153,7 +169,7 @@ def d17(spark, sf_dir):
 
 @BOOK.add("d18_confirmations", "WITH " + _CASES + f"""
 fi AS (SELECT o_orderkey, 'o_orderpriority' AS key, o_orderpriority AS value, {_CONF} AS confidence FROM orders UNION ALL SELECT o_orderkey, 'note', note, 'high' FROM ca UNION ALL SELECT o_orderkey, 'served', served::VARCHAR, CASE WHEN o_orderkey % 9 = 0 THEN 'low' ELSE 'high' END FROM ca),
-us(code, key) AS (VALUES ('F01', 'o_orderpriority'), ('F02', 'note'), ('F04', 'o_orderpriority'), ('P01', 'served'), ('P05', 'served')),
+us(code, key) AS (VALUES ('F01', 'o_orderpriority'), ('F02', 'note'), ('F04', 'o_orderpriority'), ('P01', 'served'), ('P05', 'served'), ('X09', 'note')),
 al AS (SELECT o_orderkey, key FROM fi WHERE confidence = 'low' OR (key = 'note' AND NOT coalesce(trim(value) <> '', false)) UNION SELECT o_orderkey, key FROM rr JOIN us USING (code) WHERE status NOT IN ('present', 'no_match', 'not_applicable'))
 SELECT o_orderkey, key FROM al""")
 def d18(spark, sf_dir):
@@ -185,11 +201,13 @@ def d21(spark, sf_dir):
 
 
 @BOOK.add("d22_intake", r"""
-WITH f AS (SELECT page_id, page_id % 20 AS case_id, url, lower(regexp_extract(regexp_replace(url, '[?#].*$', ''), '\.([A-Za-z0-9]+)$', 1)) AS extension FROM pages)
-SELECT page_id, extension, count(*) OVER (PARTITION BY case_id, url) > 1 AS duplicate, extension IN ('html', 'pdf') AND NOT count(*) OVER (PARTITION BY case_id, url) > 1 AS accepted FROM f""")
+WITH f AS (SELECT page_id, page_id % 20 AS case_id, url, html, lower(regexp_extract(regexp_replace(url, '[?#].*$', ''), '\.([A-Za-z0-9]+)$', 1)) AS extension FROM pages),
+g AS (SELECT *, count(*) OVER (PARTITION BY case_id, url) > 1 AS duplicate FROM f),
+a AS (SELECT *, coalesce(extension IN ('html', 'pdf'), false) AND NOT duplicate AS accepted FROM g)
+SELECT page_id, extension, duplicate, accepted, accepted AND extension = 'html' AS parseable, CASE WHEN duplicate THEN 'name repeated' WHEN NOT accepted THEN 'extension not allowed' WHEN extension <> 'html' THEN 'kept, not read' WHEN trim(coalesce(html, ''), ' ') = '' THEN 'no text in it' END AS error FROM a""")
 def d22(spark, sf_dir):
-    files = table(spark, sf_dir, "pages").select("page_id", (F.col("page_id") % 20).alias("case_id"), "url")
-    return R.intake(files, "case_id", "url", ["html", "pdf"]).select("page_id", "extension", "duplicate", "accepted")
+    files = table(spark, sf_dir, "pages").select("page_id", (F.col("page_id") % 20).alias("case_id"), "url", "html")
+    return R.intake(files, "case_id", "url", ["html", "pdf"], ["html"], "html").select("page_id", "extension", "duplicate", "accepted", "parseable", "error")
 
 
 @BOOK.add("d23_check_list", "WITH " + _CASES + f"z AS (SELECT 1) SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderkey ORDER BY CASE {_GROUP} WHEN 'format' THEN 1 WHEN 'procedure' THEN 2 ELSE 3 END, code)::INT AS pos, code, {_EFFECT} AS verdict, concat_ws(' / ', label, note) AS reason FROM rr")
@@ -216,7 +234,9 @@ def p02(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", R.amend_deadline(F.col("o_orderdate")).alias("deadline"))
 
 
-@BOOK.add("p03_roc_calendar", "SELECT o_orderkey, printf('%03d-%02d-%02d', year(d) - 1911, month(d), day(d)) AS roc, d AS back, NULL::DATE AS wrong FROM (SELECT o_orderkey, o_orderdate::DATE AS d FROM orders)")
+@BOOK.add("p03_roc_calendar", "SELECT o_orderkey, printf('%03d-%02d-%02d', year(d) - 1911, month(d), day(d)) AS roc, d AS back, d AS words, NULL::DATE AS wrong, NULL::DATE AS short, NULL::DATE AS mixed FROM (SELECT o_orderkey, o_orderdate::DATE AS d FROM orders)")
 def p03(spark, sf_dir):
-    roc = R.to_roc(F.col("o_orderdate"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", roc.alias("roc"), R.parse_roc(roc).alias("back"), R.parse_roc(F.concat(F.left(roc, F.lit(4)), F.lit("02-30"))).alias("wrong"))
+    day = F.col("o_orderdate").cast("date")
+    spelt = lambda form: F.format_string(form, F.year(day) - 1911, F.month(day), F.day(day))
+    roc = R.to_roc(day)
+    return table(spark, sf_dir, "orders").select("o_orderkey", roc.alias("roc"), R.parse_roc(roc).alias("back"), R.parse_roc(spelt("%d 年 %d 月 %d 號")).alias("words"), R.parse_roc(F.concat(F.left(roc, F.lit(4)), F.lit("02-30"))).alias("wrong"), R.parse_roc(F.concat(F.lit("5-"), F.substring(roc, 5, 5))).alias("short"), R.parse_roc(spelt("%d年%d-%d")).alias("mixed"))

@@ -21,17 +21,26 @@ def fresh(spark, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-@BOOK.add("s01_category_scan", "SELECT doc_id, lang, row_number() OVER (ORDER BY doc_id)::INT AS pos FROM documents WHERE source = 'src3'")
+@BOOK.add("s01_category_scan", "SELECT doc_id, lang, row_number() OVER (ORDER BY doc_id) AS pos FROM documents WHERE source = 'src3'")
 def s01(spark, sf_dir):
     return C.scan_category(table(spark, sf_dir, "documents"), "source", "src3", "doc_id").select("doc_id", "lang", "pos")
 
 
-@BOOK.add("s02_staged_parse", _SEGS + "SELECT source, count(*) AS units, count(DISTINCT doc_id) AS files, max(length(body))::INT AS longest FROM k JOIN documents USING (doc_id) WHERE kind = 'unit' GROUP BY source")
-def s02(spark, sf_dir):
+def _staged(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     units = segmentation.segment_markers(docs, _MARK, "^[.,]").join(docs.select("doc_id", "source"), "doc_id")
-    staged = C.stage(units, fresh(spark, "staging"), "source")
-    return staged.groupBy(F.col("source").cast("string").alias("source")).agg(F.count(F.lit(1)).alias("units"), F.countDistinct("doc_id").alias("files"), F.max(F.length("body")).alias("longest"))
+    staged = C.stage(units, fresh(spark, "staging"), "source").withColumn("source", F.col("source").cast("string"))
+    return C.staged_report(staged, "source", "doc_id", "seg_no", "body", {"short_body": F.length("body") < 20, "long_body": F.length("body") > 800})
+
+
+@BOOK.add("s02_staged_parse", _SEGS + "SELECT source, count(DISTINCT doc_id) AS files, count(*) AS units, count(*) FILTER (WHERE length(body) < 20) AS short_body, count(*) FILTER (WHERE length(body) > 800) AS long_body, left(arg_min(body, (doc_id, seg_no)), 80) AS sample FROM k JOIN documents USING (doc_id) WHERE kind = 'unit' GROUP BY source")
+def s02(spark, sf_dir):
+    return _staged(spark, sf_dir)[0]
+
+
+@BOOK.add("s02_staged_files", _SEGS + "SELECT source, doc_id, count(*) AS units, max(length(body))::INT AS longest, count(*) FILTER (WHERE length(body) < 20 OR length(body) > 800) AS problems FROM k JOIN documents USING (doc_id) WHERE kind = 'unit' GROUP BY source, doc_id")
+def s02_files(spark, sf_dir):
+    return _staged(spark, sf_dir)[1]
 
 
 _LOADED = "SELECT CASE WHEN lang = 'en' THEN 'laws' ELSE 'precedents' END AS target, lang, count(*) AS n, sum(doc_id)::BIGINT AS ids FROM documents GROUP BY ALL"
@@ -76,10 +85,22 @@ def s06(spark, sf_dir):
     return kept.groupBy("source").agg(F.count(F.lit(1)).alias("n")).withColumn("deleted", F.lit(n).cast("long"))
 
 
-@BOOK.add("s07_build_all", "SELECT lang AS category, count(*) AS n FROM (SELECT doc_id, lang, unnest(list_filter(regexp_split_to_array(text, '\\n+'), lambda p: trim(p, ' ') <> '')) AS p FROM documents) WHERE lang IN ('en', 'de') GROUP BY 1")
+_BUILT = "p AS (SELECT lang AS category, unnest(list_filter(regexp_split_to_array(text, '\\n+'), lambda p: trim(p, ' ') <> '')) AS p FROM documents WHERE lang IS NOT NULL), l AS (SELECT category, count(*) AS n FROM p GROUP BY 1)"
+
+
+@BOOK.add("s07_build_all", f"WITH {_BUILT} SELECT DISTINCT lang AS category, 'built' AS status, coalesce(n, 0) AS n FROM documents LEFT JOIN l ON lang = category WHERE lang IS NOT NULL")
 def s07(spark, sf_dir):
-    out = C.build_all(table(spark, sf_dir, "documents"), ["en", "de"], "lang", fresh(spark, "build"), segmentation.paragraphs)
-    return out.select(F.col("category").cast("string").alias("category"), "n")
+    docs = table(spark, sf_dir, "documents")
+    return C.build_all(docs, "lang", fresh(spark, "build"), lambda d: segmentation.paragraphs(d).join(docs.select("doc_id", "lang"), "doc_id"))
+
+
+@BOOK.add("s07_build_stops", f"""WITH {_BUILT}, c AS (SELECT lang AS category, count(*) AS r FROM documents WHERE lang IS NOT NULL GROUP BY 1),
+s AS (SELECT category, CASE WHEN sum(r) OVER (ORDER BY category) > (SELECT count(*) // 2 FROM documents) THEN 'stopped' ELSE 'built' END AS status FROM c)
+SELECT category, status, CASE WHEN status = 'built' THEN coalesce(n, 0) ELSE 0 END AS n FROM s LEFT JOIN l USING (category)""")
+def s07_stops(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    parse = lambda d: segmentation.paragraphs(d).join(docs.select("doc_id", "lang"), "doc_id")
+    return C.build_all(docs, "lang", fresh(spark, "build"), parse, most_rows=docs.count() // 2)
 
 
 @BOOK.add("s08_config_defaults", "WITH d AS (SELECT DISTINCT p_brand AS key, 'default' AS value FROM part), s AS (SELECT p_brand AS key, max(p_type) AS value FROM part WHERE p_size > 48 GROUP BY 1) SELECT d.key, coalesce(s.value, d.value) AS value, s.value IS NULL AS is_default FROM d LEFT JOIN s USING (key)")
@@ -98,7 +119,7 @@ def s09(spark, sf_dir):
     return C.config_problems(rules, known, "check", "p_partkey", ["label"], "stages")
 
 
-@BOOK.add("s10_case_list", "SELECT event_id, user_id, row_number() OVER (ORDER BY ts DESC, event_id)::INT AS pos FROM events WHERE event_type = 'view'")
+@BOOK.add("s10_case_list", "SELECT event_id, user_id, row_number() OVER (ORDER BY ts DESC, event_id) AS pos FROM events WHERE event_type = 'view'")
 def s10(spark, sf_dir):
     return C.case_list(table(spark, sf_dir, "events"), F.col("event_type") == "view", "ts", "event_id").select("event_id", "user_id", "pos")
 
@@ -117,14 +138,28 @@ def s12(spark, sf_dir):
     return C.route_by_size(back, "html", 8192).select("page_id", "bytes", "target", F.md5("html").alias("body"))
 
 
-@BOOK.add("s13_archive_bundle", "SELECT o_orderkey, o_orderstatus AS status, count(l_partkey) AS lines, list(l_linenumber || ':' || l_partkey ORDER BY l_linenumber, l_partkey)::VARCHAR[] AS parts FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2")
+@BOOK.add("s13_archive_bundle", """
+WITH d AS (SELECT l_orderkey, count(*) AS lines, list(l_linenumber || ':' || l_partkey ORDER BY l_linenumber, l_partkey)::VARCHAR[] AS parts, count(DISTINCT l_suppkey) AS sources, count(*) FILTER (WHERE l_returnflag = 'R') AS returned, count(DISTINCT l_linestatus) AS stages, min(l_shipdate)::DATE::VARCHAR AS first_event FROM lineitem GROUP BY 1)
+SELECT o_orderkey, o_orderstatus AS version, lines, parts, sources, returned, stages, first_event FROM orders JOIN d ON l_orderkey = o_orderkey""")
 def s13(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
-    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey")
-    made = C.bundle(orders, {"lines": lines}, "o_orderkey")
-    back = F.from_json("document", "o_orderstatus string, lines array<struct<l_linenumber:int,l_partkey:bigint>>")
-    flat = made.select("o_orderkey", back.alias("d")).where("d.lines is not null")
-    return flat.select("o_orderkey", F.col("d.o_orderstatus").alias("status"), F.size("d.lines").cast("long").alias("lines"), F.transform("d.lines", lambda x: F.concat_ws(":", x["l_linenumber"], x["l_partkey"])).alias("parts"))
+    """A case is an order, its status the version; the bundle's five parts are written as JSON and read back."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("version"))
+    lines = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
+    parts = {
+        "draft": lines.select("o_orderkey", "l_linenumber", "l_partkey"),
+        "sources_used": lines.select("o_orderkey", "l_suppkey").distinct(),
+        "check_summary": lines.groupBy("o_orderkey").agg(F.count_if(F.col("l_returnflag") == "R").alias("returned")),
+        "stage_versions": lines.groupBy("o_orderkey", F.col("l_linestatus").alias("stage")).agg(F.count(F.lit(1)).alias("version")),
+        "audit_trail": lines.select("o_orderkey", F.col("l_shipdate").cast("date").alias("day"), "l_linenumber"),
+    }
+    root = fresh(spark, "archive")
+    made = C.bundle(orders.join(lines.select("o_orderkey").distinct(), "o_orderkey", "left_semi"), parts, "o_orderkey").join(orders, "o_orderkey")
+    C.write_bundles(made, "o_orderkey", "version", root)
+    shape = "draft array<struct<l_linenumber:int,l_partkey:bigint>>, sources_used array<struct<l_suppkey:bigint>>, check_summary array<struct<returned:bigint>>, stage_versions array<struct<stage:string,version:bigint>>, audit_trail array<struct<day:date,l_linenumber:int>>"
+    back = spark.read.schema("o_orderkey long, document string, version string, shard int").json(root).select("o_orderkey", "version", F.from_json("document", shape).alias("d"))
+    pair = F.transform("d.draft", lambda x: F.concat_ws(":", x["l_linenumber"], x["l_partkey"]))
+    count = lambda c: F.size(f"d.{c}").cast("long")
+    return back.select("o_orderkey", "version", count("draft").alias("lines"), pair.alias("parts"), count("sources_used").alias("sources"), F.get("d.check_summary", F.lit(0))["returned"].alias("returned"), count("stage_versions").alias("stages"), F.get("d.audit_trail", F.lit(0))["day"].cast("string").alias("first_event"))
 
 
 @BOOK.add("s14_rendered_text", "SELECT conv_id, 'Case ' || conv_id || chr(10) || chr(10) || string_agg(turn || '. ' || text || CASE WHEN length(text) < 60 THEN ' [check]' ELSE '' END, chr(10) || chr(10) ORDER BY turn) AS document FROM conversations GROUP BY 1")
@@ -149,23 +184,33 @@ def l13_stream(spark, sf_dir):
     return stream.drain(stream.latency(rows.where("action = 'click'"), live(spark, sf_dir).where("action = 'view'"), 1440))
 
 
-@BOOK.add("l10_stream_accepted_starts")
+@BOOK.add("l10_stream_accepted_starts", """
+WITH RECURSIVE s AS (SELECT event_id, user_id AS case_id, (event_id % 5 + 1)::INT AS stage, ts, row_number() OVER (PARTITION BY user_id, event_id % 5 ORDER BY ts, event_id) AS rn FROM events WHERE event_type = 'click'),
+r(event_id, case_id, stage, rn, last, accepted) AS (SELECT event_id, case_id, stage, rn, ts, true FROM s WHERE rn = 1
+  UNION ALL SELECT s.event_id, s.case_id, s.stage, s.rn, CASE WHEN s.ts > r.last + INTERVAL 1440 MINUTE THEN s.ts ELSE r.last END, s.ts > r.last + INTERVAL 1440 MINUTE FROM r JOIN s ON s.case_id = r.case_id AND s.stage = r.stage AND s.rn = r.rn + 1)
+SELECT event_id, case_id, stage, accepted FROM r""")
 def l10_stream(spark, sf_dir):
-    return stream.drain(stream.accepted_starts(live(spark, sf_dir).where("action = 'click'"), 60 * 24))
+    told = stream.accepted_starts(live(spark, sf_dir).where("action = 'click'"), 60 * 24, late="0 seconds")
+    return stream.drain(told).select("event_id", "case_id", "stage", "accepted")
 
 
-@BOOK.add("l09_stream_dead_runs")
+@BOOK.add("l09_stream_dead_runs", """
+WITH e AS (SELECT event_id, user_id AS case_id, (event_id % 5 + 1)::INT AS stage, CASE event_type WHEN 'click' THEN 'start' WHEN 'view' THEN 'done' ELSE event_type END AS action, ts, epoch_us(ts) // 1000 AS ms FROM events),
+n AS (SELECT a.event_id, arg_min(b.ms, (b.ts, b.event_id)) AS ms FROM e a JOIN e b ON a.case_id = b.case_id AND a.stage = b.stage AND (b.ts > a.ts OR (b.ts = a.ts AND b.event_id > a.event_id)) AND (b.ms - a.ms > 1200000 OR b.action IN ('start', 'done', 'failed')) WHERE a.action = 'start' GROUP BY 1)
+SELECT case_id, stage, e.ms AS started_ms, e.ms + 1200000 AS dead_ms FROM e LEFT JOIN n USING (event_id) WHERE e.action = 'start' AND coalesce(n.ms - e.ms > 1200000, e.ms + 1200000 < (SELECT max(ms) - 60000 FROM e))""")
 def l09_stream(spark, sf_dir):
     named = F.when(F.col("action") == "click", "start").when(F.col("action") == "view", "done").otherwise(F.col("action"))
-    return stream.drain(stream.dead_runs(live(spark, sf_dir).withColumn("action", named)))
+    told = stream.drain(stream.dead_runs(live(spark, sf_dir).withColumn("action", named)))
+    return told.select("case_id", "stage", F.unix_millis("started").alias("started_ms"), F.unix_millis("dead_at").alias("dead_ms"))
 
 
-@BOOK.add("l17_unfinalise", "SELECT conv_id % 5 AS shard, count(*) AS n FROM conversations WHERE conv_id % 7 <> 0 GROUP BY 1")
+@BOOK.add("l17_unfinalise", "SELECT conv_id, count(*) FILTER (WHERE conv_id % 7 <> 0) AS n, conv_id % 7 <> 0 AND conv_id % 2 = 0 AS indexed, CASE WHEN conv_id % 7 <> 0 AND conv_id % 2 = 0 THEN 'day ' || conv_id END AS indexed_at FROM conversations GROUP BY conv_id")
 def l17(spark, sf_dir):
-    """Rows of cases that are taken back go first, then their flag."""
-    root = fresh(spark, "finalised")
-    talk = table(spark, sf_dir, "conversations").withColumn("shard", F.col("conv_id") % 5)
-    talk.write.partitionBy("shard").parquet(f"{root}/a")
-    kept = spark.read.parquet(f"{root}/a").where(F.col("conv_id") % 7 != 0)
-    kept.write.partitionBy("shard").parquet(f"{root}/b")
-    return spark.read.parquet(f"{root}/b").groupBy(F.col("shard").cast("long").alias("shard")).agg(F.count(F.lit(1)).alias("n"))
+    """Conversations are cases with their turns in the index; every seventh is taken back, also those whose flag isn't set."""
+    talk = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    cases = talk.select("conv_id").distinct()
+    on = F.col("conv_id") % 2 == 0
+    flags = cases.select("conv_id", on.alias("indexed"), F.when(on, F.concat(F.lit("day "), F.col("conv_id"))).alias("indexed_at"), F.when(on, "sent").alias("status_note"))
+    rows, left = C.unfinalise(spark, talk, flags, cases.where("conv_id % 7 = 0"), "conv_id", fresh(spark, "finalised"))
+    n = rows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
+    return left.join(n, "conv_id", "left").select("conv_id", F.coalesce("n", F.lit(0)).alias("n"), "indexed", "indexed_at")

@@ -28,8 +28,9 @@ def local_session(cores: str = "8", app: str = "docket", **conf: str) -> SparkSe
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for cut lineage: the cluster's spark.checkpoint.dir.
 
-    Only where the session names none (tests, a laptop) a fresh local folder
-    is made and set.
+    Only where the session names none and its master is local (tests, a laptop) a
+    fresh local folder is made and set; on a cluster that raises, since executors
+    don't see the driver's folders.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
@@ -37,6 +38,8 @@ def scratch_root(spark: SparkSession) -> str:
     context = spark.sparkContext
     known = context.getCheckpointDir()
     if known is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="docket-"))
         known = context.getCheckpointDir()
     return known.rstrip("/")
@@ -52,10 +55,26 @@ def cut(df: DataFrame, compression: str = "snappy") -> DataFrame:
     spark = df.sparkSession
     void = {c: df[c].cast("string") for c, kind in df.dtypes if kind == "void"}
     path = f"{scratch_root(spark)}/docket-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.withColumns(void).write.option("compression", compression).parquet(path)
     return spark.read.schema(df.withColumns(void).schema).parquet(path)
 
 
+_written: dict[str, list[str]] = {}
+
+
+def drop_cuts(spark: SparkSession) -> int:
+    """Deletes the tables that ``cut`` wrote in this application, and gives their number.
+
+    Call it when results that read them are written or no longer needed.
+    """
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return len(paths)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Give the executors this package, once for a Spark context."""
     context = spark.sparkContext

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from docket.operators.canonical import bounded
+from docket.operators.ordering import in_order
+
 DELETE_MOST = 500
 ROUTE_BYTES = 300 * 1024
 
@@ -18,8 +21,7 @@ def scan_files(spark: SparkSession, root: str, category: str, extension: str = "
 
 def scan_category(units: DataFrame, category_col: str, category: str, id_col: str) -> DataFrame:
     """Units of one category, numbered in the order of their ids; the filter reaches the scan."""
-    rows = units.where(F.col(category_col) == category)
-    return rows.withColumn("pos", F.row_number().over(W.orderBy(id_col)))
+    return in_order(units.where(F.col(category_col) == category), id_col)
 
 
 def stage(units: DataFrame, path: str, by: str) -> DataFrame:
@@ -28,6 +30,22 @@ def stage(units: DataFrame, path: str, by: str) -> DataFrame:
     return units.sparkSession.read.parquet(path)
 
 
+def staged_report(staged: DataFrame, by: str, file_col: str, order: str, text_col: str, checks: dict[str, Column], sample_chars: int = 80) -> tuple[DataFrame, DataFrame]:
+    """What to look at before a load: (a row a category, a row a file).
+
+    A category has its files, units, units of each check that holds (named after
+    it), and the beginning of its first unit as a sample. A file has its units,
+    its longest one, and how many units some check holds for.
+    """
+    bad = F.lit(False)
+    for c in checks.values():
+        bad = bad | F.coalesce(c, F.lit(False))
+    first = F.min_by(F.left(F.col(text_col), F.lit(sample_chars)), F.struct(file_col, order))
+    category = staged.groupBy(by).agg(F.countDistinct(file_col).alias("files"), F.count(F.lit(1)).alias("units"), *[F.count_if(c).alias(n) for n, c in checks.items()], first.alias("sample"))
+    files = staged.groupBy(by, file_col).agg(F.count(F.lit(1)).alias("units"), F.max(F.length(text_col)).alias("longest"), F.count_if(bad).alias("problems"))
+    return category, files
+
+
 def load(units: DataFrame, routes: dict[str, Column], root: str, by: str, mode: str = "append") -> None:
     """Appends each route's units to its own table, partitioned; routes don't overlap."""
     for name, condition in routes.items():
@@ -47,12 +65,44 @@ def delete_where(units: DataFrame, col: str, value, dry_run: bool = True, most:
     return (units if dry_run else units.where(~F.col(col).eqNullSafe(F.lit(value)))), n
 
 
-def build_all(units: DataFrame, categories: list[str], category_col: str, root: str, parse) -> DataFrame:
-    """For each category parse and load into one partitioned table; the report (category, n) comes from what was written."""
-    for i, c in enumerate(categories):
-        out = parse(units.where(F.col(category_col) == c)).withColumn("category", F.lit(c))
-        out.write.mode("overwrite" if i == 0 else "append").partitionBy("category").parquet(root)
-    return units.sparkSession.read.parquet(root).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+def build_all(units: DataFrame, category_col: str, root: str, parse, categories: list[str] | None = None, most_rows: int | None = None) -> DataFrame:
+    """Parses and loads categories in order into one partitioned table, and reports (category, status, n).
+
+    ``categories`` None stands for all, by name; units without a category are left
+    out. With ``most_rows`` the build stops before the first category with which
+    more source rows would be read than that: it and those after it are
+    ``stopped``, to be given to a later call. All that is built is one write, so
+    it is there whole or not at all; counts come from what was written.
+    """
+    spark = units.sparkSession
+    sizes = units.where(F.col(category_col).isNotNull()).groupBy(F.col(category_col).cast("string").alias("category")).agg(F.count(F.lit(1)).alias("rows"))
+    if categories is None:
+        plan = sizes.withColumn("place", F.col("category"))
+    else:
+        named = spark.createDataFrame([(c, f"{i:09d}") for i, c in enumerate(categories)], "category string, place string")
+        plan = named.join(sizes, "category", "left").select("category", F.coalesce("rows", F.lit(0)).alias("rows"), "place")
+    upto = F.sum("rows").over(W.orderBy("place").rowsBetween(W.unboundedPreceding, 0))  # a row a category
+    plan = plan.withColumn("status", F.when(F.lit(most_rows is not None) & (upto > F.lit(most_rows)), "stopped").otherwise("built")).drop("place", "rows")
+    taken = units.join(bounded(plan.where("status = 'built'").select(F.col("category").alias(category_col))), category_col, "left_semi")
+    parse(taken).withColumn("category", F.col(category_col).cast("string")).write.mode("overwrite").partitionBy("category").parquet(root)
+    loaded = spark.read.schema("category string").parquet(root).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+    return plan.join(loaded, "category", "left").select("category", "status", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def unfinalise(spark: SparkSession, rows: DataFrame, flags: DataFrame, cases: DataFrame, case_col: str, root: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, flags) after cases are taken back: two writes, the rows' always first.
+
+    First the index's rows without those of the cases are written, whether or not
+    a case's flag is set; only when that is done are indexed, indexed_at and
+    status_note of the cases cleared. If the first write fails, the flags still
+    say what the index holds.
+    """
+    gone = cases.select(case_col).distinct()
+    rows.join(gone, case_col, "left_anti").write.mode("overwrite").parquet(f"{root}/rows")
+    marked = flags.join(gone.withColumn("_gone", F.lit(True)), case_col, "left")
+    cleared = {"indexed": F.when(F.col("_gone"), F.lit(False)).otherwise(F.col("indexed"))} | {c: F.when(F.col("_gone").isNull(), F.col(c)) for c in ("indexed_at", "status_note")}
+    marked.withColumns(cleared).select(*flags.columns).write.mode("overwrite").parquet(f"{root}/flags")
+    return spark.read.parquet(f"{root}/rows"), spark.read.parquet(f"{root}/flags")
 
 
 def with_defaults(default: DataFrame, stored: DataFrame, key: str, value: str) -> DataFrame:
@@ -72,8 +122,7 @@ def config_problems(rules: DataFrame, known: DataFrame, check_col: str, id_col:
 
 def case_list(rows: DataFrame, keep: Column, time_col: str, id_col: str) -> DataFrame:
     """Kept rows with pos, newest first."""
-    order = W.orderBy(F.col(time_col).desc_nulls_last(), id_col)
-    return rows.where(keep).withColumn("pos", F.row_number().over(order))
+    return in_order(rows.where(keep), F.col(time_col).desc_nulls_last(), F.col(id_col))
 
 
 def audit_read(events: DataFrame, key_col: str, prefix: str, case_col: str, detail_col: str, fields: dict[str, str]) -> DataFrame:
@@ -110,6 +159,12 @@ def bundle(cases: DataFrame, parts: dict[str, DataFrame], case_col: str) -> Data
     return out.select(case_col, F.to_json(F.struct(*out.columns)).alias("document"))
 
 
+def write_bundles(bundles: DataFrame, case_col: str, version_col: str, root: str, shards: int = 64) -> None:
+    """Bundles as JSON lines by version and shard of cases: a folder a case would be far too many."""
+    shard = F.pmod(F.xxhash64(case_col), F.lit(shards))
+    bundles.withColumn("shard", shard).write.mode("overwrite").partitionBy(version_col, "shard").option("ignoreNullFields", False).json(root)
+
+
 def rendered(sections: DataFrame, by: str, no: str, text: str, head: Column, flagged: Column, mark: str = " [check]") -> DataFrame:
     """(by, document): header, then numbered sections joined by blank lines, flagged ones marked."""
     line = F.concat(F.col(no).cast("string"), F.lit(". "), F.col(text), F.when(flagged, mark).otherwise(""))

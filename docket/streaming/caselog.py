@@ -20,9 +20,14 @@ from docket.session import scratch_root
 
 
 def file_stream(spark: SparkSession, path: str, files_per_trigger: int = 4) -> DataFrame:
-    """A Parquet table as a stream of its files."""
+    """A Parquet table as a stream of its files.
+
+    Streams read folders and globs; the last character as a class makes a glob
+    that fits this name and no other, be it a file or a folder.
+    """
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{path}*")
+    path = path.rstrip("/")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def drain(stream: DataFrame, mode: str = "append", checkpoint: str | None = None, out: str | None = None) -> DataFrame:
@@ -62,22 +67,43 @@ def latency(starts: DataFrame, finishes: DataFrame, minutes: int, late: str = "1
     return out.select("start_id", "finish_id", (F.unix_timestamp("finished") - F.unix_timestamp("started")).alias("seconds"))
 
 
-def accepted_starts(starts: DataFrame, minutes: int = DEAD_MINUTES) -> DataFrame:
-    """(case, stage, event_id, ts, accepted): a start within ``minutes`` of the last that counted is ignored."""
-    wait = minutes * 60 * 1_000_000
+def accepted_starts(starts: DataFrame, minutes: int = DEAD_MINUTES, late: str = "1 day") -> DataFrame:
+    """(case, stage, event_id, ts, accepted): a start within ``minutes`` of the last that counted is ignored.
+
+    Starts wait until the watermark (``late`` behind the newest) has passed them
+    and are then judged in the order of event time, so their order of arrival
+    doesn't matter; later ones are dropped. A key's state is its waiting starts
+    and the last that counted, and ends once any start to come would count.
+    """
+    wait = minutes * 60 * 1000
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        last = state.get[0] if state.exists else None
-        keep = []
-        for t in rows["ts"].astype("datetime64[us]").astype("int64").tolist():
-            fine = last is None or t - last > wait
+        last, held, ids = state.get if state.exists else (None, [], [])
+        waiting = list(zip(held, ids, strict=True))
+        if not state.hasTimedOut:
+            for batch in batches:
+                waiting += zip(batch["us"].tolist(), batch["event_id"].tolist(), strict=True)
+        passed = state.getCurrentWatermarkMs()
+        waiting.sort()
+        due = [w for w in waiting if w[0] // 1000 < passed or state.hasTimedOut and w[0] // 1000 <= passed]
+        waiting, keep = waiting[len(due) :], []
+        for t, _ in due:
+            fine = last is None or t - last > wait * 1000
             keep.append(fine)
             last = t if fine else last
-        state.update((last,))
-        yield pd.DataFrame({"case_id": key[0], "stage": key[1], "event_id": rows["event_id"], "ts": rows["ts"], "accepted": keep})
+        if waiting:
+            state.update((last, [t for t, _ in waiting], [i for _, i in waiting]))
+            state.setTimeoutTimestamp(max(waiting[0][0] // 1000, passed + 1))
+        elif last is not None and last // 1000 + wait >= passed:
+            state.update((last, [], []))
+            state.setTimeoutTimestamp(max(last // 1000 + wait, passed + 1))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame({"case_id": key[0], "stage": key[1], "event_id": [i for _, i in due], "us": [t for t, _ in due], "accepted": keep})
 
-    return starts.groupBy("case_id", "stage").applyInPandasWithState(run, "case_id long, stage int, event_id long, ts timestamp, accepted boolean", "last long", "append", GroupStateTimeout.NoTimeout)
+    marked = starts.withWatermark("ts", late).withColumn("us", F.unix_micros("ts"))  # numbers, so that no time zone comes in
+    told = marked.groupBy("case_id", "stage").applyInPandasWithState(run, "case_id long, stage int, event_id long, us long, accepted boolean", "last long, held array<long>, ids array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    return told.select("case_id", "stage", "event_id", F.timestamp_micros("us").alias("ts"), "accepted")
 
 
 def dead_runs(events: DataFrame, minutes: int = DEAD_MINUTES, late: str = "1 minute") -> DataFrame:
@@ -94,8 +120,8 @@ def dead_runs(events: DataFrame, minutes: int = DEAD_MINUTES, late: str = "1 min
             told.append(open_at)
             state.remove()
         else:
-            for r in pd.concat(list(batches)).sort_values(["ts", "event_id"]).itertuples():
-                t = int(r.ts.timestamp() * 1000)
+            for r in pd.concat(list(batches)).sort_values(["us", "event_id"]).itertuples():
+                t = r.us // 1000
                 if open_at is not None and t - open_at > limit:
                     told.append(open_at)
                     open_at = None
@@ -109,8 +135,8 @@ def dead_runs(events: DataFrame, minutes: int = DEAD_MINUTES, late: str = "1 min
             else:
                 state.update((open_at,))
                 state.setTimeoutTimestamp(max(open_at + limit, state.getCurrentWatermarkMs() + 1))
-        at = pd.to_datetime(pd.Series(told, dtype="int64"), unit="ms")
-        yield pd.DataFrame({"case_id": key[0], "stage": key[1], "started": at, "dead_at": at + pd.Timedelta(milliseconds=limit)})
+        yield pd.DataFrame({"case_id": key[0], "stage": key[1], "ms": pd.Series(told, dtype="int64")})
 
-    marked = events.withWatermark("ts", late)
-    return marked.groupBy("case_id", "stage").applyInPandasWithState(run, "case_id long, stage int, started timestamp, dead_at timestamp", "open long", "append", GroupStateTimeout.EventTimeTimeout)
+    marked = events.withWatermark("ts", late).withColumn("us", F.unix_micros("ts"))
+    told = marked.groupBy("case_id", "stage").applyInPandasWithState(run, "case_id long, stage int, ms long", "open long", "append", GroupStateTimeout.EventTimeTimeout)
+    return told.select("case_id", "stage", F.timestamp_millis("ms").alias("started"), F.timestamp_millis(F.col("ms") + limit).alias("dead_at"))

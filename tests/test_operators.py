@@ -74,6 +74,76 @@ def test_rules_never_fail(spark):
     assert one(spark.range(1).select(rules.lowest_confidence([F.lit("high"), F.lit("low"), F.lit(None).cast("string")]))) == "low"
 
 
+def test_a_bad_rule_is_unclear_and_the_others_stand(spark):
+    cases = spark.createDataFrame([(1, "x", "maybe", ["a"]), (2, "y", "true", [])], "case_id int, a string, flag string, list array<string>")
+    bad = [Rule("B1", "array_min", ("list",)), Rule("B2", "present"), Rule("B3", "array_min", ("a",), params={"least": 1}), Rule("B4", "flag_true", ("flag",)), Rule("B5", "regex", ("a",), params={"pattern": "(["}), Rule("B6", "date_within", ("a", "flag")), Rule("B7", "adult_age", ("list", "a")), Rule("B8", "entity_kind", ("list",))]
+    good = Rule("G1", "array_min", ("list",), params={"least": 1}, basis="art. 9", curable=True, coverage_note="some")
+    rows = {(r.case_id, r.code): r for r in rules.run_rules(cases, [*bad, good], "case_id", {"list": "flag"}).collect()}
+    assert all(rows[(1, r.code)].status == "unclear" for r in bad)
+    assert rows[(2, "B4")].status == "present" and rows[(1, "G1")].status == "present" and rows[(2, "G1")].status == "missing"
+    g = rows[(1, "G1")]
+    assert (g.basis, g.curable, g.coverage_note, g.computed, g.input_confidence) == ("art. 9", True, "some", "1", None)
+
+
+def test_calendar_spellings(spark):
+    def day(text):
+        return one(spark.range(1).select(rules.parse_roc(F.lit(text)).cast("string")))
+
+    for text in ("114-04-08", "114/4/8", "114.04.08", " 114 - 4 - 8 ", "民國114年4月8日", "114 年 4 月 8 號", "114年4月8", "１１４年４月８日"):
+        assert day(text) == "2025-04-08", text
+    for text in ("5-1-1", "114/3-10x", "民國114-04-08", "114年3-10", "114-02-30", "1140-1-1", "不知道", ""):
+        assert day(text) is None, text
+    assert day("99.1.2") == "2010-01-02"
+
+
+def test_precedents_with_text_keys_and_rebuttals(spark):
+    rows = [("q", "law#1", 0.95, 1, 1, "no"), ("q", "law#2", 0.9, 2, 0, "never"), ("q", "law#3", 0.85, 3, 0, "never"), ("q", "law#4", 0.5, 4, 1, "no"), ("r", "law#9", 0.4, 1, 1, "no")]
+    near = spark.createDataFrame(rows, "query_id string, ref_key string, score double, pos int, outcome int, rebuttal string")
+    q = spark.createDataFrame([("q",), ("r",), ("s",)], "query_id string")
+    got = {r.query_id: r for r in retrieval.precedents(near, q, q).collect()}
+    assert (got["q"].matched, got["q"].adopted, [tuple(x) for x in got["q"].rebuttals]) == (3, 1, [("never", 2), ("no", 1)])
+    assert (got["r"].near_misses, got["r"].best, got["r"].rebuttals) == (["law#9"], 0.4, []) and got["q"].near_misses == []
+
+
+def test_search_inside_a_column(spark):
+    docs = spark.createDataFrame([(1, "a", "red fox"), (2, "b", "red dog"), (3, "b", "blue fox"), (4, None, "red fox")], "ref_key long, law string, text string")
+    q = spark.createDataFrame([(7, "red fox"), (8, "red")], "query_id long, text string")
+    hint = spark.createDataFrame([(7, "b"), (8, "a"), (8, "a")], "query_id long, law string")
+    got = retrieval.bm25(docs, q, 5, inside=("law", hint)).collect()
+    assert sorted((r.query_id, r.ref_key) for r in got) == [(7, 2), (7, 3), (8, 1)]
+    every = {(r.query_id, r.ref_key): r.score for r in retrieval.bm25(docs, q, 5).collect()}
+    assert all(r.score == every[(r.query_id, r.ref_key)] for r in got)  # statistics are of all documents
+
+
+def test_cosine_in_blocks(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((60, 5))
+    units = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(90, None), (91, [0.0] * 5), (92, [1.0])], "ref_key long, vector array<double>")
+    q = units.where("ref_key < 9").select(F.col("ref_key").alias("query_id"), "vector")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for size in (64 << 20, 100):
+        got = retrieval.cosine(units, q, 4, block_bytes=size, skip_self=True).collect()
+        for i in range(9):
+            score = np.round(unit[i] @ unit.T, 6)
+            score[i] = -9
+            assert [r.ref_key for r in sorted(got, key=lambda r: r.pos) if r.query_id == i] == np.argsort(-score, kind="stable")[:4].tolist()
+
+
+def test_near_names_against_all_pairs(spark):
+    import random
+
+    draw = random.Random(5)
+    names = ["".join(draw.choice("abc") for _ in range(draw.randint(4, 9))) for _ in range(150)]
+    v = spark.createDataFrame([(n,) for n in names[:70]], "value string")
+    k = spark.createDataFrame([(n,) for n in names[70:]], "value string")
+    got = {(r.value, r.suggestion, r.distance) for r in canonical.near_names(v, k, top=1000).collect()}
+    pairs = v.distinct().crossJoin(k.distinct().withColumnRenamed("value", "s")).where("length(value) >= 5 AND abs(length(value) - length(s)) <= 1")
+    want = {(r.value, r.s, r.d) for r in pairs.withColumn("d", F.levenshtein("value", "s")).collect() if r.d and r.d / max(len(r.value), len(r.s)) <= 0.34}
+    assert got == want and want
+
+
 def test_late_grounds_put_curable_ones_aside(spark):
     rows = [(1, "P01", "triggered")] + [(1, f"F0{i}", "missing") for i in range(1, 5)]
     got = rules.grounds(spark.createDataFrame(rows, "case_id int, code string, status string"), "case_id", "P01").first()
@@ -97,7 +167,9 @@ def test_containment_loses_no_pair(spark):
 def test_quotes(spark):
     q = spark.createDataFrame([(1, "alpha beta gamma delta", ["A"]), (2, "one two three four five", ["A"]), (3, "alpha, beta gamma - delta", ["A"]), (4, "never said by any one", ["A"]), (5, "short", ["A"]), (6, "alpha beta ... gamma delta", ["A"])], "quote_id int, quote string, cited array<string>")
     s = spark.createDataFrame([("A", "so alpha beta  gamma delta it is"), ("B", "one two three four five")], "ref_key string, text string")
-    got = {r.quote_id: r.result for r in drafts.verify_quotes(q, s).collect()}
+    rows = {r.quote_id: r for r in drafts.verify_quotes(q, s, cut_at=20).collect()}
+    got = {i: r.result for i, r in rows.items()}
+    assert rows[4].cited_truncated == ["A"] and rows[1].cited_truncated == []
     assert got == {1: "verbatim", 2: "misattributed", 3: "same_without_punctuation", 4: "not_found", 5: "emphasis", 6: "verbatim"}
 
 
