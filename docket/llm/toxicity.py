@@ -25,6 +25,7 @@ logistic fit on the training documents.
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -40,7 +41,7 @@ DECAY = 0.8
 SIZES = (6, 8, 10)
 START = "\x02"  # before each word
 FLOOR = 0.64  # a window further from all landmarks isn't scored: it has no margin and is no hit
-LABELLED = 3_000  # documents of each class to learn from
+LABELLED = 2_000  # documents of each class to learn from
 DOC_CHARS = 20_000  # longest document to learn from
 LANDMARKS = 128
 ROUNDS = 4
@@ -143,7 +144,10 @@ class Landmarks:
         """The kernel of each string with each landmark."""
         if not strings or not len(self.keys):
             return np.zeros((len(strings), len(self.strings)))
-        return np.concatenate([self._meet(*_features(strings[a : a + 5000]), len(strings[a : a + 5000])) for a in range(0, len(strings), 5000)])
+        out = np.zeros((len(strings), len(self.strings)), dtype=np.float32)
+        for a in range(0, len(strings), 5000):
+            out[a : a + 5000] = self._meet(*_features(strings[a : a + 5000]), len(strings[a : a + 5000]))
+        return out
 
     def near(self, words: list[str]) -> list[str]:
         """The words of which a window can have a kernel of FLOOR or more with some landmark.
@@ -254,12 +258,15 @@ def _telling(toxic: Counter, other: Counter, ratio: float, most: int) -> list[st
 def _svm(x: np.ndarray, y: np.ndarray, share: np.ndarray, penalty: float = 1e-4, rounds: int = 200) -> tuple[np.ndarray, float]:
     """Squared-hinge linear SVM by accelerated gradient steps; ``share`` weighs the rows and sums to 1."""
     sign = np.where(y > 0, 1.0, -1.0)
-    z = np.hstack([x, np.ones((len(x), 1))])
-    step = 1 / (2 * np.linalg.eigvalsh((z * share[:, None]).T @ z)[-1] + penalty)
-    w = look = np.zeros(z.shape[1])
+    gram = np.zeros((x.shape[1] + 1, x.shape[1] + 1))
+    for at in range(0, len(x), 4096):
+        z = np.hstack([x[at : at + 4096], np.ones((len(x[at : at + 4096]), 1))])
+        gram += (z * share[at : at + 4096, None]).T @ z
+    step = 1 / (2 * np.linalg.eigvalsh(gram)[-1] + penalty)
+    w = look = np.zeros(x.shape[1] + 1)
     for t in range(1, rounds + 1):
-        slack = np.maximum(0, 1 - sign * (z @ look))
-        grad = -2 * z.T @ (share * sign * slack) + penalty * np.append(look[:-1], 0)
+        slack = share * sign * np.maximum(0, 1 - sign * (x @ look[:-1].astype(x.dtype) + look[-1]))
+        grad = -2 * np.append(slack.astype(x.dtype) @ x, slack.sum()) + penalty * np.append(look[:-1], 0)
         new = look - step * grad
         look, w = new + (t - 1) / (t + 2) * (new - w), new
     return w[:-1], float(w[-1])
@@ -280,12 +287,20 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
+def _mapped(value: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """The Nystroem map of kernel rows in 32 bits, and a row of zeros for a document without any."""
+    out = np.zeros((len(value) + 1, len(root)), dtype=np.float32)
+    for at in range(0, len(value), 8192):
+        out[at : at + len(value[at : at + 8192])] = value[at : at + 8192] @ root
+    return out
+
+
 def train(rows: list[tuple[str, int]], landmarks: int = LANDMARKS) -> Model:
     """A model of (text, label of the document) rows; equal rows count once.
 
     Without both classes, or without a telling window, every score is under 0.5.
     """
-    bags = [(Counter(words_of(t)), y) for t, y in sorted(set(rows))]
+    bags = [(Counter(map(sys.intern, words_of(t))), y) for t, y in sorted(set(rows))]
     by_class: tuple[Counter, Counter] = (Counter(), Counter())
     for words, y in bags:
         by_class[y].update(words.keys())
@@ -314,9 +329,9 @@ def train(rows: list[tuple[str, int]], landmarks: int = LANDMARKS) -> Model:
     val, vec = np.linalg.eigh(table.kernel(told))
     root = vec @ np.diag(1 / np.sqrt(np.maximum(val, 1e-2))) @ vec.T
     nothing = len(windows)  # a document without a window near a landmark
-    x = np.vstack([value @ root, np.zeros((1, len(told)))])
-    gapped = table.kernel([f"{v[: len(v) // 2]}\x01{v[len(v) // 2 :]}" for v in windows]) @ root
-    gapped = np.vstack([gapped, np.zeros((1, len(told)))])
+    x = _mapped(value, root)
+    del value
+    gapped = _mapped(table.kernel([f"{v[: len(v) // 2]}\x01{v[len(v) // 2 :]}" for v in windows]), root)
     of_word = {w: [place[v] for v in windows_of(w) if v in place] for w in near}
     inside = [sorted({i for w in words if w in of_word for i in of_word[w]}) or [nothing] for words, _ in bags]
     against = np.zeros(len(x))
