@@ -1,4 +1,4 @@
-"""The ten operators on their whole tables, and their SQL where it can say the same."""
+"""The operators on their whole tables, and their SQL where it can say the same."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docket.llm import ann, bm25, langid, linededup, mixing, packing, simhash, tokenfile, toxicity, urlfilter
+from docket.llm import ann, bm25, collisions, langid, linededup, mixing, packing, simhash, tokenfile, toxicity, urlfilter
 from docket.llm.urlfilter import Rule
 from docket.session import scratch_root, ship_package
 from docket.sources.tables import table
@@ -94,6 +94,12 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_tokens(spark, path)
 
 
+def op13_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of cosine 0.98 or more inside a label, over all vectors."""
+    out = collisions.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return out.withColumnRenamed("id", "vec_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_toxicity": op2_toxicity,
@@ -105,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bm25_top_k": op8_bm25_top_k,
     "op9_simhash": op9_simhash,
     "op10_token_files": op10_token_files,
+    "op13_collision_counting": op13_collision_counting,
 }
 
 ORACLE_SQL: dict[str, str] = {}
@@ -170,3 +177,16 @@ r AS (SELECT query_id, doc_id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5
       FROM q JOIN f USING (term) JOIN p USING (term), s GROUP BY query_id, doc_id)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM r WHERE score > 0 QUALIFY rank <= 10
 """
+
+ORACLE_SQL["op13_collision_counting"] = r"""
+WITH RECURSIVE e AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+u AS (SELECT * FROM e WHERE len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+p AS (SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+      WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+r(node, other) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.node, p.y FROM r JOIN p ON r.other = p.x),
+c AS (SELECT node, min(other) AS component_id FROM r GROUP BY node),
+n AS (SELECT x, count(*) AS n_links FROM p GROUP BY x)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN c ON vec_id = node LEFT JOIN n ON vec_id = x
+"""
