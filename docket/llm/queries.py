@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docket.llm import ann, bm25, collisions, langid, linededup, mixing, packing, simhash, tokenfile, toxicity, urlfilter
+from docket.llm import ann, bm25, collisions, langid, linededup, mixing, packing, prefixtrie, simhash, tokenfile, toxicity, urlfilter
 from docket.llm.urlfilter import Rule
 from docket.session import scratch_root, ship_package
 from docket.sources.tables import table
@@ -94,6 +94,12 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_tokens(spark, path)
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the prefix tree of all rebuilt conversations."""
+    out = prefixtrie.conversation_trie(table(spark, sf_dir, "conversations"))
+    return out.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 def op13_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of cosine 0.98 or more inside a label, over all vectors."""
     out = collisions.near_duplicates(table(spark, sf_dir, "embeddings"))
@@ -111,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bm25_top_k": op8_bm25_top_k,
     "op9_simhash": op9_simhash,
     "op10_token_files": op10_token_files,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_collision_counting": op13_collision_counting,
 }
 
@@ -190,3 +197,30 @@ n AS (SELECT x, count(*) AS n_links FROM p GROUP BY x)
 SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
 FROM embeddings JOIN c ON vec_id = node LEFT JOIN n ON vec_id = x
 """
+
+ORACLE_SQL["op12_prefix_trie"] = r"""
+WITH s AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text
+           FROM conversations WHERE conv_id IS NOT NULL),
+h AS (SELECT conv_id, conv_id - conv_id % 20 AS family,
+        list_reduce([4294967295::BIGINT] || list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
+          lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda r, z: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END)) AS crc
+      FROM (SELECT DISTINCT conv_id FROM s)),
+c AS (SELECT conv_id, family, xor(crc, 4294967295) % 4 AS h FROM h),
+k AS (SELECT c.conv_id, 0 AS part, s.pos, role, text FROM c JOIN s ON s.conv_id = c.family AND s.pos <= c.h
+      UNION ALL SELECT c.conv_id, 1, s.pos, role, text FROM c JOIN s ON s.conv_id = c.conv_id AND s.pos > c.h),
+r AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, pos) AS depth, role, text FROM k),
+p AS (SELECT conv_id, depth, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS words,
+        list({'r': role, 't': text}) OVER (PARTITION BY conv_id ORDER BY depth ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS path FROM r
+      UNION ALL SELECT conv_id, 0, 0, [] FROM c),
+m AS (SELECT conv_id, depth, words, sha256(path::VARCHAR || len(path)) AS node FROM p),
+l AS (SELECT conv_id, max(depth) AS length FROM m GROUP BY conv_id),
+n AS (SELECT node, depth, any_value(words) AS words, min(m.conv_id) AS conv_id, count(*) AS n_convs,
+        sha256(coalesce(string_agg(m.conv_id::VARCHAR, ',' ORDER BY m.conv_id) FILTER (WHERE l.length = depth), '')) AS ends_sha256
+      FROM m JOIN l ON m.conv_id = l.conv_id GROUP BY node, depth),
+e AS (SELECT n.node, a.node AS parent FROM n JOIN m a ON a.conv_id = n.conv_id AND a.depth = n.depth - 1),
+b AS (SELECT parent, count(*) AS n_children FROM e GROUP BY parent),
+x AS (SELECT a.node, sum((n.n_convs - 1) * n.words)::BIGINT AS saved_tokens, count(*) FILTER (WHERE b.n_children IS NULL) AS n_leaves
+      FROM n JOIN m a ON a.conv_id = n.conv_id AND a.depth <= n.depth LEFT JOIN b ON b.parent = n.node GROUP BY a.node)
+SELECT n.conv_id, n.depth, o.conv_id AS parent_conv_id, n.n_convs, coalesce(b.n_children, 0) AS n_children, x.n_leaves, x.saved_tokens, n.ends_sha256
+FROM n JOIN x ON n.node = x.node LEFT JOIN b ON b.parent = n.node LEFT JOIN e ON e.node = n.node LEFT JOIN n o ON o.node = e.parent
+"""
