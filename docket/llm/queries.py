@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docket.llm import ann, bm25, collisions, langid, linededup, mixing, packing, prefixtrie, simhash, tokenfile, toxicity, urlfilter
+from docket.llm import ann, bm25, collisions, divergence, langid, linededup, mixing, packing, prefixtrie, simhash, tokenfile, toxicity, urlfilter
 from docket.llm.urlfilter import Rule
 from docket.session import scratch_root, ship_package
 from docket.sources.tables import table
@@ -94,6 +94,11 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_tokens(spark, path)
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every source against the others of its language, over all documents."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nodes of the prefix tree of all rebuilt conversations."""
     out = prefixtrie.conversation_trie(table(spark, sf_dir, "conversations"))
@@ -117,6 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bm25_top_k": op8_bm25_top_k,
     "op9_simhash": op9_simhash,
     "op10_token_files": op10_token_files,
+    "op11_source_divergence": op11_source_divergence,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_collision_counting": op13_collision_counting,
 }
@@ -224,3 +230,23 @@ x AS (SELECT a.node, sum((n.n_convs - 1) * n.words)::BIGINT AS saved_tokens, cou
 SELECT n.conv_id, n.depth, o.conv_id AS parent_conv_id, n.n_convs, coalesce(b.n_children, 0) AS n_children, x.n_leaves, x.saved_tokens, n.ends_sha256
 FROM n JOIN x ON n.node = x.node LEFT JOIN b ON b.parent = n.node LEFT JOIN e ON e.node = n.node LEFT JOIN n o ON o.node = e.parent
 """
+
+ORACLE_SQL["op11_source_divergence"] = r"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS i,
+             regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT lang, source, i, unnest(w) AS term FROM d),
+k AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT i) >= 10),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN k USING (lang, term) GROUP BY lang, source, term),
+g AS (SELECT lang, source, coalesce(any_value(v), 0) AS v, coalesce(sum(n), 0) AS n FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN v USING (lang) LEFT JOIN c USING (lang, source) GROUP BY lang, source),
+l AS (SELECT lang, sum(n) AS n_lang FROM g GROUP BY lang),
+f AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)::HUGEINT) // (g.n + 2 * g.v)::HUGEINT AS p
+      FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+q AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(c.n) + 2)::HUGEINT) // (any_value(n_lang) + 2 * any_value(v))::HUGEINT AS q FROM c JOIN l USING (lang) JOIN v USING (lang) GROUP BY lang, term),
+s AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value FROM f a JOIN f b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+o AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+      LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+      UNION ALL SELECT lang, source, 'term', term, (((p - q) * (p - q)) // (p + q))::BIGINT FROM f JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM o)
+SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 10
+"""
