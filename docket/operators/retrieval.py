@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docket.operators.canonical import bounded
+from docket.operators.vectors import comparable, cosine_inside, unit
 from docket.session import cut
 
 K1, B = 1.2, 0.75
@@ -80,73 +81,59 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, tokens=words, k1: flo
     return top_k(hits.select("query_id", "ref_key", "score"), k)
 
 
-def _unit(v: Column) -> Column:
-    d = F.transform(v, lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(d, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(d, lambda x: x / norm)
-
-
-def _comparable(v: Column) -> Column:
-    return v.isNotNull() & ~F.exists(v, lambda x: x.isNull()) & F.exists(v, lambda x: x != 0)
-
-
 def cosine(units: DataFrame, queries: DataFrame, k: int = 10, decimals: int = 6, block_bytes: int = 64 << 20, skip_self: bool = False) -> DataFrame:
     """(query_id, ref_key, score, pos): exact cosine of every unit with every query.
 
     Queries (query_id, vector) go to the tasks in blocks of at most about
-    ``block_bytes``; for each block units are read once, multiplied with it as
-    matrices, and only a batch's best k a query leave it. ``skip_self`` leaves out
-    a unit whose key is the query's id. Null and zero vectors take no part. Filter
-    units before, then only those are scored.
+    ``block_bytes``, by length of the vector; for each block units are read once,
+    multiplied with it as matrices, and only a batch's best k a query leave it.
+    With several blocks each one's hits are written before the next is fetched,
+    so the driver holds one block at a time. ``skip_self`` leaves out a unit whose
+    key is the query's id. Vectors that are null, zero, hold a null or non-finite
+    component or have another length than the query take no part. Filter units
+    before, then only those are scored. For searches again and again over the same
+    units see ``vectors.write_cells``.
     """
-    q = queries.where(_comparable(F.col("vector"))).select("query_id", _unit(F.col("vector")).alias("vector"))
-    u = units.where(_comparable(F.col("vector"))).select("ref_key", F.col("vector").cast("array<double>").alias("vector"))
-    size = q.agg(F.coalesce(F.sum(F.size("vector")), F.lit(0))).first()[0] * 8
-    blocks = max(1, -(-size // block_bytes))
+    q = queries.where(comparable(F.col("vector"))).select("query_id", F.size("vector").alias("dim"), unit(F.col("vector")).alias("vector"))
+    u = units.where(comparable(F.col("vector"))).select("ref_key", F.col("vector").cast("array<double>").alias("vector"))
+    sizes = [(r["dim"], max(1, -(-r["dim"] * r["count"] * 8 // block_bytes))) for r in q.groupBy("dim").count().orderBy("dim").collect()]  # one row a length
     kinds = dict(q.dtypes) | dict(u.dtypes)
     schema = f"query_id {kinds['query_id']}, ref_key {kinds['ref_key']}, score double"
+    alone = sum(blocks for _, blocks in sizes) == 1
     out = None
-    for block in range(blocks):
-        part = q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).collect()
-        found = _matrix_hits(u, [r["query_id"] for r in part], [r["vector"] for r in part], k, decimals, skip_self, schema)
-        out = found if out is None else out.union(found)
-    return top_k(out, k)
+    for dim, blocks in sizes:
+        for block in range(blocks):
+            part = q.where((F.col("dim") == dim) & (F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)).collect()
+            if not part:
+                continue
+            found = _matrix_hits(u.where(F.size("vector") == dim), [r["query_id"] for r in part], [r["vector"] for r in part], k, decimals, skip_self, schema)
+            found = found if alone else cut(found)
+            out = found if out is None else out.union(found)
+    return top_k(units.sparkSession.createDataFrame([], schema) if out is None else out, k)
 
 
 def _matrix_hits(units: DataFrame, ids: list, vectors: list, k: int, decimals: int, skip_self: bool, schema: str) -> DataFrame:
     """Each batch's best k units for each query of a block."""
-    who = pd.Series(ids, dtype=object)
+    who = np.array(ids, dtype=object)
     ask = np.array(vectors, dtype=np.float64)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if not len(who):
-                continue
-            batch = batch[[len(v) == ask.shape[1] for v in batch["vector"]]].sort_values("ref_key", kind="stable")
+            batch = batch.sort_values("ref_key", kind="stable")
             for at in range(0, len(batch), 2000):
                 part = batch.iloc[at : at + 2000]
                 x = np.array(part["vector"].tolist())
                 score = np.round((ask @ x.T) / np.linalg.norm(x, axis=1), decimals)
                 if skip_self:
-                    score[who.to_numpy()[:, None] == part["ref_key"].to_numpy(dtype=object)[None, :]] = -np.inf
+                    score[who[:, None] == part["ref_key"].to_numpy(dtype=object)[None, :]] = -np.inf
                 best = np.argsort(-score, axis=1, kind="stable")[:, :k]  # ties to smaller keys
                 found = np.take_along_axis(score, best, axis=1).ravel()
-                rows = pd.DataFrame({"query_id": np.repeat(who.to_numpy(), best.shape[1]), "ref_key": part["ref_key"].to_numpy()[best.ravel()], "score": found})
+                rows = pd.DataFrame({"query_id": np.repeat(who, best.shape[1]), "ref_key": part["ref_key"].to_numpy()[best.ravel()], "score": found})
                 yield rows[found > -np.inf]
 
     return units.mapInPandas(run, schema)
 
 
-def cosine_inside(units: DataFrame, queries: DataFrame, inside: tuple[str, DataFrame], k: int = 10, decimals: int = 6) -> DataFrame:
-    """``cosine``, for a query only with units that have one of its values in a column: an equi-join on that value."""
-    column, values = inside
-    q = queries.where(_comparable(F.col("vector"))).select("query_id", _unit(F.col("vector")).alias("q"))
-    asked = q.join(values.select("query_id", column).distinct(), "query_id")
-    u = units.where(_comparable(F.col("vector"))).select("ref_key", column, _unit(F.col("vector")).alias("u"))
-    dot = F.aggregate(F.zip_with("q", "u", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    return top_k(u.join(asked, column).select("query_id", "ref_key", F.round(dot, decimals).alias("score")), k)
-
-
 def min_max(hits: DataFrame, by: str = "score") -> DataFrame:
     """``hits`` with norm in its query; all equal, or one row, is 1."""
     over = W.partitionBy("query_id")

@@ -22,6 +22,7 @@ ARRAYS = {
     "n11_hint_precedence": ["hints"],
     "h06_fusion": ["passed"],
     "h08_hybrid_search": ["passed"],
+    "h08_stored_hybrid": ["passed"],
     "h17_rank_coverage": ["hit", "missing"],
     "h18_precedents": ["rebuttals", "near_misses"],
     "h24_authority_conflicts": ["letters", "rulings"],

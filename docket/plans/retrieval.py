@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import functions as F
 
+from docket.operators import lexindex, vectors
 from docket.operators import retrieval as R
 from docket.plans import Book
+from docket.session import scratch_root
 from docket.sources.tables import table
 
 BOOK = Book()
@@ -108,6 +111,30 @@ def chosen(spark, sf_dir):
     return R.display_order(R.auto_select(grouped(spark, sf_dir), UNIVERSAL), PREFERRED)
 
 
+_FUSED = ["query_id", "ref_key", "bm25_raw", "vec_raw", "score", "side", "passed"]
+_stores: dict[tuple[str, str, str], str] = {}
+
+
+def _store(spark, sf_dir, kind, write):
+    """The path of a store over the tables of ``sf_dir``, written once in an application and used by all queries."""
+    key = (spark.sparkContext.applicationId, sf_dir, kind)
+    if key not in _stores:
+        path = f"{scratch_root(spark)}/store-{kind}-{uuid.uuid4().hex}"
+        write(path)
+        _stores[key] = path
+    return _stores[key]
+
+
+def lexical_index(spark, sf_dir):
+    """Documents by law in one segment."""
+    path = _store(spark, sf_dir, "lexical", lambda path: lexindex.write_segment(corpus(spark, sf_dir), path, 0, "law"))
+    return lexindex.Index(spark, path)
+
+
+def vector_cells(spark, sf_dir):
+    return _store(spark, sf_dir, "cells", lambda path: vectors.write_cells(units(spark, sf_dir), path))
+
+
 @BOOK.add("h01_postings", "WITH " + _POST + "z AS (SELECT 1) SELECT ref_key, term, tf, dl::INT AS dl FROM po")
 def h01(spark, sf_dir):
     return R.postings(corpus(spark, sf_dir))
@@ -123,6 +150,43 @@ def h03(spark, sf_dir):
     return nearest(spark, sf_dir, 10)
 
 
+@BOOK.add("h01_index_terms", "WITH " + _POST + "z AS (SELECT 1) SELECT term, count(*) AS df FROM po GROUP BY term")
+def h01_index_terms(spark, sf_dir):
+    return lexical_index(spark, sf_dir).terms()
+
+
+@BOOK.add("h02_indexed_top_k", "WITH " + _POST + _bm25(10) + "z AS (SELECT 1) SELECT query_id, ref_key, score, pos::INT AS pos FROM bm")
+def h02_indexed(spark, sf_dir):
+    hits, _ = lexindex.search(lexical_index(spark, sf_dir), queries(spark, sf_dir), 10)
+    return hits.select("query_id", "ref_key", "score", "pos")
+
+
+@BOOK.add("h02_indexed_inside", "WITH " + _POST + _bm25(5, where="ref_key IN (SELECT doc_id FROM documents d WHERE d.source = 'src' || (query_id % 20))") + "z AS (SELECT 1) SELECT query_id, ref_key, score, pos::INT AS pos FROM bm")
+def h02_indexed_inside(spark, sf_dir):
+    asked = queries(spark, sf_dir)
+    values = asked.select("query_id", F.concat(F.lit("src"), F.col("query_id") % 20).alias("value"))
+    hits, _ = lexindex.search(lexical_index(spark, sf_dir), asked, 5, values)
+    return hits.select("query_id", "ref_key", "score", "pos")
+
+
+@BOOK.add("h03_cell_top_k", "WITH " + _vec(10) + "z AS (SELECT 1) SELECT query_id, ref_key, score, pos::INT AS pos FROM ve")
+def h03_cells(spark, sf_dir):
+    return vectors.search_cells(spark, vector_cells(spark, sf_dir), query_vectors(spark, sf_dir), 10)[0]
+
+
+@BOOK.add("h03_cell_filtered", "WITH " + _vec(4, "u.label IN (2, 3)") + "z AS (SELECT 1) SELECT query_id, ref_key, score, pos::INT AS pos FROM ve")
+def h03_cells_filtered(spark, sf_dir):
+    return vectors.search_cells(spark, vector_cells(spark, sf_dir), query_vectors(spark, sf_dir), 4, where=F.col("label").isin(2, 3))[0]
+
+
+@BOOK.add("h08_stored_hybrid", _BASE + "z AS (SELECT 1) SELECT query_id, ref_key, bm25_raw, vec_raw, score, side, passed, pos::INT AS pos FROM hy")
+def h08_stored(spark, sf_dir):
+    lexical_hits, _ = lexindex.search(lexical_index(spark, sf_dir), queries(spark, sf_dir), 16)
+    near, _ = vectors.search_cells(spark, vector_cells(spark, sf_dir), query_vectors(spark, sf_dir), 16)
+    fused = R.fuse(lexical_hits.select("query_id", "ref_key", "score"), near.select("query_id", "ref_key", "score"))
+    return R.top_k(fused, 8).select(*_FUSED, "pos")
+
+
 @BOOK.add("h04_over_fetch", "WITH " + _POST + _bm25(16) + _vec(16) + "z AS (SELECT 1) SELECT 'lexical' AS side, query_id, ref_key, pos::INT AS pos FROM bm UNION ALL SELECT 'vector', query_id, ref_key, pos::INT FROM ve")
 def h04(spark, sf_dir):
     sides = [d.select(F.lit(n).alias("side"), "query_id", "ref_key", "pos") for n, d in (("lexical", lexical(spark, sf_dir)), ("vector", nearest(spark, sf_dir)))]
@@ -134,9 +198,6 @@ def h05(spark, sf_dir):
     return R.min_max(nearest(spark, sf_dir, 10)).select("query_id", "ref_key", F.round("norm", 6).alias("norm"))
 
 
-_FUSED = ["query_id", "ref_key", "bm25_raw", "vec_raw", "score", "side", "passed"]
-
-
 @BOOK.add("h06_fusion", _BASE + "z AS (SELECT 1) SELECT query_id, ref_key, bm25_raw, vec_raw, score, side, passed FROM fk")
 def h06(spark, sf_dir):
     return R.fuse(lexical(spark, sf_dir), nearest(spark, sf_dir)).select(*_FUSED)
@@ -278,6 +339,19 @@ def h22(spark, sf_dir):
     return R.refresh(hits.where(F.col("query_id") % 4 != 3), hits.withColumn("score", F.col("score") + 1), only)
 
 
+@BOOK.add("h22_maintained_view", "WITH " + _POST + _bm25(5) + "z AS (SELECT 1) SELECT query_id, ref_key, score, pos::INT AS pos FROM bm")
+def h22_maintained(spark, sf_dir):
+    """Documents arrive in three parts; the standing queries' hits are kept up to date from part to part."""
+    path = f"{scratch_root(spark)}/store-view-{uuid.uuid4().hex}"
+    docs, asked = corpus(spark, sf_dir), queries(spark, sf_dir)
+    lexindex.write_segment(docs.where(F.pmod("ref_key", F.lit(3)) == 0), path, 0)
+    view = lexindex.start_view(lexindex.Index(spark, path), asked, 5)
+    for segment in (1, 2):
+        lexindex.write_segment(docs.where(F.pmod("ref_key", F.lit(3)) == segment), path, segment)
+        view, _ = lexindex.refresh_view(view, path, [segment], asked, 5)
+    return lexindex.view_hits(view, 5)
+
+
 @BOOK.add("h23_case_summary", _BASE + _DOC + "p AS (SELECT query_id, count(*) AS hits, count(*) FILTER (WHERE selected) AS selected FROM di GROUP BY 1) SELECT item_id % 7 AS case_id, count(*) AS queries, coalesce(sum(hits), 0)::BIGINT AS hits, coalesce(sum(selected), 0)::BIGINT AS selected, count(*) FILTER (WHERE coalesce(selected, 0) = 0) AS without_basis FROM benchmark LEFT JOIN p ON item_id = query_id GROUP BY 1")
 def h23(spark, sf_dir):
     asked = queries(spark, sf_dir).select((F.col("query_id") % 7).alias("case_id"), "query_id")
