@@ -195,13 +195,33 @@ def l10_stream(spark, sf_dir):
 
 
 @BOOK.add("l09_stream_dead_runs", """
-WITH e AS (SELECT event_id, user_id AS case_id, (event_id % 5 + 1)::INT AS stage, CASE event_type WHEN 'click' THEN 'start' WHEN 'view' THEN 'done' ELSE event_type END AS action, ts, epoch_us(ts) // 1000 AS ms FROM events),
-n AS (SELECT a.event_id, arg_min(b.ms, (b.ts, b.event_id)) AS ms FROM e a JOIN e b ON a.case_id = b.case_id AND a.stage = b.stage AND (b.ts > a.ts OR (b.ts = a.ts AND b.event_id > a.event_id)) AND (b.ms - a.ms > 1200000 OR b.action IN ('start', 'done', 'failed')) WHERE a.action = 'start' GROUP BY 1)
-SELECT case_id, stage, e.ms AS started_ms, e.ms + 1200000 AS dead_ms FROM e LEFT JOIN n USING (event_id) WHERE e.action = 'start' AND coalesce(n.ms - e.ms > 1200000, e.ms + 1200000 < (SELECT max(ms) - 60000 FROM e))""")
+WITH e AS (SELECT event_id, user_id AS case_id, (event_id % 5 + 1)::INT AS stage, CASE event_type WHEN 'click' THEN 'start' WHEN 'view' THEN 'done' ELSE event_type END AS action, ts, floor(epoch(ts))::BIGINT AS s FROM events),
+w AS (SELECT max(epoch_us(ts)) // 1000 - 60000 AS mark FROM e WHERE action IN ('start', 'done', 'failed')),
+n AS (SELECT a.event_id, min(b.s) AS s FROM e a JOIN e b ON a.case_id = b.case_id AND a.stage = b.stage AND b.action IN ('done', 'failed') AND (b.ts > a.ts OR (b.ts = a.ts AND b.event_id > a.event_id)) WHERE a.action = 'start' GROUP BY 1)
+SELECT event_id, case_id, stage, epoch_us(ts) AS started_us FROM e LEFT JOIN n USING (event_id), w WHERE e.action = 'start' AND coalesce(n.s - e.s > 1200, true) AND (e.s + 1201) * 1000 <= mark""")
 def l09_stream(spark, sf_dir):
     named = F.when(F.col("action") == "click", "start").when(F.col("action") == "view", "done").otherwise(F.col("action"))
     told = stream.drain(stream.dead_runs(live(spark, sf_dir).withColumn("action", named)))
-    return told.select("case_id", "stage", F.unix_millis("started").alias("started_ms"), F.unix_millis("dead_at").alias("dead_ms"))
+    return told.select("event_id", "case_id", "stage", F.unix_micros("started").alias("started_us"))
+
+
+@BOOK.add("l12_stream_sessions", """
+WITH g AS (SELECT user_id AS case_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts >= lag(ts) OVER w + INTERVAL 6 HOUR THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY case_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g),
+r AS (SELECT case_id, min(ts) AS session_start, max(ts) + INTERVAL 6 HOUR AS session_end, count(*) AS n FROM s GROUP BY case_id, k)
+SELECT case_id, epoch_us(session_start) AS start_us, epoch_us(session_end) AS end_us, n FROM r WHERE epoch_us(session_end) // 1000 <= (SELECT max(epoch_us(ts)) // 1000 FROM events)""")
+def l12_stream_sessions(spark, sf_dir):
+    """Every event arrives twice and counts once."""
+    told = stream.drain(stream.session_counts(live(spark, sf_dir).union(live(spark, sf_dir)), "6 hours", "0 seconds"))
+    return told.select("case_id", F.unix_micros("session_start").alias("start_us"), F.unix_micros("session_end").alias("end_us"), "n")
+
+
+@BOOK.add("l12_stream_sliding", """
+WITH w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) - to_hours(k::INT) AS window_start, event_type AS action FROM events, range(0, 3) r(k))
+SELECT epoch_us(window_start) AS start_us, action, count(*) AS n FROM w WHERE epoch_us(window_start + INTERVAL 3 HOUR) // 1000 <= (SELECT max(epoch_us(ts)) // 1000 FROM events) GROUP BY 1, 2""")
+def l12_stream_sliding(spark, sf_dir):
+    told = stream.drain(stream.sliding_counts(live(spark, sf_dir).union(live(spark, sf_dir)), late="0 seconds"))
+    return told.select(F.unix_micros("window_start").alias("start_us"), "action", "n")
 
 
 @BOOK.add("l17_unfinalise", "SELECT conv_id, count(*) FILTER (WHERE conv_id % 7 <> 0) AS n, conv_id % 7 <> 0 AND conv_id % 2 = 0 AS indexed, CASE WHEN conv_id % 7 <> 0 AND conv_id % 2 = 0 THEN 'day ' || conv_id END AS indexed_at FROM conversations GROUP BY conv_id")

@@ -8,15 +8,20 @@ of files can be held against the batch form.
 from __future__ import annotations
 
 import uuid
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from docket.operators.caselog import DEAD_MINUTES
-from docket.session import scratch_root
+from docket.session import scratch_root, ship_package
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def file_stream(spark: SparkSession, path: str, files_per_trigger: int = 4) -> DataFrame:
@@ -30,11 +35,12 @@ def file_stream(spark: SparkSession, path: str, files_per_trigger: int = 4) -> D
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def drain(stream: DataFrame, mode: str = "append", checkpoint: str | None = None, out: str | None = None) -> DataFrame:
+def drain(stream: DataFrame, mode: str = "append", checkpoint: str | None = None, out: str | None = None, late: list[int] | None = None) -> DataFrame:
     """Works off what is there, writes it to ``out`` and gives it as a table.
 
     With the same checkpoint and ``out`` a later call takes up where this ended.
-    Complete mode replaces the table each time.
+    Complete mode replaces the table each time. The number of rows that came too
+    late for the watermark is added to ``late``.
     """
     spark = stream.sparkSession
     root = f"{scratch_root(spark)}/stream-{uuid.uuid4().hex}"
@@ -44,6 +50,8 @@ def drain(stream: DataFrame, mode: str = "append", checkpoint: str | None = None
     else:
         q = stream.writeStream.outputMode(mode).foreachBatch(lambda df, epoch: df.write.mode("overwrite").parquet(out)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
+    if late is not None:
+        late.append(sum(op.numRowsDroppedByWatermark for p in q.recentProgress for op in p.stateOperators))
     return spark.read.schema(stream.schema).parquet(out)
 
 
@@ -106,37 +114,91 @@ def accepted_starts(starts: DataFrame, minutes: int = DEAD_MINUTES, late: str =
     return told.select("case_id", "stage", "event_id", F.timestamp_micros("us").alias("ts"), "accepted")
 
 
+class DeadRuns(StatefulProcessor):
+    """Starts wait for a finish in event time; see ``dead_runs``.
+
+    State of a case's stage: starts without a finish whose limit hasn't passed, and
+    finishes at or after the watermark, which a start yet to come may precede.
+    """
+
+    def __init__(self, minutes: int) -> None:
+        self.limit = minutes * 60
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.starts = handle.getListState("starts", "us long, event_id long")
+        self.finishes = handle.getListState("finishes", "us long, event_id long")
+
+    def _deadline(self, us: int) -> int:
+        """The first millisecond at which a finish is too late, by whole seconds."""
+        return (us // 1_000_000 + self.limit + 1) * 1000
+
+    def _settle(self, key: tuple, starts: list, finishes: list, watermark: int) -> pd.DataFrame:
+        finishes = sorted(finishes)
+        open_now, dead = [], []
+        for start in starts:
+            at = bisect_right(finishes, start)
+            if at < len(finishes) and finishes[at][0] // 1_000_000 - start[0] // 1_000_000 <= self.limit:
+                continue
+            (dead if self._deadline(start[0]) <= watermark else open_now).append(start)
+        self.starts.put(open_now) if open_now else self.starts.clear()
+        kept = [f for f in finishes if f[0] // 1000 >= watermark]
+        self.finishes.put(kept) if kept else self.finishes.clear()
+        return pd.DataFrame({"case_id": key[0], "stage": key[1], "event_id": pd.Series([i for _, i in dead], dtype="int64"), "us": pd.Series([t for t, _ in dead], dtype="int64")})
+
+    def _held(self, state) -> list:
+        return [(int(t), int(i)) for t, i in state.get()] if state.exists() else []
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        starts, finishes = self._held(self.starts), self._held(self.finishes)
+        watermark = timerValues.getCurrentWatermarkInMs()
+        for batch in rows:
+            for us, event_id, action in zip(batch["us"].tolist(), batch["event_id"].tolist(), batch["action"], strict=True):
+                if action == "start":
+                    starts.append((us, event_id))
+                    self.handle.registerTimer(max(self._deadline(us), watermark + 1))
+                else:
+                    finishes.append((us, event_id))
+                    self.handle.registerTimer(max(us // 1000 + 1, watermark + 1))
+        yield self._settle(key, starts, finishes, watermark)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self._settle(key, self._held(self.starts), self._held(self.finishes), timerValues.getCurrentWatermarkInMs())
+
+    def close(self) -> None:
+        pass
+
+
 def dead_runs(events: DataFrame, minutes: int = DEAD_MINUTES, late: str = "1 minute") -> DataFrame:
-    """(case, stage, started, dead_at): a run with no finish when the watermark passes its limit.
+    """(case_id, stage, event_id, started, dead_at): each start without a finish within ``minutes`` in event time.
 
-    The last start is the state; a finish clears it, an event-time timer reports it.
+    A finish is a done or failed event of the same case's stage after the start; it
+    ends all runs before it, as in the batch form, whatever the order of arrival. A
+    run is judged when the watermark has passed its limit. Rows that come later than
+    ``late`` are dropped. State lies in RocksDB and is cleared by event-time timers.
     """
-    limit = minutes * 60_000
+    spark = events.sparkSession
+    ship_package(spark)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    kept = events.where(F.col("action").isin("start", "done", "failed"))
+    marked = kept.withWatermark("ts", late).withColumn("us", F.unix_micros("ts"))  # numbers, so that no time zone comes in
+    told = marked.groupBy("case_id", "stage").transformWithStateInPandas(DeadRuns(minutes), "case_id long, stage int, event_id long, us long", "Append", "EventTime")
+    started = F.timestamp_micros("us")
+    return told.select("case_id", "stage", "event_id", started.alias("started"), (started + F.expr(f"INTERVAL {minutes} MINUTES")).alias("dead_at"))
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        told: list[int] = []
-        open_at = state.get[0] if state.exists else None
-        if state.hasTimedOut:
-            told.append(open_at)
-            state.remove()
-        else:
-            for r in pd.concat(list(batches)).sort_values(["us", "event_id"]).itertuples():
-                t = r.us // 1000
-                if open_at is not None and t - open_at > limit:
-                    told.append(open_at)
-                    open_at = None
-                if r.action == "start":
-                    open_at = t
-                elif r.action in ("done", "failed"):
-                    open_at = None
-            if open_at is None:
-                if state.exists:
-                    state.remove()
-            else:
-                state.update((open_at,))
-                state.setTimeoutTimestamp(max(open_at + limit, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"case_id": key[0], "stage": key[1], "ms": pd.Series(told, dtype="int64")})
-
-    marked = events.withWatermark("ts", late).withColumn("us", F.unix_micros("ts"))
-    told = marked.groupBy("case_id", "stage").applyInPandasWithState(run, "case_id long, stage int, ms long", "open long", "append", GroupStateTimeout.EventTimeTimeout)
-    return told.select("case_id", "stage", F.timestamp_millis("ms").alias("started"), F.timestamp_millis(F.col("ms") + limit).alias("dead_at"))
+
+def once(events: DataFrame, late: str, key: str = "event_id") -> DataFrame:
+    """``events`` with the watermark, and rows that are sent again within it dropped."""
+    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
+
+
+def session_counts(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
+    """(case_id, session_start, session_end, n) of sessions that the watermark has passed; replayed events count once."""
+    out = once(events, late).groupBy("case_id", F.session_window("ts", gap)).agg(F.count(F.lit(1)).alias("n"))
+    return out.select("case_id", F.col("session_window.start").alias("session_start"), F.col("session_window.end").alias("session_end"), "n")
+
+
+def sliding_counts(events: DataFrame, length: str = "3 hours", slide: str = "1 hour", late: str = "1 hour") -> DataFrame:
+    """(window_start, action, n) of sliding windows that the watermark has passed; replayed events count once."""
+    out = once(events, late).groupBy(F.window("ts", length, slide), "action").agg(F.count(F.lit(1)).alias("n"))
+    return out.select(F.col("window.start").alias("window_start"), "action", "n")
