@@ -18,7 +18,8 @@
 ``representatives`` removes near-duplicates at a similarity of word shingles, for
 which 64 bits are too few: copies at 0.8 differ in ten of them, and bands of the
 few bits that then agree would hold nearly everything. It takes fingerprints of
-1024 bits, whose distance gives the similarity, and blocks by the smallest hashes.
+1024 bits, whose distance estimates the similarity, and blocks by the smallest
+hashes. What the estimate brings together is verified on the sets of shingles.
 """
 
 from __future__ import annotations
@@ -43,7 +44,8 @@ BLOCK = 4096
 TARGET_BLOCK = 64
 WIDE_WORDS = 16  # of 64 bits, for similarities that 64 bits can't tell apart
 KEYS = 6
-MARGIN = 0.027  # standard error of the estimated similarity at 0.8
+MARGIN = 0.054  # two standard errors of the estimated similarity at 0.8
+SET_BYTES = 16_000_000  # of shingle hashes in a chunk of texts that are verified together
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -240,19 +242,22 @@ def similar_links(nodes: DataFrame, similarity: float) -> DataFrame:
 
     Sets of a similarity of 0.8 share one of their KEYS smallest hashes but with a
     probability of about 0.2 to the power of KEYS, so nodes meet in blocks by
-    those. Only blocks of two nodes or more are dealt; one beyond BLOCK is dealt
-    into chunks, and every pair of chunks is walked.
+    those. In a block beyond BLOCK nodes, such as that of a line that very many
+    texts share, nodes meet by a second of their smallest hashes as well, which
+    sets that are alike share too. A block that is still large holds texts that
+    are mostly alike; it is dealt into chunks, and every pair of chunks is walked.
     """
-    keyed = nodes.select("node", F.explode("keys").alias("key"))
+    keyed = nodes.select("node", "keys", F.explode("keys").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    second = F.when(F.col("size") > BLOCK, F.array_except("keys", F.array("key"))).otherwise(F.array(F.lit(0).cast("long")))
+    paired = cut(keyed.join(sizes, "key").select("node", "key", F.explode(second).alias("key2")))
+    sizes = paired.groupBy("key", "key2").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     chunks = F.when(F.col("size") > BLOCK, F.ceil(F.col("size") / (BLOCK // 2)).cast("int")).otherwise(F.lit(1))
-    met = keyed.join(sizes.select("key", chunks.alias("chunks")), "key")
-    own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-    pair = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.least(own, o) * F.col("chunks") + F.greatest(own, o))
-    met = met.select("node", "key", F.explode(pair).alias("pair")).join(nodes.select("node", "wide", "n"), "node")
+    met = _chunk_pairs(paired.join(sizes.select("key", "key2", chunks.alias("chunks")), ["key", "key2"]))
+    met = met.select("node", "key", "key2", "pair").join(nodes.select("node", "wide", "n"), "node")
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for group in key_groups(batches, ["key", "pair"]):
+        for group in key_groups(batches, ["key", "key2", "pair"]):
             if len(group) > 1:
                 fp = np.frombuffer(b"".join(group["wide"]), dtype="<u8").reshape(len(group), WIDE_WORDS)
                 u, v = _similar_links(group["node"].to_numpy(), fp, group["n"].to_numpy(), similarity)
@@ -260,16 +265,83 @@ def similar_links(nodes: DataFrame, similarity: float) -> DataFrame:
                 if keep.any():
                     yield pd.DataFrame({"u": u[keep], "v": v[keep]})
 
-    return met.repartition("key", "pair").sortWithinPartitions("key", "pair").mapInPandas(run, "u long, v long")
+    return met.repartition("key", "key2", "pair").sortWithinPartitions("key", "key2", "pair").mapInPandas(run, "u long, v long")
+
+
+def _chunk_pairs(rows: DataFrame) -> DataFrame:
+    """``rows`` (node, chunks) with pair: once for each pair of chunks that the node's own chunk is in."""
+    own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    pair = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.least(own, o) * F.col("chunks") + F.greatest(own, o))
+    return rows.withColumn("pair", F.explode(pair))
+
+
+def _verified(node: np.ndarray, sets: list[np.ndarray], fp: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes whose sets' similarity is that or more, as links to the smallest of what they reach; walked breadth-first by size."""
+    n = np.array([len(x) for x in sets])
+    left, us, vs = np.argsort(n, kind="stable"), [], []
+    while len(left) > 1:
+        group, front, left = [left[:1]], [left[0]], left[1:]
+        while front and len(left):
+            x = front.pop()
+            lo, hi = np.searchsorted(n[left], n[x] * similarity, "left"), np.searchsorted(n[left], n[x] / similarity, "right")
+            near = left[lo:hi]
+            distance = np.bitwise_count(fp[near] ^ fp[x]).sum(axis=1, dtype=np.int32)
+            near = near[similarity_of(distance, n[near].astype(float), float(n[x])) >= similarity - MARGIN]
+            if not len(near):
+                continue
+            other = np.concatenate([sets[y] for y in near])
+            at = np.minimum(np.searchsorted(sets[x], other), n[x] - 1)
+            shared = np.add.reduceat((sets[x][at] == other).astype(np.int64), np.cumsum(n[near]) - n[near])
+            near = near[shared >= similarity * (n[near] + n[x] - shared) - 1e-9]
+            if len(near):
+                group.append(near)
+                front.extend(near.tolist())
+                left = left[~np.isin(left, near)]
+        found = node[np.concatenate(group)]
+        if len(found) > 1:
+            us.append(found[found != found.min()])
+            vs.append(np.full(len(us[-1]), found.min(), np.int64))
+    return (np.concatenate(us), np.concatenate(vs)) if us else (np.empty(0, np.int64), np.empty(0, np.int64))
+
+
+def verified_links(texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Links (u, v) between texts (node, component, wide, text) of one component whose shingle sets' Jaccard similarity is that or more.
+
+    Only texts that the estimate brought together come here, each once with its
+    shingles' hashes. A component beyond SET_BYTES of those is dealt into chunks,
+    and every pair of chunks is walked.
+    """
+
+    def make() -> Callable[[list[str]], dict]:
+        def run(some: list[str]) -> dict:
+            sets = [np.unique(shingle_hashes(t, width)) for t in some]
+            return {"set": [x.tobytes() for x in sets], "n": [len(x) for x in sets]}
+
+        return run
+
+    sets = cut(map_texts(texts, {"node": "node", "component": "component", "wide": "wide"}, "text", make, "set binary, n long"))
+    sizes = sets.groupBy("component").agg(F.ceil(F.sum("n") * 8 / SET_BYTES).cast("int").alias("chunks"))
+    met = _chunk_pairs(sets.join(sizes, "component"))
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in key_groups(batches, ["component", "pair"]):
+            if len(group) > 1:
+                fp = np.frombuffer(b"".join(group["wide"]), dtype="<u8").reshape(len(group), WIDE_WORDS)
+                u, v = _verified(group["node"].to_numpy(), [np.frombuffer(x, "<u8") for x in group["set"]], fp, similarity)
+                if len(u):
+                    yield pd.DataFrame({"u": u, "v": v})
+
+    dealt = met.select("component", "pair", "node", "wide", "set").repartition("component", "pair").sortWithinPartitions("component", "pair")
+    return dealt.mapInPandas(run, "u long, v long")
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` without near-duplicates: of each component one document stays.
 
     Two documents are linked when the Jaccard similarity of their sets of
-    ``width``-word shingles, estimated from fingerprints of 1024 bits, is
-    ``similarity`` or more, less MARGIN, the estimate's standard error. Of a
-    component the one with the smallest id stays, null ids last, and of those the
+    ``width``-word shingles is ``similarity`` or more. Fingerprints of 1024 bits
+    estimate it and bring together what may be alike, with MARGIN to spare; the
+    sets themselves decide. Of a component the one with the smallest id stays, null ids last, and of those the
     one with the smallest hash of its text; rows that repeat both stay only once.
     Texts of different components stay, also if they share an id or have none.
     Null and texts without a word are copies of one another. An empty table gives
@@ -289,7 +361,11 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = cut(map_texts(keyed, {"id": who, "key": "key"}, text, make, "wide binary, n long, keys array<long>"))
     least = rows.groupBy("wide", "n").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("least"), F.first("keys").alias("keys"))
     nodes = cut(least.withColumn("node", F.monotonically_increasing_id()))
-    roots = connected_components(similar_links(nodes.where("n > 0"), similarity - MARGIN)).withColumnRenamed("node", "of")
+    suspected = connected_components(similar_links(nodes.where("n > 0"), similarity - MARGIN))
+    named = nodes.join(suspected, "node").select("node", "component", "wide", F.col("least.id").alias("of_id"), F.col("least.key").alias("of_key"))
+    texts = keyed.join(named, keyed[who].eqNullSafe(named["of_id"]) & (keyed["key"] == named["of_key"])).select("node", "component", "wide", F.col(text).alias("text"))
+    links = verified_links(texts.dropDuplicates(["node"]), width, similarity)
+    roots = connected_components(links).withColumnRenamed("node", "of")
     named = nodes.join(roots, F.col("node") == F.col("of"), "left").select("least", F.coalesce("component", "node").alias("component"))
     stays = named.groupBy("component").agg(F.min("least").alias("least")).select(F.col("least.id").alias("stay_id"), F.col("least.key").alias("stay_key"))
     kept = keyed.join(stays, keyed[who].eqNullSafe(stays["stay_id"]) & (keyed["key"] == stays["stay_key"]), "left_semi")
