@@ -19,9 +19,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docket.llm.texts import map_texts
+from docket.session import cut
 
 BUCKETS = 1 << 16
 SAMPLE_DOCS = 2_000
+PREFIX_BITS = 16  # of a text's hash, by which a language's texts are counted
 DOC_CHARS = 20_000  # longest document to learn from
 LANGUAGES = 256
 STEP_CHARS = 2_000_000
@@ -142,21 +144,33 @@ def infer(texts: list[str], model: Model) -> tuple[list[str], np.ndarray, np.nda
     return pred, score, shares
 
 
+def sample_edges(known: DataFrame, sample_docs: int, languages: int) -> dict[str, int]:
+    """For each of the commonest languages the ``sample_docs``-th smallest hash of its rows (lang, h), or its largest if there are fewer."""
+    once = known.groupBy("lang", "h").agg(F.count(F.lit(1)).alias("n"))
+    once = cut(once.withColumn("prefix", F.shiftright("h", 64 - PREFIX_BITS)))
+    upto = F.sum("c").over(W.partitionBy("lang").orderBy("prefix"))
+    prefixes = once.groupBy("lang", "prefix").agg(F.count(F.lit(1)).alias("c")).withColumn("before", upto - F.col("c"))
+    last = prefixes.where(F.col("before") < sample_docs).groupBy("lang").agg(F.max("prefix").alias("prefix"), F.max("before").alias("before"))
+    nth = F.row_number().over(W.partitionBy("lang").orderBy("h")) + F.col("before")
+    edge = once.join(last, ["lang", "prefix"]).withColumn("nth", nth).where(F.col("nth") <= sample_docs).groupBy("lang").agg(F.max("h").alias("most"))
+    common = once.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    return {r["lang"]: r["most"] for r in edge.join(common, "lang", "left_semi").collect()}
+
+
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, doc_chars: int = DOC_CHARS, languages: int = LANGUAGES) -> Model:
     """Learns from at most ``sample_docs`` different documents of each language, chosen by their text's hash.
 
     Null texts, null languages and texts of more than ``doc_chars`` characters are
     not used, nor more than the ``languages`` commonest languages, so what
     reaches the driver is bounded in bytes. Two scans do for all languages: one
-    finds each language's largest hash in its sample, one reads the sample.
+    finds each language's largest hash in its sample, one reads the sample. The
+    largest hash is found in the counts of hash prefixes first and then among the
+    few hashes of the prefix it lies in, so no language's hashes are sorted in one
+    task.
     """
     text, lang = F.col(f"`{text_col}`"), F.col(f"`{lang_col}`")
     known = docs.where(F.length(text).between(1, doc_chars) & lang.isNotNull()).select(text.alias("text"), lang.cast("string").alias("lang"), F.xxhash64(text).alias("h"))
-    once = known.groupBy("lang", "h").agg(F.count(F.lit(1)).alias("n"))
-    nth = F.row_number().over(W.partitionBy("lang").orderBy("h"))
-    edge = once.select("lang", "h").withColumn("nth", nth).where(F.col("nth") <= sample_docs).groupBy("lang").agg(F.max("h").alias("most"))
-    common = once.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
-    edges = {r["lang"]: r["most"] for r in edge.join(common, "lang", "left_semi").collect()}
+    edges = sample_edges(known, sample_docs, languages)
     if not edges:
         return train([])
     most = F.create_map(*[F.lit(x) for pair in sorted(edges.items()) for x in pair])

@@ -1,5 +1,6 @@
 import zlib
 
+import numpy as np
 import pytest
 
 from docket.llm import langid
@@ -49,3 +50,13 @@ def test_sample_is_of_different_texts_and_bounded(spark):
     assert langid.fit(docs, languages=1).languages == ["de"]
     few = langid.fit(docs, sample_docs=3)
     assert set(few.languages) == {"de", "en"} and few.loglik.shape == (langid.BUCKETS, 2)
+
+
+def test_sample_is_the_smallest_hashes(spark):
+    """Also when many hashes share a prefix; repeated hashes count once."""
+    rng = np.random.default_rng(2)
+    rows = [(str(rng.choice(["en", "en", "en", "de"])), int(h)) for h in rng.integers(-(2**63), 2**63 - 1, 900)]
+    rows += [("en", -(2**63) + i) for i in range(300)] * 2 + [("fr", 5), ("fr", -5)]
+    got = langid.sample_edges(spark.createDataFrame(rows, "lang string, h long"), 250, 2)
+    want = {lang: sorted({h for x, h in rows if x == lang})[:250][-1] for lang in ("en", "de")}
+    assert got == want
