@@ -11,7 +11,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.errors import PySparkException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException, SparkRuntimeException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -130,6 +131,14 @@ def register_check(name: str, builder: Callable[[Rule, Callable[[str], Column]],
     CHECKS[name] = builder
 
 
+def _compiles(cases: DataFrame, pattern: str) -> None:
+    """Raises if the JVM's regular expressions don't take ``pattern``; no job runs for that."""
+    try:
+        cases.sparkSession._jvm.java.util.regex.Pattern.compile(pattern)
+    except (Py4JJavaError, PySparkException) as bad:
+        raise SparkRuntimeException(f"bad pattern {pattern!r}") from bad
+
+
 def _built(cases: DataFrame, rule: Rule) -> Column:
     """The rule's outcome on these columns, tried on no rows."""
     if rule.check not in CHECKS:
@@ -140,7 +149,7 @@ def _built(cases: DataFrame, rule: Rule) -> Column:
         got = CHECKS[rule.check](rule, lambda f: cases[f])
         cases.select(got)  # unfit types show here
         if "pattern" in rule.params:
-            cases.sparkSession.sql("SELECT '' RLIKE :p", args={"p": rule.params["pattern"]}).collect()
+            _compiles(cases, rule.params["pattern"])
     except (PySparkException, LookupError, TypeError, ValueError, AttributeError) as failed:
         return outcome("unclear", f"rule failed: {type(failed).__name__}")
     return got
@@ -155,17 +164,21 @@ def run_rules(cases: DataFrame, rules: list[Rule], case_col: str, confidence: di
     names for a field the column with its confidence: a result is no surer than
     the least sure field it read.
     """
-    parts = []
+    told, fixed = [], []
     for r in rules:
         if not r.enabled:
             continue
         got = _built(cases, r)
         sure = [cases[confidence[f]] for f in r.fields if confidence and f in confidence]
         least = lowest_confidence(sure) if sure else F.lit(None).cast("string")
-        fixed = {"code": r.code, "label": r.label, "basis": r.basis, "check": r.check}
-        told = {"curable": F.lit(r.curable), "coverage_note": F.lit(r.coverage_note).cast("string"), "input_confidence": least}
-        parts.append(F.struct(*[F.lit(v).cast("string").alias(k) for k, v in fixed.items()], *[got[k].alias(k) for k in ("status", "note", "value", "computed")], *[c.alias(k) for k, c in told.items()]))
-    return cases.select(case_col, F.explode(F.array(*parts)).alias("r")).select(case_col, "r.*")
+        told.append(F.struct(F.lit(len(told)).alias("_n"), *[got[k].alias(k) for k in ("status", "note", "value", "computed")], least.alias("input_confidence")))
+        fixed.append((len(fixed), r.code, r.label, r.basis, r.check, r.curable, r.coverage_note))
+    if not told:
+        told = [F.struct(F.lit(-1).alias("_n"), *[F.lit(None).cast("string").alias(k) for k in ("status", "note", "value", "computed", "input_confidence")])]
+    # the outcomes are a projection of their own: generated code, as a generator's argument they would be interpreted
+    outcomes = cases.select(case_col, F.array(*told).alias("_told")).select(case_col, F.explode("_told").alias("_r")).select(case_col, "_r.*")
+    names = cases.sparkSession.createDataFrame(fixed, "_n int, code string, label string, basis string, check string, curable boolean, coverage_note string")
+    return outcomes.join(F.broadcast(names), "_n").select(case_col, "code", "label", "basis", "check", "status", "note", "value", "computed", "curable", "coverage_note", "input_confidence")
 
 
 def items_present(items: DataFrame, need: DataFrame, case_col: str, kind_col: str, label_col: str, cases: DataFrame, optional: bool = False) -> DataFrame:
