@@ -14,7 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from docket.session import cut
+
 DEAD_MINUTES = 20
+LOG_BUCKETS, SKETCH_K, SKETCH_RANK_ERROR = 12, 200, 0.0165
 STAGES = (1, 2, 3, 4, 5)
 
 
@@ -126,6 +129,58 @@ def accepted_starts(starts: DataFrame, minutes: int = DEAD_MINUTES) -> DataFrame
     return dealt.mapInPandas(run, kinds + ", accepted boolean")
 
 
+def accepted_by_pointers(starts: DataFrame, minutes: int = DEAD_MINUTES) -> DataFrame:
+    """``accepted_starts`` by joins: every start points to the next that would count after it, and pointers are doubled.
+
+    The first start of a case's stage counts. In round r the starts up to 2^r
+    pointers from it are known and pointers of 2^r steps are joined to make those of
+    twice as many, so rounds grow with the logarithm of the longest chain. A
+    pointer is the nearest start later than the limit, by one running window.
+    """
+    key, wait = ["case_id", "stage"], minutes * 60 * 1_000_000
+    rows = cut(starts.withColumn("_us", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn("_n", F.monotonically_increasing_id()))
+    none = F.lit(None).cast("long")
+    at = F.struct("_us", "event_id", "_n")
+    begins = rows.select(*key, F.col("_us").alias("_at"), F.lit(1).alias("_start"), "event_id", at.alias("_to"), none.alias("_from"))
+    limits = rows.select(*key, (F.col("_us") + wait).alias("_at"), F.lit(0).alias("_start"), "event_id", F.lit(None).cast(dict(begins.dtypes)["_to"]).alias("_to"), F.col("_n").alias("_from"))
+    # from the latest back: at a limit the last start seen is the earliest one after it
+    back = W.partitionBy(*key).orderBy(F.desc("_at"), "_start", F.desc("event_id")).rowsBetween(W.unboundedPreceding, 0)
+    jumps = begins.unionAll(limits).withColumn("_next", F.last("_to", ignorenulls=True).over(back)).where("_start = 0 AND _next IS NOT NULL")
+    jumps = cut(jumps.select("_from", F.col("_next._n").alias("_to")))
+    reached = [cut(rows.groupBy(*key).agg(F.min(at).alias("_f")).select(F.col("_f._n").alias("_n")))]
+    while True:
+        known = reached[0]
+        for more in reached[1:]:
+            known = known.unionAll(more)
+        fresh = cut(known.join(jumps, F.col("_n") == F.col("_from")).select(F.col("_to").alias("_n")))
+        if fresh.isEmpty():
+            break
+        reached.append(fresh)
+        jumps = cut(jumps.alias("a").join(jumps.alias("b"), F.col("a._to") == F.col("b._from")).select("a._from", "b._to"))
+    out = rows.join(known.withColumn("accepted", F.lit(True)), "_n", "left")
+    return out.select(*starts.columns, F.coalesce("accepted", F.lit(False)).alias("accepted"))
+
+
+def daily_sketches(runs: DataFrame) -> DataFrame:
+    """(day, stage, runs, cases, seconds): runs with mergeable sketches of their different cases and of their seconds.
+
+    ``runs``: case_id, stage, ts, seconds (null for none). A day's row never has
+    to be computed again; see ``merged_sketches``.
+    """
+    return runs.groupBy(F.to_date("ts").alias("day"), "stage").agg(F.count(F.lit(1)).alias("runs"), F.hll_sketch_agg("case_id", LOG_BUCKETS).alias("cases"), F.kll_sketch_agg_bigint(F.col("seconds").cast("long"), SKETCH_K).alias("seconds"))
+
+
+def merged_sketches(daily: DataFrame, by: list[str], shares: tuple[float, ...] = (0.5, 0.9)) -> DataFrame:
+    """(by..., runs, cases, q50, q90, ...): sketches of many days as one.
+
+    Different cases have a relative standard error of 1.04 / sqrt(2^LOG_BUCKETS);
+    a quantile's rank is off by SKETCH_RANK_ERROR at most, but for one time in a hundred.
+    """
+    out = daily.groupBy(*by).agg(F.sum("runs").alias("runs"), F.hll_sketch_estimate(F.hll_union_agg("cases", False)).alias("cases"), F.kll_merge_agg_bigint("seconds").alias("_s"))
+    quantiles = [F.kll_sketch_get_quantile_bigint("_s", F.lit(float(s))).alias(f"q{round(100 * s)}") for s in shares]
+    return out.select(*by, "runs", "cases", *quantiles)
+
+
 def trail(events: DataFrame, detail: str, most: int = 4000) -> DataFrame:
     """Events of a case in order, detail cut."""
     return events.select("case_id", F.row_number().over(ordered("case_id")).alias("pos"), "ts", "action", F.left(F.col(detail), F.lit(most)).alias("detail"))

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docket.operators.evidence import containing, squashed
+from docket.operators.evidence import containing, scan_for, squashed
+from docket.session import cut
 
 DECIDED = ("has merit", "without merit")
 
@@ -64,21 +65,31 @@ def verify_quotes(quotes: DataFrame, sources: DataFrame, case_col: str | None =
     with the case if there is one. A quote is in a source if every fragment is.
     ``cited_truncated`` lists for a quote that wasn't found the cited sources of
     ``cut_at`` characters or more: they may have been cut there, and the quote may
-    stand in what is missing.
+    stand in what is missing. Without a case, pieces of both forms are sought in
+    one scan of the sources if they are few enough (``evidence.scan_for``).
     """
     on = [case_col] if case_col else None
     keys = on or []
     long = quotes.where(F.length("quote") >= least)
     parts = long.select("quote_id", *keys, F.size(fragments(F.col("quote"))).alias("n"), F.posexplode(F.array_distinct(fragments(F.col("quote")))).alias("at", "piece"))
-    texts = sources.select("ref_key", *keys, squashed(F.col("text")).alias("body"))
-
-    def whole(p: DataFrame, t: DataFrame) -> DataFrame:
-        found = containing(p, t, "piece", "body", on).select("quote_id", "ref_key", "at", "n").distinct()
+    body = squashed(F.col("text"))
+    texts = sources.select("ref_key", *keys, body.alias("body"), depunct(body).alias("loose"))
+    parts = parts.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("quote_id")))
+    forms = {"body": parts, "loose": parts.withColumn("piece", depunct(F.col("piece"))).where(F.length("piece") > 0)}
+    scanned = None if on else scan_for(texts, "ref_key", forms)
+    scanned = scanned if scanned is None else cut(scanned)
+
+    def whole(form: str) -> DataFrame:
+        """(quote_id, ref_key) of the sources that hold all pieces of a quote."""
+        if scanned is not None:
+            found = forms[form].join(scanned.where(F.col("kind") == form), "piece")
+        else:
+            found = containing(forms[form], texts.withColumn("body", F.col(form)).drop("loose"), "piece", "body", on)
+        found = found.select("quote_id", "ref_key", "at", "n").distinct()
         return found.groupBy("quote_id", "ref_key").agg(F.countDistinct("at").alias("have"), F.max("n").alias("n")).where("have = n").select("quote_id", "ref_key")
 
-    parts = parts.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("quote_id")))
-    hit = whole(parts, texts).join(long.select("quote_id", "cited"), "quote_id").withColumn("own", F.array_contains("cited", F.col("ref_key")))
-    plain = whole(parts.withColumn("piece", depunct(F.col("piece"))).where(F.length("piece") > 0), texts.withColumn("body", depunct(F.col("body"))))
+    hit = whole("body").join(long.select("quote_id", "cited"), "quote_id").withColumn("own", F.array_contains("cited", F.col("ref_key")))
+    plain = whole("loose")
     a = hit.groupBy("quote_id").agg(F.max(F.col("own").cast("int")).alias("own"), F.min(F.when(F.col("own"), F.col("ref_key"))).alias("here"), F.min("ref_key").alias("there"))
     b = plain.groupBy("quote_id").agg(F.min("ref_key").alias("loose"))
     out = quotes.select("quote_id", F.length("quote").alias("size")).join(a, "quote_id", "left").join(b, "quote_id", "left")

@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from docket.operators.ordering import in_group_order, in_order
+from docket.session import cut
+
 GRAM = 16
 
 
@@ -79,6 +82,76 @@ def match_one_to_one(proposals: DataFrame, left_ids: DataFrame, right_ids: DataF
     return dealt.select(*columns, "known").mapInPandas(run, schema)
 
 
+def match_in_rounds(proposals: DataFrame, left_ids: DataFrame, right_ids: DataFrame, case_col: str) -> DataFrame:
+    """``match_one_to_one`` by rounds of joins, for cases too large for one task.
+
+    A proposal that comes before all others of its left id and of its right id is
+    accepted whatever the rest: no earlier one can take either. The others of
+    accepted ids drop out and the next round begins, until none is left, which
+    gives the same pairs as taking proposals in order. Rounds are as many as the
+    longest chain of proposals that wait for one another. Repeated proposals
+    count once each; rows without a case are left out.
+    """
+    ids = lambda df, c: df.select(case_col, c).distinct()
+    rows = proposals.select(case_col, "pos", "left_id", "right_id").where(F.col(case_col).isNotNull())
+    known = rows.join(ids(left_ids, "left_id").withColumn("_l", F.lit(True)), [case_col, "left_id"], "left").join(ids(right_ids, "right_id").withColumn("_r", F.lit(True)), [case_col, "right_id"], "left")
+    placed = cut(in_order(known.withColumn("known", F.col("_l").isNotNull() & F.col("_r").isNotNull()), case_col, "pos", "left_id", "right_id", pos="_n"))
+    left = placed.where("known").select(case_col, "left_id", "right_id", "_n")
+    accepted: DataFrame | None = None
+    while not left.isEmpty():
+        first = [left.groupBy(case_col, c).agg(F.min("_n").alias("_n")) for c in ("left_id", "right_id")]
+        won = cut(left.join(first[0], [case_col, "left_id", "_n"], "left_semi").join(first[1], [case_col, "right_id", "_n"], "left_semi"))
+        left = cut(left.join(won.select(case_col, "left_id"), [case_col, "left_id"], "left_anti").join(won.select(case_col, "right_id"), [case_col, "right_id"], "left_anti"))
+        accepted = won if accepted is None else accepted.unionByName(won)
+    if accepted is None:
+        numbered = placed.select(case_col, "_n", F.lit(1).alias("pair_no")).where("false")
+    else:
+        numbered = in_group_order(accepted.select(case_col, "_n"), [case_col], "_n", pos="pair_no")
+    out = placed.join(numbered.select("_n", F.col("pair_no").cast("int").alias("pair_no")), "_n", "left")
+    status = F.when(~F.col("known"), "unknown id").when(F.col("pair_no").isNull(), "not one-to-one").otherwise("accepted")
+    return out.select(case_col, "pos", "left_id", "right_id", status.alias("status"), "pair_no")
+
+
+#: Pieces that one automaton holds at most, and their characters.
+MOST_PIECES, MOST_CHARS = 50_000, 8_000_000
+
+
+def scan_for(texts: DataFrame, key: str, wanted: dict[str, DataFrame]) -> DataFrame | None:
+    """(key, kind, piece) for every piece found in a text, all kinds in one scan; None if there are too many pieces.
+
+    ``wanted``: for each kind, which is a text column of ``texts``, its pieces
+    (piece). They are counted first; within MOST_PIECES and MOST_CHARS an automaton
+    for each kind goes to the tasks, and each text runs through it once.
+    """
+    pieces = {kind: df.select("piece").where(F.length("piece") > 0).distinct() for kind, df in wanted.items()}
+    held: dict[str, list[str]] = {}
+    for kind, df in pieces.items():
+        size = df.limit(MOST_PIECES + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("piece")), F.lit(0)).alias("chars")).first()
+        if size["n"] > MOST_PIECES or size["chars"] > MOST_CHARS:
+            return None
+        held[kind] = [r["piece"] for r in df.collect()]
+    kinds = dict(texts.dtypes)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import ahocorasick
+
+        automata = {}
+        for kind, some in held.items():
+            automata[kind] = ahocorasick.Automaton()
+            for piece in some:
+                automata[kind].add_word(piece, piece)
+            automata[kind].make_automaton()
+        for batch in batches:
+            rows = []
+            for kind, some in held.items():
+                if some:
+                    for at, text in zip(batch[key], batch[kind], strict=True):
+                        rows += [(at, kind, piece) for piece in {found for _, found in automata[kind].iter(text or "")}]
+            yield pd.DataFrame(rows, columns=[key, "kind", "piece"])
+
+    return texts.select(key, *held).mapInPandas(run, f"{key} {kinds[key]}, kind string, piece string")
+
+
 def unpaired(claims: DataFrame, pairs: DataFrame, on: list[str]) -> DataFrame:
     """Claims that no accepted pair has."""
     return claims.join(pairs, on, "left_anti")

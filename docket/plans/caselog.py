@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from docket.operators import caselog as L
 from docket.operators import rules as R
 from docket.plans import Book
+from docket.session import cut
 from docket.sources.tables import table
 
 BOOK = Book()
@@ -106,15 +107,24 @@ def l09(spark, sf_dir):
     return L.dead_runs(log(spark, sf_dir)).select("event_id", "case_id", "stage", "seconds", "dead")
 
 
-@BOOK.add("l10_accepted_starts", "WITH RECURSIVE " + _EV + """
+_ACCEPTED = "WITH RECURSIVE " + _EV + """
 s AS (SELECT event_id, case_id, stage, ts, row_number() OVER (PARTITION BY case_id, stage ORDER BY ts, event_id) AS rn FROM ev WHERE action = 'start'),
 r(event_id, case_id, stage, rn, last, accepted) AS (SELECT event_id, case_id, stage, rn, ts, true FROM s WHERE rn = 1
   UNION ALL SELECT s.event_id, s.case_id, s.stage, s.rn, CASE WHEN s.ts > r.last + INTERVAL 1440 MINUTE THEN s.ts ELSE r.last END, s.ts > r.last + INTERVAL 1440 MINUTE FROM r JOIN s ON s.case_id = r.case_id AND s.stage = r.stage AND s.rn = r.rn + 1)
-SELECT event_id, case_id, stage, accepted FROM r""")
+SELECT event_id, case_id, stage, accepted FROM r"""
+
+
+@BOOK.add("l10_accepted_starts", _ACCEPTED)
 def l10(spark, sf_dir):
     return L.accepted_starts(log(spark, sf_dir).where("action = 'start'").select("event_id", "case_id", "stage", "ts"), 60 * 24).drop("ts")
 
 
+@BOOK.add("l10_pointer_doubling", _ACCEPTED)
+def l10_pointers(spark, sf_dir):
+    starts = log(spark, sf_dir).where("action = 'start'").select("event_id", "case_id", "stage", "ts")
+    return L.accepted_by_pointers(starts, 60 * 24).drop("ts")
+
+
 @BOOK.add("l11_audit_trail", "WITH " + _EV + "z AS (SELECT 1) SELECT case_id, row_number() OVER (PARTITION BY case_id ORDER BY ts, event_id)::INT AS pos, ts, action, left(props, 4000) AS detail FROM ev")
 def l11(spark, sf_dir):
     return L.trail(log(spark, sf_dir), "props")
@@ -141,6 +151,24 @@ def l13(spark, sf_dir):
     return runs.groupBy("stage").agg(F.count("seconds").alias("runs"), F.min("seconds").alias("least"), F.max("seconds").alias("most"), F.round(F.percentile("seconds", 0.5), 3).alias("median"))
 
 
+@BOOK.add("l13_merged_sketches", "WITH " + _EV + _RUNS + "z AS (SELECT 1) SELECT stage, count(*) AS runs, count(DISTINCT case_id) AS exact_cases, true AS cases_fit, true AS q50_fits, true AS q90_fits FROM rs GROUP BY 1")
+def l13_sketches(spark, sf_dir):
+    """Daily sketches of latency and cases, stored and merged, beside the exact figures they must fit."""
+    runs = cut(L.dead_runs(log(spark, sf_dir)).select("case_id", "stage", "ts", "seconds"))
+    merged = L.merged_sketches(cut(L.daily_sketches(runs)), ["stage"])
+    both = runs.join(merged.drop("runs"), "stage").groupBy("stage").agg(
+        F.count(F.lit(1)).alias("runs"),
+        F.countDistinct("case_id").alias("exact_cases"),
+        F.first("cases").alias("cases"),
+        *[F.count_if(F.col("seconds") <= F.col(q)).alias(f"{q}_upto") for q in ("q50", "q90")],
+        *[F.count_if(F.col("seconds") < F.col(q)).alias(f"{q}_under") for q in ("q50", "q90")],
+        F.count("seconds").alias("timed"),
+    )
+    fits = lambda q, share: (F.col(f"{q}_under") <= (share + L.SKETCH_RANK_ERROR) * F.col("timed") + 1) & (F.col(f"{q}_upto") >= (share - L.SKETCH_RANK_ERROR) * F.col("timed") - 1)
+    near = F.abs(F.col("cases") - F.col("exact_cases")) <= 4 * 1.04 / 2 ** (L.LOG_BUCKETS / 2) * F.col("exact_cases") + 1
+    return both.select("stage", "runs", "exact_cases", near.alias("cases_fit"), fits("q50", 0.5).alias("q50_fits"), fits("q90", 0.9).alias("q90_fits"))
+
+
 _FIELDS = "SELECT o_orderkey AS case_id, 'status' AS key, o_orderstatus AS value, 'low' AS confidence, 'auto' AS method FROM orders UNION ALL SELECT o_orderkey, 'priority', o_orderpriority, 'medium', 'auto' FROM orders"
 
 

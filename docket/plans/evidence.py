@@ -55,6 +55,12 @@ def j01(spark, sf_dir):
     return pairs(spark, sf_dir)
 
 
+@BOOK.add("j01_in_rounds", _GREEDY + "z AS (SELECT 1) SELECT conv_id, pos::INT AS pos, left_id, right_id, status, pair_no FROM ma")
+def j01_rounds(spark, sf_dir):
+    known = table(spark, sf_dir, "conversations").where(F.length("text") >= 30)
+    return E.match_in_rounds(proposals(spark, sf_dir), known.select("conv_id", F.col("turn").alias("left_id")), known.select("conv_id", F.col("turn").alias("right_id")), "conv_id")
+
+
 @BOOK.add("j02_unpaired", _GREEDY + "ac AS (SELECT * FROM ma WHERE status = 'accepted') SELECT conv_id, turn, role FROM conversations c WHERE (role = 'user' AND NOT EXISTS (SELECT 1 FROM ac WHERE ac.conv_id = c.conv_id AND left_id = turn)) OR (role = 'assistant' AND NOT EXISTS (SELECT 1 FROM ac WHERE ac.conv_id = c.conv_id AND right_id = turn))")
 def j02(spark, sf_dir):
     done = pairs(spark, sf_dir).where("status = 'accepted'")

@@ -94,6 +94,17 @@ def s07(spark, sf_dir):
     return C.build_all(docs, "lang", fresh(spark, "build"), lambda d: segmentation.paragraphs(d).join(docs.select("doc_id", "lang"), "doc_id"))
 
 
+@BOOK.add("s04_replace_categories", "SELECT doc_id, lang, CASE WHEN lang = 'de' THEN 'new: ' || left(text, 20) ELSE left(text, 20) END AS head FROM documents WHERE lang IS NOT NULL AND (lang <> 'de' OR doc_id % 2 = 0) AND lang <> 'es'")
+def s04_replace(spark, sf_dir):
+    """All languages are loaded, then one is replaced and one dropped in place."""
+    docs = table(spark, sf_dir, "documents").where("lang is not null").select("doc_id", "lang", F.left("text", F.lit(20)).alias("head"))
+    root = fresh(spark, "replace")
+    C.replace_categories(docs, root, "lang", 1)
+    C.replace_categories(docs.where("lang = 'de' AND doc_id % 2 = 0").withColumn("head", F.concat(F.lit("new: "), "head")), root, "lang", 2)
+    C.drop_categories(spark, root, "lang", ["es"], 3)
+    return C.read_categories(spark, root, "lang").select("doc_id", "lang", "head")
+
+
 @BOOK.add("s07_build_stops", f"""WITH {_BUILT}, c AS (SELECT lang AS category, count(*) AS r FROM documents WHERE lang IS NOT NULL GROUP BY 1),
 s AS (SELECT category, CASE WHEN sum(r) OVER (ORDER BY category) > (SELECT count(*) // 2 FROM documents) THEN 'stopped' ELSE 'built' END AS status FROM c)
 SELECT category, status, CASE WHEN status = 'built' THEN coalesce(n, 0) ELSE 0 END AS n FROM s LEFT JOIN l USING (category)""")
@@ -130,6 +141,15 @@ def s11(spark, sf_dir):
     return C.audit_read(rows, "sk", "view#", "user_id", "props", {"k": "long"})
 
 
+@BOOK.add("s11_variant_details", "WITH e AS (SELECT user_id, event_type || '#' || printf('%09d', event_id) AS sk, json_extract_string(props, '$.k')::BIGINT AS k FROM events) SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY sk)::INT AS pos, sk, k FROM e WHERE starts_with(sk, 'view#')")
+def s11_variant(spark, sf_dir):
+    """Details are parsed once at load and stored; reads take typed fields from them."""
+    rows = table(spark, sf_dir, "events").select("user_id", F.format_string("%s#%09d", "event_type", "event_id").alias("sk"), "props")
+    root = fresh(spark, "details")
+    C.details_loaded(rows, "props").write.parquet(root)
+    return C.audit_details(spark.read.parquet(root), "sk", "view#", "user_id", "props", {"k": "long"})
+
+
 @BOOK.add("s12_size_route", "SELECT page_id, octet_length(encode(html))::INT AS bytes, CASE WHEN octet_length(encode(html)) > 8192 THEN 'object' ELSE 'row' END AS target, md5(html) AS body FROM pages")
 def s12(spark, sf_dir):
     pages, root = table(spark, sf_dir, "pages"), fresh(spark, "routed")

@@ -57,6 +57,56 @@ def rebuild(units: DataFrame, routes: dict[str, Column], root: str, by: str) ->
     load(units, routes, root, by, "overwrite")
 
 
+def replace_categories(units: DataFrame, root: str, by: str, version: int) -> list:
+    """Replaces the categories that ``units`` hold by them, as ``version``; gives their values.
+
+    Units are staged as ``root/units/<by>=.../_version=...``. Overwriting is dynamic,
+    so only partitions of these categories and this version are touched, and a
+    repeated attempt replaces what a failed one left. Then one small table is
+    appended to ``root/commits``: only what is committed is read, so readers see
+    the old units or the new ones and never half. A category that has no units
+    any more can't be told from one that isn't meant; replace it by none with ``drop_categories``.
+    """
+    spark = units.sparkSession
+    staged = units.withColumn("_version", F.lit(version))
+    staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by, "_version").parquet(f"{root}/units")
+    there = units.select(by).distinct().withColumn("_version", F.lit(version))
+    _commit(there, root)
+    return [r[0] for r in spark.read.parquet(f"{root}/commits").where(F.col("_version") == version).select(by).distinct().collect()]
+
+
+def drop_categories(spark: SparkSession, root: str, by: str, values: list, version: int) -> None:
+    """Readers no longer see these categories from ``version`` on."""
+    kind = dict(spark.read.parquet(f"{root}/commits").dtypes)[by]
+    _commit(spark.createDataFrame([(v,) for v in values], f"`{by}` {kind}").withColumn("_version", F.lit(version)), root)
+
+
+def _commit(rows: DataFrame, root: str) -> None:
+    rows.coalesce(1).write.mode("append").parquet(f"{root}/commits")
+
+
+def read_categories(spark: SparkSession, root: str, by: str) -> DataFrame:
+    """The committed units: of each category the newest version, whatever else lies there."""
+    commits = spark.read.parquet(f"{root}/commits")
+    newest = commits.groupBy(by).agg(F.max("_version").alias("_version"))
+    kind = dict(commits.dtypes)[by]
+    units = spark.read.parquet(f"{root}/units").withColumn(by, F.col(by).cast(kind))
+    return units.join(bounded(newest), [by, "_version"], "left_semi").drop("_version")
+
+
+def details_loaded(events: DataFrame, detail: str) -> DataFrame:
+    """``events`` with the JSON text of ``detail`` parsed once into a VARIANT; text that isn't JSON is null."""
+    return events.withColumn(detail, F.try_parse_json(F.col(detail)))
+
+
+def audit_details(rows: DataFrame, sort_key: str, prefix: str, by: str, detail: str, fields: dict[str, str]) -> DataFrame:
+    """``audit_read`` over parsed details: (by, pos, sort_key, fields), each field read by its type, null if it doesn't fit."""
+    picked = rows.where(F.col(sort_key).startswith(prefix))
+    got = [F.try_variant_get(F.col(detail), f"$.{name}", kind).alias(name) for name, kind in fields.items()]
+    pos = F.row_number().over(W.partitionBy(by).orderBy(sort_key))
+    return picked.select(by, pos.alias("pos"), sort_key, *got)
+
+
 def delete_where(units: DataFrame, col: str, value, dry_run: bool = True, most: int | None = DELETE_MOST) -> tuple[DataFrame, int]:
     """(what stays, rows that match); more than ``most`` matches raise. A dry run keeps all."""
     n = units.where(F.col(col).eqNullSafe(F.lit(value))).count()
