@@ -16,7 +16,9 @@ in it and what of its first and last lines lies outside them. A passage goes
 
 So every repeated passage of whole lines and of over ``WORDS`` words goes whole.
 Rolling hashes have 96 bits, and the bytes of all lines under one are compared by
-SHA-256; lines that only share a hash stay. Everything is DataFrame functions.
+128 bits of their SHA-256; lines that only share a hash stay. Rows go by 64 bits of
+their id and text; should two rows share them, a second hash tells, and all is keyed
+anew by another seed. Everything is DataFrame functions.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ MARK = "\x01"
 DIVISOR = 2
 LEAST_LINES = 2
 WORDS = 50
+SEEDS = 4
 
 
 def lines_of(text: Column) -> Column:
@@ -76,7 +79,12 @@ def line_units(hashed: DataFrame) -> DataFrame:
     return hashed.select("row", "id", F.inline(F.concat(pairs, long)))
 
 
-def repeated_units(hashed: DataFrame) -> DataFrame:
+def row_key(id_: Column, text: Column, seed: int) -> Column:
+    """64 bits that stand for a row; where two different rows share them another seed is taken."""
+    return F.xxhash64(id_, text) if seed == 0 else F.xxhash64(F.lit(seed), id_, text)
+
+
+def repeated_units(hashed: DataFrame, repeats: bool) -> DataFrame:
     """(row, pos, n, a, b, words, next_words, first) of the units that occur more than once; ``first`` is true of the one that stays.
 
     The smallest id keeps a unit; of several texts with that id the one with the
@@ -84,7 +92,7 @@ def repeated_units(hashed: DataFrame) -> DataFrame:
     shuffled, and only a unit's smallest id is carried, so a unit that a third of
     all texts have is no group that anything gathers.
     """
-    if not hashed.groupBy("row").count().where("count > 1").isEmpty():
+    if repeats:
         hashed = hashed.dropDuplicates(["row"])  # rows equal in id and text are one here: each gets what is found for it
     units = line_units(hashed)
     repeated = units.groupBy("a", "b").agg(F.count(F.lit(1)).alias("times"), F.min("id").alias("first_id")).where("times > 1").drop("times")
@@ -133,10 +141,17 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = docs.drop("removed_lines")
     data, place = numbered(docs)
     id_col, text_col = place[id_col], place[text_col]
-    row = F.xxhash64(F.col(id_col), F.col(text_col))
-    lines = data.where(F.col(text_col).isNotNull()).select(_least_id(data, id_col, dict(data.dtypes)[id_col]).alias("id"), row.alias("row"), lines_of(F.col(text_col)).alias("l"))
-    hashed = cut(lines.select("id", "row", F.transform("l", lambda u: F.xxhash64(u)).alias("h"), F.transform("l", _words).alias("words")), "zstd")
-    marked = cut(repeated_units(hashed), "zstd")
+    for seed in range(SEEDS):
+        row, check = row_key(F.col(id_col), F.col(text_col), seed), F.xxhash64(F.lit("check"), F.col(text_col), F.col(id_col))
+        lines = data.where(F.col(text_col).isNotNull()).select(_least_id(data, id_col, dict(data.dtypes)[id_col]).alias("id"), row.alias("row"), check.alias("check"), lines_of(F.col(text_col)).alias("l"))
+        hashed = cut(lines.select("id", "row", "check", F.transform("l", lambda u: F.xxhash64(u)).alias("h"), F.transform("l", _words).alias("words")), "zstd")
+        rows = hashed.groupBy("row").agg(F.count(F.lit(1)).alias("n"), (F.min("check") < F.max("check")).alias("clash"))
+        twice = rows.agg(F.coalesce(F.max("n"), F.lit(0)).alias("most"), F.coalesce(F.max("clash"), F.lit(False)).alias("clash")).first()
+        if not twice["clash"]:
+            break
+    else:
+        raise RuntimeError("row keys clash under every seed")
+    marked = cut(repeated_units(hashed.drop("check"), twice["most"] > 1), "zstd")
 
     def assembled(marked: DataFrame) -> DataFrame:
         """The rows with their lines, what to compare, and what to cut."""
@@ -150,8 +165,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # digests of the bytes of all that share a hash
     whole = held.where("units is not null").select(F.col(text_col).alias("l"), F.inline("units"))
     bytes_of = F.when(F.col("n") == 1, F.get("l", "pos")).otherwise(F.concat(F.get("l", "pos"), F.lit(MARK), F.get("l", F.col("pos") + 1)))
-    digest = whole.select("a", "b", F.xxhash64(F.sha2(bytes_of, 256)).alias("bytes"))
-    unequal = digest.groupBy("a", "b").agg(F.min("bytes").alias("lo"), F.max("bytes").alias("hi")).where("lo < hi").select("a", "b")
+    digest = whole.select("a", "b", F.sha2(bytes_of, 256).alias("sha")).select("a", "b", F.xxhash64("sha").alias("x"), F.xxhash64("sha", F.lit(1)).alias("y"))
+    unequal = digest.groupBy("a", "b").agg(*[f(c).alias(f"{n}_{c}") for c in ("x", "y") for n, f in (("lo", F.min), ("hi", F.max))]).where("lo_x < hi_x OR lo_y < hi_y").select("a", "b")
     if not unequal.isEmpty():
         held = assembled(cut(marked.join(cut(unequal), ["a", "b"], "left_anti")))
     # what lies before, between and after the cuts

@@ -3,6 +3,7 @@ import struct
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from docket.llm import linededup
 from docket.llm.queries import op5_line_dedup
@@ -163,3 +164,16 @@ def test_passages_of_rows_that_share_an_id_stay_once(spark):
     assert sum(passage in t for t in got) == 1
     only = linededup.dedup_lines(docs.where("doc_id = 4")).collect()
     assert sum(passage in r.text for r in only) == 1
+
+
+def test_rows_that_share_a_key_keep_their_texts(spark, monkeypatch):
+    """All rows collide under the first seed; the result is the same as without."""
+    para = "First line of a passage here.\nSecond line of it stands here.\nThird line that follows on.\nFourth line to end it all.\n"
+    docs = spark.createDataFrame([(1, "alpha. " + para), (2, "beta one two. " + para), (3, "gamma alone."), (4, None), (3, "gamma alone.")], "doc_id long, text string")
+    want = sorted(map(str, map(tuple, linededup.dedup_lines(docs).collect())))
+    key = linededup.row_key
+    monkeypatch.setattr(linededup, "row_key", lambda i, t, seed: F.lit(7).cast("long") if seed == 0 else key(i, t, seed))
+    assert sorted(map(str, map(tuple, linededup.dedup_lines(docs).collect()))) == want
+    monkeypatch.setattr(linededup, "row_key", lambda i, t, seed: F.lit(7).cast("long"))
+    with pytest.raises(RuntimeError, match="clash"):
+        linededup.dedup_lines(docs)
