@@ -37,7 +37,7 @@ BUCKET = 512
 CHUNK = 4096
 QUERY_BLOCK = 8192
 HELD_ROWS = 2_000_000
-SAMPLE_QUERIES, SAMPLE_VECTORS = 200, 4000
+SAMPLE_QUERIES = 200
 
 _ERF = np.vectorize(math.erf, otypes=[float])
 
@@ -175,16 +175,31 @@ def _best(found: DataFrame, who: str, ties: list[str], k: int) -> DataFrame:
     return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
-def expected_similarity(reps: DataFrame, n: int, k: int, norm: float) -> float:
-    """Similarity at which to look: the tenth percentile of the k-th neighbours', from a bounded sample."""
-    drawn = reps.select("v", F.xxhash64("rep").alias("h")).orderBy("h").limit(SAMPLE_VECTORS).toPandas()
-    x = np.array(drawn["v"].tolist(), dtype=np.float64)
-    if len(x) < 3:
+def expected_similarity(reps: DataFrame, k: int, norm: float) -> float:
+    """Similarity at which to look: the tenth percentile of the k-th neighbours' of SAMPLE_QUERIES vectors.
+
+    The sampled vectors are compared with all in one pass, of which each batch's
+    best leave it, so the figure is that of the table at every size.
+    """
+    drawn = reps.select("v", F.xxhash64("rep").alias("h")).orderBy("h").limit(SAMPLE_QUERIES).toPandas()
+    if len(drawn) < 3:
         return 0.5
-    q = x[: min(SAMPLE_QUERIES, len(x) // 2)]
-    sim = (q @ x.T) / (np.linalg.norm(q, axis=1, keepdims=True) * norm)
-    rank = min(x.shape[0] - 1, max(1, round(k * len(x) / n)))
-    return float(np.clip(np.percentile(-np.sort(-sim, axis=1)[:, rank], 10), 0.05, 0.98))
+    q = np.array(drawn["v"].tolist(), dtype=np.float64)
+    q /= np.linalg.norm(q, axis=1, keepdims=True) * norm
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = np.full((len(q), k + 1), -np.inf)
+        for b in batches:
+            for at in range(0, len(b), 4096):
+                x = np.array(b["v"].iloc[at : at + 4096].tolist(), dtype=np.float64)
+                best = -np.partition(-np.hstack([best, q @ x.T]), k, axis=1)[:, : k + 1]
+        found = best > -np.inf
+        yield pd.DataFrame({"q": np.nonzero(found)[0], "sim": best[found]})
+
+    nth = F.row_number().over(W.partitionBy("q").orderBy(F.desc("sim")))
+    near = reps.select("v").mapInPandas(run, "q long, sim double").withColumn("nth", nth).where(F.col("nth") <= k + 1)
+    last = near.groupBy("q").agg(F.min("sim").alias("sim")).toPandas()["sim"]
+    return float(np.clip(np.percentile(last, 10), 0.05, 0.98))
 
 
 def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, tables: int = TABLES, target: float = TARGET) -> DataFrame:
@@ -212,7 +227,7 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_
     n = reps.count()
     norm = math.sqrt(reps.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()[0])
     m = functions_for(n)
-    similarity = expected_similarity(reps, n, k, norm)
+    similarity = expected_similarity(reps, k, norm)
     each = 1 - (1 - target) ** (1 / tables)  # by each table, so that all together reach the target
     points = cut(_hash(reps, lambda x, t: [np.array([b]) for b in buckets_of(x, norm, m, t)], tables))
     probes = cut(_hash(asked, lambda x, t: probes_of(x, similarity, m, t, each), tables))

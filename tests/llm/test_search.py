@@ -49,6 +49,19 @@ def test_ann_recall_with_hashing(spark):
     assert recall(ann.search(frame, by_20()).collect(), list(range(3000)), x) >= 0.9
 
 
+def test_ann_looks_where_the_kth_neighbour_is(spark):
+    """The similarity is that of the table's own k-th neighbours, at every size."""
+    rng = np.random.default_rng(9)
+    for n in (60, 1000, 30_000):
+        x = rng.standard_normal((n, 16))
+        reps = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "rep long, v array<double>").repartition(5)
+        norm = float(np.linalg.norm(x, axis=1).max())
+        got = ann.expected_similarity(reps, 20, norm)
+        u = x[:: max(1, n // 300)]
+        true = -np.sort(-(u @ x.T) / (np.linalg.norm(u, axis=1, keepdims=True) * norm), axis=1)[:, 20]
+        assert abs(got - np.clip(np.percentile(true, 10), 0.05, 0.98)) < 0.04
+
+
 def test_ann_hashes_at_every_size():
     assert [ann.functions_for(n) for n in (0, 1, 500, 512, 5000)] == [1, 1, 1, 1, 3] and ann.functions_for(10**9) > 10
     rng = np.random.default_rng(1)
