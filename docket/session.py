@@ -50,9 +50,11 @@ def cut(df: DataFrame, compression: str = "snappy") -> DataFrame:
 
     The result has no lineage beyond those files, so a lost executor costs a
     re-read and never a recomputation. Columns that Parquet can't hold (void)
-    become strings.
+    become strings. Executors get this package first, so operators work from any
+    program that imports them.
     """
     spark = df.sparkSession
+    ship_package(spark)
     void = {c: df[c].cast("string") for c, kind in df.dtypes if kind == "void"}
     path = f"{scratch_root(spark)}/docket-{uuid.uuid4().hex}"
     _written.setdefault(spark.sparkContext.applicationId, []).append(path)
