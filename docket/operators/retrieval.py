@@ -54,7 +54,8 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, tokens=words, k1: flo
     """(query_id, ref_key, score, pos) of Okapi BM25 over docs (ref_key, text) and queries (query_id, text).
 
     ``inside`` = (column of docs, rows of query_id and that column) ranks for a
-    query only documents with one of its values; statistics cover all documents.
+    query only documents with one of its values; statistics cover all documents. The
+    value is part of the join, so a posting meets only queries that may have it.
 
     Documents are tokenised once, into one row for each term that some query has
     and one without a term for the lengths. With the queries' terms broadcast, if
@@ -72,10 +73,10 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, tokens=words, k1: flo
     n, avgdl = post.where("term is null").agg(F.coalesce(F.sum("tf"), F.lit(0)), F.avg("dl")).first()
     df = post.where("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = bounded(asked.join(df, "term").select("query_id", "term", idf.alias("idf")))
-    scored = post.where("term is not null").repartition("ref_key").join(weights, "term")
+    weights = asked.join(df, "term").select("query_id", "term", idf.alias("idf"))
     if inside:
-        scored = scored.join(bounded(inside[1].select("query_id", *extra).distinct()), ["query_id", *extra], "left_semi")
+        weights = weights.join(inside[1].select("query_id", *extra).distinct(), "query_id")
+    scored = post.where("term is not null").repartition("ref_key").join(bounded(weights), ["term", *extra])
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl or 1.0)))
     hits = scored.groupBy("ref_key", "query_id").agg(F.round(F.sum(part), decimals).alias("score"))
     return top_k(hits.select("query_id", "ref_key", "score"), k)
