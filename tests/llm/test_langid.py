@@ -27,6 +27,45 @@ def test_mixtures_and_sets():
     assert score[1] < 0.9 and abs(shares[1].sum() - 1) < 1e-3
 
 
+def by_definition(text, m):
+    """Mixture of one text by plain loops: EM over all languages, then one fewer at a time, the weakest first."""
+    _, buckets, counts = langid.trigram_counts([text])
+    lik = np.exp(m.loglik[buckets].astype(float))
+    k = len(m.languages)
+
+    def fitted(theta, allowed, rounds):
+        theta = np.array([(t + 1e-3) if i in allowed else 0.0 for i, t in enumerate(theta)])
+        theta /= theta.sum()
+        for _ in range(rounds):
+            new = np.zeros(k)
+            for row, n in zip(lik, counts, strict=True):
+                part = row * theta
+                new += n * part / part.sum()
+            theta = new / counts.sum()
+        return theta, sum(n * np.log(row @ theta) for row, n in zip(lik, counts, strict=True))
+
+    allowed, theta, best = set(range(k)), np.ones(k), None
+    for size in range(k, 0, -1):
+        theta, ll = fitted(theta, allowed, 0 if size == 1 else langid.EM_ROUNDS if size == k else langid.MORE_ROUNDS)
+        value = ll - size * 0.5 * np.log(counts.sum() + 1)
+        if best is None or value > best[0]:
+            best = (value, theta)
+        allowed.discard(min(allowed, key=lambda i: theta[i]))
+        if size == 2:
+            allowed = {int(theta.argmax())}
+    return best[1]
+
+
+def test_inference_against_its_definition():
+    m = model()
+    texts = ["the dog and the cat went home", "der hund. le chat et le chien dans la maison", "the house und die katze", "nach hause", "zzz qqq xxx", "The DOG " * 30 + "mit ihnen"]
+    pred, score, shares = langid.infer(texts, m)
+    for i, text in enumerate(texts):
+        want = by_definition(text, m)
+        assert np.allclose(shares[i], want, atol=2e-3), text
+        assert pred[i] == m.languages[int(want.argmax())] and score[i] == pytest.approx(want.max(), abs=2e-3)
+
+
 def test_only_letters_count():
     pred, _, _ = langid.infer(["🙂 🙃 123 ...", "𝒳", ""], model())
     assert pred[0] == pred[2] == "und" and pred[1] != "und"

@@ -86,6 +86,30 @@ def test_labels_are_of_documents_not_of_landmarks():
     assert score(m, "the weather is") < 0.5 and score(m, "the weather is grumbolt") >= 0.7
 
 
+def by_definition(m, text):
+    """A document's score from the kernel's definition, word by word and window by window."""
+    top, hits, words = m.bias, 0.0, toxicity.words_of(text or "")
+    for w in words:
+        margins = []
+        for v in toxicity.windows_of(w):
+            value = [naive(v, mark) for mark in m.landmarks]
+            if max(value) >= toxicity.FLOOR:
+                margins.append(float(np.dot(value, m.weights)) + m.bias)
+        if margins:
+            top = max(top, *margins)
+            hits += min(1.0, max(0.0, max(margins)))
+    seen = [top, math.log1p(hits), math.log((hits + 0.1) / (len(words) + 50)), 1.0]
+    return 1 / (1 + math.exp(-float(np.dot(seen, m.fit))))
+
+
+def test_scores_against_their_definition(spark):
+    m = model()
+    texts = [None, "", "the weather is fine today", "what a grumbolt you are", "g r u m b o l t and a snar-fle, no!", "grumbling grumbolted snarflesnarfle bolt rumb", "such a thing " * 40 + "grum bolt", "漢字 🙂 Straße"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity.score(docs, m).collect()}
+    assert all(abs(got[i] - by_definition(m, t)) < 1e-4 for i, t in enumerate(texts))
+
+
 def test_without_both_classes():
     m = toxicity.train([("only fine words", 0)])
     assert score(m, "anything") < 0.5
