@@ -71,4 +71,4 @@ def test_near_dup_stage_keeps_rows_that_share_ids_or_have_none(spark, sf_dir):
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 14))
