@@ -169,6 +169,17 @@ def h02_indexed_inside(spark, sf_dir):
     return hits.select("query_id", "ref_key", "score", "pos")
 
 
+@BOOK.add("h02_index_blocks", "WITH " + _POST + f"""
+q AS (SELECT item_id AS query_id, unnest(list_distinct({_TOK.format('text')})) AS term FROM benchmark),
+r AS (SELECT doc_id, source, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 128 AS run FROM documents),
+b AS (SELECT DISTINCT query_id, term, source, run FROM q JOIN po USING (term) JOIN r ON ref_key = doc_id)
+SELECT query_id, count(*) AS blocks, true AS read_within FROM b GROUP BY query_id""")
+def h02_blocks(spark, sf_dir):
+    """How many blocks a query's terms have in the stored index; a search reads no more of them."""
+    _, report = lexindex.search(lexical_index(spark, sf_dir), queries(spark, sf_dir), 10)
+    return report.select("query_id", "blocks", (F.col("read") <= F.col("blocks")).alias("read_within"))
+
+
 @BOOK.add("h03_cell_top_k", "WITH " + _vec(10) + "z AS (SELECT 1) SELECT query_id, ref_key, score, pos::INT AS pos FROM ve")
 def h03_cells(spark, sf_dir):
     return vectors.search_cells(spark, vector_cells(spark, sf_dir), query_vectors(spark, sf_dir), 10)[0]
