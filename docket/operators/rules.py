@@ -61,15 +61,22 @@ def array_min(rule: Rule, get: Callable[[str], Column]) -> Column:
     return outcome(F.when(n >= rule.params["least"], "present").when(n == 0, "missing").otherwise("partial"), n, computed=n)
 
 
+def _told(v: Column) -> Column:
+    """``v`` as a boolean, null if it isn't one; texts by the words a cast takes, since a failing cast costs an exception a row."""
+    word = F.lower(F.trim(v.cast("string")))
+    text = F.when(word.isin("t", "true", "y", "yes", "1"), True).when(word.isin("f", "false", "n", "no", "0"), False)
+    return F.when(F.typeof(v) == "string", text).otherwise(v.try_cast("boolean"))
+
+
 def flag_true(rule: Rule, get: Callable[[str], Column]) -> Column:
     v = get(rule.fields[0])
-    told = v.try_cast("boolean")
+    told = _told(v)
     return outcome(F.when(told.isNull(), "unclear").when(told, "present").otherwise("missing"), value=v)
 
 
 def flag_triggers(rule: Rule, get: Callable[[str], Column]) -> Column:
     v = get(rule.fields[0])
-    told = v.try_cast("boolean")
+    told = _told(v)
     return outcome(F.when(told.isNull(), "unclear").when(told, "triggered").otherwise("no_match"), value=v)
 
 
