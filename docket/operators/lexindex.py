@@ -1,11 +1,18 @@
 """A stored inverted index: written once by segments, searched many times.
 
-A segment is three Parquet tables. ``blocks`` has one row for each term and run of
+A segment is four Parquet tables. ``blocks`` has one row for each term and run of
 ``RUN_DOCS`` documents: their keys, term frequencies and lengths, and ``top``, the
 largest part that the term adds to a score there. Rows are dealt and sorted by term,
 so a search's terms prune files and row groups by their statistics. ``terms`` has
-document frequencies, ``stats`` the number of documents and their total length; it
-is written last, and a segment without it isn't read.
+document frequencies, ``docs`` each document's run and length, ``stats`` the number
+of documents and their total length; it is written last, and a segment without it
+isn't read.
+
+Documents are deleted by notes beside the segments: ``gone_keys`` names them,
+``gone_terms`` and ``gone_stats`` say what they had in the statistics, so that
+searches are as exact as if they had never been written. ``compact`` rewrites a
+segment without them. Each write of a segment has a build of its own, and notes
+hold for one build only. One writer at a time.
 
 A search is exact. It first adds the tops of a query's terms for each run, without
 reading postings, scores the runs that promise most, and then only those that can
@@ -14,6 +21,7 @@ still reach the k-th score found (block-max pruning by sets).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -34,6 +42,8 @@ LISTED_TERMS = 2000
 #: Scores are rounded to six places, so a bound counts as reached within this.
 SLACK = 2e-6
 ROW_GROUP = 4 << 20
+#: A deletion of more documents raises, unless its caller allows more.
+DELETE_MOST = 500
 
 
 def part(tf: Column, dl: Column, avgdl: Column, k1: float = K1, b: float = B) -> Column:
@@ -58,9 +68,15 @@ def write_segment(docs: DataFrame, path: str, segment: int, by: str | None = Non
     first = placed.groupBy(F.col("value").alias("of")).agg(F.min("place").alias("first"))
     run = F.floor((F.col("place") - F.col("first")) / RUN_DOCS)
     placed = placed.join(first, F.col("value").eqNullSafe(F.col("of"))).select("ref_key", "value", run.alias("run"), F.size("t").alias("dl"), "t")
-    total = placed.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total")).first()
-    avgdl = (total["total"] / total["docs"] if total["docs"] else 0.0) or 1.0
     post = placed.select("ref_key", "value", "run", "dl", F.explode("t").alias("term")).groupBy("term", "value", "run", "ref_key", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+    _write(placed.drop("t"), post, path, segment)
+
+
+def _write(documents: DataFrame, post: DataFrame, path: str, segment: int) -> None:
+    """Writes documents (ref_key, value, run, dl) and their postings (with term and tf) as one segment; both may be read from it."""
+    documents = cut(documents)
+    total = documents.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total")).first()
+    avgdl = (total["total"] / total["docs"] if total["docs"] else 0.0) or 1.0
     # a run has RUN_DOCS documents, which bounds the lists
     blocks = post.groupBy("term", "value", "run").agg(
         F.sort_array(F.collect_list(F.struct("ref_key", "tf", "dl"))).alias("docs"),
@@ -72,7 +88,9 @@ def write_segment(docs: DataFrame, path: str, segment: int, by: str | None = Non
     blocks.write.mode("overwrite").option("parquet.block.size", ROW_GROUP).parquet(f"{path}/blocks/{place}")
     df = blocks.groupBy("term").agg(F.sum("n").cast("long").alias("df"))
     df.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms/{place}")
-    stats = docs.sparkSession.range(1).select(F.lit(total["docs"]).cast("long").alias("docs"), F.lit(total["total"]).cast("long").alias("total"))
+    documents.repartitionByRange("ref_key").sortWithinPartitions("ref_key").write.mode("overwrite").parquet(f"{path}/docs/{place}")
+    build = F.lit(uuid.uuid4().hex).alias("build")
+    stats = documents.sparkSession.range(1).select(build, F.lit(total["docs"]).cast("long").alias("docs"), F.lit(total["total"]).cast("long").alias("total"))
     stats.coalesce(1).write.mode("overwrite").parquet(f"{path}/stats/{place}")
 
 
@@ -87,8 +105,17 @@ class Index:
             raise ValueError(f"no index at {path}") from gone
         found = {int(r["segment"]): r for r in stats.collect()}  # one row a segment
         self.segments = sorted(found if segments is None else set(found) & set(segments))
-        self.docs = sum(r["docs"] for s, r in found.items())
-        self.total = sum(r["total"] for s, r in found.items())
+        self.builds = {s: r["build"] for s, r in found.items()}
+        #: Deletions that still hold, by number.
+        self.deletions: list[int] = []
+        self.next_deletion, docs, total = 0, 0, 0
+        for r in _deletions(spark, path):  # one row a deletion and segment
+            self.next_deletion = max(self.next_deletion, r["deletion"] + 1)
+            if self.builds.get(r["segment"]) == r["build"]:
+                self.deletions = sorted({*self.deletions, r["deletion"]})
+                docs, total = docs + r["docs"], total + r["total"]
+        self.docs = sum(r["docs"] for r in found.values()) - docs
+        self.total = sum(r["total"] for r in found.values()) - total
         self.avgdl = (self.total / self.docs if self.docs else 0.0) or 1.0
         #: By how much a segment's tops are too low under the average length of the whole.
         self.lift = {s: max(1.0, self.avgdl / ((r["total"] / r["docs"] if r["docs"] else 0.0) or 1.0)) for s, r in found.items()}
@@ -101,15 +128,89 @@ class Index:
         lift = F.create_map(*[F.lit(x) for s, v in self.lift.items() for x in (s, v)])
         return self._read("blocks", self.segments).withColumn("top", F.col("top") * lift[F.col("segment")])
 
-    def terms(self) -> DataFrame:
+    def _gone(self, name: str) -> DataFrame:
+        """What deletions say of the segments as they are now."""
+        rows = self.spark.read.parquet(*[f"{self.path}/gone_{name}/deletion={d}" for d in self.deletions])
+        return rows.where(F.col("build").isin(list(self.builds.values())))
+
+    def live(self, rows: DataFrame) -> DataFrame:
+        """Rows (segment, ref_key, ...) without those of deleted documents."""
+        if not self.deletions:
+            return rows
+        return rows.join(self._gone("keys").select("segment", "ref_key"), ["segment", "ref_key"], "left_anti")
+
+    def documents(self) -> DataFrame:
+        """(segment, ref_key, value, run, dl) of the documents of the segments opened."""
+        return self.live(self._read("docs", self.segments).select("segment", "ref_key", "value", "run", "dl"))
+
+    def terms(self, only: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
         """(term, df) over all segments."""
-        return self._read("terms", self.all_segments).groupBy("term").agg(F.sum("df").alias("df"))
+        rows = only(self._read("terms", self.all_segments).select("term", "df"))
+        if self.deletions:
+            rows = rows.union(only(self._gone("terms").select("term", -F.col("df"))))
+        return rows.groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
 
     def weights(self, queries: DataFrame, tokens=words) -> DataFrame:
         """(query_id, term, df, idf) of the terms of queries (query_id, text) that the index knows."""
         asked = cut(queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")))
-        known = term_filter(asked)(self._read("terms", self.all_segments)).groupBy("term").agg(F.sum("df").alias("df"))
-        return cut(asked.join(known, "term").select("query_id", "term", "df", idf(F.col("df"), F.lit(float(self.docs))).alias("idf")))
+        return cut(asked.join(self.terms(term_filter(asked)), "term").select("query_id", "term", "df", idf(F.col("df"), F.lit(float(self.docs))).alias("idf")))
+
+
+def _deletions(spark: SparkSession, path: str) -> list:
+    """(deletion, segment, build, docs, total) of the deletions that were completed."""
+    try:
+        return spark.read.option("basePath", f"{path}/gone_stats").parquet(f"{path}/gone_stats").collect()
+    except AnalysisException:  # none yet
+        return []
+
+
+def delete(spark: SparkSession, path: str, keys: DataFrame, dry_run: bool = True, most: int | None = DELETE_MOST) -> int:
+    """Takes the documents with a key in ``keys`` (ref_key) out of the index, and returns how many it has.
+
+    More than ``most`` raise and nothing is deleted; a dry run only counts.
+    Unknown, null and repeated keys and those deleted before don't count. Only
+    runs that hold such a document are read, in one scan of the postings. A later
+    segment may bring a deleted key again.
+    """
+    index = Index(spark, path)
+    found = cut(index.documents().join(keys.select("ref_key").distinct(), "ref_key", "left_semi"))
+    n = found.count()
+    if most is not None and n > most:
+        raise ValueError(f"{n} documents match, more than {most}")
+    if dry_run or not n:
+        return n
+    build = F.create_map(*[F.lit(x) for pair in index.builds.items() for x in pair])[F.col("segment")].alias("build")
+    runs = found.select(*[F.col(c).alias(f"r_{c}") for c in ("segment", "value", "run")]).distinct()
+    same = (F.col("segment") == F.col("r_segment")) & F.col("value").eqNullSafe(F.col("r_value")) & (F.col("run") == F.col("r_run"))
+    touched = index.blocks().select("segment", "term", "value", "run", F.col("docs.ref_key").alias("keys")).join(runs, same, "left_semi")
+    lost = touched.select("segment", "term", F.explode("keys").alias("ref_key")).join(found.select("segment", "ref_key"), ["segment", "ref_key"], "left_semi")
+    place = f"deletion={index.next_deletion}"
+    found.select("segment", build, "ref_key").write.mode("overwrite").parquet(f"{path}/gone_keys/{place}")
+    lost.groupBy("segment", build, "term").agg(F.count(F.lit(1)).alias("df")).write.mode("overwrite").parquet(f"{path}/gone_terms/{place}")
+    # written last: a deletion without it doesn't hold
+    stats = found.groupBy("segment", build).agg(F.count(F.lit(1)).alias("docs"), F.sum("dl").cast("long").alias("total"))
+    stats.coalesce(1).write.mode("overwrite").parquet(f"{path}/gone_stats/{place}")
+    return n
+
+
+def replace(docs: DataFrame, path: str, segment: int, by: str | None = None, tokens=words) -> int:
+    """Writes documents as a new segment in place of those that have their keys, and returns how many those were.
+
+    The old ones go first: until the segment is complete, searches find neither.
+    """
+    try:
+        gone = delete(docs.sparkSession, path, docs.select("ref_key"), dry_run=False, most=None)
+    except ValueError:  # no index yet
+        gone = 0
+    write_segment(docs, path, segment, by, tokens)
+    return gone
+
+
+def compact(spark: SparkSession, path: str, segment: int) -> None:
+    """Rewrites a segment without its deleted documents; not while it is searched. Runs keep their numbers."""
+    index = Index(spark, path, [segment])
+    post = index._read("blocks", [segment]).select("segment", "term", "value", "run", F.explode("docs").alias("d")).select("segment", "term", "value", "run", "d.*")
+    _write(index.documents().drop("segment"), index.live(post).drop("segment"), path, segment)
 
 
 def term_filter(asked: DataFrame) -> Callable[[DataFrame], DataFrame]:
@@ -139,18 +240,18 @@ def bounds(index: Index, weights: DataFrame, only: Callable[[DataFrame], DataFra
 
 
 def _scored(index: Index, weights: DataFrame, only: Callable[[DataFrame], DataFrame], runs: DataFrame, decimals: int) -> DataFrame:
-    """(query_id, ref_key, score, dl, found) of the documents in ``runs`` (query_id, segment, value, run) with a term of the query."""
+    """(query_id, ref_key, segment, score, dl, found) of the documents in ``runs`` (query_id, segment, value, run) with a term of the query."""
     place = ["segment", "value", "run"]
     wanted = weights.join(runs.select("query_id", *[F.col(c).alias(f"r_{c}") for c in place]), "query_id")
     blocks = only(index.blocks().select("term", *place, "docs"))
     same = (blocks["term"] == wanted["term"]) & (F.col("segment") == F.col("r_segment")) & F.col("value").eqNullSafe(F.col("r_value")) & (F.col("run") == F.col("r_run"))
-    post = wanted.join(blocks, same).select("query_id", wanted["term"], "idf", F.explode("docs").alias("d")).select("query_id", "term", "idf", "d.*")
+    post = wanted.join(blocks, same).select("query_id", wanted["term"], "idf", "segment", F.explode("docs").alias("d")).select("query_id", "term", "idf", "segment", "d.*")
     each = F.col("idf") * part(F.col("tf"), F.col("dl"), F.lit(index.avgdl))
-    return post.groupBy("query_id", "ref_key").agg(F.round(F.sum(each), decimals).alias("score"), F.max("dl").alias("dl"), F.collect_list(F.struct("term", "tf")).alias("found"))
+    return index.live(post).groupBy("query_id", "ref_key", "segment").agg(F.round(F.sum(each), decimals).alias("score"), F.max("dl").alias("dl"), F.collect_list(F.struct("term", "tf")).alias("found"))
 
 
 def search(index: Index, queries: DataFrame, k: int = 10, inside: DataFrame | None = None, decimals: int = 6, tokens=words) -> tuple[DataFrame, DataFrame]:
-    """((query_id, ref_key, score, pos, dl, found), (query_id, blocks, read)): Okapi BM25 over all documents, and the blocks it had and read.
+    """((query_id, ref_key, segment, score, pos, dl, found), (query_id, blocks, read)): Okapi BM25 over all documents, and the blocks it had and read.
 
     Statistics cover all segments of the index, hits come from those it was opened
     for. ``inside`` (query_id, value) ranks for a query only documents with one of
@@ -158,8 +259,10 @@ def search(index: Index, queries: DataFrame, k: int = 10, inside: DataFrame | No
     Queries without a known word have no rows.
     """
     if not index.segments:
+        key = index._read("docs", index.all_segments).schema["ref_key"].dataType.simpleString()
         empty = queries.select("query_id").where("false")
-        return empty.selectExpr("query_id", "null AS ref_key", "0D AS score", "1 AS pos", "1 AS dl", "array() AS found"), empty.selectExpr("query_id", "0L AS blocks", "0L AS read")
+        hits = empty.selectExpr("query_id", f"CAST(null AS {key}) AS ref_key", "0 AS segment", "0D AS score", "1 AS pos", "1 AS dl", "CAST(array() AS array<struct<term:string,tf:int>>) AS found")
+        return hits, empty.selectExpr("query_id", "0L AS blocks", "0L AS read")
     weights = index.weights(queries, tokens)
     only = term_filter(weights)
     reach = cut(bounds(index, weights, only, inside))
@@ -182,7 +285,7 @@ SPARE = 3
 
 
 def start_view(index: Index, queries: DataFrame, k: int = 10, tokens=words) -> DataFrame:
-    """(query_id, ref_key, score, dl, found, floor, weights): for each query its best SPARE * k documents.
+    """(query_id, ref_key, segment, score, dl, found, floor, weights, avgdl): for each query its best SPARE * k documents.
 
     No other document scores above floor, and weights are the terms' inverse
     document frequencies and the average length it was scored with. Queries
@@ -191,7 +294,7 @@ def start_view(index: Index, queries: DataFrame, k: int = 10, tokens=words) -> D
     best = SPARE * k
     hits, _ = search(index, queries, best, tokens=tokens)
     floor = hits.groupBy("query_id").agg(F.max(F.when(F.col("pos") == best, F.col("score"))).alias("floor"))
-    rows = queries.select("query_id").join(hits.select("query_id", "ref_key", "score", "dl", "found"), "query_id", "left").join(floor, "query_id", "left")
+    rows = queries.select("query_id").join(hits.select("query_id", "ref_key", "segment", "score", "dl", "found"), "query_id", "left").join(floor, "query_id", "left")
     return cut(rows.withColumn("floor", F.coalesce("floor", F.lit(0.0))).join(_standing(index, queries, tokens), "query_id", "left"))
 
 
@@ -202,7 +305,11 @@ def _standing(index: Index, queries: DataFrame, tokens) -> DataFrame:
 
 
 def refresh_view(view: DataFrame, path: str, new_segments: list[int], queries: DataFrame, k: int = 10, decimals: int = 6, tokens=words) -> tuple[DataFrame, DataFrame]:
-    """(view, (query_id, recomputed)): ``view`` brought up to ``new_segments`` of the index at ``path``.
+    """(view, (query_id, recomputed)): ``view`` brought up to ``new_segments`` and the deletions of the index at ``path``.
+
+    Stored hits that were deleted go; what moves up into their places is known as
+    long as enough stored hits are left. A segment that was written anew is one of
+    the new ones.
 
     New documents are scored by themselves, stored ones anew under the present
     statistics from their stored frequencies. Documents that aren't stored scored
@@ -219,12 +326,18 @@ def refresh_view(view: DataFrame, path: str, new_segments: list[int], queries: D
     score = F.round(F.aggregate(parts, F.lit(0.0), lambda x, y: x + y), decimals)
     grown = F.array_max(F.transform(F.map_entries(F.coalesce("weights", F.create_map().cast("map<string,double>"))), lambda e: F.col("w")[e["key"]] / e["value"]))
     growth = F.coalesce(grown, F.lit(1.0)) * F.greatest(F.lit(1.0), F.col("a") / F.col("avgdl"))
-    old = cut(old.select("query_id", "ref_key", score.alias("score"), "dl", "found", (F.col("floor") * growth).alias("floor")))
+    old = cut(old.select("query_id", "ref_key", "segment", score.alias("score"), "dl", "found", (F.col("floor") * growth).alias("floor")))
     fresh, _ = search(Index(spark, path, new_segments), queries, best, tokens=tokens)
     fresh = cut(fresh)
     floors = old.groupBy("query_id").agg(F.max("floor").alias("floor"))
     own = fresh.where(F.col("pos") == best).select("query_id", F.col("score").alias("own"))
-    rows = top_k(old.where("ref_key is not null").drop("floor").unionByName(fresh.select("query_id", "ref_key", "score", "dl", "found")), best)
+    stored = old.where("ref_key is not null").drop("floor")
+    if new_segments:
+        stored = stored.where(~F.col("segment").isin(new_segments))
+    # a compacted segment has no notes of its deletions any more, so what is there decides
+    there = cut(index.documents().select("segment", "ref_key").join(stored.select("segment", "ref_key").distinct(), ["segment", "ref_key"], "left_semi"))
+    stored = stored.join(there, ["segment", "ref_key"], "left_semi")
+    rows = top_k(stored.unionByName(fresh.select("query_id", "ref_key", "segment", "score", "dl", "found")), best)
     rows = cut(rows)
     last = rows.groupBy("query_id").agg(F.max(F.when(F.col("pos") == best, F.col("score"))).alias("last"), F.max(F.when(F.col("pos") == k, F.col("score"))).alias("kth"))
     state = queries.select("query_id").join(floors, "query_id", "left").join(own, "query_id", "left").join(last, "query_id", "left")
@@ -234,7 +347,7 @@ def refresh_view(view: DataFrame, path: str, new_segments: list[int], queries: D
     state = cut(state.select("query_id", F.greatest(floor, F.coalesce("own", F.lit(0.0)), F.coalesce("last", F.lit(0.0))).alias("floor"), (new | ((floor > 0) & ~above)).alias("recomputed")))
     good = state.where("NOT recomputed").select("query_id", "floor")
     kept = good.join(rows.drop("pos"), "query_id", "left").join(now.select("query_id", F.col("w").alias("weights"), F.col("a").alias("avgdl")), "query_id")
-    kept = kept.select("query_id", "ref_key", "score", "dl", "found", "floor", "weights", "avgdl")
+    kept = kept.select("query_id", "ref_key", "segment", "score", "dl", "found", "floor", "weights", "avgdl")
     again = queries.join(state.where("recomputed").select("query_id"), "query_id", "left_semi")
     out = kept if again.isEmpty() else kept.unionByName(start_view(index, again, k, tokens))
     return cut(out), state.select("query_id", "recomputed")

@@ -169,6 +169,19 @@ def h02_indexed_inside(spark, sf_dir):
     return hits.select("query_id", "ref_key", "score", "pos")
 
 
+_LEFT = _POST.replace("FROM documents", "FROM (SELECT * FROM documents WHERE source IS DISTINCT FROM 'src7')")
+
+
+@BOOK.add("s06_index_delete", "WITH " + _LEFT + _bm25(10) + "z AS (SELECT 1) SELECT query_id, ref_key, score, pos::INT AS pos FROM bm")
+def s06_index_delete(spark, sf_dir):
+    """Searches after one source was deleted from the stored index, with its documents out of all statistics."""
+    path = f"{scratch_root(spark)}/store-deleted-{uuid.uuid4().hex}"
+    docs = corpus(spark, sf_dir)
+    lexindex.write_segment(docs, path, 0, "law")
+    lexindex.delete(spark, path, docs.where("law = 'src7'"), dry_run=False, most=None)
+    return lexindex.search(lexindex.Index(spark, path), queries(spark, sf_dir), 10)[0].select("query_id", "ref_key", "score", "pos")
+
+
 @BOOK.add("h02_index_blocks", "WITH " + _POST + f"""
 q AS (SELECT item_id AS query_id, unnest(list_distinct({_TOK.format('text')})) AS term FROM benchmark),
 r AS (SELECT doc_id, source, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 128 AS run FROM documents),
@@ -363,6 +376,25 @@ def h22_maintained(spark, sf_dir):
     return lexindex.view_hits(view, 5)
 
 
+_AMENDED = "(SELECT doc_id, CASE WHEN source = 'src2' THEN 'amended ' || text ELSE text END AS text FROM documents WHERE source IS NULL OR source NOT IN ('src7', 'src3'))"
+
+
+@BOOK.add("h22_view_after_changes", "WITH " + _POST.replace("FROM documents", "FROM " + _AMENDED) + _bm25(5) + "z AS (SELECT 1) SELECT query_id, ref_key, score, pos::INT AS pos FROM bm")
+def h22_after_changes(spark, sf_dir):
+    """One source is taken out of the index and another one's texts are replaced; then a third goes and the segment is compacted."""
+    path = f"{scratch_root(spark)}/store-view-{uuid.uuid4().hex}"
+    docs, asked = corpus(spark, sf_dir), queries(spark, sf_dir)
+    lexindex.write_segment(docs, path, 0)
+    view = lexindex.start_view(lexindex.Index(spark, path), asked, 5)
+    lexindex.delete(spark, path, docs.where("law = 'src7'"), dry_run=False, most=None)
+    lexindex.replace(docs.where("law = 'src2'").withColumn("text", F.concat(F.lit("amended "), "text")), path, 1)
+    view, _ = lexindex.refresh_view(view, path, [1], asked, 5)
+    lexindex.delete(spark, path, docs.where("law = 'src3'"), dry_run=False, most=None)
+    lexindex.compact(spark, path, 0)
+    view, _ = lexindex.refresh_view(view, path, [], asked, 5)
+    return lexindex.view_hits(view, 5)
+
+
 @BOOK.add("h23_case_summary", _BASE + _DOC + "p AS (SELECT query_id, count(*) AS hits, count(*) FILTER (WHERE selected) AS selected FROM di GROUP BY 1) SELECT item_id % 7 AS case_id, count(*) AS queries, coalesce(sum(hits), 0)::BIGINT AS hits, coalesce(sum(selected), 0)::BIGINT AS selected, count(*) FILTER (WHERE coalesce(selected, 0) = 0) AS without_basis FROM benchmark LEFT JOIN p ON item_id = query_id GROUP BY 1")
 def h23(spark, sf_dir):
     asked = queries(spark, sf_dir).select((F.col("query_id") % 7).alias("case_id"), "query_id")

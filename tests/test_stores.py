@@ -182,3 +182,73 @@ def test_empty_stores(spark, asked, tmp_path):
     assert vectors.search_cells(spark, str(tmp_path / "v"), queries)[0].count() == 0
     lexindex.write_segment(corpus(spark, 5).where("false"), str(tmp_path / "t"), 0)
     assert lexindex.search(lexindex.Index(spark, str(tmp_path / "t")), asked)[0].count() == 0
+
+
+def test_deleted_documents_leave_no_trace(spark, asked, tmp_path, monkeypatch):
+    """Hits and statistics are those of the rest, over two deletions, an update, and after compaction."""
+    monkeypatch.setattr(lexindex, "RUN_DOCS", 16)
+    path = str(tmp_path)
+    docs = corpus(spark, 900).union(spark.createDataFrame([(5000, None, "v0"), (5001, "", "v1")], "ref_key long, text string, law string"))
+    lexindex.write_segment(docs, path, 0, "law")
+    rows = {r["ref_key"]: r for r in docs.collect()}
+    keys = lambda some: spark.createDataFrame([(k,) for k in some], "ref_key long")
+
+    def check():
+        index = lexindex.Index(spark, path)
+        close(rows_of(lexindex.search(index, asked, 5)[0]), brute_bm25(rows.values(), asked.collect(), 5))
+        assert index.docs == len(rows) == index.documents().count()
+        counts = Counter(w for r in rows.values() for w in set((r["text"] or "").split()))
+        assert {r["term"]: r["df"] for r in index.terms().collect()} == counts
+
+    first = [k for k in rows if k % 4 == 1] + [5000]
+    assert lexindex.delete(spark, path, keys([*first, first[0], None, 777777])) == len(first)
+    with pytest.raises(ValueError, match="more than 10"):
+        lexindex.delete(spark, path, keys(first), dry_run=False, most=10)
+    check()  # neither a dry run nor one that raised
+    assert lexindex.delete(spark, path, keys(first), dry_run=False) == len(first)
+    assert lexindex.delete(spark, path, keys(first), dry_run=False) == 0
+    for k in first:
+        rows.pop(k)
+    (tmp_path / "gone_keys" / "deletion=1").mkdir()  # left by a deletion that didn't finish
+    new = spark.createDataFrame([(k, f"t3w1 c1 new{k}", "v2") for k in (2, 3, 9000)], "ref_key long, text string, law string")
+    assert lexindex.replace(new, path, 1, "law") == 2
+    rows.update({r["ref_key"]: r for r in new.collect()})
+    check()
+    lexindex.compact(spark, path, 0)
+    assert lexindex.Index(spark, path).deletions == []
+    check()
+    assert lexindex.delete(spark, path, keys(list(rows)), dry_run=False, most=None) == len(rows)
+    index = lexindex.Index(spark, path)
+    assert index.docs == 0 and lexindex.search(index, asked)[0].count() == 0
+    lexindex.compact(spark, path, 1)
+    assert lexindex.Index(spark, path).documents().count() == 0
+
+
+def test_replace_starts_an_index(spark, asked, tmp_path):
+    docs = corpus(spark, 40)
+    assert lexindex.replace(docs, str(tmp_path), 0) == 0
+    close(rows_of(lexindex.search(lexindex.Index(spark, str(tmp_path)), asked, 3)[0]), brute_bm25(docs.collect(), asked.collect(), 3))
+
+
+def test_view_follows_deletions(spark, asked, tmp_path):
+    """Few deletions keep the stored hits; when too many went, the query is searched again; also after compaction."""
+    path, docs = str(tmp_path), corpus(spark, 1500, 8)
+    lexindex.write_segment(docs, path, 0)
+    rows = {r["ref_key"]: r for r in docs.collect()}
+    view = lexindex.start_view(lexindex.Index(spark, path), asked, 4)
+    best = [r["ref_key"] for r in lexindex.view_hits(view, 12).where("query_id = 1").orderBy("pos").collect()]
+    for gone, compacted, again in [(best[:1], False, False), (best[1:11], False, True), ([k for k in rows if k % 3 == 0], True, None)]:
+        lexindex.delete(spark, path, spark.createDataFrame([(k,) for k in gone], "ref_key long"), dry_run=False, most=None)
+        for k in gone:
+            rows.pop(k, None)
+        if compacted:
+            lexindex.compact(spark, path, 0)
+        view, report = lexindex.refresh_view(view, path, [], asked, 4)
+        close(rows_of(lexindex.view_hits(view, 4)), brute_bm25(rows.values(), asked.collect(), 4))
+        if again is not None:
+            assert (1 in {r["query_id"] for r in report.collect() if r["recomputed"]}) == again
+    changed = spark.createDataFrame([(k, "t3w1 t3w2 " + rows[k]["text"]) for k in list(rows)[:5]], "ref_key long, text string")
+    assert lexindex.replace(changed, path, 1) == 5
+    rows.update({r["ref_key"]: r for r in changed.collect()})
+    view, _ = lexindex.refresh_view(view, path, [1], asked, 4)
+    close(rows_of(lexindex.view_hits(view, 4)), brute_bm25(rows.values(), asked.collect(), 4))
