@@ -105,6 +105,8 @@ BLOCK = 512
 #: Blocks that a query scores first.
 FIRST_BLOCKS = 4
 SLACK = 2e-6
+#: A deletion of more units raises, unless its caller allows more.
+DELETE_MOST = 500
 
 
 def _centres(x: np.ndarray, n: int) -> np.ndarray:
@@ -126,7 +128,8 @@ def write_cells(units: DataFrame, path: str, sample: int = SAMPLE) -> None:
     a search reads the row groups of its blocks. ``blocks`` has each block's least
     and greatest distance to the centre, ``centres`` the centres, at most
     MOST_CELLS a length, fitted on at most ``sample`` units. Units that are not
-    comparable aren't stored; every other one is.
+    comparable aren't stored; every other one is. ``gone`` has the keys deleted
+    since the store was written.
     """
     ship_package(units.sparkSession)
     spark = units.sparkSession
@@ -166,6 +169,27 @@ def write_cells(units: DataFrame, path: str, sample: int = SAMPLE) -> None:
     blocks.write.mode("overwrite").parquet(f"{path}/blocks")
     listed = [(dim, i, v.tolist()) for dim, found in centres.items() for i, v in enumerate(found)]
     spark.createDataFrame(listed, "dim int, cell int, centre array<double>").write.mode("overwrite").parquet(f"{path}/centres")
+    units.select("ref_key").where("false").write.mode("overwrite").parquet(f"{path}/gone")
+
+
+def _live(spark: SparkSession, path: str) -> DataFrame:
+    """The stored rows that weren't deleted."""
+    return spark.read.parquet(f"{path}/vectors").join(spark.read.parquet(f"{path}/gone"), "ref_key", "left_anti")
+
+
+def delete_units(spark: SparkSession, path: str, keys: DataFrame, dry_run: bool = True, most: int | None = DELETE_MOST) -> int:
+    """Takes the units with a key in ``keys`` (ref_key) out of the store, and returns how many rows it has of them.
+
+    More than ``most`` raise and nothing is deleted; a dry run only counts. Keys are
+    noted beside the blocks, whose distances stay bounds of what is left in them.
+    """
+    found = cut(_live(spark, path).select("ref_key").join(keys.select("ref_key").distinct(), "ref_key", "left_semi"))
+    n = found.count()
+    if most is not None and n > most:
+        raise ValueError(f"{n} units match, more than {most}")
+    if n and not dry_run:
+        found.distinct().write.mode("append").parquet(f"{path}/gone")
+    return n
 
 
 def _reach(queries: DataFrame, path: str) -> DataFrame:
@@ -206,7 +230,7 @@ def search_cells(spark: SparkSession, path: str, queries: DataFrame, k: int = 10
     hold a cosine of its k-th or more. ``where`` is a condition on the stored rows;
     only those that meet it are hits.
     """
-    vectors = spark.read.parquet(f"{path}/vectors")
+    vectors = _live(spark, path)
     vectors = vectors if where is None else vectors.where(where)
     reach = cut(_reach(queries, path))
     block = ["dim", "cell", "block"]

@@ -182,6 +182,16 @@ def s06_index_delete(spark, sf_dir):
     return lexindex.search(lexindex.Index(spark, path), queries(spark, sf_dir), 10)[0].select("query_id", "ref_key", "score", "pos")
 
 
+@BOOK.add("s06_vector_delete", "WITH " + _vec(10, "u.label IS DISTINCT FROM 2") + "z AS (SELECT 1) SELECT query_id, ref_key, score, pos::INT AS pos FROM ve")
+def s06_vector_delete(spark, sf_dir):
+    """Nearest vectors after those of one label were deleted from the stored cells."""
+    path = f"{scratch_root(spark)}/store-deleted-{uuid.uuid4().hex}"
+    rows = units(spark, sf_dir)
+    vectors.write_cells(rows, path)
+    vectors.delete_units(spark, path, rows.where("label = 2"), dry_run=False, most=None)
+    return vectors.search_cells(spark, path, query_vectors(spark, sf_dir), 10)[0]
+
+
 @BOOK.add("h02_index_blocks", "WITH " + _POST + f"""
 q AS (SELECT item_id AS query_id, unnest(list_distinct({_TOK.format('text')})) AS term FROM benchmark),
 r AS (SELECT doc_id, source, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 128 AS run FROM documents),

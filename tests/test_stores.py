@@ -252,3 +252,21 @@ def test_view_follows_deletions(spark, asked, tmp_path):
     rows.update({r["ref_key"]: r for r in changed.collect()})
     view, _ = lexindex.refresh_view(view, path, [1], asked, 4)
     close(rows_of(lexindex.view_hits(view, 4)), brute_bm25(rows.values(), asked.collect(), 4))
+
+
+def test_deleted_vectors(spark, tmp_path):
+    """Hits are those among the rest; a store written anew has all again."""
+    units, x = clustered(spark, 1200)
+    path, asked = str(tmp_path), [(i, x[i * 7].tolist()) for i in range(6)]
+    queries = spark.createDataFrame(asked, "query_id long, vector array<double>")
+    vectors.write_cells(units, path, sample=400)
+    gone = spark.createDataFrame([(i,) for i in range(0, 1200, 2)] + [(0,), (None,), (777_777,)], "ref_key long")
+    assert vectors.delete_units(spark, path, gone, most=None) == 600
+    with pytest.raises(ValueError, match="more than 500"):
+        vectors.delete_units(spark, path, gone, dry_run=False)
+    close(rows_of(vectors.search_cells(spark, path, queries, 4)[0]), brute_cosine(x, None, asked, 4))
+    assert vectors.delete_units(spark, path, gone, dry_run=False, most=None) == 600
+    assert vectors.delete_units(spark, path, gone, dry_run=False) == 0
+    close(rows_of(vectors.search_cells(spark, path, queries, 4)[0]), brute_cosine(x, [i % 2 for i in range(1200)], asked, 4, 1))
+    vectors.write_cells(units, path, sample=400)
+    close(rows_of(vectors.search_cells(spark, path, queries, 4)[0]), brute_cosine(x, None, asked, 4))
