@@ -169,7 +169,7 @@ def distinct_matches(text: Column, pattern: str) -> Column:
 
 def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, para_id, para): trimmed lines that aren't empty, p1 to pn."""
-    lines = F.filter(F.transform(F.split(F.col(text_col), "\n+"), F.trim), lambda p: p != "")
+    lines = F.filter(F.transform(F.split(F.col(text_col), "\n+"), lambda p: F.trim(p)), lambda p: p != "")  # F.trim itself would take the index as what to trim
     return docs.select(F.col(id_col), F.posexplode(lines).alias("at", "para")).select(id_col, F.concat(F.lit("p"), F.col("at") + 1).alias("para_id"), "para")
 
 
