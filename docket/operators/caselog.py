@@ -84,7 +84,7 @@ def next_stage(status: Column, table: dict[str, int]) -> Column:
 
 
 def admission(requests: DataFrame, expected: Column, minutes: int = DEAD_MINUTES) -> DataFrame:
-    """Requests (start events with prior action, prior ts, finished before) with allowed and why."""
+    """Requests (start events with prior action, prior ts, finished before) with allowed and why; ages in whole seconds, as in ``dead_runs``."""
     over = ordered("case_id", "stage")
     last, at = F.lag("action").over(over), F.lag("ts").over(over)
     done = F.max(F.when(F.col("action") == "done", 1)).over(over.rowsBetween(W.unboundedPreceding, -1))

@@ -93,7 +93,7 @@ def l07(spark, sf_dir):
 
 @BOOK.add("l08_run_admission", "WITH " + _EV + """
 r AS (SELECT *, lag(action) OVER w AS la_action, lag(ts) OVER w AS la_ts, max(CASE WHEN action = 'done' THEN 1 END) OVER (PARTITION BY case_id, stage ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS done FROM ev WINDOW w AS (PARTITION BY case_id, stage ORDER BY ts, event_id)),
-q AS (SELECT event_id, CASE WHEN la_action = 'start' AND epoch(ts)::BIGINT - epoch(la_ts)::BIGINT <= 1200 THEN 'running' WHEN la_action = 'start' THEN 'dead run' WHEN stage = 1 THEN 'expected' WHEN done = 1 THEN 'finished before' ELSE 'not its turn' END AS reason FROM r WHERE action = 'start')
+q AS (SELECT event_id, CASE WHEN la_action = 'start' AND floor(epoch(ts))::BIGINT - floor(epoch(la_ts))::BIGINT <= 1200 THEN 'running' WHEN la_action = 'start' THEN 'dead run' WHEN stage = 1 THEN 'expected' WHEN done = 1 THEN 'finished before' ELSE 'not its turn' END AS reason FROM r WHERE action = 'start')
 SELECT event_id, reason, reason NOT IN ('running', 'not its turn') AS allowed FROM q""")
 def l08(spark, sf_dir):
     return L.admission(log(spark, sf_dir), F.col("stage") == 1).select("event_id", "reason", "allowed")
