@@ -242,18 +242,19 @@ def similar_links(nodes: DataFrame, similarity: float) -> DataFrame:
 
     Sets of a similarity of 0.8 share one of their KEYS smallest hashes but with a
     probability of about 0.2 to the power of KEYS, so nodes meet in blocks by
-    those. In a block beyond BLOCK nodes, such as that of a line that very many
-    texts share, nodes meet by a second of their smallest hashes as well, which
-    sets that are alike share too. A block that is still large holds texts that
-    are mostly alike; it is dealt into chunks, and every pair of chunks is walked.
+    those. A block beyond BLOCK nodes, such as that of a line that very many texts
+    share, is dealt by size first: sets whose sizes are within the similarity lie in
+    the same or in neighbouring bands. What is still large is dealt into chunks, and
+    every pair of chunks is walked, so that the same pairs meet in blocks of any size.
     """
-    keyed = nodes.select("node", "keys", F.explode("keys").alias("key"))
+    keyed = nodes.select("node", "n", F.explode("keys").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    second = F.when(F.col("size") > BLOCK, F.array_except("keys", F.array("key"))).otherwise(F.array(F.lit(0).cast("long")))
-    paired = cut(keyed.join(sizes, "key").select("node", "key", F.explode(second).alias("key2")))
-    sizes = paired.groupBy("key", "key2").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    band = F.floor(F.log("n") / F.lit(float(-np.log(similarity)) * 1.001)).cast("long")  # a little wide, against rounding
+    bands_in = F.when(F.col("size") > BLOCK, F.array(band, band + 1)).otherwise(F.array(F.lit(-1).cast("long")))
+    dealt = cut(keyed.join(sizes, "key").select("node", "key", F.explode(bands_in).alias("key2")))
+    sizes = dealt.groupBy("key", "key2").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     chunks = F.when(F.col("size") > BLOCK, F.ceil(F.col("size") / (BLOCK // 2)).cast("int")).otherwise(F.lit(1))
-    met = _chunk_pairs(paired.join(sizes.select("key", "key2", chunks.alias("chunks")), ["key", "key2"]))
+    met = _chunk_pairs(dealt.join(sizes.select("key", "key2", chunks.alias("chunks")), ["key", "key2"]))
     met = met.select("node", "key", "key2", "pair").join(nodes.select("node", "wide", "n"), "node")
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
