@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docket.operators.canonical import bounded
+from docket.operators.scoring import best_hits
 from docket.operators.vectors import comparable, cosine_inside, unit
 from docket.session import cut
 
@@ -23,6 +24,7 @@ STRONG_VECTOR, STRONG_NORM, STRONG_LEXICAL = 0.70, 0.999, 15.0
 PER_RANK = 2
 LOWEST_RANK = 4
 AUTO_RANKS = (1, 2, 3)
+TASK_DOCS = 4000
 
 
 def words(text: Column) -> Column:
@@ -58,28 +60,44 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, tokens=words, k1: flo
     value is part of the join, so a posting meets only queries that may have it.
 
     Documents are tokenised once, into one row for each term that some query has
-    and one without a term for the lengths. With the queries' terms broadcast, if
-    they are few, a document's scores are summed where it lies, and only each
-    task's best k a query are shuffled.
+    and one without a term for the lengths. A document's scores are summed where it
+    lies (``scoring.best_hits``), and only each task's best k a query are shuffled.
     """
-    extra = [inside[0]] if inside else []
-    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    asked = asked_terms(queries, tokens)
+    post = asked_postings(docs, asked, tokens, [inside[0]] if inside else [])
+    return ranked(post, asked, k, k1, b, decimals, inside)
+
+
+def asked_terms(queries: DataFrame, tokens=words) -> DataFrame:
+    return queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+
+
+def asked_postings(docs: DataFrame, asked: DataFrame, tokens=words, extra: list[str] | None = None) -> DataFrame:
+    """(ref_key, extra..., term, tf, dl) of the terms in ``asked``, and one row without a term a document, its tf the number of rows."""
+    extra = extra or []
     terms = bounded(asked.select("term").distinct().withColumn("asked", F.lit(True)))
     none = F.array(F.lit(None).cast("string"))
-    long = docs.select("ref_key", *extra, tokens(F.col("text")).alias("t"))
+    # a task counts the words of TASK_DOCS documents, wherever they were stored, and its postings stay there
+    dealt = docs.select("ref_key", *extra, "text").repartition(max(1, -(-docs.count() // TASK_DOCS)), "ref_key")
+    long = dealt.select("ref_key", *extra, tokens(F.col("text")).alias("t"))
     long = long.select("ref_key", *extra, F.size("t").alias("dl"), F.explode(F.coalesce(F.concat(none, "t"), none)).alias("term"))
     long = long.join(terms, "term", "left").where(F.col("asked") | F.col("term").isNull())
-    post = cut(long.groupBy("ref_key", *extra, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl")))
+    return cut(long.groupBy("ref_key", *extra, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl")))
+
+
+def ranked(post: DataFrame, asked: DataFrame, k: int, k1: float = K1, b: float = B, decimals: int = 6, inside: tuple[str, DataFrame] | None = None) -> DataFrame:
+    """The best k of each query over ``asked_postings``; ``inside`` as in bm25, its column one of theirs."""
     n, avgdl = post.where("term is null").agg(F.coalesce(F.sum("tf"), F.lit(0)), F.avg("dl")).first()
-    df = post.where("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    here = post.where("term is not null")
+    df = here.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = asked.join(df, "term").select("query_id", "term", idf.alias("idf"))
-    if inside:
-        weights = weights.join(inside[1].select("query_id", *extra).distinct(), "query_id")
-    scored = post.where("term is not null").repartition("ref_key").join(bounded(weights), ["term", *extra])
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl or 1.0)))
-    hits = scored.groupBy("ref_key", "query_id").agg(F.round(F.sum(part), decimals).alias("score"))
-    return top_k(hits.select("query_id", "ref_key", "score"), k)
+    value = [F.col(inside[0]).alias("value")] if inside else []
+    unit = [*(["value"] if inside else []), "ref_key"]
+    here = here.select("ref_key", "term", "tf", "dl", *value)
+    dealt = here.repartition(*unit[-1:]).sortWithinPartitions(*unit)
+    allowed = inside[1].select("query_id", F.col(inside[0]).alias("value")) if inside else None
+    return top_k(best_hits(dealt, weights, k, float(avgdl or 1.0), k1, b, decimals, unit, allowed), k)
 
 
 def cosine(units: DataFrame, queries: DataFrame, k: int = 10, decimals: int = 6, block_bytes: int = 64 << 20, skip_self: bool = False) -> DataFrame:
@@ -187,11 +205,14 @@ def hybrid(docs: DataFrame, queries: DataFrame, units: DataFrame, vectors: DataF
 def two_pass(docs: DataFrame, queries: DataFrame, units: DataFrame, vectors: DataFrame, inside: tuple[str, DataFrame], k: int = 8, k_inside: int = 5, **options) -> DataFrame:
     """Hybrid hits over the whole corpus, and more inside each query's values, with scope.
 
-    A key of both passes keeps the first one's row. Values filter before scores
-    are summed, so the second pass costs what lies inside them.
+    A key of both passes keeps the first one's row. Documents are tokenised once for
+    both, and values filter before scores are summed, so the second pass costs what
+    lies inside them.
     """
-    first = cut(hybrid(docs, queries, units, vectors, k, **options))
-    second = hybrid(docs, queries, units, vectors, k_inside, inside=inside, **options)
+    asked = asked_terms(queries)
+    post = asked_postings(docs, asked, extra=[inside[0]])
+    first = cut(top_k(fuse(ranked(post, asked, 2 * k), cosine(units, vectors, 2 * k), **options), k))
+    second = top_k(fuse(ranked(post, asked, 2 * k_inside, inside=inside), cosine_inside(units, vectors, inside, 2 * k_inside), **options), k_inside)
     extra = second.join(first.select("query_id", "ref_key"), ["query_id", "ref_key"], "left_anti")
     return first.withColumn("scope", F.lit("corpus")).unionByName(extra.withColumn("scope", F.lit("hinted")))
 
