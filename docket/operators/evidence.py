@@ -180,13 +180,20 @@ def selected_sources(hits: DataFrame, claims: DataFrame, case_col: str, claim_co
     return numbered, claims.join(rows, [case_col, claim_col], "left_anti")
 
 
-def party_match(names: Column, respondent: Column, label: str) -> Column:
-    """no_match if a name equals the respondent without blanks, colons and a leading label, need_human if none, unclear without one."""
+def plain_name(c: Column, label: str) -> Column:
+    """Without blanks, colons and a leading label."""
+    return F.regexp_replace(F.regexp_replace(c, r"[\s:：]+", ""), f"^(?:{label})", "")
 
-    def plain(c: Column) -> Column:
-        return F.regexp_replace(F.regexp_replace(c, r"[\s:：]+", ""), f"^(?:{label})", "")
 
-    return F.when(respondent.isNull() | (F.trim(respondent) == ""), "unclear").when(F.exists(names, lambda n: plain(n) == plain(respondent)), "no_match").otherwise("need_human")
+def party_match(cases: DataFrame, names: DataFrame, on: list[str], respondent: str, label: str) -> DataFrame:
+    """``cases`` with status: no_match if a row of ``names`` (on..., name) has the respondent's plain name, need_human if none, unclear without one.
+
+    Names meet by key and plain name, so a group of any size costs one row a name.
+    """
+    known = names.select(*on, plain_name(F.col("name"), label).alias("_p")).distinct().withColumn("_same", F.lit(True))
+    out = cases.withColumn("_p", plain_name(F.col(respondent), label)).join(known, [*on, "_p"], "left")
+    status = F.when(F.col(respondent).isNull() | (F.trim(respondent) == ""), "unclear").when(F.col("_same"), "no_match").otherwise("need_human")
+    return out.select(*[F.col(c) for c in cases.columns], status.alias("status"))
 
 
 def overlay(results: DataFrame, advice: DataFrame, on: list[str]) -> DataFrame:

@@ -132,9 +132,9 @@ WITH n AS (SELECT c_nationkey, list('Name: ' || replace(c_name, 'Customer', 'Sup
 SELECT s_suppkey, CASE WHEN s_name IS NULL OR trim(s_name) = '' THEN 'unclear' WHEN len(list_filter(names, lambda x: regexp_replace(regexp_replace(x, '[\s:：]+', '', 'g'), '^(?:Name)', '') = regexp_replace(regexp_replace(s_name, '[\s:：]+', '', 'g'), '^(?:Name)', ''))) > 0 THEN 'no_match' ELSE 'need_human' END AS status
 FROM supplier LEFT JOIN n ON s_nationkey = c_nationkey""")
 def j09(spark, sf_dir):
-    names = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("s_nationkey")).agg(F.collect_list(F.concat(F.lit("Name: "), F.replace("c_name", F.lit("Customer"), F.lit("Supplier")))).alias("names"))
-    rows = table(spark, sf_dir, "supplier").join(names, "s_nationkey", "left")
-    return rows.select("s_suppkey", E.party_match(F.coalesce("names", F.array().cast("array<string>")), F.col("s_name"), "Name").alias("status"))
+    names = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("s_nationkey"), F.concat(F.lit("Name: "), F.replace("c_name", F.lit("Customer"), F.lit("Supplier"))).alias("name"))
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", "s_name")
+    return E.party_match(rows, names, ["s_nationkey"], "s_name", "Name").select("s_suppkey", "status")
 
 
 @BOOK.add("j10_highlights", r"""
