@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from docket.operators.canonical import bounded
 from docket.operators.ordering import in_order
 from docket.operators.retrieval import K1, B, top_k, words
+from docket.operators.scoring import best_hits
 from docket.session import cut
 
 RUN_DOCS = 128
@@ -239,15 +240,24 @@ def bounds(index: Index, weights: DataFrame, only: Callable[[DataFrame], DataFra
     return met.groupBy("query_id", "segment", "value", "run").agg(F.count(F.lit(1)).alias("blocks"), F.sum(F.col("idf") * F.col("top")).alias("bound"))
 
 
-def _scored(index: Index, weights: DataFrame, only: Callable[[DataFrame], DataFrame], runs: DataFrame, decimals: int) -> DataFrame:
-    """(query_id, ref_key, segment, score, dl, found) of the documents in ``runs`` (query_id, segment, value, run) with a term of the query."""
+def _scored(index: Index, weights: DataFrame, only: Callable[[DataFrame], DataFrame], runs: DataFrame, k: int, decimals: int, inside: DataFrame | None = None) -> DataFrame:
+    """(query_id, ref_key, segment, score, dl, found): the best k of each query at least of all documents in ``runs`` (query_id, segment, value, run).
+
+    Blocks that hold a query's term are dealt by run and opened once for all
+    queries, so that no posting is shuffled once a query. A run that one query
+    wants is scored for the others too, which are no less exact for that.
+    """
     place = ["segment", "value", "run"]
-    wanted = weights.join(runs.select("query_id", *[F.col(c).alias(f"r_{c}") for c in place]), "query_id")
-    blocks = only(index.blocks().select("term", *place, "docs"))
-    same = (blocks["term"] == wanted["term"]) & (F.col("segment") == F.col("r_segment")) & F.col("value").eqNullSafe(F.col("r_value")) & (F.col("run") == F.col("r_run"))
-    post = wanted.join(blocks, same).select("query_id", wanted["term"], "idf", "segment", F.explode("docs").alias("d")).select("query_id", "term", "idf", "segment", "d.*")
-    each = F.col("idf") * part(F.col("tf"), F.col("dl"), F.lit(index.avgdl))
-    return index.live(post).groupBy("query_id", "ref_key", "segment").agg(F.round(F.sum(each), decimals).alias("score"), F.max("dl").alias("dl"), F.collect_list(F.struct("term", "tf")).alias("found"))
+    wanted = runs.select(*[F.col(c).alias(f"r_{c}") for c in place]).distinct()
+    known = weights.select(F.col("term").alias("r_term")).distinct()
+    same = (F.col("segment") == F.col("r_segment")) & F.col("value").eqNullSafe(F.col("r_value")) & (F.col("run") == F.col("r_run"))
+    blocks = only(index.blocks().select("term", *place, "docs")).join(known, F.col("term") == F.col("r_term"), "left_semi").join(wanted, same, "left_semi")
+    opened = lambda rows: rows.select("term", *place, F.explode("docs").alias("d")).select("term", *place, "d.*")
+    dealt = lambda rows: rows.repartition(*place).sortWithinPartitions(*place)
+    post = dealt(index.live(opened(blocks))) if index.deletions else opened(dealt(blocks))
+    allowed = None if inside is None else inside.select("query_id", F.col("value").cast("string").alias("value"))
+    hits = best_hits(post, weights.select("query_id", "term", "idf"), k, index.avgdl, K1, B, decimals, place, allowed, True)
+    return hits.select("query_id", "ref_key", "segment", "score", "dl", "found")
 
 
 def search(index: Index, queries: DataFrame, k: int = 10, inside: DataFrame | None = None, decimals: int = 6, tokens=words) -> tuple[DataFrame, DataFrame]:
@@ -269,11 +279,12 @@ def search(index: Index, queries: DataFrame, k: int = 10, inside: DataFrame | No
     place = ["query_id", "segment", "value", "run"]
     order = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("bound"), "segment", F.col("value").asc_nulls_first(), "run"))
     begun = cut(reach.withColumn("_n", order).where(F.col("_n") <= FIRST_RUNS).drop("_n"))
-    first = cut(top_k(_scored(index, weights, only, begun, decimals), k))
+    first = cut(top_k(_scored(index, weights, only, begun, k, decimals, inside), k))
     least = first.where(F.col("pos") == k).select("query_id", F.col("score").alias("least"))
     rest = reach.join(begun.select(*[F.col(c).alias(f"b_{c}") for c in place]), (F.col("query_id") == F.col("b_query_id")) & (F.col("segment") == F.col("b_segment")) & F.col("value").eqNullSafe(F.col("b_value")) & (F.col("run") == F.col("b_run")), "left_anti")
     rest = cut(rest.join(least, "query_id", "left").where(F.col("least").isNull() | (F.col("bound") + SLACK >= F.col("least"))))
-    hits = top_k(first.drop("pos").unionByName(_scored(index, weights, only, rest, decimals)), k)
+    both = first.drop("pos").unionByName(_scored(index, weights, only, rest, k, decimals, inside))
+    hits = top_k(both.dropDuplicates(["query_id", "segment", "ref_key"]), k)  # a run may be of both passes
     read = begun.select("query_id", "blocks").unionByName(rest.select("query_id", "blocks")).groupBy("query_id").agg(F.sum("blocks").alias("read"))
     report = reach.groupBy("query_id").agg(F.sum("blocks").alias("blocks")).join(read, "query_id")
     return hits, report
