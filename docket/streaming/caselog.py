@@ -8,18 +8,15 @@ of files can be held against the batch form.
 from __future__ import annotations
 
 import uuid
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from docket.operators.caselog import DEAD_MINUTES
-from docket.session import scratch_root, ship_package
+from docket.session import scratch_root
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -114,77 +111,32 @@ def accepted_starts(starts: DataFrame, minutes: int = DEAD_MINUTES, late: str =
     return told.select("case_id", "stage", "event_id", F.timestamp_micros("us").alias("ts"), "accepted")
 
 
-class DeadRuns(StatefulProcessor):
-    """Starts wait for a finish in event time; see ``dead_runs``.
-
-    State of a case's stage: starts without a finish whose limit hasn't passed, and
-    finishes at or after the watermark, which a start yet to come may precede.
-    """
-
-    def __init__(self, minutes: int) -> None:
-        self.limit = minutes * 60
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.starts = handle.getListState("starts", "us long, event_id long")
-        self.finishes = handle.getListState("finishes", "us long, event_id long")
-
-    def _deadline(self, us: int) -> int:
-        """The first millisecond at which a finish is too late, by whole seconds."""
-        return (us // 1_000_000 + self.limit + 1) * 1000
-
-    def _settle(self, key: tuple, starts: list, finishes: list, watermark: int) -> pd.DataFrame:
-        finishes = sorted(finishes)
-        open_now, dead = [], []
-        for start in starts:
-            at = bisect_right(finishes, start)
-            if at < len(finishes) and finishes[at][0] // 1_000_000 - start[0] // 1_000_000 <= self.limit:
-                continue
-            (dead if self._deadline(start[0]) <= watermark else open_now).append(start)
-        self.starts.put(open_now) if open_now else self.starts.clear()
-        kept = [f for f in finishes if f[0] // 1000 >= watermark]
-        self.finishes.put(kept) if kept else self.finishes.clear()
-        return pd.DataFrame({"case_id": key[0], "stage": key[1], "event_id": pd.Series([i for _, i in dead], dtype="int64"), "us": pd.Series([t for t, _ in dead], dtype="int64")})
-
-    def _held(self, state) -> list:
-        return [(int(t), int(i)) for t, i in state.get()] if state.exists() else []
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        starts, finishes = self._held(self.starts), self._held(self.finishes)
-        watermark = timerValues.getCurrentWatermarkInMs()
-        for batch in rows:
-            for us, event_id, action in zip(batch["us"].tolist(), batch["event_id"].tolist(), batch["action"], strict=True):
-                if action == "start":
-                    starts.append((us, event_id))
-                    self.handle.registerTimer(max(self._deadline(us), watermark + 1))
-                else:
-                    finishes.append((us, event_id))
-                    self.handle.registerTimer(max(us // 1000 + 1, watermark + 1))
-        yield self._settle(key, starts, finishes, watermark)
-
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._settle(key, self._held(self.starts), self._held(self.finishes), timerValues.getCurrentWatermarkInMs())
-
-    def close(self) -> None:
-        pass
-
-
 def dead_runs(events: DataFrame, minutes: int = DEAD_MINUTES, late: str = "1 minute") -> DataFrame:
     """(case_id, stage, event_id, started, dead_at): each start without a finish within ``minutes`` in event time.
 
     A finish is a done or failed event of the same case's stage after the start; it
-    ends all runs before it, as in the batch form, whatever the order of arrival. A
-    run is judged when the watermark has passed its limit. Rows that come later than
-    ``late`` are dropped. State lies in RocksDB and is cleared by event-time timers.
+    ends all runs before it, as in the batch form, whatever the order of arrival. It
+    is an outer join of starts and finishes by whole seconds: a start without one is
+    given when the watermark has passed its limit, and state ends with that limit.
+    Rows that come later than ``late`` are dropped.
     """
     spark = events.sparkSession
-    ship_package(spark)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    limit = F.expr(f"INTERVAL {minutes * 60} SECONDS")
     kept = events.where(F.col("action").isin("start", "done", "failed"))
-    marked = kept.withWatermark("ts", late).withColumn("us", F.unix_micros("ts"))  # numbers, so that no time zone comes in
-    told = marked.groupBy("case_id", "stage").transformWithStateInPandas(DeadRuns(minutes), "case_id long, stage int, event_id long, us long", "Append", "EventTime")
-    started = F.timestamp_micros("us")
-    return told.select("case_id", "stage", "event_id", started.alias("started"), (started + F.expr(f"INTERVAL {minutes} MINUTES")).alias("dead_at"))
+    marked = kept.withColumns({"us": F.unix_micros("ts"), "at": F.timestamp_seconds(F.unix_seconds("ts"))}).withWatermark("at", late)
+
+    def side(name: str, which: Column) -> DataFrame:
+        # the filter names the time, so that it stays above the watermark, which starts and finishes share
+        rows = marked.where(F.when(which, F.col("at")).isNotNull())
+        return rows.select(*[F.col(c).alias(f"{name}_{c}") for c in ("case_id", "stage", "event_id", "us", "at")])
+
+    same = (F.col("s_case_id") == F.col("f_case_id")) & (F.col("s_stage") == F.col("f_stage"))
+    within = (F.col("f_at") >= F.col("s_at")) & (F.col("f_at") <= F.col("s_at") + limit)
+    after = (F.col("f_us") > F.col("s_us")) | ((F.col("f_us") == F.col("s_us")) & (F.col("f_event_id") > F.col("s_event_id")))
+    told = side("s", F.col("action") == "start").join(side("f", F.col("action") != "start"), same & within & after, "left").where(F.col("f_event_id").isNull())
+    started = F.timestamp_micros("s_us")
+    return told.select(*[F.col(f"s_{c}").alias(c) for c in ("case_id", "stage", "event_id")], started.alias("started"), (started + F.expr(f"INTERVAL {minutes} MINUTES")).alias("dead_at"))
 
 
 def once(events: DataFrame, late: str, key: str = "event_id") -> DataFrame:
