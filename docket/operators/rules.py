@@ -171,6 +171,15 @@ def run_rules(cases: DataFrame, rules: list[Rule], case_col: str, confidence: di
     names for a field the column with its confidence: a result is no surer than
     the least sure field it read.
     """
+    outcomes, fixed = _outcomes(cases, rules, case_col, confidence)
+    # the outcomes are a projection of their own: generated code, as a generator's argument they would be interpreted
+    outcomes = outcomes.select(case_col, F.explode("_told").alias("_r")).select(case_col, "_r.*")
+    names = cases.sparkSession.createDataFrame(fixed, "_n int, code string, label string, basis string, check string, curable boolean, coverage_note string")
+    return outcomes.join(F.broadcast(names), "_n").select(case_col, "code", "label", "basis", "check", "status", "note", "value", "computed", "curable", "coverage_note", "input_confidence")
+
+
+def _outcomes(cases: DataFrame, rules: list[Rule], case_col: str, confidence: dict[str, str] | None = None, keep: list[str] | None = None) -> tuple[DataFrame, list[tuple]]:
+    """(case, keep..., _told), all outcomes of a row of ``cases`` in one array, and what is fixed of each rule."""
     told, fixed = [], []
     for r in rules:
         if not r.enabled:
@@ -182,10 +191,7 @@ def run_rules(cases: DataFrame, rules: list[Rule], case_col: str, confidence: di
         fixed.append((len(fixed), r.code, r.label, r.basis, r.check, r.curable, r.coverage_note))
     if not told:
         told = [F.struct(F.lit(-1).alias("_n"), *[F.lit(None).cast("string").alias(k) for k in ("status", "note", "value", "computed", "input_confidence")])]
-    # the outcomes are a projection of their own: generated code, as a generator's argument they would be interpreted
-    outcomes = cases.select(case_col, F.array(*told).alias("_told")).select(case_col, F.explode("_told").alias("_r")).select(case_col, "_r.*")
-    names = cases.sparkSession.createDataFrame(fixed, "_n int, code string, label string, basis string, check string, curable boolean, coverage_note string")
-    return outcomes.join(F.broadcast(names), "_n").select(case_col, "code", "label", "basis", "check", "status", "note", "value", "computed", "curable", "coverage_note", "input_confidence")
+    return cases.select(case_col, *(keep or []), F.array(*told).alias("_told")), fixed
 
 
 def items_present(items: DataFrame, need: DataFrame, case_col: str, kind_col: str, label_col: str, cases: DataFrame, optional: bool = False) -> DataFrame:
@@ -247,9 +253,36 @@ def summarize(results: DataFrame, case_col: str) -> DataFrame:
         F.count_if(low).alias("weak"),
         F.array_sort(F.collect_list(F.when(hit | ((g == "format") & F.col("status").isin("missing", "partial")), F.col("code")))).alias("items"),
     )
+    return _verdicts(out, case_col)
+
+
+def _verdicts(counts: DataFrame, case_col: str) -> DataFrame:
     verdict = F.when(F.col("triggered") > 0, "blocked").when(F.col("gaps") > 0, "warning").when(F.col("to_decide") > 0, "need_human").otherwise("ok")
     suggestion = F.when(F.col("triggered") > 0, "inadmissible").when(F.col("gaps") > 0, "amend").otherwise("substantive")
-    return out.select(case_col, verdict.alias("verdict"), suggestion.alias("suggestion"), "triggered", "gaps", "to_decide", "items", (F.col("weak") > 0).alias("low_confidence"))
+    return counts.select(case_col, verdict.alias("verdict"), suggestion.alias("suggestion"), "triggered", "gaps", "to_decide", "items", (F.col("weak") > 0).alias("low_confidence"))
+
+
+def case_verdicts(cases: DataFrame, rules: list[Rule], case_col: str, sure: str) -> DataFrame:
+    """``summarize`` of all rules on ``cases``, whose column ``sure`` is the confidence of all its results.
+
+    A row's outcomes are counted where they are made, so one short row a row of
+    ``cases`` is grouped and none a rule.
+    """
+    rows, fixed = _outcomes(cases, rules, case_col, keep=[sure])
+    codes = [(n, code) for n, code, *_ in fixed]
+
+    def those(group: str, *statuses: str) -> Column:
+        """The codes of a group whose outcome is one of ``statuses``."""
+        # no function of a lambda: that would interpret the rules instead of generating code
+        none = F.array().cast("array<string>")
+        own = [F.when(F.col("_told")[n]["status"].isin(*statuses), F.array(F.lit(code))).otherwise(none) for n, code in codes if code[:1] == {"format": "F", "procedure": "P"}[group]]
+        return F.concat(none, *own)
+
+    counts = rows.select(case_col, sure, those("procedure", "triggered").alias("_hit"), those("format", "missing", "partial").alias("_gap"), F.size(those("procedure", "need_human")).alias("_ask"))
+    hits = F.size("_hit")
+    counts = counts.select(case_col, hits.alias("triggered"), F.size("_gap").alias("gaps"), F.col("_ask").alias("to_decide"), F.when(F.col(sure) == "low", hits).otherwise(0).alias("weak"), F.concat("_hit", "_gap").alias("items"))
+    sums = [F.sum(c).alias(c) for c in ("triggered", "gaps", "to_decide", "weak")]
+    return _verdicts(counts.groupBy(case_col).agg(*sums, F.sort_array(F.flatten(F.collect_list("items"))).alias("items")), case_col)
 
 
 def effect(code: Column, status: Column) -> Column:
@@ -307,6 +340,27 @@ def confirmations(fields: DataFrame, results: DataFrame, rules: list[Rule], case
     return own.union(failed).distinct().join(fields.select(case_col, "key").distinct(), [case_col, "key"], "left_semi")
 
 
+def case_confirmations(cases: DataFrame, rules: list[Rule], case_col: str, fields: dict[str, tuple[Column, Column]], always: list[str], if_empty: list[str]) -> DataFrame:
+    """``confirmations`` where a case's fields lie in its row: for each key its columns of value and confidence.
+
+    The keys are told within the row, so neither fields nor results are joined.
+    """
+    mine = [F.struct(v.cast("string").alias("v"), c.alias("c")).alias(f"_f{i}") for i, (v, c) in enumerate(fields.values())]
+    rows, fixed = _outcomes(cases.select("*", *mine), rules, case_col, keep=[f"_f{i}" for i in range(len(mine))])
+    used = {(r.code, f.split(".")[0]) for r in rules for f in r.fields}
+    keys = []
+    for i, key in enumerate(fields):
+        behind = [n for n, code, *_ in fixed if (code, key) in used]
+        ask = F.coalesce(F.col(f"_f{i}.c") == "low", F.lit(False)) | F.lit(key in always)
+        if key in if_empty:
+            ask = ask | ~_filled(F.col(f"_f{i}.v"))
+        for n in behind:
+            ask = ask | ~F.coalesce(F.col("_told")[n]["status"].isin("present", "no_match", "not_applicable"), F.lit(True))
+        keys.append(F.when(ask, F.lit(key)))
+    found = rows.where(F.col(case_col).isNotNull()).select(case_col, F.array(*keys).alias("_keys"))
+    return found.select(case_col, F.explode("_keys").alias("key")).where("key is not null").distinct()
+
+
 def appeal_period(served: Column, filed: Column, days: int = 30) -> Column:
     """The whole computation: from the day after service; not computable without both dates or filed before service."""
     s, f = served.try_cast("date"), filed.try_cast("date")

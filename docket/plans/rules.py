@@ -38,7 +38,8 @@ def cases(spark, sf_dir):
     """A case is an order with its customer and lines."""
     lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list("l_linestatus").alias("lines"), F.min("l_shipdate").alias("filed"))
     customer = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name", "c_mktsegment", "c_acctbal")
-    rows = table(spark, sf_dir, "orders").join(lines, "o_orderkey", "left").join(customer, "o_custkey", "left")
+    # lines last: the cases stay dealt by their key, and grouping by it needs no shuffle
+    rows = table(spark, sf_dir, "orders").join(customer, "o_custkey", "left").join(lines, "o_orderkey", "left")
     kind = F.when(F.col("c_mktsegment") == "BUILDING", "organisation").otherwise("natural")
     person = F.struct(kind.alias("kind"), F.col("c_name").alias("name"), F.when(F.col("o_custkey") % 5 != 0, F.date_sub(F.col("o_orderdate").cast("date"), F.col("o_custkey").cast("int") * 20)).alias("birth"), F.when(F.col("o_custkey") % 2 == 0, F.lit("agent")).alias("rep_name"))
     return rows.select("o_orderkey", "o_orderstatus", "o_orderpriority", "c_mktsegment", F.when(F.col("c_acctbal") < 0, F.lit(" ")).when(F.col("c_acctbal") > 5000, "noted").alias("note"), "lines", F.col("o_orderdate").alias("served"), "filed", F.when(F.col("c_acctbal") > 0, F.col("c_acctbal") > 7000).alias("rich"), F.array(person).alias("parties"), _confidence().alias("priority_sure"), F.when(F.col("o_orderkey") % 2 == 0, "medium").alias("filed_sure"))
@@ -134,11 +135,6 @@ def d14(spark, sf_dir):
     return results(spark, sf_dir).groupBy(R.rule_group(F.col("code")).alias("grp"), "status").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _with_confidence(spark, sf_dir):
-    c = table(spark, sf_dir, "orders").select("o_orderkey", _confidence().alias("input_confidence"))
-    return results(spark, sf_dir).drop("input_confidence").join(c, "o_orderkey")
-
-
 _SUM = "WITH " + _CASES + f"""
 rg AS (SELECT rr.*, {_GROUP} AS g, {_CONF} AS conf FROM rr JOIN orders USING (o_orderkey)),
 sm AS (SELECT o_orderkey, count(*) FILTER (WHERE g = 'procedure' AND status = 'triggered') AS triggered, count(*) FILTER (WHERE g = 'format' AND status IN ('missing', 'partial')) AS gaps,
@@ -149,7 +145,8 @@ sm AS (SELECT o_orderkey, count(*) FILTER (WHERE g = 'procedure' AND status = 't
 
 @BOOK.add("d15_case_verdict", _SUM + "z AS (SELECT 1) SELECT o_orderkey, CASE WHEN triggered > 0 THEN 'blocked' WHEN gaps > 0 THEN 'warning' WHEN to_decide > 0 THEN 'need_human' ELSE 'ok' END AS verdict, CASE WHEN triggered > 0 THEN 'inadmissible' WHEN gaps > 0 THEN 'amend' ELSE 'substantive' END AS suggestion, triggered, gaps, to_decide, items, low_confidence FROM sm")
 def d15(spark, sf_dir):
-    return R.summarize(_with_confidence(spark, sf_dir), "o_orderkey")
+    c = table(spark, sf_dir, "orders").select("o_orderkey", _confidence().alias("sure"))
+    return R.case_verdicts(cases(spark, sf_dir).join(c, "o_orderkey"), RULES, "o_orderkey", "sure")
 
 
 _EFFECT = f"CASE WHEN status IN ('present', 'no_match', 'not_applicable') THEN 'pass' WHEN {_GROUP} = 'format' AND status IN ('missing', 'partial') THEN 'amend' WHEN {_GROUP} = 'procedure' AND status = 'triggered' THEN 'inadmissible' ELSE 'unknown' END"
@@ -173,11 +170,12 @@ us(code, key) AS (VALUES ('F01', 'o_orderpriority'), ('F02', 'note'), ('F04', 'o
 al AS (SELECT o_orderkey, key FROM fi WHERE confidence = 'low' OR (key = 'note' AND NOT coalesce(trim(value) <> '', false)) UNION SELECT o_orderkey, key FROM rr JOIN us USING (code) WHERE status NOT IN ('present', 'no_match', 'not_applicable'))
 SELECT o_orderkey, key FROM al""")
 def d18(spark, sf_dir):
-    rows = cases(spark, sf_dir)
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.lit("o_orderpriority").alias("key"), F.col("o_orderpriority").alias("value"), _confidence().alias("confidence"))
-    more = rows.select("o_orderkey", F.lit("note").alias("key"), F.col("note").alias("value"), F.lit("high").alias("confidence"))
-    served = rows.select("o_orderkey", F.lit("served").alias("key"), F.col("served").cast("string").alias("value"), F.when(F.col("o_orderkey") % 9 == 0, "low").otherwise("high").alias("confidence"))
-    return R.confirmations(orders.union(more).union(served), results(spark, sf_dir), [r for r in RULES if r.enabled], "o_orderkey", [], ["note"])
+    fields = {
+        "o_orderpriority": (F.col("o_orderpriority"), _confidence()),
+        "note": (F.col("note"), F.lit("high")),
+        "served": (F.col("served"), F.when(F.col("o_orderkey") % 9 == 0, "low").otherwise("high")),
+    }
+    return R.case_confirmations(cases(spark, sf_dir), [r for r in RULES if r.enabled], "o_orderkey", fields, [], ["note"])
 
 
 @BOOK.add("d19_grounds", "WITH " + _CASES + """
