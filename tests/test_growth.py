@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from docket.llm import bm25
 from docket.operators import rules as R
 from docket.operators.rules import Rule
 from docket.streaming import caselog as stream
@@ -49,3 +50,13 @@ def test_confirmations_are_told_within_a_row(spark):
     got = R.case_confirmations(cases, rules, "case", fields, [], ["b"])
     assert sorted(map(str, got.collect())) == sorted(map(str, wanted.collect()))
     assert "Join" not in plan(got)
+
+
+def test_bm25_asks_queries_in_blocks(spark, monkeypatch):
+    """Documents and the queries of every shard were shuffled and met in a sort."""
+    docs = spark.createDataFrame([(i, f"w{i % 3} w{i % 5} w{i}") for i in range(40)], "doc_id long, text string")
+    asked = docs.where("doc_id % 4 = 0").withColumnRenamed("doc_id", "query_id")
+    rows = lambda: sorted(map(str, bm25.search(docs, asked, k=3, shard_words=20).collect()))
+    whole = rows()
+    monkeypatch.setattr(bm25, "BLOCK_WEIGHTS", 7)
+    assert rows() == whole and len(whole) == 30
