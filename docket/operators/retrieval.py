@@ -59,9 +59,9 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, tokens=words, k1: flo
     query only documents with one of its values; statistics cover all documents. The
     value is part of the join, so a posting meets only queries that may have it.
 
-    Documents are tokenised once, into one row for each term that some query has
-    and one without a term for the lengths. A document's scores are summed where it
-    lies (``scoring.best_hits``), and only each task's best k a query are shuffled.
+    Documents are tokenised once, into one row a document with its terms that some
+    query has. Scores are summed where that row lies (``scoring.best_hits``): no posting
+    is shuffled or sorted, and only each task's best k a query leave it.
     """
     asked = asked_terms(queries, tokens)
     post = asked_postings(docs, asked, tokens, [inside[0]] if inside else [])
@@ -73,7 +73,7 @@ def asked_terms(queries: DataFrame, tokens=words) -> DataFrame:
 
 
 def asked_postings(docs: DataFrame, asked: DataFrame, tokens=words, extra: list[str] | None = None) -> DataFrame:
-    """(ref_key, extra..., term, tf, dl) of the terms in ``asked``, and one row without a term a document, its tf the number of rows."""
+    """(ref_key, extra..., n, dl, found): one row a document, n its rows in ``docs`` and found its terms in ``asked`` with their tf."""
     extra = extra or []
     terms = bounded(asked.select("term").distinct().withColumn("asked", F.lit(True)))
     none = F.array(F.lit(None).cast("string"))
@@ -82,22 +82,25 @@ def asked_postings(docs: DataFrame, asked: DataFrame, tokens=words, extra: list[
     long = dealt.select("ref_key", *extra, tokens(F.col("text")).alias("t"))
     long = long.select("ref_key", *extra, F.size("t").alias("dl"), F.explode(F.coalesce(F.concat(none, "t"), none)).alias("term"))
     long = long.join(terms, "term", "left").where(F.col("asked") | F.col("term").isNull())
-    return cut(long.groupBy("ref_key", *extra, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl")))
+    counted = long.groupBy("ref_key", *extra, "term").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.first("dl").alias("dl"))
+    term = F.when(F.col("term").isNotNull(), F.struct("term", "tf"))
+    n = F.max(F.when(F.col("term").isNull(), F.col("tf")))
+    rows = counted.groupBy("ref_key", *extra).agg(n.alias("n"), F.first("dl").alias("dl"), F.collect_list(term).alias("found"))
+    return cut(rows.sortWithinPartitions(*extra) if extra else rows)
 
 
 def ranked(post: DataFrame, asked: DataFrame, k: int, k1: float = K1, b: float = B, decimals: int = 6, inside: tuple[str, DataFrame] | None = None) -> DataFrame:
     """The best k of each query over ``asked_postings``; ``inside`` as in bm25, its column one of theirs."""
-    n, avgdl = post.where("term is null").agg(F.coalesce(F.sum("tf"), F.lit(0)), F.avg("dl")).first()
-    here = post.where("term is not null")
+    n, avgdl = post.agg(F.coalesce(F.sum("n"), F.lit(0)), F.avg("dl")).first()
+    value = [F.col(inside[0]).alias("value")] if inside else []
+    # a document's row opens where it lies
+    here = post.select("ref_key", "dl", *value, F.explode("found").alias("t")).select("ref_key", "t.term", "t.tf", "dl", *(["value"] if inside else []))
     df = here.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = asked.join(df, "term").select("query_id", "term", idf.alias("idf"))
-    value = [F.col(inside[0]).alias("value")] if inside else []
     unit = [*(["value"] if inside else []), "ref_key"]
-    here = here.select("ref_key", "term", "tf", "dl", *value)
-    dealt = here.repartition(*unit[-1:]).sortWithinPartitions(*unit)
     allowed = inside[1].select("query_id", F.col(inside[0]).alias("value")) if inside else None
-    return top_k(best_hits(dealt, weights, k, float(avgdl or 1.0), k1, b, decimals, unit, allowed), k)
+    return top_k(best_hits(here, weights, k, float(avgdl or 1.0), k1, b, decimals, unit, allowed), k)
 
 
 def cosine(units: DataFrame, queries: DataFrame, k: int = 10, decimals: int = 6, block_bytes: int = 64 << 20, skip_self: bool = False) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docket.llm import bm25
+from docket.operators import retrieval, scoring
 from docket.operators import rules as R
 from docket.operators.rules import Rule
 from docket.streaming import caselog as stream
@@ -60,3 +61,18 @@ def test_bm25_asks_queries_in_blocks(spark, monkeypatch):
     whole = rows()
     monkeypatch.setattr(bm25, "BLOCK_WEIGHTS", 7)
     assert rows() == whole and len(whole) == 30
+
+
+def test_bm25_scores_a_document_where_its_row_lies(spark, monkeypatch):
+    """All postings were dealt over the session's partitions and sorted there, so a task's memory grew with the table."""
+    docs = spark.createDataFrame([(i, f"v{i % 2}", f"w{i % 3} w{i % 5} w{i}" if i % 11 else None) for i in range(60)], "ref_key long, law string, text string")
+    asked = spark.createDataFrame([(i, f"w{i} w{i + 1}") for i in range(4)], "query_id long, text string")
+    allowed = asked.selectExpr("query_id", "concat('v', query_id % 2) AS law")
+    seen = []
+    scored = scoring.best_hits
+    monkeypatch.setattr(retrieval, "best_hits", lambda post, *rest: seen.append(plan(post)) or scored(post, *rest))
+    rows = lambda inside: sorted(map(str, retrieval.bm25(docs, asked, 3, inside=inside).collect()))
+    first = [rows(None), rows(("law", allowed))]
+    assert not any(step in p for p in seen for step in ("Exchange", "Sort"))
+    monkeypatch.setattr(retrieval, "TASK_DOCS", 7)
+    assert [rows(None), rows(("law", allowed))] == first and len(first[0]) == 12
