@@ -31,11 +31,13 @@ from pyspark.sql import functions as F
 
 from docket.operators.canonical import bounded
 from docket.operators.ordering import in_order
-from docket.operators.retrieval import K1, B, top_k, words
+from docket.operators.retrieval import K1, TASK_DOCS, B, top_k, words
 from docket.operators.scoring import best_hits
 from docket.session import cut
 
 RUN_DOCS = 128
+#: Runs and postings of a task where they are dealt, so that tasks grow in number and not in size.
+TASK_RUNS, TASK_POSTINGS = 32, 2_000_000
 #: Runs that a query scores first.
 FIRST_RUNS = 8
 #: Terms up to this many go into the scan's filter as a list; more are joined only.
@@ -64,34 +66,49 @@ def write_segment(docs: DataFrame, path: str, segment: int, by: str | None = Non
     is replaced. Keys must be unique over all segments.
     """
     value = F.col(f"`{by}`").cast("string") if by else F.lit(None).cast("string")
-    rows = docs.select("ref_key", value.alias("value"), F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")).alias("t"))
-    placed = in_order(rows.select("ref_key", "value", "t"), F.col("value").asc_nulls_first(), "ref_key", pos="place")
-    first = placed.groupBy(F.col("value").alias("of")).agg(F.min("place").alias("first"))
+    rows = docs.select("ref_key", value.alias("value"), "text")
+    placed = in_order(rows, F.col("value").asc_nulls_first(), "ref_key", pos="place", parts=_parts(docs.count(), TASK_DOCS))
+    first = placed.groupBy(F.col("value").alias("of")).agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("many"))
+    first = cut(first)  # one row a value
+    runs = first.agg(F.coalesce(F.sum(F.ceil(F.col("many") / RUN_DOCS)), F.lit(0))).first()[0]
     run = F.floor((F.col("place") - F.col("first")) / RUN_DOCS)
-    placed = placed.join(first, F.col("value").eqNullSafe(F.col("of"))).select("ref_key", "value", run.alias("run"), F.size("t").alias("dl"), "t")
-    post = placed.select("ref_key", "value", "run", "dl", F.explode("t").alias("term")).groupBy("term", "value", "run", "ref_key", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-    _write(placed.drop("t"), post, path, segment)
+    placed = placed.join(first, F.col("value").eqNullSafe(F.col("of"))).select("ref_key", "value", run.alias("run"), "text")
+    # texts are dealt by run and tokenised there, so that blocks form where the run lies; a row without a term a document
+    dealt = placed.repartition(_parts(runs, TASK_RUNS), "value", "run").select("ref_key", "value", "run", F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")).alias("t"))
+    none = F.array(F.lit(None).cast("string"))
+    post = dealt.select("ref_key", "value", "run", F.size("t").alias("dl"), F.explode(F.concat(none, "t")).alias("term"))
+    blocks = cut(_blocks(post.groupBy("term", "value", "run", "ref_key", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf"))), "zstd")
+    opened = F.explode(F.arrays_zip("keys", "lengths")).alias("d")
+    documents = blocks.where("term is null").select("value", "run", opened).select(F.col("d.keys").alias("ref_key"), "value", "run", F.col("d.lengths").alias("dl"))
+    _write(cut(documents), blocks.where("term is not null"), path, segment)
 
 
-def _write(documents: DataFrame, post: DataFrame, path: str, segment: int) -> None:
-    """Writes documents (ref_key, value, run, dl) and their postings (with term and tf) as one segment; both may be read from it."""
-    documents = cut(documents)
+def _parts(many: int, each: int) -> int:
+    return max(1, -(-many // each))
+
+
+def _blocks(post: DataFrame) -> DataFrame:
+    """(term, value, run, n, keys, tfs, lengths) of postings (term, value, run, ref_key, tf, dl); a run has RUN_DOCS documents, which bounds the lists."""
+    lists = post.groupBy("term", "value", "run").agg(F.sort_array(F.collect_list(F.struct("ref_key", "tf", "dl"))).alias("d"))
+    return lists.select("term", "value", "run", F.size("d").alias("n"), F.col("d.ref_key").alias("keys"), F.col("d.tf").alias("tfs"), F.col("d.dl").alias("lengths"))
+
+
+def _write(documents: DataFrame, blocks: DataFrame, path: str, segment: int) -> None:
+    """Writes documents (ref_key, value, run, dl) and their ``_blocks`` as one segment; neither is read from it."""
+    spark = documents.sparkSession
     total = documents.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total")).first()
     avgdl = (total["total"] / total["docs"] if total["docs"] else 0.0) or 1.0
-    # a run has RUN_DOCS documents, which bounds the lists
-    blocks = post.groupBy("term", "value", "run").agg(
-        F.sort_array(F.collect_list(F.struct("ref_key", "tf", "dl"))).alias("docs"),
-        F.count(F.lit(1)).cast("int").alias("n"),
-        F.max(part(F.col("tf"), F.col("dl"), F.lit(avgdl))).alias("top"),
-    )
-    blocks = cut(blocks.repartitionByRange("term", "run").sortWithinPartitions("term", "value", "run"))
+    postings = blocks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    dealt = blocks.repartitionByRange(_parts(postings, TASK_POSTINGS), "term", "run").sortWithinPartitions("term", "value", "run")
+    docs = F.arrays_zip(F.col("keys").alias("ref_key"), F.col("tfs").alias("tf"), F.col("lengths").alias("dl"))
+    top = F.array_max(F.transform(docs, lambda d: part(d["tf"], d["dl"], F.lit(avgdl))))
     place = f"segment={segment}"
-    blocks.write.mode("overwrite").option("parquet.block.size", ROW_GROUP).parquet(f"{path}/blocks/{place}")
-    df = blocks.groupBy("term").agg(F.sum("n").cast("long").alias("df"))
+    dealt.select("term", "value", "run", docs.alias("docs"), "n", top.alias("top")).write.mode("overwrite").option("parquet.block.size", ROW_GROUP).parquet(f"{path}/blocks/{place}")
+    df = spark.read.parquet(f"{path}/blocks/{place}").groupBy("term").agg(F.sum("n").cast("long").alias("df"))
     df.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms/{place}")
-    documents.repartitionByRange("ref_key").sortWithinPartitions("ref_key").write.mode("overwrite").parquet(f"{path}/docs/{place}")
+    documents.repartitionByRange(_parts(total["docs"], TASK_POSTINGS), "ref_key").sortWithinPartitions("ref_key").write.mode("overwrite").parquet(f"{path}/docs/{place}")
     build = F.lit(uuid.uuid4().hex).alias("build")
-    stats = documents.sparkSession.range(1).select(build, F.lit(total["docs"]).cast("long").alias("docs"), F.lit(total["total"]).cast("long").alias("total"))
+    stats = spark.range(1).select(build, F.lit(total["docs"]).cast("long").alias("docs"), F.lit(total["total"]).cast("long").alias("total"))
     stats.coalesce(1).write.mode("overwrite").parquet(f"{path}/stats/{place}")
 
 
@@ -211,7 +228,10 @@ def compact(spark: SparkSession, path: str, segment: int) -> None:
     """Rewrites a segment without its deleted documents; not while it is searched. Runs keep their numbers."""
     index = Index(spark, path, [segment])
     post = index._read("blocks", [segment]).select("segment", "term", "value", "run", F.explode("docs").alias("d")).select("segment", "term", "value", "run", "d.*")
-    _write(index.documents().drop("segment"), index.live(post).drop("segment"), path, segment)
+    documents = cut(index.documents().drop("segment"))
+    runs = documents.select("value", "run").distinct().count()
+    dealt = index.live(post).drop("segment").repartition(_parts(runs, TASK_RUNS), "value", "run")
+    _write(documents, cut(_blocks(dealt), "zstd"), path, segment)
 
 
 def term_filter(asked: DataFrame) -> Callable[[DataFrame], DataFrame]:
@@ -240,23 +260,27 @@ def bounds(index: Index, weights: DataFrame, only: Callable[[DataFrame], DataFra
     return met.groupBy("query_id", "segment", "value", "run").agg(F.count(F.lit(1)).alias("blocks"), F.sum(F.col("idf") * F.col("top")).alias("bound"))
 
 
-def _scored(index: Index, weights: DataFrame, only: Callable[[DataFrame], DataFrame], runs: DataFrame, k: int, decimals: int, inside: DataFrame | None = None) -> DataFrame:
+def _scored(index: Index, weights: DataFrame, only: Callable[[DataFrame], DataFrame], runs: DataFrame, k: int, decimals: int, inside: DataFrame | None = None, least: DataFrame | None = None) -> DataFrame:
     """(query_id, ref_key, segment, score, dl, found): the best k of each query at least of all documents in ``runs`` (query_id, segment, value, run).
 
     Blocks that hold a query's term are dealt by run and opened once for all
     queries, so that no posting is shuffled once a query. A run that one query
-    wants is scored for the others too, which are no less exact for that.
+    wants is scored for the others too, which are no less exact for that. ``least``
+    (query_id, least) leaves out a query's hits below a score.
     """
     place = ["segment", "value", "run"]
-    wanted = runs.select(*[F.col(c).alias(f"r_{c}") for c in place]).distinct()
+    wanted = cut(runs.select(*[F.col(c).alias(f"r_{c}") for c in place]).distinct())
+    parts = _parts(wanted.count(), TASK_RUNS)
     known = weights.select(F.col("term").alias("r_term")).distinct()
     same = (F.col("segment") == F.col("r_segment")) & F.col("value").eqNullSafe(F.col("r_value")) & (F.col("run") == F.col("r_run"))
     blocks = only(index.blocks().select("term", *place, "docs")).join(known, F.col("term") == F.col("r_term"), "left_semi").join(wanted, same, "left_semi")
-    opened = lambda rows: rows.select("term", *place, F.explode("docs").alias("d")).select("term", *place, "d.*")
-    dealt = lambda rows: rows.repartition(*place).sortWithinPartitions(*place)
-    post = dealt(index.live(opened(blocks))) if index.deletions else opened(dealt(blocks))
+    # lists of numbers take less room on their way than lists of rows
+    lists = blocks.select("term", *place, F.col("docs.ref_key").alias("ref_key"), F.col("docs.tf").alias("tf"), F.col("docs.dl").alias("dl"))
+    opened = lambda rows: rows.select("term", *place, F.explode(F.arrays_zip("ref_key", "tf", "dl")).alias("d")).select("term", *place, "d.*")
+    dealt = lambda rows: rows.repartition(parts, *place).sortWithinPartitions(*place)
+    post = dealt(index.live(opened(lists))) if index.deletions else opened(dealt(lists))
     allowed = None if inside is None else inside.select("query_id", F.col("value").cast("string").alias("value"))
-    hits = best_hits(post, weights.select("query_id", "term", "idf"), k, index.avgdl, K1, B, decimals, place, allowed, True)
+    hits = best_hits(post, weights.select("query_id", "term", "idf"), k, index.avgdl, K1, B, decimals, place, allowed, True, least)
     return hits.select("query_id", "ref_key", "segment", "score", "dl", "found")
 
 
@@ -283,7 +307,7 @@ def search(index: Index, queries: DataFrame, k: int = 10, inside: DataFrame | No
     least = first.where(F.col("pos") == k).select("query_id", F.col("score").alias("least"))
     rest = reach.join(begun.select(*[F.col(c).alias(f"b_{c}") for c in place]), (F.col("query_id") == F.col("b_query_id")) & (F.col("segment") == F.col("b_segment")) & F.col("value").eqNullSafe(F.col("b_value")) & (F.col("run") == F.col("b_run")), "left_anti")
     rest = cut(rest.join(least, "query_id", "left").where(F.col("least").isNull() | (F.col("bound") + SLACK >= F.col("least"))))
-    both = first.drop("pos").unionByName(_scored(index, weights, only, rest, k, decimals, inside))
+    both = first.drop("pos").unionByName(_scored(index, weights, only, rest, k, decimals, inside, least))
     hits = top_k(both.dropDuplicates(["query_id", "segment", "ref_key"]), k)  # a run may be of both passes
     read = begun.select("query_id", "blocks").unionByName(rest.select("query_id", "blocks")).groupBy("query_id").agg(F.sum("blocks").alias("read"))
     report = reach.groupBy("query_id").agg(F.sum("blocks").alias("blocks")).join(read, "query_id")

@@ -11,16 +11,17 @@ from docket.session import cut
 ROW_BITS = 33  # of monotonically_increasing_id: the row in its partition
 
 
-def in_order(rows: DataFrame, *order: Column | str, pos: str = "pos") -> DataFrame:
+def in_order(rows: DataFrame, *order: Column | str, pos: str = "pos", parts: int | None = None) -> DataFrame:
     """``rows`` with pos: 1, 2, ... in the given order, as a long.
 
     Rows are dealt by ranges and sorted in their partitions, which are written
     once, so that a second reading can't deal them differently. A partition's
     first number is the number of rows in those before it: one row a partition
     enters that sum. Rows that are equal in the order are numbered in any order;
-    give enough columns. An empty table gives an empty one.
+    give enough columns. An empty table gives an empty one. ``parts`` is the number
+    of ranges, else the session's.
     """
-    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt = rows.repartitionByRange(*([parts] if parts else []), *order).sortWithinPartitions(*order)
     marked = cut(dealt.withColumn("_mark", F.monotonically_increasing_id()))
     part, place = F.shiftright("_mark", ROW_BITS), F.col("_mark").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
     sizes = marked.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))

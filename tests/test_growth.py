@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docket.llm import bm25
-from docket.operators import retrieval, scoring
+from docket.operators import lexindex, retrieval, scoring
 from docket.operators import rules as R
 from docket.operators.rules import Rule
 from docket.streaming import caselog as stream
@@ -76,3 +76,23 @@ def test_bm25_scores_a_document_where_its_row_lies(spark, monkeypatch):
     assert not any(step in p for p in seen for step in ("Exchange", "Sort"))
     monkeypatch.setattr(retrieval, "TASK_DOCS", 7)
     assert [rows(None), rows(("law", allowed))] == first and len(first[0]) == 12
+
+
+def test_stored_index_is_dealt_by_runs(spark, tmp_path, monkeypatch):
+    """Postings were dealt three times over the session's partitions, whatever their number, and every task told its best of each query."""
+    for name, value in (("RUN_DOCS", 16), ("TASK_RUNS", 2), ("TASK_POSTINGS", 100)):
+        monkeypatch.setattr(lexindex, name, value)
+    docs = spark.range(600).selectExpr("id AS ref_key", "if(id % 50 = 7, null, concat('common w', id % 7)) AS text")
+    path = f"{tmp_path}/index"
+    lexindex.write_segment(docs, path, 0)
+    assert len(list((tmp_path / "index" / "blocks" / "segment=0").glob("*.parquet"))) > 9  # 1,176 postings
+    index = lexindex.Index(spark, path)
+    assert (index.docs, index.total) == (600, 1176)
+    asked = spark.range(2).selectExpr("id AS query_id", "concat('common w', id) AS text")
+    weights = index.weights(asked)
+    only = lexindex.term_filter(weights)
+    runs = lexindex.bounds(index, weights, only)
+    least = asked.select("query_id", F.lit(1.5).alias("least"))
+    scored = lexindex._scored(index, weights, only, runs, 5, 6, least=least)
+    assert scored.rdd.getNumPartitions() == 19  # 38 runs
+    assert {r["query_id"] for r in scored.collect()} == {0, 1} and scored.agg(F.min("score")).first()[0] >= 1.5
