@@ -5,18 +5,20 @@ Hits are (query_id, ref_key, score); k, weights and thresholds are parameters.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from docket.operators import blockmax
 from docket.operators.canonical import bounded
 from docket.operators.scoring import best_hits
 from docket.operators.vectors import comparable, cosine_inside, unit
-from docket.session import cut
+from docket.session import cut, ship_package
 
 K1, B = 1.2, 0.75
 MIN_VECTOR, MIN_LEXICAL = 0.60, 0.35
@@ -103,6 +105,61 @@ def ranked(post: DataFrame, asked: DataFrame, k: int, k1: float = K1, b: float =
     return top_k(best_hits(here, weights, k, float(avgdl or 1.0), k1, b, decimals, unit, allowed), k)
 
 
+def bm25_of_many(docs: DataFrame, queries: DataFrame, k: int = 10, tokens=words) -> DataFrame:
+    """``bm25`` for a table of queries that grows with the documents: (query_id, ref_key, score, pos).
+
+    Keys and query ids are whole numbers; rows without one only count in the statistics.
+    Documents are lists of hashed terms and are asked by blocks that can still reach a
+    query's k-th best (``blockmax``), which leaves out most products but no hit. Terms are
+    compared by 64-bit hashes.
+    """
+    lists = cut(hashed_postings(docs, tokens), "zstd")
+    stats = lists.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    rows, n, texts, total = lists.agg(F.count(F.lit(1)), *[F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "texts", "total")]).first()
+    asked = queries.where("query_id is not null").select(F.col("query_id").cast("long").alias("query_id"), F.explode(F.transform(F.array_distinct(tokens(F.col("text"))), lambda w: F.xxhash64(w))).alias("term"))
+    asked = asked.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    known = lists.where("id is not null").select("id", "words", "terms", "counts")
+    found = blockmax.search(known, rows, cut(blockmax.weighted(asked, stats, n), "zstd"), (total / texts if texts else 0.0) or 1.0, k, zeros=True)
+    kinds = dict(docs.dtypes) | dict(queries.dtypes)
+    return found.select(F.col("query_id").cast(kinds["query_id"]), F.col("doc_id").cast(kinds["ref_key"]).alias("ref_key"), "score", F.col("rank").alias("pos"))
+
+
+def hashed_postings(docs: DataFrame, tokens=words) -> DataFrame:
+    """(id, words, terms, counts, n, texts, total): one row a key, its terms by hash with their tf; n rows in ``docs``, of which ``texts`` have ``total`` words."""
+    ship_package(docs.sparkSession)
+    # a task counts the words of TASK_DOCS documents, wherever they were stored
+    dealt = docs.select(F.col("ref_key").cast("long").alias("id"), "text").repartition(max(1, -(-docs.count() // TASK_DOCS)), "id")
+    hashed = dealt.select("id", F.transform(tokens(F.col("text")), lambda w: F.xxhash64(w)).alias("t"))
+    return hashed.mapInArrow(_counted, "id long, words long, terms array<long>, counts array<int>, n long, texts long, total long")
+
+
+def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's rows by key: keys are equal within a task only."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    rows = pa.Table.from_batches(held).combine_chunks()
+    ids, lists = rows.column("id").combine_chunks(), rows.column("t").combine_chunks()
+    names = ids.dictionary_encode("encode")
+    doc, n_docs = names.indices.to_numpy(), len(names.dictionary)
+    size = lists.value_lengths().fill_null(0).to_numpy()
+    text = lists.is_valid().to_numpy(zero_copy_only=False)
+    vocabulary, code = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+    # one number a document and term, so that one sort counts them
+    both, tf = np.unique(np.repeat(doc.astype(np.int64), size) * len(vocabulary) + code, return_counts=True)
+    of = both // max(1, len(vocabulary))
+    offsets = pa.array(np.searchsorted(of, np.arange(n_docs + 1)), pa.int32())
+    terms = pa.ListArray.from_arrays(offsets, pa.array(vocabulary[both % max(1, len(vocabulary))], pa.int64()))
+    counts = pa.ListArray.from_arrays(offsets, pa.array(tf, pa.int32()))
+    # a key's length is that of its first text
+    words = np.zeros(n_docs, np.int64)
+    words[doc[text][::-1]] = size[text][::-1]
+    sums = [np.bincount(doc, weights, n_docs).astype(np.int64) for weights in (None, text, size)]
+    for at in range(0, n_docs, 1000):
+        columns = [names.dictionary, pa.array(words), terms, counts, *map(pa.array, sums)]
+        yield pa.RecordBatch.from_arrays([c.slice(at, 1000) for c in columns], names=["id", "words", "terms", "counts", "n", "texts", "total"])
+
+
 def cosine(units: DataFrame, queries: DataFrame, k: int = 10, decimals: int = 6, block_bytes: int = 64 << 20, skip_self: bool = False) -> DataFrame:
     """(query_id, ref_key, score, pos): exact cosine of every unit with every query.
 

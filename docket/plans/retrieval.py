@@ -361,7 +361,7 @@ _ATTACHED = "SELECT page_id AS query_id, left(regexp_replace(html, '<[^>]*>', '
 def h21(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     asked = pages.select(F.col("page_id").alias("query_id"), F.left(F.regexp_replace("html", "<[^>]*>", " "), F.lit(1500)).alias("text"))
-    hits = R.bm25(corpus(spark, sf_dir), asked, 3)
+    hits = R.bm25_of_many(corpus(spark, sf_dir), asked, 3)
     out = pages.select("page_id").join(hits, F.col("page_id") == F.col("query_id"), "left")
     return out.select("page_id", "ref_key", "score", F.col("ref_key").isNotNull().alias("used"), F.when(F.col("ref_key").isNull(), "no hit").alias("reason"))
 
