@@ -10,6 +10,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,11 @@ from docket.session import scratch_root
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+#: Groups that hold the states of ``accepted_starts``. A stream's checkpoint keeps to the number that it began with.
+BUCKETS = 1024
+WAITING = np.dtype([("us", "i8"), ("event_id", "i8"), ("case_id", "i8"), ("stage", "i4"), ("missing", "i4")])
+LAST = np.dtype([("case_id", "i8"), ("stage", "i4"), ("missing", "i4"), ("us", "i8")])
+
 
 def file_stream(spark: SparkSession, path: str, files_per_trigger: int = 4) -> DataFrame:
     """A Parquet table as a stream of its files.
@@ -77,38 +83,55 @@ def accepted_starts(starts: DataFrame, minutes: int = DEAD_MINUTES, late: str =
 
     Starts wait until the watermark (``late`` behind the newest) has passed them
     and are then judged in the order of event time, so their order of arrival
-    doesn't matter; later ones are dropped. A key's state is its waiting starts
-    and the last that counted, and ends once any start to come would count.
+    doesn't matter; later ones are dropped, and so are those without a time. A
+    case's stage has its waiting starts and the last that counted as state, which ends
+    once any start to come would count. The stages' states are held in BUCKETS by
+    hash, so that calls of Python grow with the buckets and not with the cases.
     """
     wait = minutes * 60 * 1000
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, held, ids = state.get if state.exists else (None, [], [])
-        waiting = list(zip(held, ids, strict=True))
+        waiting, last = (np.frombuffer(x, kind) for x, kind in zip(state.get, (WAITING, LAST), strict=True)) if state.exists else (np.empty(0, WAITING), np.empty(0, LAST))
         if not state.hasTimedOut:
+            new = [waiting]
             for batch in batches:
-                waiting += zip(batch["us"].tolist(), batch["event_id"].tolist(), strict=True)
+                rows = np.empty(len(batch), WAITING)
+                for c in WAITING.names:
+                    rows[c] = batch[c].to_numpy()
+                new.append(rows)
+            waiting = np.concatenate(new)
         passed = state.getCurrentWatermarkMs()
-        waiting.sort()
-        due = [w for w in waiting if w[0] // 1000 < passed or state.hasTimedOut and w[0] // 1000 <= passed]
-        waiting, keep = waiting[len(due) :], []
-        for t, _ in due:
-            fine = last is None or t - last > wait * 1000
+        at = waiting["us"] // 1000
+        ripe = at <= passed if state.hasTimedOut else at < passed
+        due, waiting = waiting[ripe], waiting[~ripe]
+        due = due[np.lexsort((due["event_id"], due["us"], due["missing"], due["stage"], due["case_id"]))]
+        counted = {(c, s, m): t for c, s, m, t in last.tolist()}
+        keep = []
+        for t, _, *stage in due.tolist():
+            before = counted.get(at_stage := tuple(stage))
+            fine = before is None or t - before > wait * 1000
             keep.append(fine)
-            last = t if fine else last
-        if waiting:
-            state.update((last, [t for t, _ in waiting], [i for _, i in waiting]))
-            state.setTimeoutTimestamp(max(waiting[0][0] // 1000, passed + 1))
-        elif last is not None and last // 1000 + wait >= passed:
-            state.update((last, [], []))
-            state.setTimeoutTimestamp(max(last // 1000 + wait, passed + 1))
+            if fine:
+                counted[at_stage] = t
+        last = np.array([(*k, t) for k, t in counted.items() if t // 1000 + wait >= passed], LAST)
+        if len(waiting) or len(last):
+            state.update((waiting.tobytes(), last.tobytes()))
+            # a start is ripe once its millisecond is reached
+            never = np.iinfo(np.int64).max
+            ends = min(waiting["us"].min(initial=never) // 1000 - 1, last["us"].min(initial=never) // 1000 + wait)
+            state.setTimeoutTimestamp(int(max(ends, passed + 1)))
         elif state.exists:
             state.remove()
-        yield pd.DataFrame({"case_id": key[0], "stage": key[1], "event_id": [i for _, i in due], "us": [t for t, _ in due], "accepted": keep})
-
-    marked = starts.withWatermark("ts", late).withColumn("us", F.unix_micros("ts"))  # numbers, so that no time zone comes in
-    told = marked.groupBy("case_id", "stage").applyInPandasWithState(run, "case_id long, stage int, event_id long, us long, accepted boolean", "last long, held array<long>, ids array<long>", "append", GroupStateTimeout.EventTimeTimeout)
-    return told.select("case_id", "stage", "event_id", F.timestamp_micros("us").alias("ts"), "accepted")
+        yield pd.DataFrame({c: due[c] for c in WAITING.names} | {"accepted": keep})
+
+    marked = starts.withWatermark("ts", late).where("ts is not null")
+    bits = [(1, "case_id"), (2, "stage"), (4, "event_id")]
+    missing = sum((F.when(F.col(c).isNull(), bit).otherwise(0) for bit, c in bits), F.lit(0))
+    # numbers without nulls, and the time as one, so that no float and no time zone comes in
+    rows = marked.select("ts", F.unix_micros("ts").alias("us"), *[F.coalesce(F.col(c).cast(kind), F.lit(0).cast(kind)).alias(c) for c, kind in (("event_id", "long"), ("case_id", "long"), ("stage", "int"))], missing.alias("missing"), F.pmod(F.xxhash64("case_id", "stage"), F.lit(BUCKETS)).alias("bucket"))
+    told = rows.groupBy("bucket").applyInPandasWithState(run, "us long, event_id long, case_id long, stage int, missing int, accepted boolean", "waiting binary, last binary", "append", GroupStateTimeout.EventTimeTimeout)
+    there = {c: F.when(F.col("missing").bitwiseAND(F.lit(bit)) == 0, F.col(c)).alias(c) for bit, c in bits}
+    return told.select(there["case_id"], there["stage"], there["event_id"], F.timestamp_micros("us").alias("ts"), "accepted")
 
 
 def dead_runs(events: DataFrame, minutes: int = DEAD_MINUTES, late: str = "1 minute") -> DataFrame:
