@@ -22,8 +22,10 @@ still reach the k-th score found (block-max pruning by sets).
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -45,6 +47,8 @@ LISTED_TERMS = 2000
 #: Scores are rounded to six places, so a bound counts as reached within this.
 SLACK = 2e-6
 ROW_GROUP = 4 << 20
+#: Blocks of a batch on their way to Spark.
+BATCH_BLOCKS = 20_000
 #: A deletion of more documents raises, unless its caller allows more.
 DELETE_MOST = 500
 
@@ -75,9 +79,8 @@ def write_segment(docs: DataFrame, path: str, segment: int, by: str | None = Non
     placed = placed.join(first, F.col("value").eqNullSafe(F.col("of"))).select("ref_key", "value", run.alias("run"), "text")
     # texts are dealt by run and tokenised there, so that blocks form where the run lies; a row without a term a document
     dealt = placed.repartition(_parts(runs, TASK_RUNS), "value", "run").select("ref_key", "value", "run", F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")).alias("t"))
-    none = F.array(F.lit(None).cast("string"))
-    post = dealt.select("ref_key", "value", "run", F.size("t").alias("dl"), F.explode(F.concat(none, "t")).alias("term"))
-    blocks = cut(_blocks(post.groupBy("term", "value", "run", "ref_key", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf"))), "zstd")
+    key = dealt.schema["ref_key"].dataType.simpleString()
+    blocks = cut(dealt.sortWithinPartitions("value", "run", "ref_key").mapInArrow(_run_blocks, f"term string, value string, run long, n int, keys array<{key}>, tfs array<int>, lengths array<int>"), "zstd")
     opened = F.explode(F.arrays_zip("keys", "lengths")).alias("d")
     documents = blocks.where("term is null").select("value", "run", opened).select(F.col("d.keys").alias("ref_key"), "value", "run", F.col("d.lengths").alias("dl"))
     _write(cut(documents), blocks.where("term is not null"), path, segment)
@@ -87,10 +90,69 @@ def _parts(many: int, each: int) -> int:
     return max(1, -(-many // each))
 
 
-def _blocks(post: DataFrame) -> DataFrame:
-    """(term, value, run, n, keys, tfs, lengths) of postings (term, value, run, ref_key, tf, dl); a run has RUN_DOCS documents, which bounds the lists."""
-    lists = post.groupBy("term", "value", "run").agg(F.sort_array(F.collect_list(F.struct("ref_key", "tf", "dl"))).alias("d"))
-    return lists.select("term", "value", "run", F.size("d").alias("n"), F.col("d.ref_key").alias("keys"), F.col("d.tf").alias("tfs"), F.col("d.dl").alias("lengths"))
+def _run_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's blocks of documents (ref_key, value, run, t); rows of a run lie together in order of their keys. Null is the term of all of a run."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = np.flatnonzero(_begins(batch))
+        if len(new):  # what comes before the batch's last run is complete
+            held.append(batch.slice(0, new[-1]))
+            yield from _blocks_of(pa.Table.from_batches(held, held[0].schema))
+            held = []
+            batch = batch.slice(new[-1])
+        elif held and not _same_run(held[-1], batch):
+            yield from _blocks_of(pa.Table.from_batches(held, held[0].schema))
+            held = []
+        held.append(batch)
+    if held:
+        yield from _blocks_of(pa.Table.from_batches(held, held[0].schema))
+
+
+def _same_run(a: pa.RecordBatch, b: pa.RecordBatch) -> bool:
+    return all(a.column(c)[-1].as_py() == b.column(c)[0].as_py() for c in ("value", "run"))
+
+
+def _begins(rows: pa.RecordBatch | pa.Table) -> np.ndarray:
+    """Whether a row is of another run than the one before; not so for the first."""
+    out = np.zeros(rows.num_rows, dtype=bool)
+    value = rows.column("value")
+    if isinstance(value, pa.ChunkedArray):
+        value = value.combine_chunks()
+    named = value.dictionary_encode("encode").indices.to_numpy()
+    run = rows.column("run").to_numpy()
+    out[1:] = (named[1:] != named[:-1]) | (run[1:] != run[:-1])
+    return out
+
+
+def _blocks_of(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    """The blocks of whole runs."""
+    if not rows.num_rows:
+        return
+    rows = rows.combine_chunks()
+    keys, value, run, lists = (rows.column(c).combine_chunks() for c in ("ref_key", "value", "run", "t"))
+    size, n = lists.value_lengths().to_numpy(), rows.num_rows
+    words = lists.flatten().dictionary_encode()
+    code, v = words.indices.to_numpy().astype(np.int64) + 1, len(words.dictionary) + 1  # 0 is the term of all
+    of, doc = np.cumsum(_begins(rows)), np.arange(n)
+    at = np.repeat(doc, size)
+    # one number a run, term and document, so that one sort counts and orders them
+    both, tf = np.unique(np.concatenate([(of * v) * n + doc, (of[at] * v + code) * n + at]), return_counts=True)
+    block, doc = both // n, both % n
+    first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+    offsets = pa.array(np.append(first, len(both)), pa.int32())
+    term = block[first] % v
+    head = pa.array(doc[first])
+    columns = [
+        words.dictionary.take(pa.array(term - 1, mask=term == 0)),
+        value.take(head),
+        run.take(head),
+        pa.array(np.diff(np.append(first, len(both))), pa.int32()),
+        *[pa.ListArray.from_arrays(offsets, c) for c in (keys.take(pa.array(doc)), pa.array(tf, pa.int32()), pa.array(size[doc], pa.int32()))],
+    ]
+    for a in range(0, len(first), BATCH_BLOCKS):
+        yield pa.RecordBatch.from_arrays([c.slice(a, BATCH_BLOCKS) for c in columns], names=["term", "value", "run", "n", "keys", "tfs", "lengths"])
 
 
 def _write(documents: DataFrame, blocks: DataFrame, path: str, segment: int) -> None:
@@ -100,8 +162,11 @@ def _write(documents: DataFrame, blocks: DataFrame, path: str, segment: int) ->
     avgdl = (total["total"] / total["docs"] if total["docs"] else 0.0) or 1.0
     postings = blocks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     dealt = blocks.repartitionByRange(_parts(postings, TASK_POSTINGS), "term", "run").sortWithinPartitions("term", "value", "run")
-    docs = F.arrays_zip(F.col("keys").alias("ref_key"), F.col("tfs").alias("tf"), F.col("lengths").alias("dl"))
-    top = F.array_max(F.transform(docs, lambda d: part(d["tf"], d["dl"], F.lit(avgdl))))
+    # most blocks have one document, for which no list is walked
+    one = F.array(F.struct(F.col("keys")[0].alias("ref_key"), F.col("tfs")[0].alias("tf"), F.col("lengths")[0].alias("dl")))
+    docs = F.when(F.col("n") == 1, one).otherwise(F.arrays_zip(F.col("keys").alias("ref_key"), F.col("tfs").alias("tf"), F.col("lengths").alias("dl")))
+    tops = F.array_max(F.zip_with("tfs", "lengths", lambda tf, dl: part(tf, dl, F.lit(avgdl))))
+    top = F.when(F.col("n") == 1, part(F.col("tfs")[0], F.col("lengths")[0], F.lit(avgdl))).otherwise(tops)
     place = f"segment={segment}"
     dealt.select("term", "value", "run", docs.alias("docs"), "n", top.alias("top")).write.mode("overwrite").option("parquet.block.size", ROW_GROUP).parquet(f"{path}/blocks/{place}")
     df = spark.read.parquet(f"{path}/blocks/{place}").groupBy("term").agg(F.sum("n").cast("long").alias("df"))
@@ -198,13 +263,12 @@ def delete(spark: SparkSession, path: str, keys: DataFrame, dry_run: bool = True
     if dry_run or not n:
         return n
     build = F.create_map(*[F.lit(x) for pair in index.builds.items() for x in pair])[F.col("segment")].alias("build")
-    runs = found.select(*[F.col(c).alias(f"r_{c}") for c in ("segment", "value", "run")]).distinct()
-    same = (F.col("segment") == F.col("r_segment")) & F.col("value").eqNullSafe(F.col("r_value")) & (F.col("run") == F.col("r_run"))
-    touched = index.blocks().select("segment", "term", "value", "run", F.col("docs.ref_key").alias("keys")).join(runs, same, "left_semi")
-    lost = touched.select("segment", "term", F.explode("keys").alias("ref_key")).join(found.select("segment", "ref_key"), ["segment", "ref_key"], "left_semi")
+    # a block and its run's deleted keys are compared as lists, so that no posting becomes a row
+    touched = _beside(index.blocks().select("segment", "term", "value", "run", F.col("docs.ref_key").alias("keys")), found, "inner")
+    lost = touched.select("segment", "term", F.size(F.array_intersect("keys", "gone")).alias("df")).where("df > 0")
     place = f"deletion={index.next_deletion}"
     found.select("segment", build, "ref_key").write.mode("overwrite").parquet(f"{path}/gone_keys/{place}")
-    lost.groupBy("segment", build, "term").agg(F.count(F.lit(1)).alias("df")).write.mode("overwrite").parquet(f"{path}/gone_terms/{place}")
+    lost.groupBy("segment", build, "term").agg(F.sum("df").cast("long").alias("df")).write.mode("overwrite").parquet(f"{path}/gone_terms/{place}")
     # written last: a deletion without it doesn't hold
     stats = found.groupBy("segment", build).agg(F.count(F.lit(1)).alias("docs"), F.sum("dl").cast("long").alias("total"))
     stats.coalesce(1).write.mode("overwrite").parquet(f"{path}/gone_stats/{place}")
@@ -227,11 +291,22 @@ def replace(docs: DataFrame, path: str, segment: int, by: str | None = None, tok
 def compact(spark: SparkSession, path: str, segment: int) -> None:
     """Rewrites a segment without its deleted documents; not while it is searched. Runs keep their numbers."""
     index = Index(spark, path, [segment])
-    post = index._read("blocks", [segment]).select("segment", "term", "value", "run", F.explode("docs").alias("d")).select("segment", "term", "value", "run", "d.*")
     documents = cut(index.documents().drop("segment"))
-    runs = documents.select("value", "run").distinct().count()
-    dealt = index.live(post).drop("segment").repartition(_parts(runs, TASK_RUNS), "value", "run")
-    _write(documents, cut(_blocks(dealt), "zstd"), path, segment)
+    blocks = index._read("blocks", [segment]).select("segment", "term", "value", "run", "docs")
+    if index.deletions:
+        gone = index._read("docs", [segment]).join(index._gone("keys").select("segment", "ref_key"), ["segment", "ref_key"], "left_semi")
+        blocks = _beside(blocks, cut(gone), "left")
+        left = F.filter("docs", lambda d: ~F.array_contains("gone", d["ref_key"]))
+        blocks = blocks.withColumn("docs", F.when(F.coalesce(F.arrays_overlap(F.col("docs.ref_key"), F.col("gone")), F.lit(False)), left).otherwise(F.col("docs")))
+    lists = blocks.select("term", "value", "run", F.size("docs").alias("n"), F.col("docs.ref_key").alias("keys"), F.col("docs.tf").alias("tfs"), F.col("docs.dl").alias("lengths"))
+    _write(documents, cut(lists.where("n > 0"), "zstd"), path, segment)
+
+
+def _beside(blocks: DataFrame, found: DataFrame, how: str) -> DataFrame:
+    """``blocks`` with gone: the keys of ``found`` (segment, ref_key, value, run) in the block's run, which bounds them."""
+    runs = found.groupBy(*[F.col(c).alias(f"r_{c}") for c in ("segment", "value", "run")]).agg(F.collect_set("ref_key").alias("gone"))
+    same = (F.col("segment") == F.col("r_segment")) & F.col("value").eqNullSafe(F.col("r_value")) & (F.col("run") == F.col("r_run"))
+    return blocks.join(bounded(runs), same, how).drop("r_segment", "r_value", "r_run")
 
 
 def term_filter(asked: DataFrame) -> Callable[[DataFrame], DataFrame]:

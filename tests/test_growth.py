@@ -96,3 +96,46 @@ def test_stored_index_is_dealt_by_runs(spark, tmp_path, monkeypatch):
     scored = lexindex._scored(index, weights, only, runs, 5, 6, least=least)
     assert scored.rdd.getNumPartitions() == 19  # 38 runs
     assert {r["query_id"] for r in scored.collect()} == {0, 1} and scored.agg(F.min("score")).first()[0] >= 1.5
+
+
+def test_blocks_of_an_index_are_formed_without_a_row_a_posting(spark, tmp_path, monkeypatch):
+    """Each posting became a row, was counted and gathered again, in writing and in compacting; so was each for a deletion."""
+    for name, value in (("RUN_DOCS", 8), ("TASK_RUNS", 3), ("BATCH_BLOCKS", 5)):
+        monkeypatch.setattr(lexindex, name, value)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    plans = []
+    cut = lexindex.cut
+    monkeypatch.setattr(lexindex, "cut", lambda df, *a: plans.append((df.columns, plan(df))) or cut(df, *a))
+    rows = [(f"k{i:03d}", None if i % 31 == 4 else "" if i % 31 == 5 else f"Common w{i % 7} w{i % 5} common x{i}", [None, "a", "b"][i * 3 // 200]) for i in range(200)]
+    docs = spark.createDataFrame(rows, "ref_key string, text string, law string").repartition(4)
+    path = f"{tmp_path}/index"
+    try:
+        lexindex.write_segment(docs, path, 0, "law")
+        gone = [f"k{i:03d}" for i in range(0, 200, 9)]
+        assert lexindex.delete(spark, path, docs.where(F.col("ref_key").isin(gone)), dry_run=False) == len(gone)
+
+        def wanted(live):
+            out = []
+            for key, text, law in live:
+                words = (text or "").lower().split()
+                out += [(w, law, key, words.count(w), len(words)) for w in set(words)]
+            return sorted(map(str, out))
+
+        def stored():
+            index = lexindex.Index(spark, path)
+            opened = index.live(index.blocks().select("segment", "term", "value", "run", "n", F.size("docs").alias("m"), F.explode("docs").alias("d")).select("segment", "term", "value", "n", "m", "d.*"))
+            assert opened.where("n <> m").isEmpty()
+            return sorted(str((r["term"], r["value"], r["ref_key"], r["tf"], r["dl"])) for r in opened.collect()), {r["term"]: r["df"] for r in index.terms().collect()}, index
+
+        live = wanted([r for r in rows if r[0] not in gone])
+        for _ in range(2):
+            found, df, index = stored()
+            assert found == live and (index.docs, index.total) == (200 - len(gone), sum(len((r[1] or "").split()) for r in rows if r[0] not in gone))
+            assert df == {t: sum(x.startswith(f"('{t}',") for x in live) for t in df} and sum(df.values()) == len(live)
+            keys = index.documents()
+            assert keys.count() == 200 - len(gone) and keys.groupBy("value", "run").count().agg(F.max("count")).first()[0] <= 8
+            lexindex.compact(spark, path, 0)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    formed = [p for columns, p in plans if "lengths" in columns]
+    assert len(formed) == 3 and not any("Generate" in p or "collect_list" in p for p in formed)
